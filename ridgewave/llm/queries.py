@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality_rules, token_counts
+from . import chat_format, exact_dedup, html_extraction, licenses, mixing, packing, quality_classifier, quality_rules, token_counts
 
-_MODULES = (quality_rules, token_counts, mixing, exact_dedup, packing)
+_MODULES = (licenses, quality_rules, chat_format, token_counts, mixing, exact_dedup, quality_classifier, html_extraction, packing)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
