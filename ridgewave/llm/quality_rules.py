@@ -123,6 +123,13 @@ def apply_policy(led: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
     return led.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")) == 0)
 
 
+def passing(df: DataFrame, policy: str = PRODUCTION_POLICY, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that the policy keeps, with all their columns."""
+    named = df.select(text_of(text_col).alias("__rw_t"), *(F.col(f"`{c}`").alias(f"__rw_c{k}") for k, c in enumerate(df.columns)))
+    led = apply_policy(ledger(named, "__rw_c0", "__rw_t", keep=tuple(named.columns[1:])), policy)
+    return led.where("kept").select(*(F.col(f"__rw_c{k}").alias(c) for k, c in enumerate(df.columns)))
+
+
 def ablation(led: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
     """For each rule of the policy: documents that fail it, documents that only it rejects, and documents kept without it."""
     m = mask(policy)
