@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(ts: Column | str) -> Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(ts) if isinstance(ts, str) else ts)
+
+
 def psd_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """frame_id, label, psd: squares of each vector."""
     square = F.transform("embedding", lambda x: x.cast("double") * x.cast("double"))
