@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import detection, readout
+from .plans import detection, readout, spectral
 
-_MODULES = (detection, readout)
+_MODULES = (detection, readout, spectral)
 
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
