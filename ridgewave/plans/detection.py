@@ -75,7 +75,7 @@ islands AS (SELECT frame_id, min(bin) AS a, max(bin) + 1 AS b FROM (SELECT frame
 MERGED_SQL = f"""{REGIONS_SQL},
 flagged AS (SELECT *, CASE WHEN a - lag(b) OVER (PARTITION BY frame_id ORDER BY a) <= 1 THEN 0 ELSE 1 END AS new FROM islands),
 merged AS (SELECT frame_id, min(a) AS start_bin, max(b) AS end_bin FROM (SELECT *, sum(new) OVER (PARTITION BY frame_id ORDER BY a) AS g FROM flagged) GROUP BY frame_id, g)"""
-_FLAGSHIP_SQL = f"""WITH {MERGED_SQL},
+FLAGSHIP_SQL = f"""WITH {MERGED_SQL},
 floors AS (SELECT frame_id, coalesce(median(db) FILTER (NOT hit), min(db)) AS floor_db FROM levels GROUP BY frame_id),
 tops AS (SELECT m.frame_id, start_bin, end_bin, arg_max(bin, struct_pack(d := db, b := -bin)) AS peak_bin, max(db) AS peak,
    sum((bin - 32) * {_HZ} * pow(10, db / 10)) / sum(pow(10, db / 10)) AS center FROM merged m JOIN levels l ON l.frame_id = m.frame_id AND bin >= start_bin AND bin < end_bin GROUP BY ALL),
@@ -152,7 +152,7 @@ QUERIES = {
     "g16_noise_floor": g16_noise_floor,
 }
 ORACLES = {
-    "flagship_detect": _FLAGSHIP_SQL,
+    "flagship_detect": FLAGSHIP_SQL,
     **{name: cfar_sql(c.variant, c.edge, c.domain, c.rank) for name, c in _VARIANTS.items()},
     "w10_cfar_db_wrap": cfar_sql("CA", "wrap", "db"),
     "w05_cfar_alpha": "SELECT CAST(r AS INT) AS reference, CAST(p AS DOUBLE) AS pfa, round(2 * r * (pow(CAST(p AS DOUBLE), -1.0 / (2 * r)) - 1), 6) AS alpha FROM (VALUES (8), (16), (32), (64)) a(r), (VALUES (1e-2), (1e-4), (1e-6), (1e-7)) b(p)",
