@@ -1,8 +1,9 @@
 """Operator 6, exact dedup by content sort.
 
-Rows are range-partitioned by text with splitters that Spark samples, and sorted inside each partition
+Rows are range-partitioned by their bytes with splitters that Spark samples, and sorted inside each partition
 (an external sort that spills), so equal texts are neighbours and one pass of whole-text comparisons
-with the neighbour above finds the runs of equal texts.
+with the neighbour above finds the runs of equal texts.  Splitters are made of a text's first characters and
+its digest, so the sample that the driver sees has short rows; inside a partition whole texts are sorted.
 
 Hot groups are never gathered in one place.  :func:`groups`, which reports every row, puts the id into
 the sort key, so splitters cut a large group like anything else; runs that touch a partition's edge are
@@ -18,8 +19,6 @@ empty result.  :func:`groups` ignores further columns, :func:`survivors` returns
 
 from __future__ import annotations
 
-import hashlib
-
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -29,11 +28,19 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, require, table, text_of
 
 
-def _order(keep: str, *columns: str) -> list:
+#: Characters of a text in a splitter.
+LEADING = 48
+
+
+def _best_first(keep: str):
     if keep not in ("largest", "smallest"):
         raise ValueError("keep is 'largest' or 'smallest'")
-    ranked = (lambda c: F.col(c).desc_nulls_last()) if keep == "largest" else (lambda c: F.col(c).asc_nulls_last())
-    return [F.col(columns[0]), *(ranked(c) for c in columns[1:])]
+    return F.col("__rw_id").desc_nulls_last() if keep == "largest" else F.col("__rw_id").asc_nulls_last()
+
+
+def _named(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    text = text_of(text_col)
+    return df.select(text.alias("__rw_text"), F.col(id_col).alias("__rw_id"), F.substring(text, 1, LEADING).alias("__rw_lead"), F.sha2(text.cast("binary"), 256).alias("__rw_sha"), *more)
 
 
 def _partitions(df: DataFrame) -> int:
@@ -48,12 +55,11 @@ def _closed_runs(batches):
     """
     part = TaskContext.get().partitionId()
     names = ["__rw_id", "__rw_best", "__rw_n", "text_sha256", "__rw_edge", "__rw_head"]
-    run, last, held, kind = -1, None, [], None
+    run, last, digest, held, kind = -1, None, None, [], None
     done: list[list] = [[] for _ in names]
 
     def close(edge: bool) -> None:
         n = len(held)
-        digest = hashlib.sha256(last.encode("utf-8")).hexdigest()
         for col, values in zip(done, (held, held[:1] * n, [n] * n, [digest] * n, [edge or run == 0] * n, [True] + [False] * (n - 1))):
             col.extend(values)
 
@@ -72,7 +78,7 @@ def _closed_runs(batches):
             if t != last:
                 if held:
                     close(False)
-                run, last, held = run + 1, t, []
+                run, last, digest, held = run + 1, t, b.column(3)[k].as_py(), []
             held.append(i)
         if len(done[0]) >= 10_000:
             yield flush()
@@ -86,9 +92,10 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """One row for each row of ``df``: id, keep_id, group_size, kept and text_sha256."""
     require(df, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    order = _order(keep, "__rw_text", "__rw_id")
-    named = df.select(text_of(text_col).alias("__rw_text"), F.col(id_col).alias("__rw_id"))
-    dealt = named.repartitionByRange(_partitions(df), *order).sortWithinPartitions(*order)
+    best_first = _best_first(keep)
+    named = _named(df, id_col, text_col)
+    # with the id in the splitters, a large group of copies is cut like anything else
+    dealt = named.repartitionByRange(_partitions(df), "__rw_lead", "__rw_sha", best_first).sortWithinPartitions("__rw_lead", "__rw_sha", "__rw_text", best_first)
     # ids and digests only; written once, so that reports and rows come from the same splitters
     rows = cut_lineage(dealt.mapInArrow(_closed_runs, f"__rw_id {kind}, __rw_best {kind}, __rw_n long, text_sha256 string, __rw_edge boolean, __rw_head boolean, __rw_part int"))
     best = F.max if keep == "largest" else F.min
@@ -103,8 +110,8 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
     """The rows that stay, with all columns of ``df``."""
     require(df, id_col, text_col)
-    names, order = df.columns, _order(keep, "__rw_text", "__rw_id")
-    named = df.select(text_of(text_col).alias("__rw_text"), F.col(id_col).alias("__rw_id"), *(F.col(f"`{c}`").alias(f"__rw_{k}") for k, c in enumerate(names)))
+    names, best_first = df.columns, _best_first(keep)
+    named = _named(df, id_col, text_col, *(F.col(f"`{c}`").alias(f"__rw_{k}") for k, c in enumerate(names)))
     schema = named.schema
     way = "descending" if keep == "largest" else "ascending"
 
@@ -113,9 +120,9 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
             at = pc.sort_indices(pa.table([b.column(1)], names=["id"]), sort_keys=[("id", way)], null_placement="at_end")
             seen, stay = set(), []
             for k in at.to_pylist():
-                digest = hashlib.sha256(b.column(0)[k].as_py().encode("utf-8")).digest()
-                if digest not in seen:
-                    seen.add(digest)
+                t = b.column(0)[k].as_py()
+                if t not in seen:
+                    seen.add(t)
                     stay.append(k)
             yield b.take(pa.array(sorted(stay), pa.int64()))
 
@@ -131,7 +138,7 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
             if stay:
                 yield b.take(pa.array(stay, pa.int64()))
 
-    dealt = named.mapInArrow(best_of_batch, schema).repartitionByRange(_partitions(df), "__rw_text").sortWithinPartitions(*order)
+    dealt = named.mapInArrow(best_of_batch, schema).repartitionByRange(_partitions(df), "__rw_lead", "__rw_sha").sortWithinPartitions("__rw_lead", "__rw_sha", "__rw_text", best_first)
     return dealt.mapInArrow(openers, schema).select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(names)))
 
 
