@@ -106,6 +106,37 @@ def spectral_correlation(x: np.ndarray, fft_size: int, hop: int, alphas: np.ndar
     return out
 
 
+def cyclic_slice(x: np.ndarray, fft_size: int, alpha: float, rate: float) -> np.ndarray:
+    """(frames, bins): mean over segments of X(f) conj(Y(f)), where y is x shifted by half the cyclic frequency."""
+    y = x * np.exp(-1j * np.pi * alpha * np.arange(x.shape[1]) / rate)
+    n = max(1, x.shape[1] // fft_size)
+    a, b = (np.fft.fft(z[:, : n * fft_size].reshape(len(x), n, -1), axis=2) for z in (x, y))
+    return np.fft.fftshift((a * b.conj()).mean(axis=1), axes=1)
+
+
+def constellation_stats(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Power in dB, spread around the mean in percent of the power's root, and an SNR of 0 to 60 dB."""
+    power = (np.abs(x) ** 2).mean(axis=1)
+    spread = (np.abs(x - x.mean(axis=1, keepdims=True)) ** 2).mean(axis=1)
+    safe = np.where(power > 0, power, 1)
+    return 10 * np.log10(power + 1e-10), np.where(power > 0, 100 * np.sqrt(spread / safe), 0), np.where(power > 0, np.clip(10 * np.log10(safe / (spread + 1e-10)), 0, 60), 0)
+
+
+def features(x: np.ndarray, rate: float, fft_size: int = 32, mode: str = "reference") -> np.ndarray:
+    """(frames, 12): flatness, centroid, spread, duration ms, duty, repetition, c40 and c42 (re, im), symbol rate, kurtosis."""
+    psd = np.abs(np.fft.fft(x, axis=1)) ** 2 / x.shape[1]
+    total = psd.sum(axis=1) + 1e-12
+    axis = np.arange(psd.shape[1]) / psd.shape[1]
+    flat = np.exp(np.log(psd + 1e-12).mean(axis=1)) / (psd.mean(axis=1) + 1e-12)
+    centre = (psd * axis).sum(axis=1) / total
+    spread = np.sqrt((psd * (axis - centre[:, None]) ** 2).sum(axis=1) / total)
+    energy = np.abs(x) ** 2
+    duty = (energy > 0.5 * energy.mean(axis=1, keepdims=True)).mean(axis=1)
+    c = cumulants(x, mode)
+    n = len(x)
+    return np.stack([flat, centre, spread, np.full(n, x.shape[1] / rate * 1000), duty, np.zeros(n), c["c40"].real, c["c40"].imag, c["c42"].real, c["c42"].imag, symbol_rate(x, rate, 2, fft_size)[0] / rate, kurtosis(x)], axis=1)
+
+
 def local_maxima(z: np.ndarray, half: int) -> np.ndarray:
     """Cells of a plane that no cell within ``half`` rows and columns exceeds."""
     padded = np.pad(z, half, constant_values=-np.inf)

@@ -152,6 +152,12 @@ def rule_class(bandwidth: Column, snr: Column, sample_rate: float) -> Column:
     )
 
 
+def advertising_mhz(channel: Column) -> Column:
+    """Frequency of a low-energy channel: three advertising channels, and data channels around the second one."""
+    data = 2404 + 2 * channel + F.when(channel > 10, 2).otherwise(0)
+    return F.when(channel == 37, 2402).when(channel == 38, 2426).when(channel == 39, 2480).otherwise(data).cast("int")
+
+
 def severity(snr: Column) -> Column:
     return F.when(snr > 25, "high").when(snr > 15, "medium").otherwise("low")
 

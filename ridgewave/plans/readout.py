@@ -165,7 +165,35 @@ def b11_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("user_id", bucket.alias("bucket")).agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
+def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Violations as quoted CSV lines with fixed decimals."""
+    v = violations(spark, sf_dir).join(F.broadcast(thresholds(spark, sf_dir).select("rule_id", "name", "level_db")), "rule_id")  # one row a rule
+    cells = [F.col("name"), F.format_string("%.2f", "peak_power_db"), F.format_string("%.2f", "level_db"), F.format_string("%.2f", F.col("peak_power_db") - F.col("level_db"))]
+    return v.where("peak_power_db >= -71").select("detection_id", "rule_id", F.concat_ws(",", *(F.concat(F.lit('"'), c, F.lit('"')) for c in cells)).alias("line"))
+
+
+def cluster_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All clusters as one message, read back."""
+    c = clusters(spark, sf_dir).select("cluster_id", "size", F.round("avg_snr_db", 2).alias("avg_snr_db"))
+    text = F.to_json(F.struct(F.lit("clusters").alias("type"), F.array_sort(F.collect_list(F.struct("cluster_id", "size", "avg_snr_db"))).alias("data")))
+    back = F.from_json("m", "type string, data array<struct<cluster_id: bigint, size: bigint, avg_snr_db: double>>")
+    return c.agg(text.alias("m")).select(back.alias("b")).select("b.type", F.posexplode("b.data").alias("place", "d")).select("type", "place", "d.*")
+
+
+def zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels joined to detections by their key."""
+    d = detections(spark, sf_dir).select("detection_id", "snr_db")
+    labels = table(spark, sf_dir, "orders").select((F.col("o_orderkey") * 10 + 1).alias("detection_id"), F.col("o_orderpriority").alias("label"))
+    return d.join(labels, "detection_id").select("detection_id", "label", *r6("snr_db"))
+
+
 QUERIES = {
+    "k19_violation_lines": exported,
+    "k14_cluster_message": cluster_messages,
+    "j09_labels": zipped,
+    "p15_recent": lambda s, d: op.last_rows(table(s, d, "events"), 100, F.desc("event_id")).select("event_id", "event_type"),
+    "g17_feature_stats": lambda s, d: detections(s, d).agg(*(F.round(f(c), 6).alias(f"{n}_{c}") for c in ("snr_db", "bandwidth_hz") for n, f in (("mean", F.avg), ("std", F.stddev_pop)))),
+    "k17_channels": lambda s, d: table(s, d, "events").select((F.col("event_id") % 40).cast("int").alias("channel")).groupBy("channel").agg(F.count(F.lit(1)).alias("n")).withColumn("freq_mhz", op.advertising_mhz(F.col("channel"))),
     "p01_detection_page": lambda s, d: op.page(detections(s, d), 10.0, 20, 100).select("detection_id", *r6("snr_db")),
     "p02_lookup": lambda s, d: detections(s, d).where("detection_id = 71").select("detection_id", *r6("center_freq_hz")),
     "p03_last_detections": lambda s, d: op.last_rows(detections(s, d), 1000, F.desc("detection_id")).select("detection_id"),
@@ -200,6 +228,12 @@ QUERIES = {
     "m12_rule_classes": m12_rules,
 }
 ORACLES = {
+    "k19_violation_lines": f"""{_VIOLATIONS_SQL} SELECT detection_id, rule_id, '"' || name || '","' || printf('%.2f', CAST(peak_power_db AS DOUBLE)) || '","' || printf('%.2f', CAST(level_db AS DOUBLE)) || '","' || printf('%.2f', CAST(peak_power_db - level_db AS DOUBLE)) || '"' AS line FROM violations JOIN rules USING (rule_id) WHERE peak_power_db >= -71""",
+    "k14_cluster_message": f"{_CLUSTERS_SQL} SELECT 'clusters' AS type, CAST(row_number() OVER (ORDER BY cluster_id) - 1 AS INT) AS place, cluster_id, size, round(avg_snr_db, 2) AS avg_snr_db FROM clusters",
+    "j09_labels": f"{D} SELECT detection_id, o_orderpriority AS label, round(snr_db, 6) AS snr_db FROM detections JOIN orders ON o_orderkey * 10 + 1 = detection_id",
+    "p15_recent": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
+    "g17_feature_stats": f"{D} SELECT round(avg(snr_db), 6) AS mean_snr_db, round(stddev_pop(snr_db), 6) AS std_snr_db, round(avg(bandwidth_hz), 6) AS mean_bandwidth_hz, round(stddev_pop(bandwidth_hz), 6) AS std_bandwidth_hz FROM detections",
+    "k17_channels": "SELECT CAST(event_id % 40 AS INT) AS channel, count(*) AS n, CAST(CASE event_id % 40 WHEN 37 THEN 2402 WHEN 38 THEN 2426 WHEN 39 THEN 2480 ELSE 2404 + 2 * (event_id % 40) + CASE WHEN event_id % 40 > 10 THEN 2 ELSE 0 END END AS INT) AS freq_mhz FROM events GROUP BY event_id % 40",
     "p01_detection_page": f"{D} SELECT detection_id, round(snr_db, 6) AS snr_db FROM detections WHERE snr_db >= 10 ORDER BY detection_id LIMIT 100 OFFSET 20",
     "p02_lookup": f"{D} SELECT detection_id, round(center_freq_hz, 6) AS center_freq_hz FROM detections WHERE detection_id = 71",
     "p03_last_detections": f"{D} SELECT detection_id FROM detections ORDER BY detection_id DESC LIMIT 1000",

@@ -114,7 +114,56 @@ def costas_block(z):
     return np.array([v[-1].real for v in y]), np.array([v[-1].imag for v in y])
 
 
+def cyclic_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def kernel(i, q):
+        z = forensics.cyclic_slice(i + 1j * q, 16, 2000.0, FS)
+        return z.real, z.imag
+
+    out = map_frames(iq_frames(spark, sf_dir), kernel, ["i", "q"], "re array<double>, im array<double>", ["frame_id"])
+    return out.select("frame_id", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "c")).select("frame_id", "bin", F.round("c.re", 8).alias("re"), F.round("c.im", 8).alias("im"))
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest modulation with a confidence lowered by an SNR of 6 dB."""
+    def kernel(i, q):
+        names, d, _ = nearest_modulation(i + 1j * q)
+        return names, forensics.confidence(d, 6.0)
+
+    out = map_frames(iq_frames(spark, sf_dir), kernel, ["i", "q"], "modulation string, confidence double", ["frame_id"])
+    return out.select("frame_id", "modulation", F.round("confidence", 6).alias("confidence"))
+
+
+def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = map_frames(iq_frames(spark, sf_dir), lambda i, q: (forensics.features(i + 1j * q, FS),), ["i", "q"], "x array<double>", ["frame_id"])
+    return out.select("frame_id", F.posexplode("x").alias("place", "v")).select("frame_id", "place", F.round("v", 6).alias("v"))
+
+
+def constellations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(m, k, float(p.real), float(p.imag)) for m in ("BPSK", "QPSK", "8PSK") for k, p in enumerate(demod.constellation(m))]
+    return spark.createDataFrame(rows, "modulation string, k int, re double, im double").select("modulation", "k", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places in the bits of each benchmark text that look like the access address by 22 of 32 bits or more."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.encode("text", "utf-8").alias("data"))
+
+    def search(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [demod.find_address(np.unpackbits(np.frombuffer(x.as_py(), np.uint8), bitorder="little")) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["item_id", "at"])
+
+    return b.mapInArrow(search, "item_id long, at array<int>").select("item_id", F.explode("at").alias("at"))
+
+
 QUERIES = {
+    "f21_cyclic_slice": cyclic_slice,
+    "m19_classification": classified,
+    "m01_feature_vectors": feature_vectors,
+    "b04_address_search": addresses,
+    "b09_constellations": constellations,
+    "g14_constellation_stats": scalars(forensics.constellation_stats, "power_db double, evm_percent double, snr_db double", 6),
     "g02_cumulants_reference": _cumulants("reference"),
     "g02_cumulants_standard": _cumulants("standard"),
     "g03_kurtosis": scalars(lambda z: (forensics.kurtosis(z),), "kurtosis double"),
@@ -154,6 +203,13 @@ def _rows(values: dict) -> str:
 
 
 ORACLES = {
+    "f21_cyclic_slice": f"""WITH {IQ_SQL}, z AS (SELECT frame_id, n // 16 AS s, n % 16 AS m, i, q, i * cos(a) + q * sin(a) AS yi, q * cos(a) - i * sin(a) AS yq FROM (SELECT *, pi() * 2000 * n / 32e3 AS a FROM iq)),
+x AS (SELECT frame_id, s, CAST(b AS INT) AS bin, sum(i * cos(t) + q * sin(t)) AS re, sum(q * cos(t) - i * sin(t)) AS im, sum(yi * cos(t) + yq * sin(t)) AS yre, sum(yq * cos(t) - yi * sin(t)) AS yim FROM (SELECT *, pi() * m * (b - 8) / 8 AS t FROM z, unnest(generate_series(0, 15)) v(b)) GROUP BY ALL)
+SELECT frame_id, bin, round(avg(re * yre + im * yim), 8) + 0 AS re, round(avg(im * yre - re * yim), 8) + 0 AS im FROM x GROUP BY 1, 2""",
+    "m19_classification": f"""{_STANDARD}, t(k, modulation, a, b) AS (VALUES {_rows(forensics.CUMULANTS)}), d AS (SELECT frame_id, modulation, k, sqrt(pow(c40_re - a, 2) + pow(c40_im, 2) + pow(c42_re - b, 2)) AS d FROM c, t)
+SELECT frame_id, modulation, round(least(1, greatest(0.1, 0.6e0 * CASE WHEN d < 1e-3 THEN 1 ELSE 1 / (1 + d) END)), 6) AS confidence FROM d QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY round(d, 12), k) = 1""",
+    "b09_constellations": "SELECT * FROM (SELECT 'BPSK' AS modulation, CAST(k AS INT) AS k, CASE k WHEN 0 THEN 1e0 ELSE -1e0 END AS re, 0e0 AS im FROM unnest([0, 1]) u(k) UNION ALL SELECT 'QPSK', CAST(k AS INT), round(cos(pi() * k / 2 + pi() / 4), 9) + 0, round(sin(pi() * k / 2 + pi() / 4), 9) + 0 FROM unnest(generate_series(0, 3)) u(k) UNION ALL SELECT '8PSK', CAST(k AS INT), round(cos(pi() * k / 4), 9) + 0, round(sin(pi() * k / 4), 9) + 0 FROM unnest(generate_series(0, 7)) u(k))",
+    "g14_constellation_stats": f"WITH {IQ_SQL}, m AS (SELECT frame_id, avg(i * i + q * q) AS p, avg(i) AS mi, avg(q) AS mq FROM iq GROUP BY 1), s AS (SELECT frame_id, p, avg(pow(i - mi, 2) + pow(q - mq, 2)) AS e FROM iq JOIN m USING (frame_id) GROUP BY 1, 2) SELECT frame_id, round(10 * log10(p + 1e-10), 6) AS power_db, round(100 * sqrt(e / p), 6) AS evm_percent, round(greatest(0, least(60, 10 * log10(p / (e + 1e-10)))), 6) AS snr_db FROM s",
     "g02_cumulants_reference": f"{_REFERENCE} SELECT {_R7} FROM c",
     "g02_cumulants_standard": f"{_STANDARD} SELECT {_R7} FROM c",
     "g03_kurtosis": f"{_KURT} SELECT frame_id, round(kurtosis, 7) AS kurtosis FROM k",
