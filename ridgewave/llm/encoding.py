@@ -27,6 +27,8 @@ CACHE_UNITS = 400_000
 #: Bytes of new units given to the tokenizer library at once.
 BATCH_BYTES = 1 << 18
 
+#: ASCII marks after a letter, at a unit's end: no token spans both (an apostrophe could start a contraction).
+_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
 _SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -65,7 +67,9 @@ class UnitEncoder:
             model = Tokenizer.from_file(path)
             self._encode = lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)]
             self._mark = "\n" if self.mode == "spaces" else next(iter(sorted(t.content for t in model.get_added_tokens_decoder().values())), None)
+            self._added = tuple(t.content for t in model.get_added_tokens_decoder().values())
             self._mark_id = self._encode([self._mark])[0][0] if self._mark else None
+        self._parts: dict = {}
         self._ids: dict = {}
         self._lengths: dict = {}
 
@@ -81,20 +85,40 @@ class UnitEncoder:
             yield batch
 
     def _joined(self, units: list[str]):
-        """Each unit with its ids (numpy), from few calls: a mark that is one token and touches no other stands between units."""
+        """Each unit with its ids (bytes), from few calls: a mark that is one token and touches no other stands between units."""
         for batch in self._batches(units):
             apart = [u for u in batch if self._mark is None or self._mark in u or (self.mode == "spaces" and _edge_space(u.removeprefix(" ")))]
             if apart:
                 held = set(apart)
                 batch = [u for u in batch if u not in held]
-                yield from zip(apart, (np.array(x, np.uint32) for x in self._encode(apart)))
+                yield from zip(apart, (array("I", x).tobytes() for x in self._encode(apart)))
             if batch:
                 ids = np.array(self._encode([self._mark.join(batch)])[0], np.uint32)
                 ends = np.append(np.flatnonzero(ids == self._mark_id), len(ids))
                 if len(ends) != len(batch):
                     raise ValueError("the mark isn't one token of its own")
                 starts = np.append(0, ends[:-1] + 1)
-                yield from ((u, ids[a:b]) for u, a, b in zip(batch, starts.tolist(), ends.tolist()))
+                raw = ids.tobytes()
+                yield from ((u, raw[a:b]) for u, a, b in zip(batch, (4 * starts).tolist(), (4 * ends).tolist()))
+
+    def _encoded(self, units: list[str]):
+        """Each unit with its ids; marks that end a word are looked up apart, so fewer words are new."""
+        table = self._parts
+        if len(table) > self.cache_units:
+            table.clear()
+        cut, wanted, search = [], set(), _TAIL.search
+        for u in units:
+            m = search(u)
+            if m and (k := m.start()) and u[k - 1].isalpha() and not (">" in u and any(t in u for t in self._added)):
+                cut.append((u, u[:k], u[k:]))
+                wanted.add(u[:k])
+                wanted.add(u[k:])
+            else:
+                cut.append((u, u, ""))
+                wanted.add(u)
+        table.update(self._joined(list(wanted.difference(table.keys()))))
+        table[""] = b""
+        return ((u, table[head] + table[tail]) for u, head, tail in cut)
 
     # -- lengths ---------------------------------------------------------------------------------
     def lengths(self, texts: list[str]) -> list[int]:
@@ -108,13 +132,13 @@ class UnitEncoder:
         if len(table) > self.cache_units:
             table.clear()
         new = set().union(*words).difference(table.keys()) if words else ()
-        table.update((u.encode("utf-8"), len(x)) for u, x in self._joined([w.decode("utf-8") for w in new]))
+        table.update((u.encode("utf-8"), len(x) // 4) for u, x in self._encoded([w.decode("utf-8") for w in new]))
         get = table.__getitem__
         return [sum(map(get, w)) for w in words]
 
     # -- ids -------------------------------------------------------------------------------------
     def _pack(self, units: list[str]) -> None:
-        self._ids.update((u, x.tobytes()) for u, x in self._joined(units))
+        self._ids.update(self._encoded(units))
 
     def _units(self, text: str) -> list[str]:
         """Units whose encodings, joined, are the text's."""

@@ -31,30 +31,46 @@ from .encoding import by_bytes, encoder
 CAPACITY = 2048
 END_ID = 1
 #: Longest piece of a document's remainder, windows of a pool, and tokens a window of a pool is short of capacity on average.
-PIECE, WINDOWS, SLACK = 256, 64, 8
+PIECE, WINDOWS, SLACK = 256, 128, 8
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
-    """Karmarkar-Karp: indices of ``sizes`` dealt into k windows of nearly equal sums."""
-    if k <= 1 or not sizes:
-        return [list(range(len(sizes)))] + [[] for _ in range(k - 1)]
-    heap = []
-    for n, s in enumerate(sizes):
-        sums = np.zeros(k, np.int64)
-        sums[-1] = s  # ascending
-        heap.append((-s, n, sums, [[] for _ in range(k - 1)] + [[n]]))
+    """Karmarkar-Karp: indices of ``sizes`` dealt into k windows of nearly equal sums.
+
+    A merge only keeps its sums and their order; who lies where is read back from the root at the end.
+    """
+    n = len(sizes)
+    if k <= 1 or not n:
+        return [list(range(n))] + [[] for _ in range(k - 1)]
+    heap: list = []
+    sums: list = []
+    merges: list = []
+    for i, s in enumerate(sizes):
+        alone = np.zeros(k, np.int64)
+        alone[-1] = s  # ascending
+        sums.append(alone)
+        heap.append((-s, i))
     heapq.heapify(heap)
-    serial = len(sizes)
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
-        sums = a + b[::-1]
-        order = np.argsort(sums, kind="stable")
-        joined = [x + y for x, y in zip(in_a, reversed(in_b))]
-        sums = sums[order]
-        heapq.heappush(heap, (int(sums[0] - sums[-1]), serial, sums, [joined[i] for i in order.tolist()]))
-        serial += 1
-    return heap[0][3]
+        a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
+        both = sums[a] + sums[b][::-1]
+        order = both.argsort(kind="stable")
+        both = both[order]
+        sums[a] = sums[b] = None
+        heapq.heappush(heap, (int(both[0] - both[-1]), len(sums)))
+        sums.append(both)
+        merges.append((a, b, order))
+    at = {heap[0][1]: np.arange(k)}  # position in the node of each window of the root
+    windows: list[list[int]] = [[] for _ in range(k)]
+    for node in range(n + len(merges) - 1, n - 1, -1):
+        a, b, order = merges[node - n]
+        mine = order[at.pop(node)]
+        for child, position in ((a, mine), (b, k - 1 - mine)):
+            if child < n:
+                windows[int((position == k - 1).argmax())].append(child)
+            else:
+                at[child] = position
+    return windows
 
 
 class Packer:
