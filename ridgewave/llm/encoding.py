@@ -23,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Units kept by one worker process; the table starts anew beyond it, which only costs time.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 800_000
 #: Bytes of new units given to the tokenizer library at once.
 BATCH_BYTES = 1 << 18
 
