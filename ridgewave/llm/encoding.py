@@ -14,6 +14,8 @@ at boundaries that no token can cross with the tokenizer at hand:
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import json
 import os
 import re
@@ -50,6 +52,18 @@ def boundary_mode(path: str) -> str:
     return "whole"
 
 
+@contextlib.contextmanager
+def _no_cycles():
+    """No cycle collections meanwhile: they'd walk the whole table, and nothing here makes cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class UnitEncoder:
     """Token ids (little-endian unsigned 32-bit bytes) of texts under one tokenizer file."""
 
@@ -108,7 +122,7 @@ class UnitEncoder:
             table.clear()
         cut, wanted, search = [], set(), _TAIL.search
         for u in units:
-            m = search(u)
+            m = None if u[-1:].isalnum() else search(u)
             if m and (k := m.start()) and u[k - 1].isalpha() and not (">" in u and any(t in u for t in self._added)):
                 cut.append((u, u[:k], u[k:]))
                 wanted.add(u[:k])
@@ -165,6 +179,10 @@ class UnitEncoder:
         table = self._ids
         if len(table) > self.cache_units:
             table.clear()
+        with _no_cycles():
+            return self._unit_ids(texts, table)
+
+    def _unit_ids(self, texts: list[str], table: dict) -> list[bytes]:
         units = [self._units(t) for t in texts]
         self._pack(list(set().union(*units).difference(table.keys())) if units else [])
         get = table.__getitem__
