@@ -32,9 +32,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so later steps survive lost executors."""
+    """Write the rows to the shared checkpoint folder, so later steps survive lost executors.
+
+    What came before isn't needed any more.  Spark removes its shuffle files once the driver has collected the
+    objects that own them, which a driver with free memory may put off, so a collection is asked for.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def missing(df: DataFrame, columns: Iterable[str]) -> list[str]:
