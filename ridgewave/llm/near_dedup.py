@@ -15,13 +15,13 @@ equal to their weighted Jaccard similarity.
 equal word for word are one node from the start.  In a bucket (texts that agree in a band) every member is
 compared with one pivot, so a bucket of any size sends as many pairs as it has members.  Buckets whose members
 are in one component by then are done; the others meet new pivots, by other orders, in further rounds, and a member
-is only compared across components.  What is still apart after the rounds is compared in blocks of sketches: each
-member outside its bucket's largest component with all members of other components, of which a block gives the best
-few for each component, and this is repeated as long as it finds links.  Pairs whose sketches or weights can't reach
-0.8 (six standard deviations) are never verified.
+is only compared across components.  What is still apart after the rounds is compared in blocks of multisets: each
+member outside its bucket's largest component with every member of other components.  A block holds both multisets
+of all its pairs and decides them at once, so no pair is left out, and only links that join components are given.
 
-*Verification.*  The multisets of both texts of each candidate pair decide.  Components come from alternating
-star steps on the links.  Every stage is a DataFrame; lineage is cut in the shared checkpoint folder.
+*Verification.*  The multisets of both texts of each candidate pair decide.  Before, pairs of a pivot whose sketches
+or weights can't reach 0.8 (six standard deviations) are dropped.  Components come from alternating star steps on the
+links.  Every stage is a DataFrame; lineage is cut in the shared checkpoint folder.
 
 Defined cases: null text counts as empty; texts without words are one class; null ids pass through and are never
 the class id unless the class has no other; repeated rows belong to the same class; an empty table gives an empty
@@ -44,12 +44,12 @@ from .common import cut_lineage, require, table, text_of
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
 SLOTS = BANDS * ROWS
-#: Slots kept, 16 bits each, for comparing blocks of signatures, the estimate below which a pair can't reach SIMILARITY (six standard deviations), and rows of a block.
-SKETCH, LEAST, BLOCK = 128, 0.58, 256
+#: Slots kept, 16 bits each, and the estimate below which a pair can't reach SIMILARITY (six standard deviations).
+SKETCH, LEAST = 128, 0.58
+#: Rows and windows of a block on average, and columns of its matrices held at once.
+BLOCK, BLOCK_WINDOWS, COLUMNS = 256, 1 << 19, 4096
 #: Masks that put nodes into other orders, one for each round after the first.
 ROUNDS = (0x0F1E2D3C4B5A6978, 0x7FFFFFFFFFFFFFFF)
-#: Pairs that a block gives for a member and a component.
-BEST = 4
 
 _P, _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -239,50 +239,100 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
 
+def _elements(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of multisets, and all their elements as (key, text): the n-th occurrence of a window is an element of its own."""
+    sizes = np.array([len(b) // 8 for b in bags], np.int64)
+    text = np.repeat(np.arange(len(bags)), sizes)
+    h = np.frombuffer(b"".join(bags), np.uint64)
+    at = np.arange(len(h))
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    return sizes, np.where(first, h, mix(h + nth.astype(np.uint64) * _C3)), text
+
+
+def overlaps(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
+    """(lefts, rights) weighted Jaccard similarities of packed multisets."""
+    (n, hl, tl), (m, hr, tr) = _elements(lefts), _elements(rights)
+    shared = np.intersect1d(hl, hr)
+
+    def placed(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        c = np.searchsorted(shared, h)
+        ok = shared[np.minimum(c, len(shared) - 1)] == h if len(shared) else np.zeros(len(h), bool)
+        c, t = c[ok], t[ok]
+        order = np.argsort(c, kind="stable")
+        return c[order], t[order]
+
+    (cl, tl), (cr, tr) = placed(hl, tl), placed(hr, tr)
+    low = np.zeros((len(lefts), len(rights)), np.int64)
+    for at in range(0, len(shared), COLUMNS):
+        sides = []
+        for c, t, rows in ((cl, tl, len(lefts)), (cr, tr, len(rights))):
+            run = slice(*np.searchsorted(c, (at, at + COLUMNS)))
+            has = np.zeros((rows, min(COLUMNS, len(shared) - at)), np.float32)
+            has[t[run], c[run] - at] = 1
+            sides.append(has)
+        low += (sides[0] @ sides[1].T).astype(np.int64)  # counts below 2 ** 24 are exact
+    both = n[:, None] + m[None, :] - low
+    return np.where(both > 0, low / np.maximum(both, 1), 1.0)
+
+
+def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the pairs (a, b) of roots that join components not yet joined by earlier ones."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.get(x, x)) != x:
+            above[x] = above.get(up, up)
+            x = up
+        return x
+
+    out = []
+    for k in sorted(np.unique(np.stack([a, b]), axis=1, return_index=True)[1].tolist()) if len(a) else ():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            above[max(x, y)] = min(x, y)
+            out.append(k)
+    return out
+
+
 def _blocks(batches):
-    """The best possible pairs of a block of lefts and a block of rights: BEST for each left and component."""
+    """Links that join the components of a block of lefts and a block of rights; every pair across components is decided."""
     for b in batches:
-        us, vs = [], []
-        for lefts, rights in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v, wv, rv = (np.array([x[c] for x in rights]) for c in ("node", "weight", "root"))
-            mv = np.stack([np.frombuffer(x["marks"], np.uint16) for x in rights])
-            for x in lefts:
-                same = (mv == np.frombuffer(x["marks"], np.uint16)).sum(axis=1)
-                ok = np.flatnonzero((same >= LEAST * SKETCH) & (rv != x["root"]) & (np.minimum(wv, x["weight"]) >= SIMILARITY * np.maximum(wv, x["weight"])))
-                given: dict[int, int] = {}
-                for k in ok[np.argsort(-same[ok], kind="stable")].tolist():
-                    root = int(rv[k])
-                    if given.setdefault(root, 0) < BEST:
-                        given[root] += 1
-                        us.append(min(x["node"], int(v[k])))
-                        vs.append(max(x["node"], int(v[k])))
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-
-def compare_blocks(apart: DataFrame, marks: DataFrame) -> DataFrame:
-    """Possible pairs (u, v) across components of the buckets in ``apart`` (key, node, root).
+        for k in range(b.num_rows):
+            lefts, rights = b.column(0)[k].as_py(), b.column(1)[k].as_py()
+            a, c = (np.array([x["root"] for x in side]) for side in (lefts, rights))
+            i, j = np.nonzero((overlaps([x["bag"] for x in lefts], [x["bag"] for x in rights]) >= SIMILARITY) & (a[:, None] != c[None, :]))
+            ends = [(lefts[i[p]]["node"], rights[j[p]]["node"]) for p in _joining(a[i], c[j])]
+            yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in ends], pa.int64()), pa.array([max(e) for e in ends], pa.int64())], names=["u", "v"])
+
+
+def compare_blocks(apart: DataFrame, weights: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links (u, v) that join all components with links among the members of a bucket in ``apart`` (key, node, root).
 
     Members outside a bucket's largest component are the lefts, all members the rights; a left meets every block
-    of rights and a right every block of lefts, so no task holds more than two blocks of a bucket at once.
+    of rights and a right every block of lefts, so no task holds more than two blocks of a bucket at once.  Of
+    buckets with the same members one is compared.
     """
+    sets = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)))
+    once = sets.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
     sizes = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    rows = cut_lineage(apart.join(most, "key").join(marks, "node").select("key", "node", "root", "largest", "weight", "marks"))
+    rows = cut_lineage(apart.join(once, "key", "left_semi").join(most, "key").join(weights, "node").select("key", "node", "root", "largest", "weight"))
     left, right = rows.where("root <> largest"), rows
 
     def count(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+        return side.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("weight") / BLOCK_WINDOWS)).alias(name))
 
     counts = count(left, "nl").join(count(right, "nr"), "key")
-    member = F.struct("node", "weight", "root", "marks").alias("x")
 
     def deal(side: DataFrame, own: str, other: str, at: str, meets: str) -> DataFrame:
         placed = side.join(counts, "key").withColumn(at, F.pmod(F.xxhash64("node"), F.col(own)))
-        met = placed.select("key", at, member, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(meets))
-        return met.groupBy("key", "i", "j").agg(F.collect_list("x").alias(f"{at}_x"))
+        met = placed.select("key", at, "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(meets))
+        return met.join(bags, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "root", "bag")).alias(f"{at}_x"))
 
     both = deal(left, "nl", "nr", "i", "j").join(deal(right, "nr", "nl", "j", "i"), ["key", "i", "j"])
-    return both.select("i_x", "j_x").mapInArrow(_blocks, "u long, v long").distinct()
+    return cut_lineage(both.select("i_x", "j_x").mapInArrow(_blocks, "u long, v long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -304,6 +354,12 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
+def _split(members: DataFrame) -> DataFrame:
+    """Members (key, node, root) of buckets that hold several roots; the only pair of a bucket of two has met already."""
+    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
+    return cut_lineage(members.join(split, "key", "left_semi"))
+
+
 def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     """Members (key, node, root) of buckets that hold several roots, after two hops along the links.
 
@@ -314,9 +370,7 @@ def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
     pairs = ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
     hop = cut_lineage(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
     further = hop.join(hop.select(F.col("a").alias("m"), F.col("m").alias("m2")), "m", "left").select(F.col("a").alias("root"), F.coalesce("m2", "m").alias("to"))
-    moved = members.join(further, "root", "left").select("key", "node", F.coalesce("to", "root").alias("root"))
-    split = moved.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return cut_lineage(moved.join(split, "key", "left_semi"))
+    return _split(members.join(further, "root", "left").select("key", "node", F.coalesce("to", "root").alias("root")))
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,11 +402,11 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         pairs = apart.join(centres, "key").where("root <> pivot_root").select(*_pairs("node", "pivot")).distinct()
         fresh = cut_lineage(verify(pairs, marks, bags))
         links, apart = links.union(fresh), _apart(apart, fresh)
-    while not apart.isEmpty():
-        fresh = cut_lineage(verify(compare_blocks(apart, marks), marks, bags).join(links, ["u", "v"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        links, apart = links.union(fresh), _apart(apart, fresh)
+    if not apart.isEmpty():
+        # by whole components the fewest members are outside a bucket's largest one
+        known = components(links)
+        members = apart.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        links = known.select(F.col("node").alias("u"), F.col("root").alias("v")).union(compare_blocks(_split(members), marks.select("node", "weight"), bags))
     roots = components(links)
     placed = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
     rows = signed.select("id", "hi", "lo").join(placed, ["hi", "lo"])

@@ -155,6 +155,34 @@ def test_near_against_brute_force(spark):
     assert sorted(r["doc_id"] for r in near_dedup.survivors(df).collect()) == sorted(set(got.values()))
 
 
+def test_near_single_link_in_a_dense_group(spark):
+    """One text is linked with only one of 500 that are all linked to each other and just miss it."""
+    rng = random.Random(8)
+
+    # 400 windows, five of them touched by a changed word: d changed words leave (400 - 5 d) / (400 + 5 d), 0.818 at 8 and 0.798 at 9
+    def text(changed):
+        return " ".join(f"w{k}x{changed.get(k, 0)}" for k in range(404))
+
+    own = {6 * k: 9 for k in range(1, 6)}
+    others = [{6 * k: i + 10 for k in rng.sample(range(6, 66), 4)} for i in range(500)]
+    others[134] = {6 * k: 1 for k in (10, 20, 30)}
+    texts = [text(c) for c in others]
+    texts.insert(135, text(own))
+    bags = [near_dedup.windows(t.encode().split()) for t in texts]
+    linked = [k for k, b in enumerate(bags) if k != 135 and near_dedup.similarity(bags[135], b) >= 0.8]
+    assert linked == [134]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {(r["class_id"], r["class_size"]) for r in near_dedup.classes(df).collect()} == {(0, 501)}
+
+
+def test_overlaps_of_blocks():
+    rng = np.random.default_rng(3)
+    bags = [(np.unique(rng.integers(0, 60, 40).astype(np.uint64)), None) for _ in range(30)]
+    bags = [(h, rng.integers(1, 5, len(h))) for h, _ in bags] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    packed = [near_dedup._pack_bag(b) for b in bags]
+    assert near_dedup.overlaps(packed[:9] + packed[-1:], packed).tolist() == [[near_dedup.similarity(a, b) for b in bags] for a in bags[:9] + bags[-1:]]
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     h = np.sort(rng.integers(1, 2**62, 300).astype(np.uint64))
