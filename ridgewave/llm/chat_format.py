@@ -7,8 +7,10 @@ turn; a message's first line always starts one.  Parameters are counted over all
 (:func:`fit`); the table of counts has a fixed number of rows.  Viterbi gives the most likely roles, and
 each run of lines becomes one turn in the canonical rendering, with markers removed.
 
-Messages of a conversation are gathered in segments of ``SEGMENT`` turn numbers, and the model starts anew
-with each segment; a segment with more than ``MOST`` messages (repeated or missing turn numbers) is dealt
+Messages of a conversation are gathered in segments of ``SEGMENT`` turn numbers, each with the messages of
+``CONTEXT`` turn numbers before and after it, which are decoded with it and not given out.  A segment that
+doesn't hold the conversation's beginning starts from the shares of roles among all messages, not among first
+ones.  A segment with more than ``MOST`` messages (repeated or missing turn numbers) is dealt
 out over as many parts as needed, each decoded by itself.  So neither a long conversation nor one key with
 a large share of the rows meets in one task.  A message's text is never cut.
 
@@ -44,7 +46,7 @@ _MARKER = re.compile(r"^\s*(?:<\|(?:im_start\|>)?|\[|#{1,4}\s*|\*\*)?\s*(" + "|"
 #: How raw transcripts write a marker; which one a message gets follows from its text.
 SPELLINGS = ("{0}: ", "{0}:\n", "### {0}:\n", "<|{0}|>", "[{0}] ", "**{0}:** ")
 
-SEGMENT, MOST = 64, 4096
+SEGMENT, CONTEXT, MOST = 64, 32, 4096
 N_FEATURES = 24
 #: A line without a marker that still starts a turn, and a marker that isn't its line's role.
 UNMARKED, WRONG = 0.3, 0.02
@@ -76,7 +78,7 @@ def raw_message(role: str | None, text: str | None) -> str:
 
 
 class Model:
-    """Log probabilities: start[role], follow[role, role] at a new turn, seen[role, feature]."""
+    """Log probabilities: start[role], follow[role, role] at a new turn, seen[role, feature], and inside[role] for any message."""
 
     def __init__(self, start: np.ndarray, follow: np.ndarray, seen: np.ndarray):
         def log(x: np.ndarray) -> np.ndarray:
@@ -84,11 +86,13 @@ class Model:
             return np.log(y / y.sum(axis=-1, keepdims=True))
 
         self.start, self.follow, self.seen = log(start), log(follow), log(seen)
+        # odd features are those of a message's first line
+        self.inside = log(np.asarray(seen, float)[:, 1::2].sum(axis=1))
 
-    def decode(self, messages: Sequence[Sequence[str]]) -> list[list[tuple[int, bool, str]]]:
+    def decode(self, messages: Sequence[Sequence[str]], begins: bool = True) -> list[list[tuple[int, bool, str]]]:
         """For each message its lines as (role, starts a turn, line without marker), by Viterbi.
 
-        A state is (role, line starts a turn).
+        A state is (role, line starts a turn).  ``begins`` tells whether the first message begins a conversation.
         """
         k = len(ROLES)
         marks, rest, firsts = [], [], []
@@ -109,7 +113,7 @@ class Model:
         for n, (m, body, first) in enumerate(zip(marks, rest, firsts)):
             emit = self.seen[:, feature(body, first)]
             if n == 0:
-                fresh, origin = self.start.copy(), np.zeros(k, int)
+                fresh, origin = (self.start if begins else self.inside).copy(), np.zeros(k, int)
             else:
                 ways = score[:, None] + self.follow
                 origin = ways.argmax(axis=0)
@@ -180,9 +184,9 @@ def render(role: str, text: str) -> str:
     return f"<|im_start|>{role}\n{text.strip()}<|im_end|>\n"
 
 
-def turns(model: Model, messages: Sequence[str]) -> list[list[tuple[str, str]]]:
+def turns(model: Model, messages: Sequence[str], begins: bool = True) -> list[list[tuple[str, str]]]:
     """(role, text) of the turns in each message."""
-    decoded = model.decode([m.split("\n") for m in messages])
+    decoded = model.decode([m.split("\n") for m in messages], begins)
     out = []
     for lines in decoded:
         got: list[tuple[str, list[str]]] = []
@@ -195,7 +199,7 @@ def turns(model: Model, messages: Sequence[str]) -> list[list[tuple[str, str]]]:
 
 
 def transcripts(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", raw_col: str = "raw") -> DataFrame:
-    """Messages gathered in order: conv, segment, part and messages (array of turn, raw)."""
+    """Messages gathered in order: conv, segment, part and messages (array of turn, raw, own), context being not own."""
     seg = F.coalesce(F.floor(F.col(turn_col) / SEGMENT), F.lit(-1)).cast("long")
     rows = df.select(F.col(conv_col).alias("__rw_conv"), F.col(turn_col).cast("long").alias("turn"), F.col(raw_col).alias("raw"), seg.alias("__rw_seg"))
     sizes = rows.groupBy("__rw_conv", "__rw_seg").agg(F.count(F.lit(1)).alias("__rw_n")).where(F.col("__rw_n") > MOST)
@@ -208,7 +212,13 @@ def transcripts(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
     else:
         joined, part = rows, F.lit(0)
     keyed = joined.withColumn("__rw_part", part.cast("long"))
-    return keyed.groupBy("__rw_conv", "__rw_seg", "__rw_part").agg(F.array_sort(F.collect_list(F.struct("turn", "raw"))).alias("messages"))
+    # a message near a segment's end is context of its neighbour too; null turns (segment -1) have no place to be near
+    at = F.col("__rw_seg")
+    place = F.col("turn") - at * SEGMENT
+    segs = F.array_compact(F.array(at, F.when((at > 0) & (place < CONTEXT), at - 1), F.when((at >= 0) & (place >= SEGMENT - CONTEXT), at + 1)))
+    met = keyed.select("__rw_conv", "__rw_part", "turn", "raw", at.alias("__rw_own"), F.explode(segs).alias("__rw_seg")).withColumn("own", F.col("__rw_own") == F.col("__rw_seg"))
+    gathered = met.groupBy("__rw_conv", "__rw_seg", "__rw_part").agg(F.array_sort(F.collect_list(F.struct("turn", "raw", "own"))).alias("messages"), F.max("own").alias("__rw_any"))
+    return gathered.where("__rw_any").drop("__rw_any")
 
 
 def parse(df: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str = "turn", raw_col: str = "raw") -> DataFrame:
@@ -219,14 +229,16 @@ def parse(df: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: str
     def parsed(batches):
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for conv, messages in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for message, found in zip(messages, turns(model, [m["raw"] or "" for m in messages])):
+            for conv, messages, begins in zip(*(b.column(k).to_pylist() for k in range(3))):
+                for message, found in zip(messages, turns(model, [m["raw"] or "" for m in messages], begins)):
+                    if not message["own"]:
+                        continue
                     for k, (role, text) in enumerate(found):
                         for c, v in zip(cols, (conv, message["turn"], k, role, text, render(role, text))):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *(pa.array(c, pa.string()) for c in cols[3:])], names=["__rw_conv", "turn", "part", "role", "text", "rendered"])
 
-    out = transcripts(df, conv_col, turn_col, raw_col).select("__rw_conv", "messages").mapInArrow(parsed, f"__rw_conv {kind}, turn long, part long, role string, text string, rendered string")
+    out = transcripts(df, conv_col, turn_col, raw_col).select("__rw_conv", "messages", (F.col("__rw_seg") <= 0).alias("begins")).mapInArrow(parsed, f"__rw_conv {kind}, turn long, part long, role string, text string, rendered string")
     return out.select(F.col("__rw_conv").alias(conv_col), "turn", "part", "role", "text", "rendered")
 
 

@@ -284,6 +284,17 @@ def test_chat_recovers_hidden_roles(spark):
     assert turns[1][0][1] == "hi there\nhow are you?"
 
 
+def test_chat_long_conversations(spark):
+    """A message alone behind a segment's end keeps its role, marked or not."""
+    model = chat_format.fit(spark.read.parquet(f"{SF}/conversations.parquet"))
+    role = lambda t: "system" if t == 0 else "user" if t % 2 else "assistant"
+    rows = [(n, t, role(t), f"Some words of message {t}, as many as {t % 7}.") for n in (65, 129, 300) for t in range(n)]
+    for hidden in ((), (64, 128, 192)):
+        raw = [(c, t, chat_format.raw_message(None if t in hidden else r, x)) for c, t, r, x in rows]
+        found = chat_format.parse(spark.createDataFrame(raw, "conv_id long, turn long, raw string"), model).collect()
+        assert sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in found) == sorted(rows)
+
+
 def test_viterbi_against_brute_force():
     from itertools import product
 
