@@ -3,6 +3,8 @@
 Each source has a target share of the output.  Its mean repetition rate is target rows divided by the
 rows it has.  A document's uniform number comes from a digest of the seed and its id; the Poisson
 distribution with the source's rate, inverted at that number, is how often the document is written.
+A rate above ``PART`` is cut into equal parts of at most ``PART``, each with a number of its own, and
+the parts' counts are added: a sum of independent Poisson numbers is one with the sum of their rates.
 Every copy gets its own random place, and the rows are sorted by it across all partitions.
 
 Counting sources is a partial aggregation (a hot source sends one row a task).  The rates are a table
@@ -29,6 +31,8 @@ MAX_BROADCAST_SOURCES = 10_000
 SALTS = 64
 #: 2 ** -52: the uniform numbers are 13 hexadecimal digits.
 _UNIT = 2.0**-52
+#: The largest rate inverted at once: exp(-rate) has a double up to about 700.
+PART = 700.0
 
 
 def uniform(*parts: Column) -> Column:
@@ -39,7 +43,6 @@ def uniform(*parts: Column) -> Column:
 
 def poisson_steps(rate: Column) -> Column:
     """Values of the Poisson distribution function at 0, 1, 2, ... up to where it is 1 but for rounding."""
-    # a rate above 700 would need logarithms, as exp(-rate) has no double: such rates are refused when they are made
     top = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("steps"))
 
@@ -51,7 +54,7 @@ def poisson_steps(rate: Column) -> Column:
 
 
 def rates(df: DataFrame, source_col: str, weights: dict | None, temperature: float, total: int | None) -> DataFrame:
-    """One row a source: __rw_source, n, rate and the distribution's steps."""
+    """One row a source: __rw_source, n, rate, the number of parts of the rate, and the steps of a part's distribution."""
     counts = df.groupBy(F.col(source_col).alias("__rw_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         share = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
@@ -64,14 +67,15 @@ def rates(df: DataFrame, source_col: str, weights: dict | None, temperature: flo
     shares, rows = sums[0] or 1.0, sums[1] or 0
     wanted = float(rows if total is None else total)
     rate = F.when(F.col("share") > 0, F.col("share") / F.lit(float(shares)) * F.lit(wanted) / F.col("n")).otherwise(F.lit(0.0))
-    checked = F.when(rate > 700, F.raise_error(F.lit("a mean repetition rate over 700")).cast("double")).otherwise(rate)
-    return shared.withColumn("rate", checked).select("__rw_source", "n", "rate", poisson_steps(F.col("rate")).alias("__rw_steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
+    rated = shared.withColumn("rate", rate).withColumn("__rw_parts", parts)
+    return rated.select("__rw_source", "n", "rate", "__rw_parts", poisson_steps(F.col("rate") / F.col("__rw_parts")).alias("__rw_steps"))
 
 
 def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict | None = None, temperature: float = TEMPERATURE, total: int | None = None, seed: str = SEED, max_broadcast_sources: int = MAX_BROADCAST_SOURCES) -> DataFrame:
     """Rows of ``df`` repeated to the target mix, in random order; ``copy`` counts from 1."""
     require(df, source_col, id_col)
-    by_source = rates(df, source_col, weights, temperature, total).select("__rw_source", "__rw_steps")
+    by_source = rates(df, source_col, weights, temperature, total).select("__rw_source", "__rw_parts", "__rw_steps")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     few = by_source.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources
     if few:
@@ -83,6 +87,12 @@ def mix(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weigh
     at = uniform(F.lit(seed), key)
     # the first k whose distribution function is above the number
     times = F.size(F.filter("__rw_steps", lambda c: c <= F.col("__rw_at")))
+
+    def part(k: Column) -> Column:
+        return F.size(F.filter("__rw_steps", lambda c: c <= uniform(F.lit(seed), F.lit("part"), k.cast("string"), key)))
+
+    further = F.aggregate(F.sequence(F.lit(1), F.col("__rw_parts") - 1), F.lit(0), lambda n, k: n + part(k))
+    times = F.when(F.col("__rw_parts") > 1, times + further).otherwise(times)
     counted = joined.withColumn("__rw_at", at).withColumn("__rw_times", times).where("__rw_times > 0")
     copies = counted.withColumn("__rw_copy", F.explode(F.sequence(F.lit(1), F.col("__rw_times"))))
     place = uniform(F.lit(seed), F.lit("place"), key, F.col("__rw_copy").cast("string"))

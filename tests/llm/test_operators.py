@@ -100,6 +100,16 @@ def test_mixing(spark):
     assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, out.collect()))
 
 
+def test_mixing_of_large_rates(spark):
+    df = spark.range(3000).selectExpr("id AS doc_id", "'a' AS source").union(spark.createDataFrame([(-1, None)], "doc_id long, source string"))
+    got = {r["source"]: r["count"] for r in mixing.mix(df, temperature=0.0).groupBy("source").count().collect()}
+    assert abs(got[None] - 1500.5) < 6 * 1500**0.5 and abs(got["a"] - 1500.5) < 6 * 1500**0.5
+    # one row a source at a rate of 1,500: mean and variance of a Poisson number
+    ones = spark.range(200).selectExpr("id AS doc_id", "CAST(id AS STRING) AS source")
+    times = [r["count"] for r in mixing.mix(ones, total=300_000).groupBy("doc_id").count().collect()]
+    assert len(times) == 200 and abs(np.mean(times) - 1500) < 6 * (1500 / 200) ** 0.5 and 0.6 < np.var(times) / 1500 < 1.5
+
+
 def test_exact_hot_group(spark):
     df = spark.createDataFrame([(k, "copy" if k % 2 else f"t{k % 40}") for k in range(3000)] + [(3000, None), (3001, "")], "doc_id long, text string")
     want: dict = defaultdict(list)
