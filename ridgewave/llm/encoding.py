@@ -1,21 +1,20 @@
-"""Exact tokenizer output from cached encodings of text units.
-
-Most of a corpus is made of words met before, so each worker process keeps the encodings of words
-and asks the tokenizer library only for new ones, in batches balanced by bytes.  A text is cut only
-at boundaries that no token can cross with the tokenizer at hand:
-
-* ``words``: the tokenizer drops white space and never joins across it, so every ASCII white-space
-  run is a boundary;
-* ``spaces``: byte-level tokenizers whose pattern attaches one space to what follows; one ASCII
-  space between two non-space characters is a boundary before that space, and one line feed between
-  two non-space characters is a unit of its own;
-* ``whole``: any other tokenizer; texts are encoded whole.
+"""Exact token ids and counts of whole texts, one encoder a worker process.
+
+:func:`encoder` picks by what the tokenizer file says:
+
+* byte-level BPE with the common pattern, no normaliser, and merges in the order of their ids: such a file means
+  the same as a table of ranks, and the library for rank tables gives the same ids several times as fast
+  (:class:`RankEncoder`; nothing is kept between texts);
+* BPE that drops white space and never joins across it (:class:`WordEncoder`): most words of a corpus repeat, so the
+  token counts of words are kept, in a table bounded in entries that is emptied at the end of each task, and the
+  tokenizer library is asked for new words only, in batches balanced by bytes;
+* any other file: whole texts go to its own library.
+
+Texts are only cut where no token can cross with the tokenizer at hand.
 """
 
 from __future__ import annotations
 
-import contextlib
-import gc
 import json
 import os
 import re
@@ -24,52 +23,70 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Units kept by one worker process; the table starts anew beyond it, which only costs time.
-CACHE_UNITS = 800_000
-#: Bytes of new units given to the tokenizer library at once.
+#: Words kept by a worker, about 150 bytes each; the table starts anew beyond it, which only costs time.
+TABLE_WORDS = 150_000
+#: Bytes of new words given to the tokenizer library at once.
 BATCH_BYTES = 1 << 18
+#: The pattern of byte-level pre-tokenisers that use one.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+#: ASCII marks at a word's end (an apostrophe could start a contraction); behind an ASCII letter, which no
+#: normalisation turns into anything but a letter, no token spans letter and mark.
+_TAIL = re.compile(rb"(?<=[A-Za-z])[!-&(-/:-@\[-`{-~]+\Z")
+
+
+def _plain(spec: dict) -> bool:
+    """Whether added tokens are matched as they stand."""
+    return all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The printable characters that stand for bytes in byte-level vocabularies: bytes that print stand for themselves, the rest follow from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(printable)]
+    return {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def ranks_of(spec: dict) -> dict[bytes, int] | None:
+    """Bytes -> rank of a byte-level file that means the same as a rank table, else None."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space") or not _plain(spec):
+        return None
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    vocab, byte = model["vocab"], _byte_alphabet()
+    made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    added = {t["content"] for t in spec["added_tokens"]}
+    own = {t: i for t, i in vocab.items() if t not in added}
+    if made != sorted(set(made)) or len(own) != len(made) + 256 or not all(set(t) <= byte.keys() for t in own):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in own.items()}
+
+
+class RankEncoder:
+    """Byte-level BPE by a table of ranks."""
+
+    def __init__(self, spec: dict, ranks: dict[bytes, int]):
+        import tiktoken
+
+        self._model = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, little-endian unsigned 32-bit."""
+        return [np.asarray(self._model.encode_to_numpy(t, allowed_special="all"), "<u4").tobytes() for t in texts]
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(x) // 4 for x in self.ids(texts)]
 
-#: ASCII marks after a letter, at a unit's end: no token spans both (an apostrophe could start a contraction).
-_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
-_SAFE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-
-
-def boundary_mode(path: str) -> str:
-    """Which boundaries are safe for the tokenizer in this file."""
-    if not path.endswith(".json"):
-        return "whole"
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
-    if not plain:
-        return "whole"
-    if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
-        return "spaces"
-    parts = pre.get("pretokenizers", [])
-    if parts and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s\p{L}\p{N}]+" in parts[0]["pattern"].get("Regex", ""):
-        return "words"
-    return "whole"
-
-
-@contextlib.contextmanager
-def _no_cycles():
-    """No cycle collections meanwhile: they'd walk the whole table, and nothing here makes cycles."""
-    was = gc.isenabled()
-    gc.disable()
-    try:
-        yield
-    finally:
-        if was:
-            gc.enable()
-
-
-class UnitEncoder:
-    """Token ids (little-endian unsigned 32-bit bytes) of texts under one tokenizer file."""
-
-    def __init__(self, path: str, cache_units: int = CACHE_UNITS):
+    def end_task(self) -> None:
+        pass
+
+
+class WholeEncoder:
+    """Any tokenizer file by its own library."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.mode, self.cache_units = boundary_mode(path), cache_units
         if path.endswith(".model"):
             import sentencepiece
 
@@ -78,125 +95,104 @@ class UnitEncoder:
         else:
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
-            self._encode = lambda batch: [e.ids for e in model.encode_batch_fast(batch, add_special_tokens=False)]
-            self._mark = "\n" if self.mode == "spaces" else next(iter(sorted(t.content for t in model.get_added_tokens_decoder().values())), None)
-            self._added = tuple(t.content for t in model.get_added_tokens_decoder().values())
-            self._mark_id = self._encode([self._mark])[0][0] if self._mark else None
-        self._parts: dict = {}
-        self._ids: dict = {}
-        self._lengths: dict = {}
+            self._model = Tokenizer.from_file(path)
+            self._encode = lambda batch: [e.ids for e in self._model.encode_batch_fast(batch, add_special_tokens=False)]
 
-    def _batches(self, units):
+    @staticmethod
+    def _batches(texts):
         batch, size = [], 0
-        for u in units:
-            batch.append(u)
-            size += len(u)
+        for t in texts:
+            batch.append(t)
+            size += len(t)
             if size >= BATCH_BYTES:
                 yield batch
                 batch, size = [], 0
         if batch:
             yield batch
 
-    def _joined(self, units: list[str]):
-        """Each unit with its ids (bytes), from few calls: a mark that is one token and touches no other stands between units."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x).tobytes() for batch in self._batches(texts) for x in self._encode(batch)]
+
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(x) for batch in self._batches(texts) for x in self._encode(batch)]
+
+    def end_task(self) -> None:
+        pass
+
+
+class WordEncoder(WholeEncoder):
+    """Counts by word for tokenizers that drop white space."""
+
+    def __init__(self, path: str, table_words: int = TABLE_WORDS):
+        super().__init__(path)
+        self._added = [t.content.encode() for t in self._model.get_added_tokens_decoder().values()]
+        self._mark = min(self._added, default=None)
+        self._mark_id = self._encode([self._mark.decode()])[0][0] if self._mark else None
+        self._table: dict[bytes, int] = {}
+        self._parts: dict[bytes, int] = {}
+        self._most = table_words
+
+    @staticmethod
+    def fits(spec: dict) -> bool:
+        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        return bool(parts and _plain(spec) and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") and r"[^\s\p{L}\p{N}]+" in parts[0]["pattern"].get("Regex", ""))
+
+    def _counted(self, units: list[bytes]):
+        """Each unit with its number of tokens, from few calls: an added token, which touches no other, stands between units."""
         for batch in self._batches(units):
-            apart = [u for u in batch if self._mark is None or self._mark in u or (self.mode == "spaces" and _edge_space(u.removeprefix(" ")))]
-            if apart:
-                held = set(apart)
-                batch = [u for u in batch if u not in held]
-                yield from zip(apart, (array("I", x).tobytes() for x in self._encode(apart)))
+            apart = [u for u in batch if self._mark is None or self._mark in u]
+            yield from zip(apart, map(len, self._encode([u.decode() for u in apart])))
+            batch = [u for u in batch if self._mark is not None and self._mark not in u]
             if batch:
-                ids = np.array(self._encode([self._mark.join(batch)])[0], np.uint32)
+                ids = np.array(self._encode([self._mark.join(batch).decode()])[0], np.int64)
                 ends = np.append(np.flatnonzero(ids == self._mark_id), len(ids))
                 if len(ends) != len(batch):
                     raise ValueError("the mark isn't one token of its own")
-                starts = np.append(0, ends[:-1] + 1)
-                raw = ids.tobytes()
-                yield from ((u, raw[a:b]) for u, a, b in zip(batch, (4 * starts).tolist(), (4 * ends).tolist()))
-
-    def _encoded(self, units: list[str]):
-        """Each unit with its ids; marks that end a word are looked up apart, so fewer words are new."""
-        table = self._parts
-        if len(table) > self.cache_units:
-            table.clear()
-        cut, wanted, search = [], set(), _TAIL.search
-        for u in units:
-            m = None if u[-1:].isalnum() else search(u)
-            if m and (k := m.start()) and u[k - 1].isalpha() and not (">" in u and any(t in u for t in self._added)):
-                cut.append((u, u[:k], u[k:]))
-                wanted.add(u[:k])
-                wanted.add(u[k:])
-            else:
-                cut.append((u, u, ""))
-                wanted.add(u)
-        table.update(self._joined(list(wanted.difference(table.keys()))))
-        table[""] = b""
-        return ((u, table[head] + table[tail]) for u, head, tail in cut)
-
-    # -- lengths ---------------------------------------------------------------------------------
+                yield from zip(batch, (np.diff(ends, prepend=-1) - 1).tolist())
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Enter new words; marks that end a word are looked up apart, so fewer words are new to the library."""
+        cut = []
+        for w in words:
+            m = _TAIL.search(w)
+            k = m.start() if m and not (b">" in w and any(t in w for t in self._added)) else len(w)
+            cut.append((w, w[:k], w[k:]))
+        if len(self._parts) > self._most:
+            self._parts.clear()
+        parts = self._parts
+        parts.update(self._counted(list({p for _, *both in cut for p in both}.difference(parts))))
+        parts[b""] = 0
+        self._table.update((w, parts[a] + parts[b]) for w, a, b in cut)
+
     def lengths(self, texts: list[str]) -> list[int]:
-        """Number of tokens of each text."""
-        if self.mode == "whole":
-            return [len(x) for batch in self._batches(texts) for x in self._encode(batch)]
-        if self.mode == "spaces":
-            return [len(x) // 4 for x in self.ids(texts)]
         words = [t.encode("utf-8").split() for t in texts]
-        table = self._lengths
-        if len(table) > self.cache_units:
-            table.clear()
-        new = set().union(*words).difference(table.keys()) if words else ()
-        table.update((u.encode("utf-8"), len(x) // 4) for u, x in self._encoded([w.decode("utf-8") for w in new]))
-        get = table.__getitem__
+        if len(self._table) > self._most:
+            self._table.clear()
+        if new := set().union(*words).difference(self._table) if words else ():
+            self._learn(list(new))
+        get = self._table.__getitem__
         return [sum(map(get, w)) for w in words]
 
-    # -- ids -------------------------------------------------------------------------------------
-    def _pack(self, units: list[str]) -> None:
-        self._ids.update(self._encoded(units))
-
-    def _units(self, text: str) -> list[str]:
-        """Units whose encodings, joined, are the text's."""
-        if self.mode != "spaces":
-            return [text]
-        out: list[str] = []
-        lines = text.split("\n")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            return _SAFE_SPACE.split(text)
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            # printable text holds no white space but the ASCII space
-            if line.isprintable() and "  " not in line:
-                out += line.replace(" ", "\0 ").split("\0")
-            else:
-                out += _SAFE_SPACE.split(line)
-        return out
+    def end_task(self) -> None:
+        self._table.clear()
+        self._parts.clear()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, four bytes each."""
-        if self.mode == "whole" or self.mode == "words":
-            return [array("I", x).tobytes() for batch in self._batches(texts) for x in self._encode(batch)]
-        table = self._ids
-        if len(table) > self.cache_units:
-            table.clear()
-        with _no_cycles():
-            return self._unit_ids(texts, table)
-
-    def _unit_ids(self, texts: list[str], table: dict) -> list[bytes]:
-        units = [self._units(t) for t in texts]
-        self._pack(list(set().union(*units).difference(table.keys())) if units else [])
-        get = table.__getitem__
-        return [b"".join(map(get, u)) for u in units]
-
-
-def _edge_space(word: str) -> bool:
-    return not word or word[0].isspace() or word[-1].isspace()
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str) -> UnitEncoder:
-    """The worker process's encoder of this file; later tasks use the same table."""
-    return UnitEncoder(path)
+
+def make_encoder(path: str):
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        if (ranks := ranks_of(spec)) is not None:
+            return RankEncoder(spec, ranks)
+        if WordEncoder.fits(spec):
+            return WordEncoder(path)
+    return WholeEncoder(path)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """The worker process's encoder of this file."""
+    return make_encoder(path)
 
 
 def by_bytes(column, limit: int = 1 << 20):

@@ -1,12 +1,14 @@
 """Operator 10, packing: Karmarkar-Karp multiway differencing into near-equal windows.
 
 Every task encodes its own rows and packs them; nothing is shuffled, so no key can be hot.  Whole
-windows of a long document are sequences of their own.  What remains is cut into pieces of at most
-``piece`` tokens and gathered into pools worth ``windows`` sequences less a small slack.  In a pool,
-differencing starts with one partial partition for each piece and always merges the two partitions
-of the largest spread, the fullest window of one with the emptiest of the other.  If the fullest
-window exceeds the capacity, the pool is dealt again over one more window.  The last tokens of a task,
-less than one window, become sequences whose lengths are powers of two, which need no padding.
+windows of a long document are sequences of their own.  What remains of a document is one piece, and
+pieces are gathered into pools worth ``windows`` sequences.  In a pool, differencing starts with one
+partial partition for each piece and always merges the two partitions of the largest spread, the
+fullest window of one with the emptiest of the other, so windows of whole pieces come out near-equal.
+What a window holds above the capacity is cut off its largest piece and fills the room that other
+windows have left; if their room isn't enough, the window count rises and the pool is dealt again.
+The last tokens of a task, less than one window, become sequences whose lengths are
+powers of two, which need no padding.
 
 Defined cases: null text counts as empty; an empty document is its end id alone; null ids pass
 through; repeated rows are packed each on their own; an empty table gives an empty result; further
@@ -16,6 +18,7 @@ ids come from its partition's number and its rows' order in the files.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import zlib
 from collections import deque
@@ -30,8 +33,8 @@ from .encoding import by_bytes, encoder
 
 CAPACITY = 2048
 END_ID = 1
-#: Longest piece of a document's remainder, windows of a pool, and tokens a window of a pool is short of capacity on average.
-PIECE, WINDOWS, SLACK = 256, 128, 8
+#: Windows of a pool.
+WINDOWS = 128
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
@@ -73,11 +76,44 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return windows
 
 
+def _cut(piece: tuple, n: int) -> tuple[tuple, tuple]:
+    """The first n tokens of a piece (row, start, ids), and the rest."""
+    row, start, ids = piece
+    return (row, start, ids[: 4 * n]), (row, start + n, ids[4 * n :])
+
+
+def level(windows: list[list], capacity: int) -> None:
+    """Move what windows hold above the capacity into the room of others, which must be enough."""
+    size = lambda p: len(p[2]) // 4
+    spare, room = [], []
+    for k, w in enumerate(windows):
+        excess = sum(map(size, w)) - capacity
+        while excess > 0:
+            i = max(range(len(w)), key=lambda i: size(w[i]))
+            n = min(excess, size(w[i]))
+            head, tail = _cut(w[i], size(w[i]) - n)
+            spare.append(tail)
+            w[i : i + 1] = [head] if head[2] else []
+            excess -= n
+        if excess < 0:
+            room.append((-excess, k))
+    room.sort()
+    for part in sorted(spare, key=size, reverse=True):
+        while part[2]:
+            # the smallest room that takes all of it, else the largest
+            at = min(bisect.bisect_left(room, (size(part), 0)), len(room) - 1)
+            free, k = room.pop(at)
+            head, part = _cut(part, min(free, size(part)))
+            windows[k].append(head)
+            if free > size(head):
+                bisect.insort(room, (free - size(head), k))
+
+
 class Packer:
     """Packs pieces of (row, start, id bytes); ``out`` gets (row, start, length, crc32, sequence, offset)."""
 
-    def __init__(self, capacity: int, piece: int, windows: int, slack: int):
-        self.capacity, self.piece, self.windows, self.slack = capacity, piece, windows, slack
+    def __init__(self, capacity: int, windows: int):
+        self.capacity, self.windows = capacity, windows
         self.pool: deque = deque()
         self.held, self.sequence, self.out = 0, 0, []
 
@@ -94,12 +130,10 @@ class Packer:
         while n - at >= self.capacity:
             self._emit([(row, at, ids[4 * at : 4 * (at + self.capacity)])])
             at += self.capacity
-        while at < n:
-            end = min(n, at + self.piece)
-            self.pool.append((row, at, ids[4 * at : 4 * end]))
-            self.held += end - at
-            at = end
-        full = self.windows * (self.capacity - self.slack)
+        if at < n:
+            self.pool.append((row, at, ids[4 * at :]))
+            self.held += n - at
+        full = self.windows * self.capacity
         while self.held >= full:
             self._deal(self._take(full), self.windows)
 
@@ -107,42 +141,41 @@ class Packer:
         """The first pieces of the pool, exactly so many tokens; the last one is cut."""
         got = []
         while tokens:
-            row, at, ids = self.pool.popleft()
-            n = len(ids) // 4
-            if n > tokens:
-                self.pool.appendleft((row, at + tokens, ids[4 * tokens :]))
-                ids, n = ids[: 4 * tokens], tokens
-            got.append((row, at, ids))
+            piece = self.pool.popleft()
+            if (n := len(piece[2]) // 4) > tokens:
+                piece, rest = _cut(piece, tokens)
+                self.pool.appendleft(rest)
+                n = tokens
+            got.append(piece)
             tokens -= n
             self.held -= n
         return got
 
     def _deal(self, pieces: list, k: int) -> None:
         sizes = [len(p[2]) // 4 for p in pieces]
-        dealt = difference(sizes, k)
-        while max(sum(sizes[i] for i in w) for w in dealt) > self.capacity:
+        while sum(sizes) > k * self.capacity:
             k += 1
-            dealt = difference(sizes, k)
-        for w in dealt:
+        windows = [[pieces[i] for i in sorted(w)] for w in difference(sizes, k)]
+        level(windows, self.capacity)
+        for w in windows:
             if w:
-                self._emit([pieces[i] for i in sorted(w)])
+                self._emit(w)
 
     def finish(self) -> None:
-        usable = self.capacity - self.slack
-        if (k := self.held // usable) and k > 1:
-            self._deal(self._take(k * usable), k)
+        if k := self.held // self.capacity:
+            self._deal(self._take(k * self.capacity), k)
         while self.held:
             self._emit(self._take(min(self.capacity, 1 << (self.held.bit_length() - 1))))
 
 
-def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, piece: int = PIECE, windows: int = WINDOWS, slack: int = SLACK) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, windows: int = WINDOWS) -> DataFrame:
     """One row per piece: where it comes from, which sequence holds it, and where in there."""
     require(df, id_col, text_col)
     end = int(end_id).to_bytes(4, "little")
     kind = df.schema[id_col].dataType.simpleString()
 
     def packed(batches):
-        enc, packer = encoder(tokenizer), Packer(capacity, piece, windows, slack)
+        enc, packer = encoder(tokenizer), Packer(capacity, windows)
         base = TaskContext.get().partitionId() << 32
         id_type = None
 

@@ -1,8 +1,8 @@
 """Operator 4, token counts: batch encoding in Arrow functions that return lengths only.
 
 Batches are balanced by bytes (not rows), and every text, however long, is cut at boundaries that no
-token crosses (see :mod:`ridgewave.llm.encoding`), so a task's memory holds one batch and the table
-of known units.  There is no shuffle: the scan's partitions are the tasks.
+token crosses (see :mod:`ridgewave.llm.encoding`), so a task's memory holds one batch and a bounded
+table of known words, which it empties at its end.  There is no shuffle: the scan's partitions are the tasks.
 
 Defined cases: null text counts as empty (0 bytes, 0 tokens); null ids pass through; repeated rows
 give repeated results; an empty table gives an empty result; further input columns are ignored.
@@ -34,6 +34,7 @@ def count_tokens(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 n_bytes += [len(t.encode("utf-8")) for t in run]
                 n_tokens += enc.lengths(run)
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], [id_col, "n_bytes", "n_tokens"])
+        enc.end_task()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_of(text_col).alias("text")).mapInArrow(lengths, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
