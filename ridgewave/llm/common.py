@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterable
 
@@ -24,24 +25,19 @@ def text_of(column: str) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; a folder of our own only where none is set (tests)."""
+    """Keep the cluster's shared folder; a folder of our own only in local mode, where the driver's disk is the only one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder, so later steps survive lost executors.
-
-    What came before isn't needed any more.  Spark removes its shuffle files once the driver has collected the
-    objects that own them, which a driver with free memory may put off, so a collection is asked for.
-    """
+    """Write the rows to the shared checkpoint folder, so later steps survive lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    del df
-    out.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    return df.checkpoint(eager=True)
 
 
 def missing(df: DataFrame, columns: Iterable[str]) -> list[str]:

@@ -12,16 +12,18 @@ some slot, so long texts cost little more than one point a window.  Slots of two
 equal to their weighted Jaccard similarity.
 
 *Candidates.*  48 bands of 8 slots: a pair at 0.8 shares none with a probability of 0.00015.  Texts that are
-equal word for word are one node from the start.  In a bucket (texts that agree in a band) every member is
-compared with one pivot, so a bucket of any size sends as many pairs as it has members.  Buckets whose members
-are in one component by then are done; the others meet new pivots, by other orders, in further rounds, and a member
-is only compared across components.  What is still apart after the rounds is compared in blocks of multisets: each
-member outside its bucket's largest component with every member of other components.  A block holds both multisets
-of all its pairs and decides them at once, so no pair is left out, and only links that join components are given.
-
-*Verification.*  The multisets of both texts of each candidate pair decide.  Before, pairs of a pivot whose sketches
-or weights can't reach 0.8 (six standard deviations) are dropped.  Components come from alternating star steps on the
-links.  Every stage is a DataFrame; lineage is cut in the shared checkpoint folder.
+equal word for word are one node from the start.  Texts that agree in a band are a bucket, and the member whose
+buckets hold the most members, all bands taken together, is the bucket's pivot.  All nodes that share a bucket with
+a pivot are the pivot's group; both members of any bucket are in its pivot's group, so only groups are compared, and
+as central nodes are the pivots of many buckets, a dense group of copies is few groups instead of one a band.
+
+*Verification.*  A group is dealt into blocks of a bounded size, each with the pivot, and a task decides every pair of
+a block at once from the whole multisets; only links that join something are given, one for a member at most.  Most
+groups are one block and settled by it.  In a larger group that is still more than one component by then, the members
+outside its largest component meet all members of the other components, block by block.  No pair of a bucket is left out,
+and no table holds more rows than members, but for the blocks of a large group: a member is sent once for each block that
+it meets.  Components come from alternating star steps on the links.  Every stage is a DataFrame; lineage is cut
+in the shared checkpoint folder.
 
 Defined cases: null text counts as empty; texts without words are one class; null ids pass through and are never
 the class id unless the class has no other; repeated rows belong to the same class; an empty table gives an empty
@@ -44,12 +46,10 @@ from .common import cut_lineage, require, table, text_of
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 48, 8
 SLOTS = BANDS * ROWS
-#: Slots kept, 16 bits each, and the estimate below which a pair can't reach SIMILARITY (six standard deviations).
-SKETCH, LEAST = 128, 0.58
 #: Rows and windows of a block on average, and columns of its matrices held at once.
 BLOCK, BLOCK_WINDOWS, COLUMNS = 256, 1 << 19, 4096
-#: Masks that put nodes into other orders, one for each round after the first.
-ROUNDS = (0x0F1E2D3C4B5A6978, 0x7FFFFFFFFFFFFFFF)
+#: Word hashes kept by a worker within a task.
+TABLE_WORDS = 100_000
 
 _P, _C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
@@ -65,7 +65,7 @@ class WordHashes(dict):
     """64-bit hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= TABLE_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -149,11 +149,6 @@ def bands(best: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarra
     return key.view(np.int64)
 
 
-def sketch(best: np.ndarray) -> np.ndarray:
-    """(texts, SKETCH) 16-bit marks of slots."""
-    return (mix(best[:, :SKETCH].view(np.uint64)) >> np.uint64(48)).astype(np.uint16)
-
-
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets (distinct hashes, counts)."""
     _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -171,72 +166,37 @@ def _unpack_bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sign(batches):
-    """id, row number, digest, weight, band keys and sketch of each row."""
+    """id, text hash, row number, digest, weight and band keys of each row."""
     base, n = TaskContext.get().partitionId() << 36, 0
     for b in batches:
         for at in range(0, b.num_rows, 256):
-            ids, texts = b.column(0)[at : at + 256], b.column(1)[at : at + 256]
+            ids, hashes, texts = (b.column(k)[at : at + 256] for k in range(3))
             words = [t.as_py().encode("utf-8").split() for t in texts]
             bags = [windows(w) for w in words]
-            keys, marks = [], []
+            keys = []
             # runs of about 200 000 windows bound the arrays of processes
             first, size = 0, 0
             for k, (h, _) in enumerate(bags):
                 size += len(h)
                 if size >= 200_000 or k == len(bags) - 1:
-                    best = signatures(bags[first : k + 1])
-                    keys += bands(best).tolist()
-                    marks += [x.tobytes() for x in sketch(best)]
+                    keys += bands(signatures(bags[first : k + 1])).tolist()
                     first, size = k + 1, 0
             hi, lo = zip(*map(digest, words))
             row = np.arange(base + n, base + n + len(ids), dtype=np.int64)
             n += len(ids)
             keys = [k if len(h) else None for k, (h, _) in zip(keys, bags)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(row), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array([int(c.sum()) for _, c in bags], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["id", "row", "hi", "lo", "weight", "keys", "marks"])
+            weights = pa.array([int(c.sum()) for _, c in bags], pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(row), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), weights, pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "row", "hi", "lo", "weight", "keys"])
+    _HASHES.clear()
 
 
 def _bags(batches):
-    """node and packed multiset, for texts whose digest is the node's."""
-    for b in batches:
-        nodes, bags = [], []
-        for node, hi, lo, text in zip(*(b.column(k) for k in range(4))):
-            words = text.as_py().encode("utf-8").split()
-            if digest(words) == (hi.as_py(), lo.as_py()):
-                nodes.append(node.as_py())
-                bags.append(_pack_bag(windows(words)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(bags, pa.binary())], names=["node", "bag"])
-
-
-def _overlap(batches):
-    for b in batches:
-        s = [similarity(_unpack_bag(x.as_py()), _unpack_bag(y.as_py())) for x, y in zip(b.column(2), b.column(3))]
-        keep = [k for k, v in enumerate(s) if v >= SIMILARITY]
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), b.column(1).take(pa.array(keep, pa.int64()))], names=["u", "v"])
-
-
-def _may_reach(batches):
-    """Pairs (u, v) whose weights and sketches allow a link."""
+    """node and packed multiset."""
     for b in batches:
-        wu, wv = b.column(2).to_numpy(), b.column(4).to_numpy()
-        ok = np.minimum(wu, wv) >= SIMILARITY * np.maximum(wu, wv)
-        for k in np.flatnonzero(ok):
-            ok[k] = (np.frombuffer(b.column(3)[k].as_py(), np.uint16) == np.frombuffer(b.column(5)[k].as_py(), np.uint16)).sum() >= LEAST * SKETCH
-        yield b.select(["u", "v"]).filter(pa.array(ok))
-
-
-def verify(pairs: DataFrame, marks: DataFrame, bags: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are links."""
-
-    def side(df: DataFrame, name: str, *columns: str) -> DataFrame:
-        return df.select(F.col("node").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in columns))
-
-    short = pairs.join(side(marks, "u", "weight", "marks"), "u").join(side(marks, "v", "weight", "marks"), "v")
-    likely = short.select("u", "v", "u_weight", "u_marks", "v_weight", "v_marks").mapInArrow(_may_reach, "u long, v long")
-    return likely.join(side(bags, "u", "bag"), "u").join(side(bags, "v", "bag"), "v").select("u", "v", "u_bag", "v_bag").mapInArrow(_overlap, "u long, v long")
-
-
-def _pairs(a: str, b: str) -> list:
-    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+        for at in range(0, b.num_rows, 256):
+            bags = [_pack_bag(windows(t.as_py().encode("utf-8").split())) for t in b.column(1)[at : at + 256]]
+            yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 256], pa.array(bags, pa.binary())], names=["node", "bag"])
+    _HASHES.clear()
 
 
 def _elements(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -251,10 +211,15 @@ def _elements(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sizes, np.where(first, h, mix(h + nth.astype(np.uint64) * _C3)), text
 
 
-def overlaps(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
-    """(lefts, rights) weighted Jaccard similarities of packed multisets."""
-    (n, hl, tl), (m, hr, tr) = _elements(lefts), _elements(rights)
-    shared = np.intersect1d(hl, hr)
+def overlaps(lefts: list[bytes], rights: list[bytes] | None = None) -> np.ndarray:
+    """(lefts, rights) weighted Jaccard similarities of packed multisets; of lefts among themselves without rights."""
+    n, hl, tl = _elements(lefts)
+    m, hr, tr = (n, hl, tl) if rights is None else _elements(rights)
+    if rights is None:
+        found, counts = np.unique(hl, return_counts=True)
+        shared = found[counts > 1]  # an element of one text alone is in no pair
+    else:
+        shared = np.intersect1d(hl, hr)
 
     def placed(h: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = np.searchsorted(shared, h)
@@ -263,22 +228,25 @@ def overlaps(lefts: list[bytes], rights: list[bytes]) -> np.ndarray:
         order = np.argsort(c, kind="stable")
         return c[order], t[order]
 
-    (cl, tl), (cr, tr) = placed(hl, tl), placed(hr, tr)
-    low = np.zeros((len(lefts), len(rights)), np.int64)
+    left = placed(hl, tl)
+    right = left if rights is None else placed(hr, tr)
+    low = np.zeros((len(n), len(m)), np.int64)
     for at in range(0, len(shared), COLUMNS):
         sides = []
-        for c, t, rows in ((cl, tl, len(lefts)), (cr, tr, len(rights))):
+        for (c, t), rows in ((left, len(n)), (right, len(m))):
             run = slice(*np.searchsorted(c, (at, at + COLUMNS)))
             has = np.zeros((rows, min(COLUMNS, len(shared) - at)), np.float32)
             has[t[run], c[run] - at] = 1
             sides.append(has)
         low += (sides[0] @ sides[1].T).astype(np.int64)  # counts below 2 ** 24 are exact
+    if rights is None:
+        np.fill_diagonal(low, n)
     both = n[:, None] + m[None, :] - low
     return np.where(both > 0, low / np.maximum(both, 1), 1.0)
 
 
-def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Places of the pairs (a, b) of roots that join components not yet joined by earlier ones."""
+def _stars(pairs) -> list[tuple[int, int]]:
+    """(node, smallest node of its component) for the nodes of pairs, but for the smallest ones."""
     above: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -287,131 +255,133 @@ def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
             x = up
         return x
 
-    out = []
-    for k in sorted(np.unique(np.stack([a, b]), axis=1, return_index=True)[1].tolist()) if len(a) else ():
-        x, y = top(int(a[k])), top(int(b[k]))
+    for a, b in pairs:
+        x, y = top(a), top(b)
         if x != y:
             above[max(x, y)] = min(x, y)
-            out.append(k)
-    return out
+    return [(x, top(x)) for x in above]
+
 
+def _links(pairs) -> pa.RecordBatch:
+    found = _stars(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], names=["u", "v"])
 
-def _blocks(batches):
-    """Links that join the components of a block of lefts and a block of rights; every pair across components is decided."""
+
+def _within(batches):
+    """Links among the members of each block."""
+    for b in batches:
+        for k in range(b.num_rows):
+            members = b.column(0)[k].as_py()
+            nodes, bags = [x["node"] for x in members], [x["bag"] for x in members]
+            if len(nodes) == 2:
+                i, j = (([0], [1]) if similarity(*map(_unpack_bag, bags)) >= SIMILARITY else ([], []))
+            else:
+                i, j = (x.tolist() for x in np.nonzero(np.triu(overlaps(bags) >= SIMILARITY, 1)))
+            yield _links((nodes[x], nodes[y]) for x, y in zip(i, j))
+
+
+def _across(batches):
+    """Links between the roots of a block of lefts and a block of rights; every pair across components is decided."""
     for b in batches:
         for k in range(b.num_rows):
             lefts, rights = b.column(0)[k].as_py(), b.column(1)[k].as_py()
             a, c = (np.array([x["root"] for x in side]) for side in (lefts, rights))
             i, j = np.nonzero((overlaps([x["bag"] for x in lefts], [x["bag"] for x in rights]) >= SIMILARITY) & (a[:, None] != c[None, :]))
-            ends = [(lefts[i[p]]["node"], rights[j[p]]["node"]) for p in _joining(a[i], c[j])]
-            yield pa.RecordBatch.from_arrays([pa.array([min(e) for e in ends], pa.int64()), pa.array([max(e) for e in ends], pa.int64())], names=["u", "v"])
+            yield _links(zip(a[i].tolist(), c[j].tolist()))
 
 
-def compare_blocks(apart: DataFrame, weights: DataFrame, bags: DataFrame) -> DataFrame:
-    """Links (u, v) that join all components with links among the members of a bucket in ``apart`` (key, node, root).
+def _blocks(side: DataFrame, name: str) -> DataFrame:
+    """Number of blocks of each pivot's rows in ``side`` (pivot, weight, ...)."""
+    return side.groupBy("pivot").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("weight") / BLOCK_WINDOWS)).alias(name))
 
-    Members outside a bucket's largest component are the lefts, all members the rights; a left meets every block
-    of rights and a right every block of lefts, so no task holds more than two blocks of a bucket at once.  Of
-    buckets with the same members one is compared.
-    """
-    sets = apart.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"h{k}") for k in (0, 1)))
-    once = sets.groupBy("n", "h0", "h1").agg(F.min("key").alias("key")).select("key")
-    sizes = apart.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    rows = cut_lineage(apart.join(once, "key", "left_semi").join(most, "key").join(weights, "node").select("key", "node", "root", "largest", "weight"))
-    left, right = rows.where("root <> largest"), rows
 
-    def count(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("weight") / BLOCK_WINDOWS)).alias(name))
+def compare_within(groups: DataFrame, sizes: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links (u, v) inside the blocks of each group (pivot, node, weight); the pivot is in every block of its group."""
+    own = F.when(F.col("node") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    dealt = groups.join(sizes, "pivot").select("pivot", "node", F.explode(own).alias("block"))
+    gathered = dealt.join(bags, "node").groupBy("pivot", "block").agg(F.collect_list(F.struct("node", "bag")).alias("members"))
+    return cut_lineage(gathered.select("members").mapInArrow(_within, "u long, v long").distinct())
 
-    counts = count(left, "nl").join(count(right, "nr"), "key")
+
+def compare_across(groups: DataFrame, sizes: DataFrame, known: DataFrame, bags: DataFrame) -> DataFrame:
+    """Links (u, v) between the components ``known`` (node, root) of groups of several blocks.
+
+    Members outside a group's largest component are the lefts, all members the rights; a left meets every block of
+    rights and a right every block of lefts, so no task holds more than two blocks.
+    """
+    large = groups.join(sizes.where("blocks > 1").select("pivot"), "pivot", "left_semi")
+    placed = large.join(known, "node", "left").select("pivot", "node", "weight", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("n"))
+    most = parts.groupBy("pivot").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    rows = cut_lineage(placed.join(most, "pivot").select("pivot", "node", "weight", "root", "largest"))
+    left, right = rows.where("root <> largest"), rows
+    counts = _blocks(left, "nl").join(_blocks(right, "nr"), "pivot")
 
     def deal(side: DataFrame, own: str, other: str, at: str, meets: str) -> DataFrame:
-        placed = side.join(counts, "key").withColumn(at, F.pmod(F.xxhash64("node"), F.col(own)))
-        met = placed.select("key", at, "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(meets))
-        return met.join(bags, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "root", "bag")).alias(f"{at}_x"))
+        dealt = side.join(counts, "pivot").withColumn(at, F.pmod(F.xxhash64("node"), F.col(own)))
+        met = dealt.select("pivot", at, "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(meets))
+        return met.join(bags, "node").groupBy("pivot", "i", "j").agg(F.collect_list(F.struct("node", "root", "bag")).alias(f"{at}_x"))
 
-    both = deal(left, "nl", "nr", "i", "j").join(deal(right, "nr", "nl", "j", "i"), ["key", "i", "j"])
-    return cut_lineage(both.select("i_x", "j_x").mapInArrow(_blocks, "u long, v long").distinct())
+    both = deal(left, "nl", "nr", "i", "j").join(deal(right, "nr", "nl", "j", "i"), ["pivot", "i", "j"])
+    return cut_lineage(both.select("i_x", "j_x").mapInArrow(_across, "u long, v long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for every node of a link (u, v), by alternating star steps."""
+    """node and root (its component's smallest node) for every node of a link (u, v) but the roots, by alternating star steps."""
     links = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    before = None
     while True:
+        # done when every node has one smaller neighbour, which has none itself
+        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below = 1 AND above = 1").isEmpty():
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # every node's larger neighbours move to its smallest one
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every node and its smaller neighbours move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = cut_lineage(small.where("u <> v").distinct())
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
 
 
-def _split(members: DataFrame) -> DataFrame:
-    """Members (key, node, root) of buckets that hold several roots; the only pair of a bucket of two has met already."""
-    split = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-    return cut_lineage(members.join(split, "key", "left_semi"))
-
-
-def _apart(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members (key, node, root) of buckets that hold several roots, after two hops along the links.
-
-    Roots only steer which pairs are still worth comparing; components are found once, from all links.
-    """
-    at = members.select("node", "root").distinct()
-    ends = links.join(at.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(at.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-    pairs = ends.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
-    hop = cut_lineage(pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-    further = hop.join(hop.select(F.col("a").alias("m"), F.col("m").alias("m2")), "m", "left").select(F.col("a").alias("root"), F.coalesce("m2", "m").alias("to"))
-    return _split(members.join(further, "root", "left").select("key", "node", F.coalesce("to", "root").alias("root")))
+def pivot_groups(members: DataFrame) -> DataFrame:
+    """Distinct (pivot, node) of the members (key, node) of all buckets of two or more; a pivot is in its own group."""
+    counts = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # counted before the shuffle
+    met = cut_lineage(members.join(counts, "key").select("key", "node", "n"))
+    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
+    ranked = met.select("key", "node").join(degree, "node")
+    pivots = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("first")).select("key", F.col("first.node").alias("pivot"))
+    return met.select("key", "node").join(pivots, "key").select("pivot", "node").distinct()
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``df``: id, class_id (smallest id of its class), class_size, kept, and __rw_hi, __rw_lo of its words."""
     require(df, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    signed = cut_lineage(texts.mapInArrow(_sign, f"id {kind}, row long, hi long, lo long, weight long, keys array<long>, marks binary"))
-    # texts that are equal word for word are one node, the first of their rows
-    nodes = cut_lineage(signed.groupBy("hi", "lo").agg(F.min("row").alias("node")))
-    held = signed.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    members = held.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    # counted before the shuffle; the join's hot buckets are split at run time
-    pivots = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).where("n > 1").drop("n")
-    met = cut_lineage(members.join(pivots, "key").select("key", "node", "pivot"))  # pivots are members too
-    seen = met.select("node").distinct()
-    wanted = seen.join(signed.select(F.col("row").alias("node"), "id", "hi", "lo"), "node")
-    same = F.col("a.id").eqNullSafe(F.col("b.id"))
-    bags = cut_lineage(wanted.alias("a").join(texts.alias("b"), same).select("a.node", "a.hi", "a.lo", "b.text").mapInArrow(_bags, "node long, bag binary").dropDuplicates(["node"]))
-    marks = cut_lineage(held.select(F.col("row").alias("node"), "weight", "marks").join(seen, "node"))
-    tried = met.where("node <> pivot").select(*_pairs("node", "pivot")).distinct()
-    links = cut_lineage(verify(tried, marks, bags))
-    apart = _apart(met.select("key", "node", F.col("node").alias("root")), links)
-    for mask in ROUNDS:
-        if apart.isEmpty():
-            break
-        least = apart.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).bitwiseXOR(F.lit(mask)).alias("pivot"))
-        centres = least.join(apart.select("key", F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), ["key", "pivot"])
-        pairs = apart.join(centres, "key").where("root <> pivot_root").select(*_pairs("node", "pivot")).distinct()
-        fresh = cut_lineage(verify(pairs, marks, bags))
-        links, apart = links.union(fresh), _apart(apart, fresh)
-    if not apart.isEmpty():
-        # by whole components the fewest members are outside a bucket's largest one
-        known = components(links)
-        members = apart.select("key", "node").join(known, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        links = known.select(F.col("node").alias("u"), F.col("root").alias("v")).union(compare_blocks(_split(members), marks.select("node", "weight"), bags))
-    roots = components(links)
-    placed = nodes.join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("root"))
-    rows = signed.select("id", "hi", "lo").join(placed, ["hi", "lo"])
-    found = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(found, "root").select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("hi").alias("__rw_hi"), F.col("lo").alias("__rw_lo"))
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
+    signed = cut_lineage(texts.mapInArrow(_sign, f"id {kind}, th long, row long, hi long, lo long, weight long, keys array<long>"))
+    # texts that are equal word for word are one node, named by the first of their rows
+    first = F.min(F.struct("row", "id", "th", "weight", "keys")).alias("first")
+    nodes = cut_lineage(signed.groupBy("hi", "lo").agg(first, F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")).select("hi", "lo", F.col("first.row").alias("node"), "first.id", "first.th", "first.weight", "first.keys", "least", "copies"))
+    met = pivot_groups(nodes.select(F.explode("keys").alias("key"), "node"))
+    groups = cut_lineage(met.join(nodes.select("node", "weight", "id", "th"), "node"))
+    wanted = groups.groupBy("node").agg(F.first("id").alias("id"), F.first("th").alias("th"))
+    same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.th") == F.col("b.th"))
+    held = wanted.alias("a").join(texts.alias("b"), same).select("a.node", "b.text").dropDuplicates(["node"])  # repeated rows
+    bags = cut_lineage(held.mapInArrow(_bags, "node long, bag binary"))
+    groups = groups.select("pivot", "node", "weight")
+    sizes = _blocks(groups, "blocks")
+    roots = components(compare_within(groups, sizes, bags))
+    if not sizes.where("blocks > 1").isEmpty():
+        further = components(compare_across(groups, sizes, roots, bags))
+        # roots of the first components may have got a smaller one
+        moved = roots.join(further.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = moved.union(further)
+    placed = nodes.select("hi", "lo", "node", "least", "copies").join(roots, "node", "left").select("hi", "lo", "least", "copies", F.coalesce("root", "node").alias("root"))
+    found = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    named = placed.join(found, "root").select("hi", "lo", "class_id", "class_size")
+    rows = signed.select("id", "hi", "lo").join(named, ["hi", "lo"])
+    return rows.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("hi").alias("__rw_hi"), F.col("lo").alias("__rw_lo"))
 
 
 def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

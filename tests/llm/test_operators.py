@@ -203,6 +203,7 @@ def test_overlaps_of_blocks():
     bags = [(h, rng.integers(1, 5, len(h))) for h, _ in bags] + [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     packed = [near_dedup._pack_bag(b) for b in bags]
     assert near_dedup.overlaps(packed[:9] + packed[-1:], packed).tolist() == [[near_dedup.similarity(a, b) for b in bags] for a in bags[:9] + bags[-1:]]
+    assert near_dedup.overlaps(packed).tolist() == [[near_dedup.similarity(a, b) for b in bags] for a in bags]
 
 
 def test_signatures_are_unbiased():
