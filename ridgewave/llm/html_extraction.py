@@ -1,16 +1,25 @@
 """Operator 9, HTML extraction by tag-path ratios.
 
-A page is a sequence of text blocks, each with its root-to-leaf path of block-level elements.  For each
-path of the page, text length (without link texts) and punctuation are aggregated over its blocks and
-divided by their number; both ratios are smoothed along the page with a Gaussian window and fused with
-what the path itself says: paths through menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments count nothing, paths inside an article or main element count more.  Paths whose fused
-ratio reaches a share of the page's largest one are content, and their blocks are the text.
+A page is a sequence of text blocks, each with its root-to-leaf path of block-level elements.
+
+* *Ratios.*  For each path of the page, text length (link texts count for little) and punctuation are aggregated over
+  its blocks and divided by their number.  The logarithms of both are added and smoothed along the page with a
+  Gaussian window; the harmonic mean of both leaves a path without text of its own at nothing.
+* *Nodes.*  The text of a page lies in few nodes.  A block's node is the element around it, other than those that
+  hold the whole page, with the largest share of the page's text; blocks of the same element name under one parent
+  count as a node too.  Between blocks of large nodes a block takes their share (a morphological closing, which fills
+  gaps and never reaches beyond the ends), and a heading takes the share of what follows it.
+* *Fusion.*  A block's score is smoothed ratio x weight x (1 + GAIN x share squared), a path's that of its blocks' mean.  The
+  weight is what names tell: it is below 1 inside elements or classes of menus, headers, footers, sidebars, notices,
+  adverts, forms and reader comments, above 1 inside article or main.  It's bounded and nothing else depends on names.
+* *Threshold.*  Paths that reach SHARE of the page's best score are content; their blocks are the text.  Blocks of one
+  path in different nodes (a footer in the same kind of element as the text) are thresholded apart.
 
 Every row is extracted in an Arrow function by itself; there is no shuffle.  The time for a page grows
 with its length (one pass of an atomic pattern).  Defined cases: null or empty html gives the empty text;
 null ids and urls pass through; repeated rows give repeated results; an empty table gives an empty result;
-further columns are ignored; tags that are never closed or cut off at the end end where the page ends.
+further columns are ignored; a kept column may not be named text or n_chars (an error says so); tags that are
+never closed or cut off at the end end where the page ends.
 """
 
 from __future__ import annotations
@@ -26,8 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import require, table, text_of
 
-#: Smoothing (blocks), weight of paths inside a main element, and the share of the page's best path that is content.
-SIGMA, MAIN_WEIGHT, SHARE = 1.0, 50.0, 0.05
+#: Smoothing (blocks), gain of a node's share of the page, the share of the page's best score that is content, and what a character of a link counts.
+SIGMA, GAIN, SHARE, LINKED = 1.0, 50.0, 0.05, 0.02
+#: Weights of elements by name: boilerplate, words that only may tell it, and main elements; and the least product.
+BOILERPLATE, DOUBTFUL, MAIN_WEIGHT, LEAST = 0.02, 0.5, 2.0, 1e-4
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)(?:>|\Z)", re.S)
 _SPACE = re.compile(r"\s+")
@@ -37,39 +48,62 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address details summary center dialog menu search hgroup".split())
-SKIPPED = frozenset("head nav footer aside form fieldset button dialog menu search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements that are never text of a page, and those that hold boilerplate.
+DROPPED = frozenset("head button".split())
+SKIPPED = frozenset("nav footer aside form fieldset dialog menu search".split())
 MAIN = frozenset("article main".split())
-#: Words in class, id or role that tell boilerplate.
+#: Words in class, id or role that tell boilerplate, words that stand beside them, and words of main elements.
 SKIPPED_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus reply replies respond pagination pager widget toolbar complementary contentinfo search".split())
+BESIDE_WORDS = frozenset("site page top bottom left right main primary secondary global list lists item items box wrap wrapper container block area section inner outer bar link links post posts article content entry header body the form thread unit slot".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 #: An opening tag closes open elements of these names, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
 
-def _words(attributes: str) -> set[str]:
-    out: set[str] = set()
-    for m in _MARKED.finditer(attributes):
-        out.update(p.lower() for p in _PART.findall(m[1] or m[2] or m[3] or ""))
-    return out
+def _tokens(attributes: str) -> list[list[str]]:
+    """Names in class, id and role, each as its words in lower case."""
+    return [[p.lower() for p in _PART.findall(t)] for m in _MARKED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()]
+
+
+def _weight(name: str, tokens: list[list[str]], in_main: bool) -> tuple[float, bool]:
+    """What an element's names tell, and whether it is a main element."""
+    if name in SKIPPED or (name == "header" and not in_main):
+        return BOILERPLATE, False
+    if name in ("html", "body", *MAIN) or name in HEADINGS or name == "p":
+        return (MAIN_WEIGHT, True) if name in MAIN and not in_main else (1.0, False)
+    weight = 1.0
+    for words in tokens:
+        if any(w in SKIPPED_WORDS for w in words):
+            weight = min(weight, BOILERPLATE if all(w in SKIPPED_WORDS or w in BESIDE_WORDS for w in words) else DOUBTFUL)
+    if weight == 1.0 and not in_main and name in BLOCKS and any(w in MAIN_WORDS for words in tokens for w in words):
+        return MAIN_WEIGHT, True
+    return weight, False
 
 
 class _Element:
-    __slots__ = ("name", "path", "skipped", "main")
+    __slots__ = ("name", "above", "path", "dropped", "main", "weight", "mass", "held")
 
-    def __init__(self, name: str, above: _Element | None, attributes: str = ""):
-        words = _words(attributes) if attributes else set()
-        self.name = name
-        self.main = bool(above and above.main) or name in MAIN or (name in BLOCKS and bool(words & MAIN_WORDS) and not words & SKIPPED_WORDS)
-        # the header of an article holds its title, the header of a page doesn't
-        self.skipped = bool(above and above.skipped) or name in SKIPPED or (name == "header" and not self.main) or (name not in ("html", "body") and name not in MAIN and bool(words & SKIPPED_WORDS))
-        step = name + "".join("." + w for w in sorted(words)) if name in BLOCKS else ""
-        self.path = (above.path + "/" + step if above else step) if step else (above.path if above else "")
+    def __init__(self, name: str, above: _Element | None, attributes: str = "", paths: dict[tuple[int, str], int] | None = None):
+        tokens = _tokens(attributes) if attributes else []
+        self.name, self.above = name, above
+        own, main = _weight(name, tokens, bool(above and above.main))
+        self.weight = max(LEAST, own * (above.weight if above else 1.0))
+        self.main = main or bool(above and above.main)
+        self.dropped = name in DROPPED or bool(above and above.dropped)
+        # a path is its number among the page's paths, so deep pages need no long strings
+        self.path = above.path if above else 0
+        if paths is not None and name in BLOCKS:
+            step = name + "".join("." + w for w in sorted({w for t in tokens for w in t}))
+            self.path = paths.setdefault((self.path, step), len(paths) + 1)
+        self.mass, self.held = 0.0, 0
 
 
-def blocks(page: str) -> list[tuple[str, int, _Element]]:
-    """(text, characters of link texts, innermost element) of each block in page order."""
+def blocks(page: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
+    """(text, characters of link texts, innermost element) of each block in page order, and all elements, parents first."""
     root = _Element("", None)
-    stack, out = [root], []
+    stack, out, elements = [root], [], [root]
+    paths: dict[tuple[int, str], int] = {}
     parts: list[str] = []
     linked, owner = 0, root
 
@@ -144,44 +178,98 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
                     del stack[k:]
                     if name != "tr":
                         break
-        stack.append(_Element(name, stack[-1], attributes))
+        stack.append(_Element(name, stack[-1], attributes, paths))
+        elements.append(stack[-1])
     close()
-    return out
+    return out, elements
 
 
 def _punctuation(text: str) -> int:
     return sum(c in ".,;:!?" or (c > "\x7f" and unicodedata.category(c)[0] == "P") for c in text)
 
 
-def extract_text(page: str, sigma: float = SIGMA, main_weight: float = MAIN_WEIGHT, share: float = SHARE) -> str:
+def _smoothed(values: list[float], sigma: float) -> list[float]:
+    reach = max(1, math.ceil(2 * sigma))
+    kernel = [math.exp(-((d / sigma) ** 2) / 2) for d in range(-reach, reach + 1)]
+    out = []
+    for k in range(len(values)):
+        pairs = [(kernel[d + reach], values[k + d]) for d in range(-reach, reach + 1) if 0 <= k + d < len(values)]
+        out.append(sum(w * v for w, v in pairs) / sum(w for w, _ in pairs))
+    return out
+
+
+def ratios(found: list[tuple[str, int, _Element]], sigma: float = SIGMA) -> list[float]:
+    """The smoothed tag-path ratio of each block."""
+    totals: dict[int, list[float]] = {}
+    for text, linked, e in found:
+        t = totals.setdefault(e.path, [0.0, 0.0, 0])
+        t[0] += len(text) - (1 - LINKED) * linked
+        t[1] += _punctuation(text) * (1 - linked / len(text))
+        t[2] += 1
+    own = [math.log1p(t[0] / t[2]) + math.log1p(t[1] / t[2]) for t in (totals[e.path] for _, _, e in found)]
+    return [2 * a * b / (a + b) if a else 0.0 for a, b in zip(own, _smoothed(own, sigma))]
+
+
+def shares(found: list[tuple[str, int, _Element]], elements: list[_Element]) -> list[float]:
+    """The share of the page's text in each block's node."""
+    kin: dict[tuple[int, int], float] = {}
+    for e in elements:
+        e.mass, e.held = 0.0, 0
+    for text, linked, e in found:
+        m = (len(text) - (1 - LINKED) * linked) * e.weight
+        e.mass += m
+        e.held += 1
+        while e.above and e.name not in BLOCKS:
+            e = e.above
+        kin[id(e.above), e.path] = kin.get((id(e.above), e.path), 0.0) + m
+    for e in reversed(elements):
+        if e.above:
+            e.above.mass += e.mass
+            e.above.held += e.held
+    total = elements[0].mass or 1.0
+    best: dict[int, float] = {}
+    for e in elements:  # the largest share among an element and those around it
+        own = e.mass / total if e.held < len(found) else 0.0
+        best[id(e)] = max(own, best[id(e.above)]) if e.above else own
+    out = []
+    for _, _, e in found:
+        node = e
+        while node.above and node.name not in BLOCKS:
+            node = node.above
+        out.append(max(best[id(e)], kin[id(node.above), node.path] / total))
+    for k in range(len(out) - 2, -1, -1):
+        if found[k][2].name in HEADINGS:
+            out[k] = max(out[k], out[k + 1])
+    before, after = out[:], out[:]
+    for k in range(1, len(out)):
+        before[k] = max(before[k], before[k - 1])
+    for k in range(len(out) - 2, -1, -1):
+        after[k] = max(after[k], after[k + 1])
+    return [min(b, a) for b, a in zip(before, after)]
+
+
+def extract_text(page: str, sigma: float = SIGMA, gain: float = GAIN, share: float = SHARE) -> str:
     """The main text of one page."""
-    found = [b for b in blocks(page) if not b[2].skipped]
+    found, elements = blocks(page)
+    found = [b for b in found if not b[2].dropped]
     if not found:
         return ""
-    totals: dict[str, list[float]] = {}
-    for text, linked, e in found:
-        t = totals.setdefault(e.path, [0, 0, 0])
-        t[0] += len(text) - linked
-        t[1] += _punctuation(text)
-        t[2] += 1
-    ratio = [(1 + totals[e.path][0] / totals[e.path][2]) * (1 + totals[e.path][1] / totals[e.path][2]) for _, _, e in found]
-    reach = max(1, math.ceil(2 * sigma))
-    kernel = [math.exp(-((d / sigma) ** 2) / 2) for d in range(-reach, reach + 1)]
-    smooth = []
-    for k in range(len(ratio)):
-        pairs = [(kernel[d + reach], ratio[k + d]) for d in range(-reach, reach + 1) if 0 <= k + d < len(ratio)]
-        smooth.append(sum(w * r for w, r in pairs) / sum(w for w, _ in pairs))
-    fused: dict[str, list[float]] = {}
-    for s, (_, _, e) in zip(smooth, found):
-        fused.setdefault(e.path, []).append(s * (main_weight if e.main else 1.0))
-    score = {p: sum(v) / len(v) for p, v in fused.items()}
-    least = share * max(score.values())
-    return "\n".join(text for text, _, e in found if score[e.path] >= least or e.main)
+    scores = [r * e.weight * (1 + gain * s * s) for r, s, (_, _, e) in zip(ratios(found, sigma), shares(found, elements), found)]
+    mean: dict[tuple[int, int], list[float]] = {}
+    for s, (_, _, e) in zip(scores, found):
+        m = mean.setdefault((e.path, id(e.above)), [0.0, 0])
+        m[0] += s
+        m[1] += 1
+    fused = {k: a / n for k, (a, n) in mean.items()}
+    least = share * max(fused.values())
+    return "\n".join(text for text, _, e in found if fused[e.path, id(e.above)] >= least > 0)
 
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in ``keep``, ``text`` and ``n_chars`` for each row."""
     require(df, html_col, *keep)
+    if clash := {"text", "n_chars"} & set(keep):
+        raise ValueError(f"columns of the result can't be kept: {', '.join(sorted(clash))}")
 
     def extracted(batches):
         for b in batches:
@@ -191,7 +279,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
     inner = df.select(*(F.col(c).alias(f"__rw_{k}") for k, c in enumerate(keep)), text_of(html_col).alias("__rw_html"))
     schema = ", ".join([*(f"__rw_{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "text string", "n_chars long"])
     out = inner.mapInArrow(extracted, schema)
-    return out.select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(keep) if c not in ("text", "n_chars")), "text", "n_chars")
+    return out.select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(keep)), "text", "n_chars")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -298,6 +300,49 @@ def test_html(spark):
     assert got[1]["n_chars"] == len(got[1]["text"])
 
 
+def article_text(page: str) -> str:
+    """The article element's own text, by plain replacement."""
+    inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    lines = (" ".join(html.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1|ul|li|div)[^>]*>", inner))
+    return "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("changed, least", [
+    (lambda h: h, 1.0),
+    (lambda h: re.sub(r"(</?)article>", r"\1div>", h), 1.0),  # no main element
+    (lambda h: re.sub(r"</?article>", "", h), 1.0),  # the text lies in the body itself
+    (lambda h: h.replace("<body>", "<body><form>").replace("</body>", "</form></body>"), 1.0),
+    (lambda h: h.replace(' class="ad"', ""), 0.98),  # an advert that only its ratios tell
+    (lambda h: re.sub(r"(</?)article>", r"\1div>", h).replace(' class="ad"', ""), 0.95),
+    (lambda h: re.sub(r"(</?)(?:article|nav|footer|ul|li)\b[^>]*>", r"\1div>", h).replace(' class="ad"', ""), 0.8),  # no names at all
+])
+def test_html_against_article_text(spark, changed, least):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    same_text = [html_extraction.extract_text(changed(p)) == article_text(p) for p in pages]
+    assert np.mean(same_text) >= least
+    if least == 1.0:
+        return
+    # the ratios decide: without them the advert stays
+    alike = [html_extraction.extract_text(changed(p), gain=0.0) == article_text(p) for p in pages]
+    assert np.mean(alike) < np.mean(same_text) - 0.3
+
+
+def test_html_names_have_bounded_weight(spark):
+    body = "".join(f"<p>Some words of paragraph {k}, quite a few; and more of them.</p>" for k in range(6))
+    text = html_extraction.extract_text(body)
+    assert text.count("\n") == 5
+    # a class that only may tell boilerplate, and ids of headings, drop nothing
+    assert html_extraction.extract_text(f"<article><h2 id='related-work'>Related work</h2><section id='share-price'>{body}</section></article>") == "Related work\n" + text
+    # an unmarked list of links inside the article goes, a short list of words stays
+    assert html_extraction.extract_text(f"<article>{body}<ul class=x><li><a href=x>More</a><li><a href=y>Even more</a></ul>{body}<ul><li>One.<li>Two</ul>{body}</article>") == f"{text}\n{text}\nOne.\nTwo\n{text}"
+    assert html_extraction.extract_text("<p><a href=x>only a link</a></p>") == "only a link"
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extraction.extract(empty).count() == 0
+    with pytest.raises(ValueError):
+        html_extraction.extract(empty.withColumn("text", F.lit("")), keep=("page_id", "text"))
+    assert len(html_extraction.extract_text("<div>" * 20_000 + body)) > 100
+
+
 def test_chat_recovers_hidden_roles(spark):
     """Roles of messages whose marker is taken away, and several turns in one message."""
     messages = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
