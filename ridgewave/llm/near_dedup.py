@@ -315,7 +315,7 @@ def compare_across(groups: DataFrame, sizes: DataFrame, known: DataFrame, bags:
     most = parts.groupBy("pivot").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     rows = cut_lineage(placed.join(most, "pivot").select("pivot", "node", "weight", "root", "largest"))
     left, right = rows.where("root <> largest"), rows
-    counts = _blocks(left, "nl").join(_blocks(right, "nr"), "pivot")
+    counts = cut_lineage(_blocks(left, "nl").join(_blocks(right, "nr"), "pivot"))  # a row for each group, so that joins with it can split a large one
 
     def deal(side: DataFrame, own: str, other: str, at: str, meets: str) -> DataFrame:
         dealt = side.join(counts, "pivot").withColumn(at, F.pmod(F.xxhash64("node"), F.col(own)))
@@ -370,7 +370,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     held = wanted.alias("a").join(texts.alias("b"), same).select("a.node", "b.text").dropDuplicates(["node"])  # repeated rows
     bags = cut_lineage(held.mapInArrow(_bags, "node long, bag binary"))
     groups = groups.select("pivot", "node", "weight")
-    sizes = _blocks(groups, "blocks")
+    sizes = cut_lineage(_blocks(groups, "blocks"))
     roots = components(compare_within(groups, sizes, bags))
     if not sizes.where("blocks > 1").isEmpty():
         further = components(compare_across(groups, sizes, roots, bags))
