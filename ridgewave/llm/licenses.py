@@ -7,8 +7,8 @@ form and digests are used for every line by itself, so notices that stand on a l
 are found as well.
 
 Known licences are a table of (license_id, text), :func:`known_licenses` by default; its digests are a
-table of as many rows, broadcast behind a check of its size and joined by a shuffle beyond it.
-The scan reads each text once and never shuffles it.
+table of as many rows, broadcast up to ``max_broadcast`` rows.  Beyond it the digests of texts and of their distinct
+lines are joined to it by a shuffle.  The scan reads each text once and never shuffles it, only digests.
 
 Defined cases: a null or empty text has the digest of the empty text and no licence; null ids pass
 through; repeated rows give repeated results; an empty table gives an empty result; further columns
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, table, text_of
+from .common import cut_lineage, require, table, text_of
 
 #: Spellings of one word; the first form of each pair becomes the second.
 EQUIVALENT = (("licence", "license"), ("sub license", "sublicense"), ("acknowledgement", "acknowledgment"), ("organisation", "organization"), ("favour", "favor"), ("judgement", "judgment"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("whilst", "while"), ("owner", "holder"))
@@ -80,17 +80,26 @@ _NAMES = {
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0",),
 }
+#: Title lines that whole texts open with.
+_TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "Zlib": ("zlib License", "The zlib License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License"),
+}
 _NOTICES = ("{}", "Released under {}", "Released under the {}", "Licensed under {}", "Licensed under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This work is licensed under a {}", "Distributed under the {}")
 
 
 def known_licenses() -> list[tuple[str, str]]:
     """(license_id, text): short licences, file headers, and one-line notices of common licences."""
     full = [
-        ("MIT", _MIT), ("MIT", "MIT License\n" + _MIT), ("ISC", _ISC), ("ISC", "ISC License\n" + _ISC), ("Zlib", _ZLIB),
+        ("MIT", _MIT), ("ISC", _ISC), ("Zlib", _ZLIB),
         ("BSD-2-Clause", _BSD_HEAD + _BSD_TAIL), ("BSD-3-Clause", _BSD_HEAD + _BSD_NAMES + _BSD_TAIL),
         ("Apache-2.0", _APACHE_NOTICE), ("MPL-2.0", _MPL_NOTICE),
     ]
-    return full + [(k, n.format(name)) for k, names in _NAMES.items() for name in names for n in _NOTICES]
+    titled = [(k, f"{title}\n{text}") for k, text in full for title in _TITLES.get(k, ())]
+    return full + titled + [(k, n.format(name)) for k, names in _NAMES.items() for name in names for n in _NOTICES]
 
 
 def canonical_lines(text: Column) -> Column:
@@ -115,28 +124,44 @@ def digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame) -> Da
 
 
 #: Most known digests that are broadcast and looked up in place.
-MAX_KNOWN = 20_000
+MAX_BROADCAST = 20_000
 
 
-def scan(df: DataFrame, known: list[tuple[str, str]] | DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(df: DataFrame, known: list[tuple[str, str]] | DataFrame, id_col: str = "doc_id", text_col: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """id, canonical_sha256, license_id (whole text) and line_license_ids (sorted, without repeats)."""
     require(df, id_col, text_col)
-    spark = df.sparkSession
-    table_ = digests(spark, known)
-    rows = table_.limit(MAX_KNOWN + 1).collect()  # the list of known licences, not the corpus
-    empty = F.sha2(F.lit("").cast("binary"), 256)
+    table_ = digests(df.sparkSession, known)
+    rows = table_.limit(max_broadcast + 1).collect()  # known licences up to the bound, not the corpus
     lines = df.select(F.col(id_col).alias("__rw_id"), canonical_lines(text_of(text_col)).alias("__rw_lines"))
     whole = F.sha2(canonical(F.col("__rw_lines")).cast("binary"), 256)
     each = F.transform(F.split("__rw_lines", "\n"), lambda x: F.sha2(F.trim(x).cast("binary"), 256))
-    if len(rows) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known digests")
+    found = _few(lines, whole, each, table_, rows) if len(rows) <= max_broadcast else _many(lines, whole, each, table_)
+    return found.select(F.col("__rw_id").alias(id_col), "canonical_sha256", F.when(F.col("canonical_sha256") != _empty(), F.col("license_id")).alias("license_id"), F.coalesce(F.array_join("__rw_hits", ","), F.lit("")).alias("line_license_ids"))
+
+
+def _empty() -> Column:
+    return F.sha2(F.lit("").cast("binary"), 256)
+
+
+def _few(lines: DataFrame, whole: Column, each: Column, table_: DataFrame, rows: list) -> DataFrame:
+    """Digests looked up in place."""
     ids = {r["digest"]: r["license_id"] for r in rows}
     digest_list = F.array(*map(F.lit, ids)) if ids else F.array().cast("array<string>")
     named = F.map_from_arrays(digest_list, F.array(*map(F.lit, ids.values())) if ids else F.array().cast("array<string>"))
     out = lines.select("__rw_id", whole.alias("canonical_sha256"), F.array_intersect(each, digest_list).alias("__rw_hits"))
-    hits = F.array_sort(F.array_distinct(F.transform(F.filter("__rw_hits", lambda d: d != empty), lambda d: F.element_at(named, d))))
-    joined = out.join(F.broadcast(spark.createDataFrame(rows, table_.schema)).withColumnRenamed("digest", "canonical_sha256") if rows else table_.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
-    return joined.select(F.col("__rw_id").alias(id_col), "canonical_sha256", F.when(F.col("canonical_sha256") != empty, F.col("license_id")).alias("license_id"), F.array_join(hits, ",").alias("line_license_ids"))
+    hits = F.array_sort(F.array_distinct(F.transform(F.filter("__rw_hits", lambda d: d != _empty()), lambda d: F.element_at(named, d))))
+    side = F.broadcast(lines.sparkSession.createDataFrame(rows, table_.schema)) if rows else table_
+    return out.withColumn("__rw_hits", hits).join(side.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
+
+
+def _many(lines: DataFrame, whole: Column, each: Column, table_: DataFrame) -> DataFrame:
+    """Digests joined by a shuffle; a digest many texts share is split at run time."""
+    # row numbers must not change between the two uses
+    rows = cut_lineage(lines.select("__rw_id", whole.alias("canonical_sha256"), F.array_remove(F.array_distinct(each), _empty()).alias("__rw_each"), F.monotonically_increasing_id().alias("__rw_row")))
+    at = rows.select("__rw_row", F.explode("__rw_each").alias("digest"))
+    hits = at.join(table_, "digest").groupBy("__rw_row").agg(F.array_sort(F.collect_set("license_id")).alias("__rw_hits"))  # at most as many as there are licences
+    named = rows.drop("__rw_each").join(table_.withColumnRenamed("digest", "canonical_sha256"), "canonical_sha256", "left")
+    return named.join(hits, "__rw_row", "left")
 
 
 def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def test_licenses(spark):
         licenses.scan(df.select("doc_id"), [])
 
 
+def test_licenses_beyond_the_broadcast_bound(spark):
+    """20,050 digests joined by a shuffle give what looking up in place gives."""
+    known = licenses.known_licenses() + [(f"L{k}", f"licence text number {k}") for k in range(20_050 - len(licenses.known_licenses()))]
+    texts = ["Licence, text number 77!", "a\nlicense text number 5\n\nLicense text number 5\nReleased under the MIT License.", None, "", "BSD 3-Clause License\n\nCopyright (c) 2021, A. B.\n" + next(t for k, t in licenses.known_licenses() if k == "BSD-3-Clause")]
+    df = spark.createDataFrame([(k % 4, t, "x") for k, t in enumerate(texts)] + [(None, texts[0], "x")], "doc_id long, text string, license_id string")
+    rows = lambda d: sorted(map(str, d.collect()))
+    many, few = licenses.scan(df, known), licenses.scan(df, known, max_broadcast=30_000)
+    assert rows(many) == rows(few)
+    got = Counter((r["doc_id"], r["license_id"], r["line_license_ids"]) for r in many.collect())
+    assert got[0, "L77", "L77"] == 1 and got[None, "L77", "L77"] == 1 and got[1, None, "L5,MIT"] == 1 and got[2, None, ""] == 1 and got[3, None, ""] == 1 and got[0, "BSD-3-Clause", "BSD-3-Clause"] == 1
+
+
 def test_rule_measures():
     words = [random.Random(1).choice("abcde") for _ in range(400)]
     seen = Counter(tuple(words[k : k + 5]) for k in range(396))
@@ -277,6 +289,8 @@ def test_classifier_held_out(spark):
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     rows = quality_classifier.sample(docs, labels)
     assert 100 < len(rows) <= quality_classifier.MAX_ROWS
+    whole = {(r["text"] or "").encode() for r in docs.collect()}
+    assert all(text in whole for _, text in rows)
     net = quality_classifier.train(rows)
     got = quality_classifier.score(docs, net).join(labels, "doc_id").where(quality_classifier.held_out()).collect()
     assert all(0 <= r["score"] <= 1 for r in got)
@@ -287,6 +301,36 @@ def test_classifier_held_out(spark):
     assert np.allclose(net.pooled(data, 512).max(axis=0), net.pooled(data, 10**9).max(axis=0))
 
 
+def test_classifier_forward_and_gradient():
+    """Scores against plain loops, pooling in runs against one by one, and one step against a numerical gradient."""
+    rng = np.random.default_rng(5)
+    net = quality_classifier.Network.fresh(rng)
+    net.bias[:] = rng.normal(0, 0.1, len(net.bias))
+    for text in (b"", b"ab", b"some bytes", bytes(rng.integers(0, 256, 9000).astype(np.uint8))):
+        data = text + b"\0" * max(0, quality_classifier.WIDTH - len(text))
+        out = [[sum(float(net.filters[j][data[p + j]][f]) for j in range(quality_classifier.WIDTH)) for f in range(quality_classifier.FILTERS)] for p in range(len(data) - quality_classifier.WIDTH + 1)]
+        pooled = [[max(0.0, max(x[f] for x in out[a : a + quality_classifier.CHUNK]) + float(net.bias[f])) for f in range(quality_classifier.FILTERS)] for a in range(0, len(out), quality_classifier.CHUNK)]
+        z = sum(float(u) * v for u, v in zip(net.unit, [*np.mean(pooled, axis=0), *np.max(pooled, axis=0)])) + net.offset
+        assert abs(net.score(text) - 1 / (1 + np.exp(-z))) < 1e-5
+    docs = [np.frombuffer(bytes(rng.integers(0, 256, n).astype(np.uint8)), np.uint8) for n in (3, 40, 5000, 9000, 70)]
+    chunks = [c for d in docs for c in quality_classifier.chunks_of(d)]
+    top, place = quality_classifier._tops(net, chunks)
+    assert np.allclose(np.maximum(top + net.bias, 0), np.concatenate([net.pooled(d) for d in docs]), atol=1e-6)
+    assert all(np.isclose(net.convolve(c)[place[k, f], f], top[k, f]) for k, c in enumerate(chunks) for f in range(quality_classifier.FILTERS))
+    learned = quality_classifier.train([(k % 2, (b"good words here " if k % 2 else b"#### bad |||| ") * (1 + k % 700)) for k in range(120)], epochs=4)
+    assert learned.score(b"good words here " * 3) > 0.9 and learned.score(b"#### bad |||| " * 400) < 0.1
+
+
+def test_classifier_sample_edges(spark):
+    docs = spark.createDataFrame([(None, "n", "x"), (1, None, "x"), (1, None, "x"), (2, "two", "x"), (3, "three" * 50_000, "x")], "doc_id long, text string, quality string")
+    labels = spark.createDataFrame([(None, 1, "y"), (1, 1, "y"), (1, 1, "y"), (1, 0, "y"), (2, None, "y"), (3, 0, "y"), (99, 1, "y")], "doc_id long, quality int, text string")
+    out = {i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 4 == 2}
+    want = [(q, t) for i, q, t in ((1, 1, b""), (1, 1, b""), (1, 0, b""), (1, 0, b""), (3, 0, b"three" * 50_000)) if i not in out]
+    assert sorted(quality_classifier.sample(docs, labels)) == sorted(want)
+    assert len(quality_classifier.sample(docs, labels, max_rows=2)) == min(2, len(want))
+    assert quality_classifier.sample(docs.limit(0), labels) == quality_classifier.sample(docs, labels.limit(0)) == []
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>"</script></head><body><header><a href=/>Site</a></header>
 <nav><ul><li><a href=/a>Menu</a></ul></nav><div class="cookie-notice">We use cookies, as all do.</div><div id="sidebar"><p>Related things, many of them.</p></div>
