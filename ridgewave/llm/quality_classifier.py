@@ -5,9 +5,9 @@ place) slide over overlapping chunks that cover the whole document; their rectif
 max-pooled in each chunk.  The mean and the maximum over the chunks of each pooled filter feed one
 logistic unit.  Chunks overlap by ``width - 1`` bytes, so every window of the document is seen once.
 
-Training uses a bounded sample of labelled rows (``max_rows``, those of the smallest digests) and from
-each a bounded number of chunks (``train_chunks`` of ``train_bytes`` at seeded places), which is all that
-ever reaches the driver.  Scoring covers every byte of every row, one document at a time, on the executors.
+Training uses a bounded sample of labelled rows (``max_rows``, those of the smallest digests), whole texts in the
+same chunks as in scoring; nothing else reaches the driver.  Scoring covers every byte of every row, one document at
+a time, on the executors.
 
 Defined cases: null text counts as empty and is scored as one chunk of padding; null ids pass through and
 are not held out; rows without a label are not trained on; without any labelled row the score is 0.5; an
@@ -27,12 +27,19 @@ from pyspark.sql import functions as F
 from .common import require, table, text_of
 
 WIDTH, FILTERS, CHUNK = 6, 16, 4096
-#: Bounds of the sample that training sees.
-MAX_ROWS, TRAIN_CHUNKS, TRAIN_BYTES = 4000, 4, 768
+#: Labelled rows that training sees at most, and the places of a batch that are convolved at once.
+MAX_ROWS, PLACES = 3000, 1 << 18
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.02, 7
 THRESHOLD = 0.7
 
 
+def chunks_of(data: np.ndarray, width: int = WIDTH, chunk: int = CHUNK) -> list[np.ndarray]:
+    """Overlapping chunks that cover all windows of a document; one shorter than a window is padded with zeros."""
+    if len(data) < width:
+        data = np.concatenate([data, np.zeros(width - len(data), np.uint8)])
+    return [data[a : a + chunk + width - 1] for a in range(0, len(data) - width + 1, chunk)]
+
+
 @dataclass
 class Network:
     """Weights: filters[place, byte, filter], their biases, and the logistic unit over mean and maximum."""
@@ -56,10 +63,7 @@ class Network:
 
     def pooled(self, data: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """(chunks, filters): the largest rectified output in each chunk of one document's bytes."""
-        width = len(self.filters)
-        if len(data) < width:
-            data = np.concatenate([data, np.zeros(width - len(data), np.uint8)])
-        rows = [self.convolve(data[a : a + chunk + width - 1]).max(axis=0) for a in range(0, len(data) - width + 1, chunk)]
+        rows = [self.convolve(c).max(axis=0) for c in chunks_of(data, len(self.filters), chunk)]
         return np.maximum(np.stack(rows) + self.bias, 0)
 
     def score(self, data: bytes) -> float:
@@ -81,50 +85,64 @@ class _Adam:
             x -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def train(samples: list[tuple[int, list[bytes]]], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network | None:
-    """Fit by Adam on the log loss; gradients flow through the pooled places only.  None without samples."""
+def _tops(net: Network, chunks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(chunks, filters): largest filter output without bias and its place, in runs of chunks of similar length."""
+    width, n_filters = net.filters.shape[0], net.filters.shape[2]
+    top, place = np.empty((len(chunks), n_filters), np.float32), np.empty((len(chunks), n_filters), np.int64)
+    order = sorted(range(len(chunks)), key=lambda k: len(chunks[k]))
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and (end - at + 1) * len(chunks[order[end]]) <= PLACES and len(chunks[order[end]]) <= 1.25 * len(chunks[order[at]]):
+            end += 1
+        run = order[at:end]
+        x = np.zeros((len(run), len(chunks[run[-1]])), np.uint8)
+        for r, k in enumerate(run):
+            x[r, : len(chunks[k])] = chunks[k]
+        conv = net.convolve(x)  # chunks, places, filters
+        for r, k in enumerate(run):
+            conv[r, len(chunks[k]) - width + 1 :] = -np.inf
+        best = conv.argmax(axis=1)
+        place[run], top[run] = best, np.take_along_axis(conv, best[:, None, :], 1)[:, 0, :]
+        at = end
+    return top, place
+
+
+def train(samples: list[tuple[int, bytes]], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> Network | None:
+    """Fit (label, whole text) by Adam on the log loss; gradients flow through the pooled places only.  None without samples."""
     if not samples:
         return None
     rng = np.random.default_rng(seed)
     net = Network.fresh(rng)
     width, n_filters = net.filters.shape[0], net.filters.shape[2]
-    length = max(width, max(len(c) for _, cs in samples for c in cs))
-    most = max(len(cs) for _, cs in samples)
-    x = np.zeros((len(samples), most, length), np.uint8)
-    valid = np.zeros((len(samples), most), bool)
-    for i, (_, cs) in enumerate(samples):
-        for k, c in enumerate(cs):
-            x[i, k, : len(c)] = np.frombuffer(c, np.uint8)
-            valid[i, k] = True
+    docs = [np.frombuffer(text, np.uint8) for _, text in samples]
     y = np.array([label for label, _ in samples], np.float32)
     share = np.clip(y.mean(), 0.01, 0.99)
-    net.offset = float(np.log(share / (1 - share)))
-    offset = np.array([net.offset], np.float32)
+    offset = np.array([np.log(share / (1 - share))], np.float32)
     values = [net.filters, net.bias, net.unit, offset]
     adam = _Adam(values, rate)
     for _ in range(epochs):
         order = rng.permutation(len(samples))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            xb, vb, n = x[rows], valid[rows], len(rows)
-            conv = net.convolve(xb)  # rows, chunks, places, filters
-            place = conv.argmax(axis=2)
-            top = np.take_along_axis(conv, place[:, :, None, :], 2)[:, :, 0, :] + net.bias
-            act = np.where(vb[:, :, None], np.maximum(top, 0), 0)
-            count = vb.sum(axis=1, keepdims=True).astype(np.float32)
-            mean, best = act.sum(axis=1) / count, act.argmax(axis=1)
-            peak = np.take_along_axis(act, best[:, None, :], 1)[:, 0, :]
+            cut = [chunks_of(docs[i], width) for i in rows]
+            chunks, count = [c for cs in cut for c in cs], np.array([len(cs) for cs in cut])
+            first, owner, n = np.cumsum(count) - count, np.repeat(np.arange(len(rows)), count), len(rows)
+            top, place = _tops(net, chunks)
+            act = np.maximum(top + net.bias, 0)
+            mean, peak = np.add.reduceat(act, first) / count[:, None], np.maximum.reduceat(act, first)
             z = np.concatenate([mean, peak], axis=1) @ net.unit + offset[0]
-            err = (1 / (1 + np.exp(-z)) - y[rows]) / n
+            err = ((1 / (1 + np.exp(-z)) - y[rows]) / n).astype(np.float32)
             g_unit = np.concatenate([mean, peak], axis=1).T @ err + 1e-4 * net.unit
-            g_act = np.repeat((err[:, None] * net.unit[:n_filters] / count)[:, None, :], act.shape[1], 1)
-            np.add.at(g_act, (np.arange(n)[:, None], best, np.arange(n_filters)[None, :]), err[:, None] * net.unit[n_filters:])
-            g_act *= (act > 0) & vb[:, :, None]
+            g_act = (err / count)[owner, None] * net.unit[:n_filters] + (act == peak[owner]) * err[owner, None] * net.unit[n_filters:]
+            g_act = np.where(act > 0, g_act, 0).astype(np.float32)
             g_filters = np.zeros_like(net.filters)
-            r, c, f = np.nonzero(g_act)
+            c, f = np.nonzero(g_act)
+            start = np.cumsum([0, *map(len, chunks[:-1])])[c] + place[c, f]
+            data = np.concatenate(chunks)
             for j in range(width):
-                np.add.at(g_filters[j], (xb[r, c, place[r, c, f] + j], f), g_act[r, c, f])
-            adam.step(values, [g_filters, g_act.sum(axis=(0, 1)), g_unit.astype(np.float32), np.array([err.sum()], np.float32)])
+                np.add.at(g_filters[j], (data[start + j], f), g_act[c, f])
+            adam.step(values, [g_filters, g_act.sum(axis=0), g_unit.astype(np.float32), np.array([err.sum()], np.float32)])
     net.offset = float(offset[0])
     return net
 
@@ -134,26 +152,21 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> list[tuple[int, list[bytes]]]:
-    """At most ``max_rows`` labelled rows that aren't held out, each as a few chunks of bytes."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> list[tuple[int, bytes]]:
+    """At most ``max_rows`` labelled rows that aren't held out: label and whole text.
+
+    Null ids and null labels aren't trained on; repeated labels count once, contradicting ones as a row each; of rows
+    that share an id all texts are taken, up to ``max_rows`` rows in all.
+    """
+    require(docs, id_col, text_col)
+    require(labels, id_col, label_col)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("__rw_id"), F.col(label_col).cast("int").alias("__rw_label")).distinct()
+    digest = F.md5(F.col("__rw_id").cast("string").cast("binary"))
     # no more than max_rows rows: a bounded side
-    chosen = F.broadcast(chosen.orderBy(F.md5(F.col("__rw_id").cast("string").cast("binary")), "__rw_label").limit(max_rows))
-    rows = docs.select(F.col(id_col).alias("__rw_id"), text_of(text_col).alias("__rw_text")).join(chosen, "__rw_id").select("__rw_id", "__rw_label", "__rw_text")
-
-    def cut(batches):
-        for b in batches:
-            chunks = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                data = text.encode("utf-8")
-                rng = np.random.default_rng(abs(hash((SEED, i))) if isinstance(i, int) else SEED)
-                room = max(1, len(data) - TRAIN_BYTES + 1)
-                at = sorted({0, *rng.integers(0, room, TRAIN_CHUNKS - 1).tolist()})
-                chunks.append([data[a : a + TRAIN_BYTES] for a in at])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chunks, pa.list_(pa.binary()))], names=["__rw_id", "__rw_label", "chunks"])
-
-    got = rows.mapInArrow(cut, f"__rw_id {docs.schema[id_col].dataType.simpleString()}, __rw_label int, chunks array<binary>").collect()
-    return [(r["__rw_label"], [bytes(c) for c in r["chunks"]]) for r in sorted(got, key=lambda r: (r["__rw_id"], r["__rw_label"]))][:max_rows]
+    chosen = F.broadcast(chosen.orderBy(digest, "__rw_label").limit(max_rows))
+    rows = docs.select(F.col(id_col).alias("__rw_id"), text_of(text_col).cast("binary").alias("__rw_text")).join(chosen, "__rw_id")
+    got = rows.orderBy(digest, "__rw_label", F.xxhash64("__rw_text")).limit(max_rows).select("__rw_label", "__rw_text").collect()
+    return [(r["__rw_label"], bytes(r["__rw_text"])) for r in got]
 
 
 def score(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
