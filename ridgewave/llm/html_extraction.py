@@ -18,8 +18,8 @@ A page is a sequence of text blocks, each with its root-to-leaf path of block-le
 Every row is extracted in an Arrow function by itself; there is no shuffle.  The time for a page grows
 with its length (one pass of an atomic pattern).  Defined cases: null or empty html gives the empty text;
 null ids and urls pass through; repeated rows give repeated results; an empty table gives an empty result;
-further columns are ignored; a kept column may not be named text or n_chars (an error says so); tags that are
-never closed or cut off at the end end where the page ends.
+further columns are ignored; the results replace kept columns named text or n_chars; tags that are never closed or
+cut off at the end end where the page ends.
 """
 
 from __future__ import annotations
@@ -268,8 +268,6 @@ def extract_text(page: str, sigma: float = SIGMA, gain: float = GAIN, share: flo
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns in ``keep``, ``text`` and ``n_chars`` for each row."""
     require(df, html_col, *keep)
-    if clash := {"text", "n_chars"} & set(keep):
-        raise ValueError(f"columns of the result can't be kept: {', '.join(sorted(clash))}")
 
     def extracted(batches):
         for b in batches:
@@ -279,7 +277,7 @@ def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("pag
     inner = df.select(*(F.col(c).alias(f"__rw_{k}") for k, c in enumerate(keep)), text_of(html_col).alias("__rw_html"))
     schema = ", ".join([*(f"__rw_{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "text string", "n_chars long"])
     out = inner.mapInArrow(extracted, schema)
-    return out.select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(keep)), "text", "n_chars")
+    return out.select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(keep) if c not in ("text", "n_chars")), "text", "n_chars")
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

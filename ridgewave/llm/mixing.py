@@ -7,15 +7,16 @@ A rate above ``PART`` is cut into equal parts of at most ``PART``, each with a n
 the parts' counts are added: a sum of independent Poisson numbers is one with the sum of their rates.
 Every copy gets its own random place, and the rows are sorted by it across all partitions.
 
-Counting sources is a partial aggregation (a hot source sends one row a task).  The rates are a table
-of one row a source; it is broadcast if it has at most ``max_broadcast_sources`` rows, else documents
+Counting sources is a partial aggregation (a hot source sends one row a task), done once and written.  The rates
+are a table of one row a source; it is broadcast if it has at most ``max_broadcast_sources`` rows, else documents
 and rates are joined with salted keys, so a hot source is spread in any case.
 
 ``weights`` maps sources to shares (made to sum to 1; a source that isn't named gets none).  Without
 it, shares are in proportion to (rows of the source) ** ``temperature``; 1 keeps the given mix, 0 makes
 sources equal.  Defined cases: a null source is a source of its own (named by None); a null id counts
 as the empty text; rows that agree in id get the same count; texts may be null; an empty table gives
-an empty result; all columns are returned, and two more, ``copy`` and ``place``.
+an empty result; all columns are returned, and two more, ``copy`` and ``place``, which replace input columns of
+these names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, table
+from .common import cut_lineage, require, table
 
 SEED = "mix-1"
 TEMPERATURE = 0.5
@@ -55,7 +56,7 @@ def poisson_steps(rate: Column) -> Column:
 
 def rates(df: DataFrame, source_col: str, weights: dict | None, temperature: float, total: int | None) -> DataFrame:
     """One row a source: __rw_source, n, rate, the number of parts of the rate, and the steps of a part's distribution."""
-    counts = df.groupBy(F.col(source_col).alias("__rw_source")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(df.groupBy(F.col(source_col).alias("__rw_source")).agg(F.count(F.lit(1)).alias("n")))  # documents are read once for it
     if weights is None:
         share = F.pow(F.col("n").cast("double"), F.lit(float(temperature)))
     else:

@@ -8,7 +8,8 @@ Measuring is an Arrow function (one text at a time, integer ranks of five-word w
 rest are DataFrame expressions; nothing is shuffled but the few rows of an ablation.
 
 Defined cases: a null text has no words, so it fails ``few_words``; null ids pass through; repeated
-rows give repeated results; an empty table gives an empty ledger; further columns are ignored.
+rows give repeated results; an empty table gives an empty ledger; further columns are ignored; measurements replace
+kept columns of their names.
 """
 
 from __future__ import annotations

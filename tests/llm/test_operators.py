@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import html
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -136,6 +140,22 @@ def test_mixing_of_large_rates(spark):
     assert len(times) == 200 and abs(np.mean(times) - 1500) < 6 * (1500 / 200) ** 0.5 and 0.6 < np.var(times) / 1500 < 1.5
 
 
+def test_mixing_in_a_fresh_session(tmp_path):
+    """Tables made from a range as a session's first DataFrame; a rare source beside many rows."""
+    code = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = spark.range(600_000).selectExpr("id AS doc_id", "CASE WHEN id = 7 THEN 'rare' ELSE 'a' END AS source")
+from ridgewave.llm.mixing import mix
+out = mix(df)
+print("COUNTS", dict((r["source"], r["count"]) for r in out.groupBy("source").count().collect()))
+"""
+    ran = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], env=os.environ | {"TMPDIR": str(tmp_path), "SPARK_LOCAL_DIRS": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    counts = eval(ran.stdout.rpartition("COUNTS")[2] or "{}")  # noqa: S307
+    rare = 600_000 / (599_999**0.5 + 1)  # 773: above what one exponential inverts
+    assert abs(counts["rare"] - rare) < 6 * rare**0.5 and abs(counts["a"] - (600_000 - rare)) < 6 * 600_000**0.5, ran.stderr[-2000:]
+
+
 def test_exact_hot_group(spark):
     df = spark.createDataFrame([(k, "copy" if k % 2 else f"t{k % 40}") for k in range(3000)] + [(3000, None), (3001, "")], "doc_id long, text string")
     want: dict = defaultdict(list)
@@ -382,8 +402,7 @@ def test_html_names_have_bounded_weight(spark):
     assert html_extraction.extract_text("<p><a href=x>only a link</a></p>") == "only a link"
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_extraction.extract(empty).count() == 0
-    with pytest.raises(ValueError):
-        html_extraction.extract(empty.withColumn("text", F.lit("")), keep=("page_id", "text"))
+    assert html_extraction.extract(empty.withColumn("text", F.lit("")), keep=("page_id", "text")).columns == ["page_id", "text", "n_chars"]
     assert len(html_extraction.extract_text("<div>" * 20_000 + body)) > 100
 
 
