@@ -174,11 +174,11 @@ def _sign(batches):
             words = [t.as_py().encode("utf-8").split() for t in texts]
             bags = [windows(w) for w in words]
             keys = []
-            # runs of about 200 000 windows bound the arrays of processes
+            # runs of about 50 000 windows bound the arrays of processes
             first, size = 0, 0
             for k, (h, _) in enumerate(bags):
                 size += len(h)
-                if size >= 200_000 or k == len(bags) - 1:
+                if size >= 50_000 or k == len(bags) - 1:
                     keys += bands(signatures(bags[first : k + 1])).tolist()
                     first, size = k + 1, 0
             hi, lo = zip(*map(digest, words))
@@ -377,8 +377,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         # roots of the first components may have got a smaller one
         moved = roots.join(further.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         roots = moved.union(further)
-    placed = nodes.select("hi", "lo", "node", "least", "copies").join(roots, "node", "left").select("hi", "lo", "least", "copies", F.coalesce("root", "node").alias("root"))
-    found = placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
+    placed = cut_lineage(nodes.select("hi", "lo", "node", "least", "copies").join(roots, "node", "left").select("hi", "lo", "least", "copies", F.coalesce("root", "node").alias("root")))
+    found = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")))  # apart from the join, which can split a large class
     named = placed.join(found, "root").select("hi", "lo", "class_id", "class_size")
     rows = signed.select("id", "hi", "lo").join(named, ["hi", "lo"])
     return rows.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), F.col("hi").alias("__rw_hi"), F.col("lo").alias("__rw_lo"))
