@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.frames import map_frames
+from .order import numbered
 
 
 @dataclass(frozen=True)
@@ -90,3 +93,32 @@ def plane_noise(spec: np.ndarray, reference: int, guard: int, mode: str = "stand
 
     count = (2 * w + 1) ** 2 - (2 * guard + 1) ** 2
     return (square(w) - square(guard)) / count
+
+
+#: Frames of a tile in time.
+TILE = 1024
+
+
+def plane_frames(df: DataFrame, key: str, order: str, psd: str, reference: int, guard: int, mode: str = "standard", tile: int = TILE) -> DataFrame:
+    """key, order and the noise array of each frame of the spectrogram that a key's frames make in order.
+
+    Time is cut into tiles, each with as many frames of its neighbours as the ring reaches, so a spectrogram of
+    any length is spread over tasks.  Frames of a key have equal length.
+    """
+    halo = 2 * (reference + guard)
+    if tile <= halo:
+        raise ValueError(f"a tile has more than {halo} frames")
+    at, place = F.floor(F.col("place") / tile), F.col("place") % tile
+    tiles = F.array_compact(F.array(at, F.when((at > 0) & (place < halo), at - 1), F.when(place >= tile - halo, at + 1)))
+    rows = numbered(df.select(F.col(key).alias("key"), F.col(order).alias("order"), F.col(psd).alias("psd")), "key", "order")
+    dealt = rows.select("key", "order", "place", "psd", F.explode(tiles).alias("tile"))
+
+    def noise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        own = (pdf["place"] // tile == pdf["tile"]).to_numpy()
+        pdf = pdf.assign(noise=list(plane_noise(np.stack(pdf["psd"].to_list()), reference, guard, mode)))
+        return pdf.loc[own, ["key", "order", "noise"]]
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+    out = dealt.groupBy("key", "tile").applyInPandas(noise, f"key {kinds[key]}, order {kinds[order]}, noise array<double>")
+    return out.select(F.col("key").alias(key), F.col("order").alias(order), "noise")

@@ -152,4 +152,4 @@ def cyclic_features(scd: np.ndarray, alphas: np.ndarray, freqs: np.ndarray, reso
     if exclude_dc:
         ok &= (np.abs(alphas) >= 2 * resolution)[:, None]
     found = [(float(alphas[a]), float(freqs[f]), float(abs(scd[a, f])), float(np.angle(scd[a, f])), float(level[a, f] - floor)) for a, f in np.argwhere(ok)]
-    return sorted(found, key=lambda x: -x[2])
+    return sorted(found, key=lambda x: (-round(x[2], 9), x[0], x[1]))

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order import cut_lineage, numbered
+
 #: Rows of a block in distance work.
 BLOCK = 512
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder, or one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
-    return df.checkpoint(eager=True)
-
-
 # -- features --------------------------------------------------------------------------------------
 def cluster_features(sample_rate: float, center_hz: float, fft_size: int) -> list[Column]:
     """The nine features that clustering uses, all near 0 to 1."""
@@ -73,30 +64,39 @@ def normalized(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # -- distances -------------------------------------------------------------------------------------
-def nearest(queries: DataFrame, points: DataFrame, eps: float, max_points: int = 100_000) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, eps: float, skip_same: bool = False, block: int = BLOCK) -> DataFrame:
     """For each query (id, x) the label of the nearest point (id, x, label), -1 beyond ``eps``; ties go to the smaller id.
 
-    Queries stream past the points in blocks; the points are a fitted model of a stated bound.
+    Queries and points are dealt into blocks; every block of queries meets every block of points in a task of its
+    own, which gives each query's best point of the block, and the best of these is found by an aggregation that combines
+    before its shuffle.  ``skip_same`` leaves out the point with the query's own id.
     """
-    rows = points.select("id", "x", "label").limit(max_points + 1).collect()
-    if len(rows) > max_points:
-        raise ValueError(f"more than {max_points} fitted points; use eps_links with buckets instead")
-    rows.sort(key=lambda r: r["id"])
-    ids, labels, matrix = [r["id"] for r in rows], [r["label"] for r in rows], np.array([r["x"] for r in rows], float)
-    square = (matrix**2).sum(axis=1)
+
+    def blocks(df: DataFrame, *columns: str) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.struct("id", F.col("x").cast("array<double>").alias("x"), *columns).alias("row"))
+        return dealt.groupBy("block").agg(F.collect_list("row").alias("rows")), n
+
+    (left, _), (right, n) = blocks(queries), blocks(points, "label")
+    met = left.select(F.col("rows").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(right, "block")
 
     def found(batches):
         for b in batches:
-            out = []
-            for at in range(0, b.num_rows, BLOCK):
-                q = np.array(b.column(1)[at : at + BLOCK].to_pylist(), float)
-                d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + square - 2 * q @ matrix.T, 0))
+            for asked, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows.sort(key=lambda r: r["id"])
+                q, m = np.array([r["x"] for r in asked]), np.array([r["x"] for r in rows])
+                ids, asking = np.array([r["id"] for r in rows]), np.array([r["id"] for r in asked])
+                d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * q @ m.T, 0))
+                if skip_same:
+                    d[asking[:, None] == ids] = np.inf
                 best = d.round(9).argmin(axis=1)
-                out += [(ids[k], labels[k] if d[r, k] <= eps else -1, float(d[r, k])) for r, k in enumerate(best)]
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64())], names=["id", "nearest_id", "label", "distance"])
+                keep = np.flatnonzero(np.isfinite(d[np.arange(len(q)), best]))
+                at = best[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(asking[keep]), pa.array(ids[at]), pa.array([rows[k]["label"] for k in at], pa.int32()), pa.array(d[keep, at])], names=["id", "nearest_id", "label", "distance"])
 
-    return queries.select("id", "x").mapInArrow(found, "id long, nearest_id long, label int, distance double")
+    each = met.select("asked", "rows").mapInArrow(found, "id long, nearest_id long, label int, distance double")
+    first = F.min_by(F.struct("nearest_id", "label", "distance"), F.struct(F.round("distance", 9), F.col("nearest_id"))).alias("r")
+    return each.groupBy("id").agg(first).select("id", "r.nearest_id", F.when(F.col("r.distance") <= eps, F.col("r.label")).otherwise(-1).alias("label"), "r.distance")
 
 
 def eps_links(df: DataFrame, eps: float) -> DataFrame:
@@ -181,12 +181,14 @@ def tuned_eps(df: DataFrame) -> float:
 
 
 def elbow(df: DataFrame, value: str, order: str) -> DataFrame:
-    """Place after the largest second difference of sorted values (a bounded list, such as k-distances of a sample)."""
-    from pyspark.sql import Window
+    """Place after the largest second difference of sorted values.
 
-    w = Window.orderBy(value, order)
-    second = F.lead(value, 2).over(w) - 2 * F.lead(value, 1).over(w) + F.col(value)
-    return df.select(F.row_number().over(w).alias("place"), F.col(value).alias("value"), second.alias("bend")).where("bend IS NOT NULL").orderBy(F.desc("bend"), "place").limit(1).select((F.col("place")).alias("place"), "bend")
+    Values are numbered in order over all partitions and meet their successors by number, so no task sorts the table.
+    """
+    rows = numbered(df.select(F.lit(0).alias("key"), F.col(value).alias("value"), F.col(order).alias("tie")), "key", "value", "tie").select((F.col("place") + 1).alias("place"), "value")
+    after = [rows.select((F.col("place") - k).alias("place"), F.col("value").alias(f"v{k}")) for k in (1, 2)]
+    bent = rows.join(after[0], "place").join(after[1], "place").withColumn("bend", F.col("v2") - 2 * F.col("v1") + F.col("value"))
+    return bent.orderBy(F.desc("bend"), "place").limit(1).select(F.col("place").cast("int").alias("place"), "bend")
 
 
 # -- anomalies -------------------------------------------------------------------------------------

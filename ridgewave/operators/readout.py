@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import micros
 
-#: Most rows of a rule table that is broadcast; larger ones are joined by frequency buckets.
+#: Most rows of a rule table, one a bucket, that are broadcast; larger ones are joined by a shuffle.
 MAX_RULES = 10_000
 
 
@@ -62,7 +62,7 @@ def search(df: DataFrame, text: str, columns: Sequence[str], tags: str | None =
 
 
 # -- rules and bands -------------------------------------------------------------------------------
-#: name, aliases, category, lowest and highest MHz.  Fixed values.
+#: Name, aliases, category, lowest and highest MHz.
 BANDS = (
     ("band2", ("pcs", "gsm1900"), "cellular", 1850, 1990),
     ("band3", ("dcs", "gsm1800"), "cellular", 1710, 1880),
@@ -91,16 +91,14 @@ def bands(spark) -> DataFrame:
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: float, max_rules: int = MAX_RULES) -> DataFrame:
-    """Rows of both sides where low <= point <= high.
+    """Rows of both sides where low <= point <= high, an equi-join on buckets of ``bucket`` width.
 
-    Up to ``max_rules`` ranges are broadcast; more are cut into buckets and equi-joined, so neither side is
-    compared with all of the other.
+    A range is a row of each bucket that it touches; up to ``max_rules`` such rows are broadcast.
     """
-    inside = F.col(point).between(F.col(low), F.col(high))
-    if ranges.limit(max_rules + 1).count() <= max_rules:
-        return points.join(F.broadcast(ranges), inside)
     cut = ranges.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
-    return points.withColumn("__at", F.floor(F.col(point) / bucket)).join(cut, (F.col("__at") == F.col("__bucket")) & inside).drop("__at", "__bucket")
+    few = cut.limit(max_rules + 1).count() <= max_rules
+    on = (F.col("__at") == F.col("__bucket")) & F.col(point).between(F.col(low), F.col(high))
+    return points.withColumn("__at", F.floor(F.col(point) / bucket)).join(F.broadcast(cut) if few else cut, on).drop("__at", "__bucket")
 
 
 def alerts(violations: DataFrame, cooldown_s: float = 5.0, rule: str = "rule_id", ts: str = "ts", tie: str = "detection_id") -> DataFrame:
@@ -187,13 +185,18 @@ def cluster_rollup(df: DataFrame, key: str = "cluster_id") -> DataFrame:
     return stats.join(mode, key, "left").withColumn("signal_type", signal_hint(F.col("avg_bandwidth_hz"), F.col("avg_duty_cycle")))
 
 
-def merge_clusters(df: DataFrame, into: str, order: str = "cluster_id") -> DataFrame:
-    """Clusters merged by ``into``: sizes added, SNR weighted by size, smallest id, the first one's frequency."""
+def merge_clusters(df: DataFrame, into: str, order: str = "cluster_id", centroid: Sequence[str] = ()) -> DataFrame:
+    """Clusters merged by ``into``: sizes added, SNR and ``centroid`` columns weighted by size, smallest id, the first one's frequency."""
+
+    def weighted(c: str) -> Column:
+        return (F.sum(F.col(c) * F.col("size")) / F.sum("size")).alias(c)
+
     return df.groupBy(into).agg(
         F.min(order).alias("cluster_id"),
         F.sum("size").alias("size"),
-        (F.sum(F.col("avg_snr_db") * F.col("size")) / F.sum("size")).alias("avg_snr_db"),
+        weighted("avg_snr_db"),
         F.min_by("dominant_freq_hz", order).alias("dominant_freq_hz"),
+        *map(weighted, centroid),
     )
 
 
@@ -222,6 +225,35 @@ def index_percentile(df: DataFrame, value: str, p: int, *keys: str) -> DataFrame
     return at.where((F.col("__to") > place) & (F.col("__to") - F.col("__n") <= place)).select(*keys, F.col(value).alias(f"p{p}"))
 
 
+def benchmark_stats(df: DataFrame, drop_percent: str, *keys: str) -> DataFrame:
+    """Mean, sample deviation and extremes of drop rates, intervals below 0.1 %, and the verdict."""
+    mean, most = F.avg(drop_percent), F.max(drop_percent)
+    verdict = F.when((mean < 0.5) & (most < 2.0), "PASS").when(mean < 2.0, "MARGINAL").otherwise("FAIL")
+    deviation = F.when(F.count(drop_percent) > 1, F.stddev_samp(drop_percent)).otherwise(0.0)
+    return df.groupBy(*keys).agg(F.count(drop_percent).alias("n"), mean.alias("mean"), deviation.alias("std"), F.min(drop_percent).alias("min"), most.alias("max"), F.count_if(F.col(drop_percent) < 0.1).alias("drop_free"), verdict.alias("status"))
+
+
+def throttled(df: DataFrame, key: str, fill: str, *order: str, on: float = 85.0, off: float = 50.0) -> DataFrame:
+    """``df`` with ``throttled`` (0 or 1): on above ``on``, off below ``off``, else as before; and ``start`` and ``stop`` of spells."""
+    w = Window.partitionBy(key).orderBy(*order)
+    edge = F.when(F.col(fill) > on, 1).when(F.col(fill) < off, 0)
+    state = df.withColumn("throttled", F.coalesce(F.last(edge, ignorenulls=True).over(w), F.lit(0)))
+    before = F.coalesce(F.lag("throttled").over(w), F.lit(0))
+    return state.withColumns({"start": F.when((F.col("throttled") == 1) & (before == 0), 1).otherwise(0), "stop": F.when((F.col("throttled") == 0) & (before == 1), 1).otherwise(0)})
+
+
+def throttle_summary(df: DataFrame, key: str, fill: str, seconds: str, *order: str, on: float = 85.0, off: float = 50.0) -> DataFrame:
+    """Activations, mean spell in ms (a start to the next stop), largest fill, and ms from its last occurrence to the first fill below ``off`` after it."""
+    spells = throttled(df, key, fill, *order, on=on, off=off)
+    w = Window.partitionBy(key).orderBy(*order)
+    after = w.rowsBetween(1, Window.unboundedFollowing)
+    stop = F.first(F.when(F.col("stop") == 1, F.col(seconds)), ignorenulls=True).over(after)
+    low = F.first(F.when(F.col(fill) < off, F.col(seconds)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    rows = spells.withColumns({"spell": F.when(F.col("start") == 1, stop - F.col(seconds)), "recovery": low - F.col(seconds)})
+    last_peak = F.max_by("recovery", F.struct(F.col(fill), *order))
+    return rows.groupBy(key).agg(F.sum("start").alias("activations"), F.coalesce(F.avg("spell"), F.lit(0.0)).alias("mean_spell_s"), F.max(fill).alias("max_fill"), F.coalesce(last_peak, F.lit(0.0)).alias("recovery_s"))
+
+
 def meter(df: DataFrame, value: str, key: str, *order: str, last: int = 100) -> DataFrame:
     """Running extremes and the mean of the last values of each key."""
     w = Window.partitionBy(key).orderBy(*order)

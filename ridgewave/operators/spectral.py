@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import map_frames
@@ -142,16 +142,19 @@ def brick_lowpass(x: np.ndarray, cutoff: float, rate: float) -> np.ndarray:
     return np.fft.ifft(np.fft.fft(x, axis=1) * gain, axis=1)
 
 
-def channelized(x: np.ndarray, channels: int, taps_each: int = 8) -> np.ndarray:
-    """(frames, channels, samples / channels): a polyphase filter bank over a Kaiser prototype."""
+def prototype(channels: int, taps_each: int) -> np.ndarray:
+    """A Kaiser-windowed sinc of one channel's width, its sum 1."""
     n = channels * taps_each
-    m = np.arange(n) - (n - 1) / 2
-    prototype = np.sinc(m / channels) * np.kaiser(n, 8.0)
-    prototype /= prototype.sum()
+    taps = np.sinc((np.arange(n) - (n - 1) / 2) / channels) * np.kaiser(n, 8.0)
+    return taps / taps.sum()
+
+
+def channelized(x: np.ndarray, channels: int, taps_each: int = 8) -> np.ndarray:
+    """(frames, channels, samples / channels): a polyphase filter bank over :func:`prototype`."""
     length = -(-x.shape[1] // channels)
     padded = np.pad(x, ((0, 0), (0, length * channels - x.shape[1])))
     phases = padded.reshape(len(x), length, channels)
-    arms = prototype.reshape(taps_each, channels)
+    arms = prototype(channels, taps_each).reshape(taps_each, channels)
     out = np.zeros((len(x), length, channels), complex)
     for k in range(taps_each):
         at = k - taps_each // 2
@@ -159,6 +162,21 @@ def channelized(x: np.ndarray, channels: int, taps_each: int = 8) -> np.ndarray:
     return np.fft.fft(out, axis=2).transpose(0, 2, 1)
 
 
+# -- running values over frames in order -----------------------------------------------------------
+def held_peaks(df: DataFrame, key: str, order: str, column: str, decay: float = 0.0) -> DataFrame:
+    """key, order, bin and value: the larger of each new value and the held one less ``decay`` a frame.
+
+    The held value is the largest of x + decay n so far, less decay n, so it is a window over each bin, and bins
+    of a key are spread over tasks.
+    """
+    bins = df.select(F.col(key), F.col(order), F.posexplode(column).alias("bin", "x"))
+    w = Window.partitionBy(key, "bin").orderBy(order)
+    n = F.row_number().over(w) * decay
+    raised = bins.withColumn("n", n)
+    top = F.max(F.col("x") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return raised.select(key, order, "bin", (top - F.col("n")).alias("value"))
+
+
 # -- folds over frames in order --------------------------------------------------------------------
 def fold_frames(df: DataFrame, key: str, order: str, column: str, step: Callable, keep_all: bool = True) -> DataFrame:
     """A running state over the frames of each key in order: ``state = step(state, frame, n)``, None before the first.

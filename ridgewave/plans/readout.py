@@ -41,9 +41,8 @@ _VIOLATIONS_SQL = f"{D}, {_RULES_SQL}, violations AS (SELECT rule_id, detection_
 
 
 def j02_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts with a cooldown of a week for each rule over the violations of the strongest detections."""
-    strong = violations(spark, sf_dir).where("peak_power_db >= -71")
-    return op.alerts(strong, cooldown_s=7 * 86400.0).select("rule_id", "detection_id")
+    """Alerts with a cooldown of a week for each rule."""
+    return op.alerts(violations(spark, sf_dir), cooldown_s=7 * 86400.0).select("rule_id", "detection_id")
 
 
 def p08_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +168,7 @@ def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations as quoted CSV lines with fixed decimals."""
     v = violations(spark, sf_dir).join(F.broadcast(thresholds(spark, sf_dir).select("rule_id", "name", "level_db")), "rule_id")  # one row a rule
     cells = [F.col("name"), F.format_string("%.2f", "peak_power_db"), F.format_string("%.2f", "level_db"), F.format_string("%.2f", F.col("peak_power_db") - F.col("level_db"))]
-    return v.where("peak_power_db >= -71").select("detection_id", "rule_id", F.concat_ws(",", *(F.concat(F.lit('"'), c, F.lit('"')) for c in cells)).alias("line"))
+    return v.select("detection_id", "rule_id", F.concat_ws(",", *(F.concat(F.lit('"'), c, F.lit('"')) for c in cells)).alias("line"))
 
 
 def cluster_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +227,7 @@ QUERIES = {
     "m12_rule_classes": m12_rules,
 }
 ORACLES = {
-    "k19_violation_lines": f"""{_VIOLATIONS_SQL} SELECT detection_id, rule_id, '"' || name || '","' || printf('%.2f', CAST(peak_power_db AS DOUBLE)) || '","' || printf('%.2f', CAST(level_db AS DOUBLE)) || '","' || printf('%.2f', CAST(peak_power_db - level_db AS DOUBLE)) || '"' AS line FROM violations JOIN rules USING (rule_id) WHERE peak_power_db >= -71""",
+    "k19_violation_lines": f"""{_VIOLATIONS_SQL} SELECT detection_id, rule_id, '"' || name || '","' || printf('%.2f', CAST(peak_power_db AS DOUBLE)) || '","' || printf('%.2f', CAST(level_db AS DOUBLE)) || '","' || printf('%.2f', CAST(peak_power_db - level_db AS DOUBLE)) || '"' AS line FROM violations JOIN rules USING (rule_id)""",
     "k14_cluster_message": f"{_CLUSTERS_SQL} SELECT 'clusters' AS type, CAST(row_number() OVER (ORDER BY cluster_id) - 1 AS INT) AS place, cluster_id, size, round(avg_snr_db, 2) AS avg_snr_db FROM clusters",
     "j09_labels": f"{D} SELECT detection_id, o_orderpriority AS label, round(snr_db, 6) AS snr_db FROM detections JOIN orders ON o_orderkey * 10 + 1 = detection_id",
     "p15_recent": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100",
@@ -248,7 +247,7 @@ ORACLES = {
     "p13_bands": f"WITH {_BANDS_SQL} SELECT name, category, lo AS f_min_mhz, hi AS f_max_mhz FROM bands WHERE category = 'cellular' OR name = 'trx0_400'",
     "p14_region_filter": f"{D} SELECT count(*) AS n, round(sum(bandwidth_hz), 3) AS hz FROM detections WHERE bandwidth_hz >= 5e3 AND snr_db >= 3",
     "j02_threshold_violations": f"{_VIOLATIONS_SQL} SELECT rule_id, count(*) AS n, max(peak_power_db) AS top_db FROM violations GROUP BY rule_id",
-    "j02_alerts": f"""WITH RECURSIVE {_VIOLATIONS_SQL.removeprefix("WITH ")}, strong AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts, detection_id) AS n FROM violations WHERE peak_power_db >= -71),
+    "j02_alerts": f"""WITH RECURSIVE {_VIOLATIONS_SQL.removeprefix("WITH ")}, strong AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts, detection_id) AS n FROM violations),
 walk AS (SELECT rule_id, detection_id, n, ts AS last, true AS alert FROM strong WHERE n = 1
   UNION ALL SELECT s.rule_id, s.detection_id, s.n, CASE WHEN s.ts - w.last >= INTERVAL 7 DAY THEN s.ts ELSE w.last END, s.ts - w.last >= INTERVAL 7 DAY FROM walk w JOIN strong s ON s.rule_id = w.rule_id AND s.n = w.n + 1)
 SELECT rule_id, detection_id FROM walk WHERE alert""",

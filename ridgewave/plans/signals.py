@@ -234,3 +234,55 @@ SELECT frame_id, round(100 * sqrt(avg(pow(i - sign(i) * sqrt(0.5), 2) + pow(q -
 s AS (SELECT frame_id, b, pow(sum(i * cos(pi() * n * b / 16) + q * sin(pi() * n * b / 16)), 2) + pow(sum(q * cos(pi() * n * b / 16) - i * sin(pi() * n * b / 16)), 2) AS p FROM d, unnest(generate_series(0, 31)) u(b) GROUP BY 1, 2)
 SELECT frame_id, CAST(arg_max(b, p) AS INT) AS symbol FROM s GROUP BY 1""",
 }
+
+
+def _costas_constants(bandwidth: float = 0.01, damping: float = 0.707) -> tuple[float, float]:
+    theta = bandwidth / (damping + 1 / (4 * damping))
+    d = 1 + 2 * damping * theta + theta**2
+    return 4 * damping * theta / d, 4 * theta**2 / d
+
+
+_A, _B = _costas_constants()
+_DFT32 = "dft AS (SELECT frame_id, k, sum(i * cos(pi() * n * k / 16) + q * sin(pi() * n * k / 16)) AS re, sum(q * cos(pi() * n * k / 16) - i * sin(pi() * n * k / 16)) AS im FROM iq, unnest(generate_series(0, 31)) u(k) GROUP BY 1, 2)"
+
+
+def _line_sql(name: str, source: str, allowed: str) -> str:
+    """Frequency and snr of the largest allowed line of a 32-point spectrum of ``source`` (frame_id, n, a, b)."""
+    return f"""{name}_spec AS (SELECT frame_id, k, CASE WHEN k < 16 THEN k ELSE k - 32 END * 1e3 AS f, sqrt(pow(sum(a * cos(pi() * n * k / 16) + b * sin(pi() * n * k / 16)), 2) + pow(sum(b * cos(pi() * n * k / 16) - a * sin(pi() * n * k / 16)), 2)) AS m
+  FROM {source}, unnest(generate_series(0, 31)) u(k) GROUP BY 1, 2),
+{name} AS (SELECT frame_id, abs(arg_max(f, m)) AS f, 10 * log10(max(m) / (median(m) + 1e-12)) AS snr FROM {name}_spec WHERE {allowed} GROUP BY 1)"""
+
+
+_SQUARED = "squared AS (SELECT frame_id, n, i * i + q * q - avg(i * i + q * q) OVER (PARTITION BY frame_id) AS a, 0e0 AS b FROM iq)"
+_RATE2 = _SQUARED + ", " + _line_sql("r2", "squared", "f >= 1e3")
+_RATE4 = "fourth AS (SELECT frame_id, n, pow(i * i - q * q, 2) - pow(2 * i * q, 2) AS a, 4 * i * q * (i * i - q * q) AS b FROM iq), " + _line_sql("r4", "fourth", "abs(f) BETWEEN 4e3 AND 12e3")
+
+ORACLES |= {
+    "b10_costas": f"""WITH RECURSIVE {IQ_SQL}, y(frame_id, n, phase, freq, re, im) AS (SELECT frame_id, -1, 0e0, 0e0, 0e0, 0e0 FROM iq WHERE n = 0
+UNION ALL SELECT frame_id, n, phase + freq + {_B!r} * e + {_A!r} * e + pi() - 2 * pi() * floor((phase + freq + {_B!r} * e + {_A!r} * e + pi()) / (2 * pi())) - pi(), freq + {_B!r} * e, re, im
+  FROM (SELECT *, sign(re) * im - sign(im) * re AS e FROM (SELECT y.frame_id, iq.n, phase, freq, iq.i * cos(phase) + iq.q * sin(phase) AS re, iq.q * cos(phase) - iq.i * sin(phase) AS im FROM y JOIN iq ON iq.frame_id = y.frame_id AND iq.n = y.n + 1)))
+SELECT frame_id, round(re, 7) AS i, round(im, 7) AS q FROM y WHERE n = 31""",
+    "b18_frequency_offset": f"""WITH {IQ_SQL}, d AS (SELECT frame_id, n, i * cos(a) + q * sin(a) AS i, q * cos(a) - i * sin(a) AS q FROM (SELECT *, 2 * pi() * (n * n / 64 - n / 2) AS a FROM iq)),
+s AS (SELECT frame_id, k, pow(sum(i * cos(pi() * n * k / 64) + q * sin(pi() * n * k / 64)), 2) + pow(sum(q * cos(pi() * n * k / 64) - i * sin(pi() * n * k / 64)), 2) AS p FROM d, unnest(generate_series(0, 127)) u(k) GROUP BY 1, 2)
+SELECT frame_id, CASE WHEN k < 64 THEN k ELSE k - 128 END * 250e0 AS offset_hz FROM (SELECT frame_id, arg_max(k, p) AS k FROM s GROUP BY 1)""",
+    "f22_symbol_rates": f"""WITH {IQ_SQL}, {_RATE2}, {_RATE4},
+c AS (SELECT frame_id, r2.f AS a, r4.f / 4 AS b, r2.snr AS sa, r4.snr AS sb, greatest(0, least(1, (r2.snr - 3) / 20)) AS wa, greatest(0, least(1, (r4.snr - 3) / 20)) AS wb FROM r2 JOIN r4 USING (frame_id))
+SELECT frame_id, round(a, 5) AS rate2_hz, round(sa, 5) AS snr2_db, round(b, 5) AS rate4_hz, round(sb, 5) AS snr4_db, round(CASE WHEN wa + wb > 0 THEN (a * wa + b * wb) / (wa + wb) ELSE 0 END, 5) AS rate_hz,
+  round(CASE WHEN wa + wb > 0 THEN (wa + wb) / 2 * (1 - least(1, pow((a - b) / 2, 2) / pow((a + b) / 2, 2))) ELSE 0 END, 5) AS confidence FROM c""",
+    "f19_cyclic_features": f"""WITH {IQ_SQL}, seg AS (SELECT frame_id, s, n - s * 4 AS m, i * 0.5 * (1 - cos(2 * pi() * (n - s * 4) / 15)) AS i, q * 0.5 * (1 - cos(2 * pi() * (n - s * 4) / 15)) AS q FROM iq, unnest(generate_series(0, 4)) u(s) WHERE n - s * 4 BETWEEN 0 AND 15),
+x AS (SELECT frame_id, s, b, sum(i * cos(pi() * m * (b - 8) / 8) + q * sin(pi() * m * (b - 8) / 8)) AS re, sum(q * cos(pi() * m * (b - 8) / 8) - i * sin(pi() * m * (b - 8) / 8)) AS im FROM seg, unnest(generate_series(0, 15)) v(b) GROUP BY ALL),
+scd AS (SELECT x.frame_id, a, x.b, avg(x.re * y.re + x.im * y.im) AS re, avg(x.im * y.re - x.re * y.im) AS im FROM x, unnest(generate_series(-4, 4)) w(a) JOIN x y ON y.frame_id = x.frame_id AND y.s = x.s AND y.b = (x.b - a + 16) % 16 GROUP BY ALL),
+z AS (SELECT *, sqrt(re * re + im * im) AS m, 20 * log10(sqrt(re * re + im * im) + 1e-12) AS level FROM scd), floors AS (SELECT frame_id, median(level) AS floor FROM z GROUP BY 1),
+top AS (SELECT c.frame_id, c.a, c.b, c.re, c.im, c.m, c.level FROM z c JOIN z o ON o.frame_id = c.frame_id AND abs(o.a - c.a) <= 2 AND abs(o.b - c.b) <= 2 GROUP BY ALL HAVING c.level >= max(o.level))
+SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY round(m, 9) DESC, a, b) - 1 AS INT) AS place, a * 2e3 AS cyclic_hz, (b - 8) * 2e3 AS spectral_hz, round(m, 6) AS magnitude, round(atan2(im, re), 6) AS phase, round(level - floor, 6) AS snr_db
+FROM top JOIN floors USING (frame_id) WHERE level > floor + 6 AND a <> 0""",
+    "m01_feature_vectors": f"""{_REFERENCE}, {_DFT32}, psd AS (SELECT frame_id, k, (re * re + im * im) / 32 AS p FROM dft),
+shape AS (SELECT frame_id, exp(avg(ln(p + 1e-12))) / (avg(p) + 1e-12) AS flat, sum(p * k / 32) / (sum(p) + 1e-12) AS centre, sum(p) + 1e-12 AS total FROM psd GROUP BY 1),
+spread AS (SELECT frame_id, sqrt(sum(p * pow(k / 32 - centre, 2)) / any_value(total)) AS spread FROM psd JOIN shape USING (frame_id) GROUP BY 1),
+energy AS (SELECT frame_id, count(*) FILTER (e > 0.5 * mean) / 32 AS duty, avg(e * e) / (pow(any_value(mean), 2) + 1e-30) AS kurtosis FROM (SELECT frame_id, i * i + q * q AS e, avg(i * i + q * q) OVER (PARTITION BY frame_id) AS mean FROM iq) GROUP BY 1),
+{_RATE2}, f AS (SELECT frame_id, [flat, centre, spread, 1e0, duty, 0e0, c40_re, c40_im, c42_re, c42_im, r2.f / 32e3, kurtosis] AS x FROM c JOIN shape USING (frame_id) JOIN spread USING (frame_id) JOIN energy USING (frame_id) JOIN r2 USING (frame_id))
+SELECT frame_id, CAST(p - 1 AS INT) AS place, round(x[p], 6) + 0 AS v FROM f, unnest(generate_series(1, 12)) u(p)""",
+    "b04_address_search": f"""WITH bytes AS (SELECT item_id, p, CAST('0x' || substr(hex(encode(text)), 2 * p + 1, 2) AS INT) AS b FROM benchmark, unnest(generate_series(0, strlen(text) - 1)) u(p)),
+bits AS (SELECT item_id, list((b >> k) & 1 ORDER BY p, k) AS bits FROM bytes, unnest(generate_series(0, 7)) v(k) GROUP BY 1)
+SELECT item_id, CAST(a AS INT) AS at FROM bits, unnest(generate_series(0, len(bits) - 33)) w(a) WHERE list_sum(list_transform(generate_series(0, 31), lambda j: CASE WHEN bits[a + j + 1] = ({0x8E89BED6} >> j) & 1 THEN 1 ELSE 0 END)) >= 23""",
+}

@@ -39,7 +39,7 @@ _FLAT_SQL = _dft(16, "1", "[0, 1, 2]", False, repr(1 / 256))
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(k, n, float(v)) for k in (*COSINES, "kaiser") for n, v in enumerate(window(k, 64))]
-    return spark.createDataFrame(rows, "window string, n int, value double").where("window <> 'kaiser'").select("window", "n", F.round("value", 9).alias("value"))
+    return spark.createDataFrame(rows, "window string, n int, value double").select("window", "n", F.round("value", 9).alias("value"))
 
 
 def _folded(spark, sf_dir, step, db=False) -> DataFrame:
@@ -132,18 +132,10 @@ def shape(spark, sf_dir):
 
 
 def plane_cfar(spark, sf_dir, mode="standard"):
-    """Two-dimensional CFAR over the spectrogram of each label, one spectrogram a task."""
-    import pandas as pd
+    """Two-dimensional CFAR over the spectrogram of each label."""
+    from ..operators.cfar import plane_frames
 
-    from ..operators.cfar import plane_noise
-
-    def per(pdf):
-        pdf = pdf.sort_values("frame_id")
-        noise = plane_noise(np.stack(pdf["psd"].to_list()), 4, 1, mode)
-        return pd.DataFrame({"label": pdf["label"].iloc[0], "frame_id": pdf["frame_id"].to_numpy(), "noise": list(noise)})
-
-    out = psd_frames(spark, sf_dir).groupBy("label").applyInPandas(per, "label int, frame_id long, noise array<double>")
-    return _bins(out, "noise", "noise", 8, "label", "frame_id")
+    return _bins(plane_frames(psd_frames(spark, sf_dir), "label", "frame_id", "psd", 4, 1, mode), "noise", "noise", 8, "label", "frame_id")
 
 
 def _plane_sql(shift: int) -> str:
@@ -159,7 +151,7 @@ FROM h c JOIN size USING (label), unnest(generate_series(-5, 5)) o(dt) JOIN h v
 
 QUERIES = {
     "f01_windows": windows,
-    "f03_window_factors": lambda s, d: s.createDataFrame([(k, *map(float, v)) for k, v in CORRECTIONS.items()] + [("kaiser", *corrections("kaiser"))], "window string, coherent_gain double, noise_bandwidth double, enbw double, processing_gain_db double, sidelobe_db double"),
+    "f03_window_factors": lambda s, d: s.createDataFrame([(k, *map(float, v)) for k, v in CORRECTIONS.items()] + [("kaiser", *(round(x, 9) for x in corrections("kaiser")))], "window string, coherent_gain double, noise_bandwidth double, enbw double, processing_gain_db double, sidelobe_db double"),
     "f06_welch_psd": lambda s, d: _bins(op.welch(iq_frames(s, d), SPEC), "psd", "psd", 12, "frame_id"),
     "f07_spectrum_scale": lambda s, d: _bins(op.welch(iq_frames(s, d), op.Welch(FS, 16, 0.5, window="rectangular", scaling="spectrum", detrend=False)), "psd", "psd", 9, "frame_id"),
     "f08_psd_db": lambda s, d: _bins(op.welch(iq_frames(s, d), SPEC), "psd_db", "db", 5, "frame_id").withColumn("freq_hz", F.round((F.col("bin") - 8) * FS / 16, 3)),
@@ -175,11 +167,11 @@ QUERIES = {
     "w19_instantaneous_frequency": _real(lambda z: op.instantaneous_frequency(z, FS), "hz", 4),
     "w20_rolling_ema": lambda s, d: _folded(s, d, op.ema(0.1)),
     "w21_running_average": lambda s, d: _folded(s, d, op.running_average(8)),
-    "w22_peak_hold": lambda s, d: _folded(s, d, op.peak_hold()),
-    "w22_peak_hold_decay": lambda s, d: _folded(s, d, op.peak_hold(0.5), db=True),
+    "w22_peak_hold": lambda s, d: op.held_peaks(psd_frames(s, d), "label", "frame_id", "psd").withColumn("value", F.round("value", 9)),
+    "w22_peak_hold_decay": lambda s, d: op.held_peaks(psd_frames(s, d).withColumn("db", F.transform("psd", lambda x: 10 * F.log10(x + 1e-12))), "label", "frame_id", "db", 0.5).withColumn("value", F.round("value", 9)),
     "w23_fixed_ema": lambda s, d: _folded(s, d, op.ema(0.3), db=True),
     "w24_persistence": persistence,
-    "w25_waterfall": lambda s, d: psd_frames(s, d).orderBy(F.desc("frame_id")).limit(256).select("frame_id", "label"),
+    "w25_waterfall": lambda s, d: _bins(psd_frames(s, d).orderBy(F.desc("frame_id")).limit(256), "psd", "p", 10, "frame_id", "label"),
     "w28_bin_lookup": lambda s, d: psd_frames(s, d).select("frame_id", F.floor((F.col("frame_id") * 10.0 + 32000) / 64000 * 64).alias("bin")),
     "w08_plane_cfar": plane_cfar,
     "w08_plane_cfar_reference": lambda s, d: plane_cfar(s, d, "reference"),
@@ -190,9 +182,11 @@ QUERIES = {
     "g18_mean_power": lambda s, d: iq_frames(s, d).select("frame_id", F.round(10 * F.log10(_mean(F.zip_with("i", "q", lambda a, b: a * a + b * b)) + 1e-12), 7).alias("power_db")),
 }
 _COS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS window, CAST(n AS INT) AS n, round({' + '.join(f'({(-1) ** j * a!r}) * cos({2 * j} * pi() * n / 63)' for j, a in enumerate(c))}, 9) AS value FROM unnest(generate_series(0, 63)) u(n)" for k, c in COSINES.items())
+_BESSEL = "list_sum(list_transform(generate_series(0, 40), lambda k: pow(({x}) / 2, 2 * k) / pow(gamma(k + 1), 2)))"
+_KAISER_SQL = f"SELECT 'kaiser' AS window, CAST(n AS INT) AS n, round({_BESSEL.format(x='6 * sqrt(1 - pow(2 * n / 63e0 - 1, 2))')} / {_BESSEL.format(x='6e0')}, 9) AS value FROM unnest(generate_series(0, 63)) u(n)"
 _TAPS = [float(x) for x in op.lowpass_taps(16, 0.8 * FS / 4 / 2, FS)]
 ORACLES = {
-    "f01_windows": _COS_SQL,
+    "f01_windows": f"{_COS_SQL} UNION ALL {_KAISER_SQL}",
     "f06_welch_psd": f"{_SQL} SELECT frame_id, bin, round(avg(p), 12) AS psd FROM psd GROUP BY 1, 2",
     "f07_spectrum_scale": f"{_FLAT_SQL} SELECT frame_id, bin, round(avg(p), 9) AS psd FROM psd GROUP BY 1, 2",
     "f08_psd_db": f"{_SQL} SELECT frame_id, bin, round(10 * log10(avg(p) + 1e-12), 5) AS db, CAST(round((bin - 8) * 2e3, 3) AS DOUBLE) AS freq_hz FROM psd GROUP BY 1, 2",
@@ -215,7 +209,21 @@ cells AS (SELECT DISTINCT label, bin, level FROM h), last AS (SELECT label, max(
 y AS (SELECT c.*, 1 AS n, CASE WHEN h.level = c.level THEN 0.3e0 ELSE 0e0 END AS v FROM cells c JOIN h ON h.label = c.label AND h.bin = c.bin AND h.n = 1
 UNION ALL SELECT y.label, y.bin, y.level, CAST(h.n AS INT), least(1e0, greatest(0e0, y.v - 0.02) + CASE WHEN h.level = y.level THEN 0.3e0 ELSE 0e0 END) FROM y JOIN h ON h.label = y.label AND h.bin = y.bin AND h.n = y.n + 1)
 SELECT y.label, CAST(bin AS BIGINT) AS bin, level, round(v, 6) AS value FROM y JOIN last ON last.label = y.label AND n = last WHERE v > 1e-9""",
-    "w25_waterfall": f"WITH {FRAMES_SQL} SELECT frame_id, label FROM frames ORDER BY frame_id DESC LIMIT 256",
+    "w25_waterfall": f"WITH {BINS_SQL} SELECT frame_id, label, bin, round(p, 10) AS p FROM bins WHERE frame_id IN (SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 256)",
+    "f14_channelizer": f"""WITH {IQ_SQL}, h AS (SELECT {[float(x) for x in op.prototype(4, 8)]} AS h), arm AS (SELECT frame_id, t, r, sum(h[k * 4 + r + 1] * i) AS i, sum(h[k * 4 + r + 1] * q) AS q
+  FROM h, unnest(generate_series(0, 7)) a(t), unnest(generate_series(0, 3)) b(r), unnest(generate_series(0, 7)) c(k) JOIN iq ON iq.n = 4 * (t - (k - 4)) + r GROUP BY 1, 2, 3),
+ch AS (SELECT frame_id, t, c, sum(i * cos(pi() * r * c / 2) + q * sin(pi() * r * c / 2)) AS i, sum(q * cos(pi() * r * c / 2) - i * sin(pi() * r * c / 2)) AS q FROM arm, unnest(generate_series(0, 3)) d(c) GROUP BY 1, 2, 3)
+SELECT frame_id, CAST(c * 8 + t AS INT) AS n, round(sqrt(i * i + q * q), 8) AS level FROM ch""",
+    "f15_analytic": f"WITH {IQ_SQL}, hilbert AS (SELECT a.frame_id, a.n, sum(CASE WHEN (a.n - b.n) % 2 <> 0 THEN b.i / 16 / tan(pi() * (a.n - b.n) / 32) ELSE 0 END) AS v FROM iq a JOIN iq b USING (frame_id) GROUP BY 1, 2) SELECT frame_id, n, round(sqrt(i * i + v * v), 7) AS envelope FROM iq JOIN hilbert USING (frame_id, n)",
+    "f16_lowpass": f"""WITH {IQ_SQL}, gain AS (SELECT k, CASE WHEN f <= 6000 THEN 1e0 WHEN f < 6600 THEN 0.5 * (1 + cos(pi() * (f - 6000) / 600)) ELSE 0 END AS g FROM (SELECT k, 1e3 * least(k, 32 - k) AS f FROM unnest(generate_series(0, 31)) u(k))),
+h AS (SELECT d, sum(g * cos(2 * pi() * k * d / 32)) / 32 AS h FROM gain, unnest(generate_series(-31, 31)) v(d) GROUP BY d)
+SELECT a.frame_id, a.n, round(sum(b.i * h), 8) + 0 AS i FROM iq a JOIN iq b USING (frame_id) JOIN h ON d = a.n - b.n GROUP BY 1, 2""",
+    "f03_window_factors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x!r}e0' for x in v)})" for k, v in CORRECTIONS.items()) + f""") c("window", coherent_gain, noise_bandwidth, enbw, processing_gain_db, sidelobe_db) UNION ALL
+(WITH w AS (SELECT n, {_BESSEL.format(x='6 * sqrt(greatest(0, 1 - pow(2 * n / 1023e0 - 1, 2)))')} / {_BESSEL.format(x='6e0')} AS w FROM unnest(generate_series(0, 1023)) u(n)),
+s AS (SELECT b, sqrt(pow(sum(w * cos(2 * pi() * n * b / 8192)), 2) + pow(sum(w * sin(2 * pi() * n * b / 8192)), 2)) AS m FROM w, unnest(generate_series(0, 63)) v(b) GROUP BY b),
+r AS (SELECT min(b) AS first FROM (SELECT b, lead(m) OVER (ORDER BY b) > m AS up FROM s) WHERE up)
+SELECT 'kaiser', round(avg(w), 9), round(count(*) * sum(w * w) / pow(sum(w), 2), 9), round(count(*) * sum(w * w) / pow(sum(w), 2), 9), round(-10 * log10(count(*) * sum(w * w) / pow(sum(w), 2)), 9),
+  (SELECT round(20 * log10(max(m) FILTER (b >= first) / max(m) FILTER (b = 0) + 1e-12), 9) FROM s, r) FROM w)""",
     "w28_bin_lookup": f"WITH {FRAMES_SQL} SELECT frame_id, CAST(floor((frame_id * 10.0 + 32000) / 64000 * 64) AS BIGINT) AS bin FROM frames",
     "w08_plane_cfar": _plane_sql(0),
     "w08_plane_cfar_reference": _plane_sql(5),
