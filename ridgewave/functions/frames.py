@@ -58,3 +58,28 @@ def map_frames(df: DataFrame, kernel: Callable[..., Sequence], inputs: Sequence[
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(v, t) for v, t in zip(results, types))], names=names)
 
     return df.select(*keep, *inputs).mapInArrow(run, schema)
+
+
+def per_row(df: DataFrame, kernel: Callable[..., tuple], inputs: tuple[str, ...], outputs: str, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, ``outputs`` and ``error``: the kernel's values for each row, or nulls and the reason it gives in a ValueError.
+
+    Array inputs come as numpy arrays; null inputs are an error.
+    """
+    made = StructType.fromDDL(f"{outputs}, error string")
+    schema = StructType([*(df.schema[c] for c in keep), *made.fields])
+    kinds, names = [to_arrow_type(f.dataType) for f in made.fields], schema.names
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for values in zip(*(b.column(len(keep) + k) for k in range(len(inputs)))):
+                try:
+                    if not all(v.is_valid for v in values):
+                        raise ValueError("null input")
+                    rows.append((*kernel(*(np.array(v.values) if isinstance(v, pa.ListScalar) else v.as_py() for v in values)), None))
+                except ValueError as e:
+                    rows.append((*[None] * (len(made) - 1), str(e)))
+            columns = list(zip(*rows)) or [()] * len(made)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *(pa.array(c, t) for c, t in zip(columns, kinds))], names=names)
+
+    return df.select(*keep, *inputs).mapInArrow(run, schema)

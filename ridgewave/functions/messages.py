@@ -9,12 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import per_row
+
 #: Headers, little-endian.  Fixed values.
 SPECTRUM_V1 = "<dffHH"  # time, centre, span, bins, flags
 SPECTRUM_V2 = "<dddI"  # time, centre, span, bins
 IQ_FLOAT = "<dffI"  # time, centre, rate, samples
 IQ_SHORT = "<dffII"  # time, centre, rate, samples, flags
-BURST_MAGIC, BURST = 0x49514246, "<IIQQIIQII16s"
+BURST_MAGIC, BURST = 0x56414C52, "<IIQQIIQII16s"  # magic, version, sequence, time, samples, format, centre, rate, flags
+FRAME_SHORT, FRAME_FLOAT = np.dtype([("t", "<u8"), ("i", "<i2"), ("q", "<i2")]), np.dtype([("t", "<u8"), ("i", "<f4"), ("q", "<f4")])
+BURST_FLAGS = {"overflow": 1, "underflow": 2, "pps_locked": 4, "gpsdo_locked": 8, "time_valid": 16, "adc_overload": 32}
 
 
 def quantize(db: np.ndarray) -> np.ndarray:
@@ -110,6 +114,60 @@ def decode_spectra(df: DataFrame, message: str = "message", keep: tuple[str, ...
     return df.select(*keep, message).mapInArrow(run, schema)
 
 
+def encode_iq(df: DataFrame, time: str, center: str, rate: str, keep: tuple[str, ...] = ("frame_id",), short: bool = False) -> DataFrame:
+    """``keep`` and the binary message of each row's samples (i, q)."""
+    def kernel(t, c, r, i, q):
+        return (iq_message(t, c, r, i + 1j * q, short),)
+
+    cast = df.select(*keep, *(F.col(c).cast("double").alias(f"__{k}") for k, c in enumerate((time, center, rate))), "i", "q")
+    return per_row(cast, kernel, ("__0", "__1", "__2", "i", "q"), "message binary", keep).drop("error")
+
+
+def decode_iq(df: DataFrame, message: str = "message", keep: tuple[str, ...] = ("frame_id",), short: bool = False) -> DataFrame:
+    """``keep``, time, center_freq_hz, sample_rate_hz, i and q of each message; nulls and the reason for one that can't be read."""
+    def kernel(data):
+        try:
+            t, c, r, x = parse_iq(data, short)
+        except struct.error as e:
+            raise ValueError(str(e)) from e
+        return t, c, r, x.real.tolist(), x.imag.tolist()
+
+    return per_row(df, kernel, (message,), "time double, center_freq_hz double, sample_rate_hz double, i array<double>, q array<double>", keep)
+
+
+def burst(version: int, sequence: int, time_ns: int, kind: int, center: int, rate: int, flags: int, times: np.ndarray, x: np.ndarray) -> bytes:
+    """A burst header and its packed sample frames; ``kind`` 0 is 16-bit integers, anything else 32-bit floats."""
+    frames = np.empty(len(x), FRAME_SHORT if kind == 0 else FRAME_FLOAT)
+    scale = 32768.0 if kind == 0 else 1.0
+    frames["t"], frames["i"], frames["q"] = times, x.real * scale, x.imag * scale
+    return struct.pack(BURST, BURST_MAGIC, version, sequence, time_ns, len(x), kind, center, rate, flags, b"") + frames.tobytes()
+
+
+def parse_burst(data: bytes) -> tuple[int, int, int, int, int, int, int, np.ndarray, np.ndarray]:
+    """Version, sequence, time, kind, centre, rate, flags, times in ns and samples of a burst."""
+    if len(data) < struct.calcsize(BURST):
+        raise ValueError("short burst")
+    magic, version, sequence, time_ns, n, kind, center, rate, flags, _ = struct.unpack_from(BURST, data)
+    if magic != BURST_MAGIC:
+        raise ValueError(f"magic 0x{magic:08X}, 0x{BURST_MAGIC:08X} is wanted")
+    layout = FRAME_SHORT if kind == 0 else FRAME_FLOAT
+    if len(data) < struct.calcsize(BURST) + n * layout.itemsize:
+        raise ValueError("burst is cut off")
+    frames = np.frombuffer(data, layout, n, struct.calcsize(BURST))
+    scale = 1 / 32768.0 if kind == 0 else 1.0
+    return version, sequence, time_ns, kind, center, rate, flags, frames["t"], (frames["i"].astype(float) + 1j * frames["q"].astype(float)) * scale
+
+
+def unpack_bursts(df: DataFrame, data: str = "data", keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """``keep``, the header's fields, t_ns, i and q of each burst; nulls and the reason for one that can't be read."""
+    def kernel(raw):
+        version, sequence, time_ns, kind, center, rate, flags, times, x = parse_burst(raw)
+        return version, sequence, time_ns, kind, center, rate, flags, times.astype(np.int64).tolist(), x.real.tolist(), x.imag.tolist()
+
+    outputs = "version long, sequence long, time_ns long, kind long, center_freq_hz long, sample_rate_hz long, flags long, t_ns array<bigint>, i array<double>, q array<double>"
+    return per_row(df, kernel, (data,), outputs, keep)
+
+
 # -- JSON ------------------------------------------------------------------------------------------
 def detection_json(time: Column) -> Column:
     """A detection event: Hz truncated, dB to two places, confidence to four, others to three; null keys are left out."""
@@ -127,6 +185,31 @@ def detection_json(time: Column) -> Column:
     return F.to_json(F.struct(F.lit("detection").alias("type"), time.alias("timestamp"), data.alias("data")))
 
 
+def spectrum_json(time: Column, center: Column, rate: Column, db: Column) -> Column:
+    """A spectrum with the frequency of each bin."""
+    n = F.size(db)
+    bins = F.transform(F.sequence(F.lit(0), n - 1), lambda k: center - rate / 2 + k * (rate / n))
+    return F.to_json(F.struct(F.lit("spectrum").alias("type"), time.alias("timestamp"), center.cast("long").alias("centerFreqHz"), rate.cast("long").alias("sampleRateHz"), n.alias("fftSize"), db.alias("magnitudeDb"), bins.alias("frequencyBins")))
+
+
+def packet_json(time: Column, channel: Column, mhz: Column, address: Column, pdu: Column, payload: Column, crc_valid: Column) -> Column:
+    """A low-energy packet event; the address in hexadecimal, the payload as hexadecimal digits."""
+    data = F.struct(channel.alias("channel"), (mhz.cast("long") * 1_000_000).alias("centerFreqHz"), F.concat(F.lit("0x"), F.lpad(F.hex(address), 8, "0")).alias("accessAddress"), pdu.alias("pduType"), F.lower(F.hex(payload)).alias("payloadHex"), crc_valid.alias("crcValid"))
+    return F.to_json(F.struct(F.lit("ble_packet").alias("type"), time.alias("timestamp"), data.alias("data")))
+
+
+def chirp_json(time: Column, center: Column, sf: int, bandwidth: float, symbols: Column, snr: Column) -> Column:
+    """A chirp frame event; symbols as hexadecimal bytes."""
+    payload = F.array_join(F.transform(symbols, lambda s: F.lpad(F.lower(F.hex(s)), 2, "0")), "")
+    data = F.struct(center.cast("long").alias("centerFreqHz"), F.lit(sf).alias("spreadingFactor"), F.lit(int(bandwidth)).alias("bandwidthHz"), F.lit("4/5").alias("codingRate"), payload.alias("payloadHex"), F.round(snr, 2).alias("snrDb"))
+    return F.to_json(F.struct(F.lit("lora_frame").alias("type"), time.alias("timestamp"), data.alias("data")))
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines in camelCase, one file a partition."""
+    camel_case(df).write.mode("overwrite").json(path)
+
+
 def stats_json(processed: Column, dropped: Column) -> Column:
     """Counters with their drop rate."""
     rate = F.when(processed + dropped > 0, F.round(dropped / (processed + dropped), 6)).otherwise(F.lit(0.0))

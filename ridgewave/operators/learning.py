@@ -52,15 +52,25 @@ def anomaly_features() -> list[Column]:
     ]
 
 
-def normalized(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns less their mean over their population deviation; a deviation below 1e-8 counts as 1."""
-    stats = df.agg(*(F.avg(c).alias(f"__m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"__s_{c}") for c in columns)).first()  # one row
+def fitted(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and population deviation of each column; a deviation below 1e-8 counts as 1."""
+    stats = df.agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()  # one row
+    return {c: (stats[f"m_{c}"] or 0.0, 1.0 if stats[f"s_{c}"] is None or stats[f"s_{c}"] < 1e-8 else stats[f"s_{c}"]) for c in columns}
+
+
+def scaled(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
+    """Columns less their mean over their deviation."""
+    return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in stats.items()})
 
-    def scale(c: str) -> Column:
-        s = stats[f"__s_{c}"]
-        return (F.col(c) - F.lit(stats[f"__m_{c}"])) / F.lit(1.0 if s is None or s < 1e-8 else s)
 
-    return df.withColumns({c: scale(c) for c in columns})
+def restored(df: DataFrame, stats: dict[str, tuple[float, float]]) -> DataFrame:
+    """The inverse of :func:`scaled`."""
+    return df.withColumns({c: F.col(c) * F.lit(s) + F.lit(m) for c, (m, s) in stats.items()})
+
+
+def normalized(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns scaled by their own mean and deviation."""
+    return scaled(df, fitted(df, columns))
 
 
 # -- distances -------------------------------------------------------------------------------------

@@ -85,7 +85,7 @@ QUERIES = {
     "k13_detection_json": detection_events,
     "k16_stats_json": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e")).select("user_id", F.get_json_object(msg.stats_json(F.col("n") - F.col("e"), F.col("e")), "$.dropRate").cast("double").alias("drop_rate")),
     "k20_camel_case": lambda s, d: msg.camel_case(detections(s, d).select("detection_id", "track_id", "frames_seen")),
-    "s02_decode_u8": raw_decode("u8"),
+    "s08_decode_u8": raw_decode("u8"),
     "s03_decode_ci16": raw_decode("ci16"),
     "s04_decode_ci8": raw_decode("ci8"),
     "s11_guess_format": lambda s, d: table(s, d, "benchmark").select("item_id", captures.guess_format(F.encode("text", "utf-8")).alias("format")),
@@ -110,7 +110,7 @@ ORACLES = {
     "k13_detection_json": f"WITH {DETECTIONS_SQL} SELECT 'detection' AS type, detection_id AS timestamp, detection_id, CAST(trunc(center_freq_hz) AS BIGINT) AS center_freq_hz, CAST(trunc(bandwidth_hz) AS BIGINT) AS bandwidth_hz, CAST(trunc(bandwidth_3db_hz) AS BIGINT) AS bandwidth_3db_hz, round(peak_power_db, 2) AS peak_power_db, round(snr_db, 2) AS snr_db, modulation_type, round(duty_cycle, 3) AS duty_cycle, cluster_id FROM detections",
     "k16_stats_json": "SELECT user_id, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS drop_rate FROM events GROUP BY 1",
     "k20_camel_case": f'WITH {DETECTIONS_SQL} SELECT detection_id AS "detectionId", track_id AS "trackId", frames_seen AS "framesSeen" FROM detections',
-    "s02_decode_u8": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('2 * n')} - 128 AS DOUBLE) AS i, CAST({_byte('2 * n + 1')} - 128 AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 4 - 1)) u(n)",
+    "s08_decode_u8": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('2 * n')} - 128 AS DOUBLE) AS i, CAST({_byte('2 * n + 1')} - 128 AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 4 - 1)) u(n)",
     "s04_decode_ci8": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('2 * n')} - CASE WHEN {_byte('2 * n')} > 127 THEN 256 ELSE 0 END AS DOUBLE) AS i, CAST({_byte('2 * n + 1')} - CASE WHEN {_byte('2 * n + 1')} > 127 THEN 256 ELSE 0 END AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 4 - 1)) u(n)",
     "s03_decode_ci16": f"WITH {_BYTES}, x AS (SELECT id, n, {_byte('4 * n')} + 256 * {_byte('4 * n + 1')} AS i, {_byte('4 * n + 2')} + 256 * {_byte('4 * n + 3')} AS q FROM b, unnest(generate_series(0, length(h) // 8 - 1)) u(n)) SELECT id, CAST(n AS INT) AS n, CAST(i - CASE WHEN i > 32767 THEN 65536 ELSE 0 END AS DOUBLE) AS i, CAST(q - CASE WHEN q > 32767 THEN 65536 ELSE 0 END AS DOUBLE) AS q FROM x",
     "s11_guess_format": "SELECT item_id, CASE WHEN text LIKE 'RIFF%' THEN 'wav' WHEN strlen(text) % 8 = 0 THEN 'cf32' WHEN strlen(text) % 4 = 0 THEN 'ci16' ELSE 'u8' END AS format FROM benchmark",

@@ -90,25 +90,42 @@ def guess_format(content: Column, mode: str = "standard") -> Column:
     return F.when(F.substring(content, 1, 4) == F.lit(b"RIFF"), "wav").when(n % 8 == 0, "cf32").when(n % 4 == 0, "ci16").otherwise("u8")
 
 
-def decode(df: DataFrame, format: str, block: int = 65_536, content: str = "content", keep: tuple[str, ...] = ("path",), **options) -> DataFrame:
-    """``keep``, seq, i and q: the samples of each row's bytes in blocks."""
-    if format not in DECODERS:
-        raise ValueError(f"no decoder for {format}; there are {', '.join(sorted(DECODERS))}")
-    f = DECODERS[format]
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrays as one Arrow list column, without Python numbers."""
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0)))
+
+
+def decode(df: DataFrame, format: str | dict[str, tuple[str, dict]], block: int = 65_536, content: str = "content", keep: tuple[str, ...] = ("path",), format_col: str | None = None, **options) -> DataFrame:
+    """``keep``, seq, i and q: the samples of each row's bytes in blocks.
+
+    ``format`` is a decoder's name, or maps the values of ``format_col`` to decoders and options; rows with another
+    value are left out.
+    """
+    kinds = {None: (format, options)} if isinstance(format, str) else format
+    for name, _ in kinds.values():
+        if name not in DECODERS:
+            raise ValueError(f"no decoder for {name}; there are {', '.join(sorted(DECODERS))}")
 
     def run(batches):
         for b in batches:
             for r in range(b.num_rows):
-                x = f(b.column(len(keep))[r].as_py() or b"", options)
+                kind = b.column(len(keep) + 1)[r].as_py() if format_col else None
+                if kind not in kinds:
+                    continue
+                name, chosen = kinds[kind]
+                x = DECODERS[name](b.column(len(keep))[r].as_py() or b"", chosen)
                 count = max(1, -(-len(x) // block))
-                parts = [x[k * block : (k + 1) * block] for k in range(count)]
-                fixed = [pa.array([b.column(k)[r].as_py()] * count, b.schema.field(k).type) for k in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(range(count), pa.int64()), pa.array([p.real.tolist() for p in parts], pa.list_(pa.float64())), pa.array([p.imag.tolist() for p in parts], pa.list_(pa.float64()))], names=[*keep, "seq", "i", "q"])
+                for first in range(0, count, 64):
+                    n = min(64, count - first)
+                    parts = [x[k * block : (k + 1) * block] for k in range(first, first + n)]
+                    fixed = [pa.array([b.column(k)[r].as_py()] * n, b.schema.field(k).type) for k in range(len(keep))]
+                    yield pa.RecordBatch.from_arrays([*fixed, pa.array(range(first, first + n), pa.int64()), _lists([p.real for p in parts]), _lists([p.imag for p in parts])], names=[*keep, "seq", "i", "q"])
 
     from pyspark.sql.types import StructType
 
     schema = StructType([*(df.schema[c] for c in keep), *StructType.fromDDL("seq long, i array<double>, q array<double>").fields])
-    return df.select(*keep, content).mapInArrow(run, schema)
+    return df.select(*keep, content, *([format_col] if format_col else [])).mapInArrow(run, schema)
 
 
 def read_raw(spark: SparkSession, path: str, format: str, **options) -> DataFrame:
@@ -139,38 +156,42 @@ def read_sigmf(spark: SparkSession, path: str, block: int = 65_536) -> DataFrame
     """Blocks (name, sample_rate, center_freq_hz, seq, i, q) of all recordings under ``path``."""
     known = sigmf_catalogue(spark, path)
     data = spark.read.format("binaryFile").load(f"{path}/*.sigmf-data").select("path", "content").join(known.drop("length"), "path")
-    out = None
-    for kind, (name, options) in SIGMF_TYPES.items():
-        part = decode(data.where(F.col("datatype") == kind), name, block, keep=("name", "sample_rate", "center_freq_hz"), **options)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return decode(data, SIGMF_TYPES, block, keep=("name", "sample_rate", "center_freq_hz"), format_col="datatype")
 
 
-def write_sigmf(df: DataFrame, path: str, description: str = "") -> DataFrame:
+def write_sigmf(df: DataFrame, path: str, description: str = "", annotations: DataFrame | None = None) -> DataFrame:
     """Write each row (name, sample_rate, center_freq_hz, i, q) as a recording; returns name and samples written.
 
-    Tasks write through a file system that all of them share (a path or URI that Arrow understands), data before
-    meta, so a recording with a meta file is complete.
+    ``annotations`` (name, sample_start, sample_count, freq_lower_hz, freq_upper_hz, label, comment) go into the
+    meta files.  Tasks write through a file system that all of them share (a path or URI that Arrow understands), data
+    before meta, so a recording with a meta file is complete.
     """
+    if annotations is None:
+        rows = df.withColumn("__notes", F.array().cast("array<struct<sample_start: bigint>>"))
+    else:
+        notes = annotations.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("sample_start", "sample_count", "freq_lower_hz", "freq_upper_hz", "label", "comment"))).alias("__notes"))
+        rows = df.join(notes, "name", "left")
+    keys = {"sample_start": "core:sample_start", "sample_count": "core:sample_count", "freq_lower_hz": "core:freq_lower_edge", "freq_upper_hz": "core:freq_upper_edge", "label": "core:label", "comment": "core:comment"}
 
     def run(batches):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
         for b in batches:
-            names, counts = [], []
-            for name, rate, center, i, q in zip(*(b.column(k).to_pylist() for k in range(5))):
-                pairs = np.stack([np.array(i, "<f4"), np.array(q, "<f4")], axis=1)
+            names, counts = b.column(0).to_pylist(), []
+            for k, (name, rate, center, noted) in enumerate(zip(names, *(b.column(c).to_pylist() for c in (1, 2, 5)))):
+                i, q = (b.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+                pairs = np.stack([i.astype("<f4"), q.astype("<f4")], axis=1)
                 with store.open_output_stream(f"{root}/{name}.sigmf-data") as f:
                     f.write(pairs.tobytes())
-                meta = {"global": {"core:datatype": "cf32_le", "core:sample_rate": rate, "core:version": "1.0.0", "core:description": description}, "captures": [{"core:sample_start": 0, "core:frequency": center}], "annotations": []}
+                marks = [{keys[c]: v for c, v in note.items() if v is not None} for note in noted or ()]
+                meta = {"global": {"core:datatype": "cf32_le", "core:sample_rate": rate, "core:version": "1.0.0", "core:description": description}, "captures": [{"core:sample_start": 0, "core:frequency": center}], "annotations": marks}
                 with store.open_output_stream(f"{root}/{name}.sigmf-meta") as f:
                     f.write(json.dumps(meta, indent=2).encode("utf-8"))
-                names.append(name)
                 counts.append(len(pairs))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(counts, pa.int64())], names=["name", "n_samples"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["name", "n_samples"])
 
-    return df.select("name", F.col("sample_rate").cast("double"), F.col("center_freq_hz").cast("double"), "i", "q").mapInArrow(run, "name string, n_samples long")
+    return rows.select("name", F.col("sample_rate").cast("double"), F.col("center_freq_hz").cast("double"), "i", "q", "__notes").mapInArrow(run, "name string, n_samples long")
 
 
 # -- synthetic -------------------------------------------------------------------------------------
@@ -178,8 +199,13 @@ def write_sigmf(df: DataFrame, path: str, description: str = "") -> DataFrame:
 TONES = ((0.0, -30.0), (100e3, -40.0), (-250e3, -45.0), (500e3, -50.0), (1e6, -55.0), (-2e6, -60.0))
 
 
-def synthetic(spark: SparkSession, blocks: int, size: int, rate: float, tones=TONES, noise_db: float = -90.0, seed: int = 7) -> DataFrame:
-    """Blocks (seq, i, q) of tones and noise from closed forms: a block only depends on its number."""
+def synthetic(spark: SparkSession, blocks: int, size: int, rate: float, tones=TONES, noise_db: float = -90.0, seed: int = 7, noise: str = "uniform") -> DataFrame:
+    """Blocks (seq, i, q) of tones and noise from closed forms: a block only depends on its number.
+
+    ``noise`` is "uniform" or "gaussian" (Box-Muller; the level is then the deviation of i and q).
+    """
+    if noise not in ("uniform", "gaussian"):
+        raise ValueError("noise is uniform or gaussian")
     n = F.sequence(F.lit(0), F.lit(size - 1))
     level = 10 ** (noise_db / 20)
 
@@ -187,8 +213,10 @@ def synthetic(spark: SparkSession, blocks: int, size: int, rate: float, tones=TO
         def sample(k):
             t = (F.col("seq") * size + k) / rate
             tone = sum((F.lit(10 ** (db / 20)) * wave_of(F.lit(2 * math.pi * hz) * t) for hz, db in tones), F.lit(0.0))
-            unit = F.pmod(F.xxhash64(F.col("seq"), k, F.lit(seed + salt)), F.lit(1 << 30)) / float(1 << 30)
-            return tone + F.lit(level) * (2 * unit - 1)
+            unit = lambda more: F.pmod(F.xxhash64(F.col("seq"), k, F.lit(seed + more)), F.lit(1 << 30)) / float(1 << 30)
+            if noise == "gaussian":  # both parts come from the same two numbers
+                return tone + F.lit(level) * F.sqrt(-2 * F.log(1 - unit(2))) * wave_of(F.lit(2 * math.pi) * unit(3))
+            return tone + F.lit(level) * (2 * unit(salt) - 1)
 
         return F.transform(n, sample)
 

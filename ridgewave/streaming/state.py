@@ -81,6 +81,49 @@ def throttle_step(on: float = 85.0, off: float = 50.0) -> Step:
     return step
 
 
+def normalize_step(rate: float = 0.01, least: float = 1e-6) -> Step:
+    """Rows with event_id and x (array): each against the mean and deviation of the rows before it.
+
+    The mean is exact; the deviation follows the size of the steps from the mean at ``rate``.  The first row comes
+    out as it is.
+    """
+
+    def step(state, row):
+        x = [float(v) for v in row["x"]]
+        if state is None:
+            return {"n": 1, "mean": x, "dev": [1e-6] * len(x)}, [{"event_id": row["event_id"], "z": x}]
+        n, off = state["n"] + 1, [v - m for v, m in zip(x, state["mean"])]
+        z = [d / max(s, least) for d, s in zip(off, state["dev"])]
+        new = {"n": n, "mean": [m + d / n for m, d in zip(state["mean"], off)], "dev": [(1 - rate) * s + rate * abs(d) for s, d in zip(state["dev"], off)]}
+        return new, [{"event_id": row["event_id"], "z": z}]
+
+    return step
+
+
+def lost_blocks(df: DataFrame, key: str, sequence: str, size: int) -> DataFrame:
+    """Blocks and samples received, samples lost to gaps in a key's sequence numbers, and the drop rate; repeated numbers count once."""
+    n, span = F.count_distinct(sequence), F.max(sequence) - F.min(sequence) + 1
+    return df.groupBy(key).agg(n.alias("blocks"), (n * size).alias("received"), ((span - n) * size).alias("lost"), (100 * (span - n) / span).alias("drop_percent"))
+
+
+def recluster(rows: DataFrame, cluster: Callable[[DataFrame], DataFrame], target: str, order: str = "ts", last: int = 1000, min_rows: int = 5, checkpoint: str | None = None):
+    """A streaming query that clusters the most recent rows after every micro-batch and replaces the table ``target``.
+
+    Each batch is appended to ``target``_rows; once that has ``min_rows`` rows, its ``last`` ones by ``order`` are clustered.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        del number
+        spark = batch.sparkSession
+        batch.write.mode("append").saveAsTable(f"{target}_rows")
+        recent = spark.table(f"{target}_rows").orderBy(F.desc(order)).limit(last)
+        if recent.count() >= min_rows:
+            cluster(recent).write.mode("overwrite").saveAsTable(target)
+
+    writer = rows.writeStream.foreachBatch(run)
+    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()
+
+
 def stream(df: DataFrame, key: str, step: Step, output: str, order: str = "t", timeout_s: int | None = None) -> DataFrame:
     """The step over a stream; rows of a key are taken in the order of ``order`` inside each micro-batch."""
     kind = df.schema[key].dataType.simpleString()

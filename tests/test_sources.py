@@ -122,3 +122,84 @@ def test_empty_frames(spark):
 
     df = spark.createDataFrame([(1, None), (2, []), (3, [1.0]), (4, [1.0] * 30 + [50.0] + [1.0] * 30)], "frame_id int, psd array<double>")
     assert [r["frame_id"] for r in detect(df, Cfar(8, 2, 1e-2), Peaks(64.0)).collect()] == [4]
+
+
+def test_recordings(spark, tmp_path):
+    """A limit by event time, annotations, listing, export, deletion."""
+    import zipfile
+
+    from ridgewave.sources import recordings
+
+    rows = [(name, seq, 1e3, 100e6, [float(seq), 1.0], [0.5, -0.5]) for name in ("a", "b") for seq in range(6)]
+    blocks = spark.createDataFrame(rows, "name string, seq long, sample_rate double, center_freq_hz double, i array<double>, q array<double>").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq")))
+    notes = recordings.annotate(spark.createDataFrame([], recordings.ANNOTATIONS), "a", 2, 4, 99e6, 101e6, "burst", "seen")
+    notes = recordings.annotate(notes, "a", 0, 1, 99e6, 100e6, "first")
+    folder, out = tmp_path / "rec", tmp_path / "zip"
+    folder.mkdir(), out.mkdir()
+    written = {r["name"]: r["n_samples"] for r in recordings.record(blocks.repartition(3), str(folder), 4.0, notes).collect()}
+    assert written == {"a": 8, "b": 8}  # four blocks of two samples lie within four seconds
+    back = {r["name"]: r for r in captures.read_sigmf(spark, str(folder)).collect()}
+    assert back["a"]["i"] == [0.0, 1.0, 1.0, 1.0, 2.0, 1.0, 3.0, 1.0]
+    found = recordings.find(spark, str(folder), "a").first()
+    assert [x["core:label"] for x in found["annotations"]] == ["first", "burst"] and found["annotations"][1]["core:sample_count"] == 4
+    sizes = {r["name"]: r["bytes"] for r in recordings.export_zip(spark.createDataFrame([("a",), ("b",)], "name string"), str(folder), str(out)).collect()}
+    with zipfile.ZipFile(out / "a.zip") as z:
+        assert z.testzip() is None and sorted(z.namelist()) == ["a.sigmf-data", "a.sigmf-meta"] and len(z.read("a.sigmf-data")) == 64
+    assert sizes["a"] == (out / "a.zip").stat().st_size
+    with pytest.raises(ValueError):
+        recordings.delete(str(folder), "a", frozenset({"a"}))
+    assert recordings.delete(str(folder), "a") and not recordings.delete(str(folder), "a")
+    assert recordings.find(spark, str(folder), "a").count() == 0 and recordings.find(spark, str(folder), "b").count() == 1
+    marks = recordings.annotate_detections(spark.createDataFrame([("a", 0.5, 0.1, 100e6, 2e6, "x")], "name string, t double, seconds double, center_freq_hz double, bandwidth_hz double, label string"), 1e3).first()
+    assert (marks["sample_start"], marks["sample_count"], marks["freq_lower_hz"]) == (500, 100, 99e6)
+
+
+def test_recording_a_stream(spark, tmp_path):
+    from ridgewave.sources import recordings
+
+    rows = [("a", seq, [1.0], seq // 3) for seq in range(9)]
+    df = spark.createDataFrame(rows, "name string, seq long, i array<double>, part int").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq")))
+    query = recordings.record_stream(_stream(spark, tmp_path, df, "live").drop("part"), str(tmp_path / "kept"), str(tmp_path / "c_rec"), 5.0)
+    query.awaitTermination()
+    assert sorted(r["seq"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_sources_by_name(spark, tmp_path):
+    from ridgewave.sources import recordings
+
+    assert recordings.open_source(spark, "synthetic", blocks=3, size=16, rate=1e6).count() == 3
+    with pytest.raises(ValueError):
+        recordings.open_source(spark, "usrp")
+    x = captures.synthetic(spark, 400, 64, 1e6, tones=(), noise_db=0.0, noise="gaussian").select(F.explode("i").alias("v")).agg(F.avg("v").alias("m"), F.stddev("v").alias("s"), F.kurtosis("v").alias("k")).first()
+    assert abs(x["m"]) < 0.05 and abs(x["s"] - 1) < 0.03 and abs(x["k"]) < 0.15
+    rows = [("a", seq, seq // 4) for seq in (0, 1, 2, 5, 6, 9)]
+    df = spark.createDataFrame(rows, "capture_id string, seq long, part int").withColumns({"ts": F.timestamp_seconds("seq"), "center_freq_hz": F.lit(1e6), "sample_rate_hz": F.lit(1e3), "overflow": F.lit(False), "i": F.array(F.lit(1.0).cast("float")), "q": F.array(F.lit(0.0).cast("float"))})
+    df.drop("part").write.parquet(str(tmp_path / "live"))
+    query = recordings.open_source(spark, "live", path=str(tmp_path / "live"), files_per_trigger=2).writeStream.format("memory").queryName("live_blocks").option("checkpointLocation", str(tmp_path / "c_live")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    lost = {r["seq"]: r["lost"] for r in recordings.lost_samples(spark.table("live_blocks")).collect()}
+    assert lost[5] == 2 and lost[9] == 2 and sum(v or 0 for v in lost.values()) == 4
+
+
+def test_reclustering_a_stream(spark, tmp_path):
+    rows = [(k, float(k % 3), k // 10) for k in range(30)]
+    df = spark.createDataFrame(rows, "id long, v double, part int").withColumn("ts", F.timestamp_seconds("id"))
+    state.recluster(_stream(spark, tmp_path, df, "found").drop("part"), lambda d: d.groupBy("v").agg(F.count(F.lit(1)).alias("n")), "found_clusters", last=12, checkpoint=str(tmp_path / "c_found")).awaitTermination()
+    assert sorted(r["n"] for r in spark.table("found_clusters").collect()) == [4, 4, 4]
+
+
+def test_receivers_say_what_is_wrong(spark):
+    from ridgewave.functions import messages
+    from ridgewave.operators import receivers
+
+    short = spark.createDataFrame([(1, [1.0], [0.0]), (2, None, None), (3, [0.5] * 8, [0.5] * 8)], "frame_id int, i array<double>, q array<double>")
+    got = {r["frame_id"]: r for r in receivers.demodulated(short, "QPSK", 4).collect()}
+    assert "make a symbol" in got[1]["error"] and got[2]["error"] == "null input" and got[3]["symbols"] == [0, 0] and got[3]["error"] is None
+    assert {r["frame_id"]: r["error"] for r in receivers.segments(short.withColumns({"detection_id": F.lit(0), "offset_hz": F.lit(0.0), "bandwidth_hz": F.lit(1.0)}), 1e3, 4).collect()}[1] == "1 samples, 4 are wanted"
+    bad = spark.createDataFrame([(1, bytearray(b"")), (2, bytearray(b"x" * 64)), (3, bytearray(messages.burst(1, 2, 3, 1, 4, 5, 6, np.arange(2), np.array([1 + 2j, 3 - 1j]))))], "id int, data binary")
+    burst = {r["id"]: r for r in messages.unpack_bursts(bad).collect()}
+    assert burst[1]["error"] == "short burst" and burst[2]["error"].startswith("magic") and burst[3]["i"] == [1.0, 3.0] and burst[3]["flags"] == 6
+    assert messages.decode_iq(spark.createDataFrame([(1, bytearray(b"ab"))], "frame_id int, message binary")).first()["error"]
+    z = receivers.chirp_signal([3, 17, 31, 0], 6, lead=37)
+    row = receivers.chirp_frames(spark.createDataFrame([(1, z.real.tolist(), z.imag.tolist())], "item_id int, i array<double>, q array<double>"), 6).first()
+    assert row["start"] == 37 and row["symbols"] == [3, 17, 31, 0] and row["snr_db"] > 20
