@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.frames import map_frames
 
 #: Theoretical c40 and c42 of modulations.  Fixed values.
 CUMULANTS = {"BPSK": (-2.0, -2.0), "QPSK": (1.0, -1.0), "8PSK": (0.0, 0.0), "16QAM": (-0.68, -0.68), "64QAM": (-0.619, -0.619), "256QAM": (-0.605, -0.605), "OOK": (0.5, 0.5), "FSK": (0.0, 0.0)}
@@ -137,6 +141,16 @@ def features(x: np.ndarray, rate: float, fft_size: int = 32, mode: str = "refere
     return np.stack([flat, centre, spread, np.full(n, x.shape[1] / rate * 1000), duty, np.zeros(n), c["c40"].real, c["c40"].imag, c["c42"].real, c["c42"].imag, symbol_rate(x, rate, 2, fft_size)[0] / rate, kurtosis(x)], axis=1)
 
 
+#: Names of the features of :func:`feature_vectors`, in order.
+FEATURES = ("center_freq_normalized", "bandwidth_normalized", "peak_power_db", "snr_db", "spectral_flatness", "spectral_centroid", "spectral_spread", "burst_duration_ms", "duty_cycle", "repetition_rate_hz", "c40_real", "c40_imag", "c42_real", "c42_imag", "symbol_rate_normalized", "kurtosis")
+
+
+def feature_vectors(df: DataFrame, rate: float, fft_size: int = 32, keep: tuple[str, ...] = ("frame_id",), mode: str = "reference") -> DataFrame:
+    """``keep`` and x, the FEATURES of each row's samples (i, q) and detection."""
+    given = df.select(*keep, "i", "q", F.array(*(F.col(c).cast("double") / s for c, s in (("center_freq_hz", rate), ("bandwidth_hz", rate), ("peak_power_db", 1.0), ("snr_db", 1.0)))).alias("d"))
+    return map_frames(given, lambda i, q, d: (np.concatenate([d, features(i + 1j * q, rate, fft_size, mode)], axis=1),), ["i", "q", "d"], "x array<double>", keep)
+
+
 def local_maxima(z: np.ndarray, half: int) -> np.ndarray:
     """Cells of a plane that no cell within ``half`` rows and columns exceeds."""
     padded = np.pad(z, half, constant_values=-np.inf)

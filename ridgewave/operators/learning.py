@@ -109,42 +109,68 @@ def nearest(queries: DataFrame, points: DataFrame, eps: float, skip_same: bool =
     return each.groupBy("id").agg(first).select("id", "r.nearest_id", F.when(F.col("r.distance") <= eps, F.col("r.label")).otherwise(-1).alias("label"), "r.distance")
 
 
-def eps_links(df: DataFrame, eps: float) -> DataFrame:
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))
+
+
+def eps_links(df: DataFrame, eps: float, pivots: int = 1024, cell: int = BLOCK) -> DataFrame:
     """Pairs (a, b, distance) with a < b of rows (id, x) at most ``eps`` apart.
 
-    By the triangle inequality a pair's distances to a pivot differ by at most eps, so rows are put into rings of
-    width eps around two pivots and only meet rows of their own and the next ring; blocks of rings are compared
-    as matrices.  Rings with many rows are cut into blocks, each with its own task.
+    Up to ``pivots`` rows, those of the smallest digests, are pivots, one for about ``cell`` rows; a row's home is the
+    cell of its nearest pivot.  By the triangle inequality a row can only be linked with rows of cells whose radius plus
+    eps reaches it, so it visits these and no others.  Visitors and residents of a cell meet in blocks of a bounded size,
+    each in a task of its own, and a pair is given once, by the visitor whose (home, id) is the smaller.  The work follows
+    the number of rows that are close; where eps is as wide as the data, so is the result.
     """
-    pivots = [np.array(r["x"], float) for r in df.orderBy("id").select("x").limit(2).collect()]
-    if not pivots:
-        return df.sparkSession.createDataFrame([], "a long, b long, distance double")
-
-    def ring(p: np.ndarray) -> Column:
-        d = F.sqrt(F.aggregate(F.zip_with("x", F.array(*map(F.lit, p.tolist())), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-        return F.floor(d / eps)
-
-    rings = df.select("id", F.col("x").cast("array<double>").alias("x")).select("id", "x", ring(pivots[0]).alias("r"), ring(pivots[-1]).alias("s"))
-    size = rings.groupBy("r", "s").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-    placed = rings.join(size, ["r", "s"]).withColumn("k", F.pmod(F.xxhash64("id"), F.col("n")))
-    cells = placed.groupBy("r", "s", "k").agg(F.collect_list(F.struct("id", "x")).alias("rows"))
-    near = F.explode(F.array(*(F.struct(F.lit(i).alias("dr"), F.lit(j).alias("ds")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("o")
-    left = cells.select("r", "s", "k", "rows", near).select((F.col("r") + F.col("o.dr")).alias("r"), (F.col("s") + F.col("o.ds")).alias("s"), F.struct("r", "s", "k").alias("at"), F.col("rows").alias("left_rows"))
-    met = left.join(cells.select("r", "s", F.struct("r", "s", "k").alias("to"), F.col("rows").alias("right_rows")), ["r", "s"]).where("at <= to")
+    spark = df.sparkSession
+    rows = df.select("id", F.col("x").cast("array<double>").alias("x"))
+    count = rows.count()
+    if not count:
+        return spark.createDataFrame([], "a long, b long, distance double")
+    wanted = max(1, min(pivots, count // cell))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("x").collect()  # at most ``pivots`` rows
+    points = spark.sparkContext.broadcast(np.array([r["x"] for r in chosen]))
+
+    def home(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                d = _distances(np.array(part.column(1).to_pylist()), points.value)
+                k = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(k, pa.int32()), pa.array(d[np.arange(len(d)), k])], names=["id", "x", "home", "gap"])
+
+    placed = cut_lineage(rows.mapInArrow(home, "id long, x array<double>, home int, gap double"))
+    sizes = {r["home"]: r for r in placed.groupBy("home").agg(F.max("gap").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).collect()}  # one row a pivot
+    reach = np.array([sizes[k]["radius"] + eps + 1e-9 if k in sizes else -1.0 for k in range(wanted)])
+
+    def visits(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                near = _distances(np.array(part.column(1).to_pylist()), points.value) <= reach
+                near &= np.arange(wanted)[None, :] >= np.array(part.column(2))[:, None]
+                r, c = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(r)) for k in range(3)] + [pa.array(c, pa.int32())], names=["id", "x", "home", "cell"])
+
+    per = F.create_map(*(F.lit(v) for k, r in sizes.items() for v in (int(k), int(r["blocks"]))))
+    here = placed.select(F.col("home").alias("cell"), F.pmod(F.xxhash64("id"), per[F.col("home")]).alias("block"), "id", "x")
+    residents = here.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "x")).alias("residents"))
+    coming = placed.select("id", "x", "home").mapInArrow(visits, "id long, x array<double>, home int, cell int")
+    counts = coming.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    dealt = coming.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # one row a pivot
+    met = dealt.select("id", "x", "home", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), per[F.col("cell")].cast("long") - 1)).alias("block"))
+    visitors = met.groupBy("cell", "block", "part").agg(F.collect_list(F.struct("id", "x", "home")).alias("visitors"))
 
     def close(batches):
         for b in batches:
-            out: list[tuple] = []
-            for lefts, rights in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ia, ib = np.array([x["id"] for x in lefts]), np.array([x["id"] for x in rights])
-                xa, xb = np.array([x["x"] for x in lefts]), np.array([x["x"] for x in rights])
-                d = np.sqrt(np.maximum((xa**2).sum(axis=1)[:, None] + (xb**2).sum(axis=1) - 2 * xa @ xb.T, 0))
-                for r, c in np.argwhere((d <= eps) & (ia[:, None] != ib)):
-                    out.append((int(min(ia[r], ib[c])), int(max(ia[r], ib[c])), float(d[r, c])))
-            cols = list(zip(*out)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["a", "b", "distance"])
-
-    return met.select("left_rows", "right_rows").mapInArrow(close, "a long, b long, distance double").dropDuplicates(["a", "b"])
+            for cell_, coming_, there in zip(*(b.column(k).to_pylist() for k in range(3))):
+                ia, ib, h = np.array([x["id"] for x in coming_]), np.array([x["id"] for x in there]), np.array([x["home"] for x in coming_])
+                d = _distances(np.array([x["x"] for x in coming_]), np.array([x["x"] for x in there]))
+                r, c = np.nonzero((d <= eps) & ((h[:, None] < cell_) | (ia[:, None] < ib)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[c])), pa.array(np.maximum(ia[r], ib[c])), pa.array(d[r, c])], names=["a", "b", "distance"])
+
+    both = visitors.join(residents, ["cell", "block"]).select("cell", "visitors", "residents")
+    return both.mapInArrow(close, "a long, b long, distance double")
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import messages as msg
+from ..functions import registered
 from ..functions.frames import map_frames, per_row
 from ..functions.windows import window
 from ..operators import demod, readout
 from ..operators import receivers as op
 from ..sources.tables import BINS_SQL, DETECTIONS_SQL, IQ_SQL, detections, iq_frames, micros, psd_frames, table
 from ..streaming import state
+from .detection import FLAGSHIP_SQL
 from .signals import FS, ORACLES as _SIGNALS, _NORMED
 
 ADDRESS = 0x8E89BED6
@@ -214,6 +216,33 @@ def inverse_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.restored(learning.scaled(d, stats), stats).select("detection_id", F.round("snr_db", 6).alias("snr_db"), F.round("bandwidth_hz", 4).alias("bandwidth_hz"))
 
 
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered scalar functions in SQL text over the detections."""
+    registered.register(spark)
+    return spark.sql("SELECT detection_id, quantize_db(peak_power_db) AS level, round(dequantize_db(quantize_db(peak_power_db)), 6) AS db, snr_severity(snr_db) AS severity, advertising_mhz(CAST(detection_id % 40 AS INT)) AS mhz, safe_file_name(concat(modulation_type, ' ', detection_id)) AS file FROM {d}", d=detections(spark, sf_dir))
+
+
+def sql_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detector as a table function in SQL text."""
+    registered.register(spark)
+    return spark.sql("SELECT frame_id, start_bin, end_bin, peak_bin, round(peak_power_db, 6) AS peak_power_db, round(snr_db, 6) AS snr_db, round(center_freq_hz, 6) AS center_freq_hz FROM {f} f, LATERAL cfar_detect(f.psd)", f=psd_frames(spark, sf_dir))
+
+
+def sql_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registered Arrow functions in SQL text."""
+    registered.register(spark)
+    return spark.sql("SELECT frame_id, round(mean_power_db(i, q), 7) AS power_db FROM {x}", x=iq_frames(spark, sf_dir))
+
+
+def whole_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen features of each frame with a detection of its own."""
+    from ..operators import forensics
+
+    f = iq_frames(spark, sf_dir).withColumns({"center_freq_hz": F.col("frame_id") * 32.0, "bandwidth_hz": F.lit(4000.0), "peak_power_db": -F.col("frame_id") / 100, "snr_db": F.lit(12.5)})
+    out = forensics.feature_vectors(f, FS, 32)
+    return out.select("frame_id", F.posexplode("x").alias("place", "v")).select("frame_id", "place", F.round("v", 6).alias("v"))
+
+
 QUERIES = {
     "f17_segments": segmented,
     "f20_scd_symbol_rate": scd_rates,
@@ -226,6 +255,10 @@ QUERIES = {
     "s02_decode_cf32": lambda s, d: float_bytes(s, d, "<"),
     "s07_decode_cf32_big_endian": lambda s, d: float_bytes(s, d, ">"),
     "m05_inverse": inverse_scaled,
+    "m01_whole_vectors": whole_feature_vectors,
+    "fn_sql_scalars": sql_functions,
+    "fn_sql_detect": sql_detections,
+    "fn_sql_kernels": sql_kernels,
     "b13_demodulate": demodulate,
     "b17_chirp_frames": chirp_symbols,
     "b19_protocols": lambda s, d: op.protocols(s),
@@ -290,6 +323,12 @@ SELECT user_id, count(*) FILTER (start) AS activations, round(coalesce(avg(ended
     "p12_recent_and_anomalies": f"WITH {DETECTIONS_SQL} (SELECT 'recent' AS list, detection_id FROM detections ORDER BY ts DESC, detection_id DESC LIMIT 8) UNION ALL (SELECT 'anomalies', detection_id FROM detections ORDER BY snr_db DESC, detection_id LIMIT 5)",
     "t03_drop_accounting": "SELECT user_id, count(*) AS blocks, count(*) * 1024 AS received, CAST((max(event_id) - min(event_id) + 1 - count(*)) * 1024 AS BIGINT) AS lost, round(100 * (max(event_id) - min(event_id) + 1 - count(*)) / (max(event_id) - min(event_id) + 1), 6) AS drop_percent FROM events GROUP BY 1",
 }
+ORACLES |= {
+    "fn_sql_scalars": f"WITH {DETECTIONS_SQL}, x AS (SELECT *, CAST(floor(greatest(0, least(255, (peak_power_db + 120) / 100 * 255))) AS INT) AS level, detection_id % 40 AS c FROM detections) SELECT detection_id, level, round(level / 255.0e0 * 100 - 120, 6) AS db, CASE WHEN snr_db > 25 THEN 'high' WHEN snr_db > 15 THEN 'medium' ELSE 'low' END AS severity, CAST(CASE c WHEN 37 THEN 2402 WHEN 38 THEN 2426 WHEN 39 THEN 2480 ELSE 2404 + 2 * c + CASE WHEN c > 10 THEN 2 ELSE 0 END END AS INT) AS mhz, modulation_type || '_' || detection_id AS file FROM x",
+    "fn_sql_detect": f"SELECT frame_id, start_bin, end_bin, peak_bin, peak_power_db, snr_db, center_freq_hz FROM ({FLAGSHIP_SQL})",
+    "fn_sql_kernels": f"WITH {IQ_SQL} SELECT frame_id, round(10 * log10(avg(i * i + q * q) + 1e-12), 7) AS power_db FROM iq GROUP BY 1",
+    "m01_whole_vectors": f"SELECT frame_id, CAST(place + 4 AS INT) AS place, v FROM ({_SIGNALS['m01_feature_vectors']}) UNION ALL SELECT vec_id, CAST(p AS INT), round(CASE p WHEN 0 THEN vec_id * 32 / 32e3 WHEN 1 THEN 0.125 WHEN 2 THEN -vec_id / 100 ELSE 12.5 END, 6) + 0 FROM embeddings, unnest(generate_series(0, 3)) u(p)",
+}
 _SCD = _SIGNALS["f19_cyclic_features"]
 ORACLES["f20_scd_symbol_rate"] = _SCD[: _SCD.index("scd AS")] + """scd AS (SELECT x.frame_id, a, x.b, avg(x.re * y.re + x.im * y.im) AS re, avg(x.im * y.re - x.re * y.im) AS im FROM x, unnest(generate_series(1, 4)) w(a) JOIN x y ON y.frame_id = x.frame_id AND y.s = x.s AND y.b = (x.b - a + 16) % 16 GROUP BY ALL),
 z AS (SELECT *, sqrt(re * re + im * im) AS m, 20 * log10(sqrt(re * re + im * im) + 1e-12) AS level FROM scd), floors AS (SELECT frame_id, median(level) AS floor FROM z GROUP BY 1),

@@ -203,3 +203,56 @@ def test_receivers_say_what_is_wrong(spark):
     z = receivers.chirp_signal([3, 17, 31, 0], 6, lead=37)
     row = receivers.chirp_frames(spark.createDataFrame([(1, z.real.tolist(), z.imag.tolist())], "item_id int, i array<double>, q array<double>"), 6).first()
     assert row["start"] == 37 and row["symbols"] == [3, 17, 31, 0] and row["snr_db"] > 20
+
+
+def test_eps_links_in_many_cells(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.3, (200, 3)) for c in range(0, 12, 3)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(axis=2))
+    want = {(a, b) for a, b in np.argwhere(d <= 0.25) if a < b}
+    for cell in (20, 300, 10_000):
+        got = [(r["a"], r["b"]) for r in learning.eps_links(df, 0.25, cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_reconstruction_against_svd(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6)) @ np.diag([5, 3, 2, 0.3, 0.2, 0.1])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    got = {r["id"]: r["anomaly_score"] for r in learning.reconstruction_anomaly(df, *learning.principal(df, 3), center=0.01, slope=50.0).collect()}
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:3]
+    mse = ((centred - centred @ axes.T @ axes) ** 2).mean(axis=1)
+    assert np.allclose([got[k] for k in range(300)], 1 / (1 + np.exp(-50 * (mse - 0.01))), atol=1e-9)
+
+
+def test_tracks_query_against_plain_loops(spark):
+    """The registered query against a tracker written as loops over plain lists."""
+    from ridgewave.operators.cfar import Cfar
+    from ridgewave.operators.peaks import Peaks, detect
+    from ridgewave.plans.messages import tracks
+    from ridgewave.sources.tables import RATE, psd_frames
+
+    sf = "/root/testdata/sf0.001"
+    frames: dict = {}
+    for r in detect(psd_frames(spark, sf), Cfar(8, 2, 1e-2), Peaks(RATE, 1000.0), keep=("label", "frame_id")).collect():
+        frames.setdefault(r["label"], {}).setdefault(r["frame_id"], []).append(r["center_freq_hz"])
+    want = set()
+    for label, by_frame in frames.items():
+        alive, born = [], 0  # [name, hz, first, last, seen]
+        for f in sorted(by_frame):
+            t = f / 10
+            alive = [a for a in alive if not t - a[3] > 3.0]
+            before, fresh = [(a[1], a) for a in alive], []
+            for hz in sorted(by_frame[f]):
+                gap, k = min(((abs(hz - p), k) for k, (p, _) in enumerate(before)), default=(1e9, -1))
+                if gap < 2000.0:
+                    a = before[k][1]
+                    a[1], a[3], a[4] = hz, t, a[4] + 1
+                else:
+                    fresh.append([f"trk-{born:06d}", hz, t, t, 1])
+                    born += 1
+            alive += fresh
+            want |= {(label, t, a[0], round(a[1], 6), a[4]) for a in alive}
+    assert {(r["label"], r["t"], r["track_id"], round(r["hz"], 6), r["frames_seen"]) for r in tracks(spark, sf).collect()} == want and want
