@@ -111,7 +111,8 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     """The rows that stay, with all columns of ``df``."""
     require(df, id_col, text_col)
     names, best_first = df.columns, _best_first(keep)
-    named = _named(df, id_col, text_col, *(F.col(f"`{c}`").alias(f"__rw_{k}") for k, c in enumerate(names)))
+    # the text is sent once; whether it was null is kept beside it
+    named = _named(df, id_col, text_col, F.col(text_col).isNull().alias("__rw_null"), *(F.col(f"`{c}`").alias(f"__rw_{k}") for k, c in enumerate(names) if c != text_col))
     schema = named.schema
     way = "descending" if keep == "largest" else "ascending"
 
@@ -139,7 +140,8 @@ def survivors(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
                 yield b.take(pa.array(stay, pa.int64()))
 
     dealt = named.mapInArrow(best_of_batch, schema).repartitionByRange(_partitions(df), "__rw_lead", "__rw_sha").sortWithinPartitions("__rw_lead", "__rw_sha", "__rw_text", best_first)
-    return dealt.mapInArrow(openers, schema).select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(names)))
+    text = F.when(~F.col("__rw_null"), F.col("__rw_text")).cast(df.schema[text_col].dataType)
+    return dealt.mapInArrow(openers, schema).select(*((text if c == text_col else F.col(f"__rw_{k}")).alias(c) for k, c in enumerate(names)))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

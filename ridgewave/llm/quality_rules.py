@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import require, table, text_of
 
@@ -102,20 +103,26 @@ def failure_bits() -> Column:
     return sum((F.when(F.expr(cond), F.lit(BIT[name])).otherwise(F.lit(0)) for name, cond in RULES.items()), F.lit(0)).cast("long")
 
 
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, measurements and ``fail_bits`` of every row; columns named in ``keep`` are carried along."""
-    require(df, id_col, text_col, *keep)
+def _measured(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` and the measurements of its text column, whose rows go to Python once."""
+    at = df.columns.index(text_col)
 
     def measured(batches):
         for b in batches:
-            got = [measure(x.as_py() or "") for x in b.column(b.num_columns - 1)]
+            got = [measure(x.as_py() or "") for x in b.column(at)]
             cols = list(zip(*got)) or [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in cols)], names=[*b.schema.names[:-1], *MEASURES])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in cols)], names=[*b.schema.names, *MEASURES])
+
+    schema = StructType([*df.schema.fields, *(StructField(m, LongType()) for m in MEASURES)])
+    return df.mapInArrow(measured, schema)
 
+
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, measurements and ``fail_bits`` of every row; columns named in ``keep`` are carried along."""
+    require(df, id_col, text_col, *keep)
     carried = [id_col, *(c for c in keep if c != id_col)]
     inner = df.select(*(F.col(c).alias(f"__rw_{k}") for k, c in enumerate(carried)), text_of(text_col).alias("__rw_text"))
-    schema = ", ".join([*(f"__rw_{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(carried)), *(f"{m} long" for m in MEASURES)])
-    out = inner.mapInArrow(measured, schema).withColumn("fail_bits", failure_bits())
+    out = _measured(inner, "__rw_text").withColumn("fail_bits", failure_bits())
     return out.select(*(F.col(f"__rw_{k}").alias(c) for k, c in enumerate(carried) if c not in (*MEASURES, "fail_bits")), *MEASURES, "fail_bits")
 
 
@@ -126,9 +133,12 @@ def apply_policy(led: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
 
 def passing(df: DataFrame, policy: str = PRODUCTION_POLICY, text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that the policy keeps, with all their columns."""
-    named = df.select(text_of(text_col).alias("__rw_t"), *(F.col(f"`{c}`").alias(f"__rw_c{k}") for k, c in enumerate(df.columns)))
-    led = apply_policy(ledger(named, "__rw_c0", "__rw_t", keep=tuple(named.columns[1:])), policy)
-    return led.where("kept").select(*(F.col(f"__rw_c{k}").alias(c) for k, c in enumerate(df.columns)))
+    require(df, text_col)
+    at = df.columns.index(text_col)
+    own = [F.col(f"`{c}`").cast("string") if k == at else F.col(f"`{c}`") for k, c in enumerate(df.columns)]
+    named = df.select(*(c.alias(f"__rw_c{k}") for k, c in enumerate(own)))
+    led = apply_policy(_measured(named, f"__rw_c{at}").withColumn("fail_bits", failure_bits()), policy)
+    return led.where("kept").select(*(F.col(f"__rw_c{k}").cast(df.schema[c].dataType).alias(c) for k, c in enumerate(df.columns)))
 
 
 def ablation(led: DataFrame, policy: str = PRODUCTION_POLICY) -> DataFrame:
