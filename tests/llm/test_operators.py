@@ -231,6 +231,38 @@ def test_near_single_link_in_a_dense_group(spark):
     assert {(r["class_id"], r["class_size"]) for r in near_dedup.classes(df).collect()} == {(0, 501)}
 
 
+def test_near_dense_group_against_brute_force(spark):
+    """3,000 copies of one text with 0 to 9 changed words, most pairs on either side of 0.8; classes equal those of all pairs."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(3000):
+        words = [f"w{j}" for j in range(150)]
+        for j in rng.choice(150, k % 10, replace=False):
+            words[j] = f"x{rng.integers(40)}"
+        rows.append(words)
+    grams = [Counter(tuple(w[j : j + 5]) for j in range(146)) for w in rows]
+    seen = Counter(g for c in grams for g in c)
+    column = {g: n for n, g in enumerate(g for g, n in seen.items() if n > 1)}
+    has = np.zeros((len(rows), len(column)), np.float32)
+    for k, c in enumerate(grams):
+        assert max(c.values()) == 1  # sets, so a product counts what is shared
+        has[k, [column[g] for g in c if g in column]] = 1
+    low = has @ has.T
+    linked = low / (2 * 146 - low) >= 0.8
+    np.fill_diagonal(linked, True)
+    root = np.arange(len(rows))
+    while True:
+        new = np.array([root[r].min() for r in linked])
+        if (new == root).all():
+            break
+        root = new
+    share = linked[np.triu_indices(len(rows), 1)].mean()
+    assert 0.02 < share < 0.5 and len(set(root.tolist())) > 300
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()}
+    assert [got[k] for k in range(len(rows))] == root.tolist()
+
+
 def test_overlaps_of_blocks():
     rng = np.random.default_rng(3)
     bags = [(np.unique(rng.integers(0, 60, 40).astype(np.uint64)), None) for _ in range(30)]
