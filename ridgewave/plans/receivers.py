@@ -111,7 +111,7 @@ def spectrum_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = psd_frames(spark, sf_dir).select("frame_id", F.transform("psd", lambda x: F.round(10 * F.log10(x + 1e-12), 4)).alias("db"))
     text = msg.spectrum_json(F.col("frame_id"), F.lit(915e6), F.lit(64e3), F.col("db"))
     got = F.from_json(text, "type string, fftSize int, centerFreqHz bigint, magnitudeDb array<double>, frequencyBins array<double>")
-    return f.select("frame_id", got.alias("g")).select("frame_id", "g.type", "g.fftSize", "g.centerFreqHz", F.posexplode(F.arrays_zip("g.magnitudeDb", "g.frequencyBins")).alias("bin", "x")).select("frame_id", "type", "fftSize", "centerFreqHz", "bin", F.col("x.magnitudeDb").alias("db"), F.col("x.frequencyBins").alias("hz"))
+    return f.select("frame_id", F.explode(F.array(got)).alias("g")).select("frame_id", "g.type", "g.fftSize", "g.centerFreqHz", F.posexplode(F.arrays_zip("g.magnitudeDb", "g.frequencyBins")).alias("bin", "x")).select("frame_id", "type", "fftSize", "centerFreqHz", "bin", F.col("x.magnitudeDb").alias("db"), F.col("x.frequencyBins").alias("hz"))
 
 
 def exported_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
