@@ -233,7 +233,7 @@ def z_anomaly(df: DataFrame, columns: list[str], threshold: float = 3.0, warmup:
     s = df.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(f"m_{c}") for c in columns), *(F.stddev_pop(c).alias(f"s_{c}") for c in columns)).first()
     if s["n"] < warmup:
         return df.withColumn("anomaly_score", F.lit(0.3))
-    z = F.greatest(*(F.abs((F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(max(s[f"s_{c}"] + 1e-6, 1e-6))) for c in columns))
+    z = F.array_max(F.array(*(F.abs((F.col(c) - F.lit(s[f"m_{c}"])) / F.lit(max(s[f"s_{c}"] + 1e-6, 1e-6))) for c in columns)))
     return df.withColumn("anomaly_score", 1 / (1 + F.exp(-(z - threshold))))
 
 
@@ -270,3 +270,21 @@ def principal(df: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return vectors[:, ::-1][:, :k].T, mean
 
 
+def anomaly_detector(kind: str = "statistical", **options):
+    """A function from a table to scores: "statistical" (z scores of ``columns``) or "reconstruction" (``k`` principal components of x).
+
+    A reconstruction detector is fitted on the first table that it's given and keeps what it has learnt.
+    """
+    if kind == "statistical":
+        return lambda df: z_anomaly(df, **options)
+    if kind != "reconstruction":
+        raise ValueError("a detector is statistical or reconstruction")
+    known: list = []
+    k, rest = options.pop("k", 4), options
+
+    def score(df: DataFrame) -> DataFrame:
+        if not known:
+            known.append(principal(df, k))
+        return reconstruction_anomaly(df, *known[0], **rest)
+
+    return score

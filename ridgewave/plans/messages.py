@@ -89,6 +89,7 @@ QUERIES = {
     "s08_decode_u8": raw_decode("u8"),
     "s03_decode_ci16": raw_decode("ci16"),
     "s04_decode_ci8": raw_decode("ci8"),
+    "s10_decode_u16": raw_decode("u16"),
     "s11_guess_format": lambda s, d: table(s, d, "benchmark").select("item_id", captures.guess_format(F.encode("text", "utf-8")).alias("format")),
     "s12_json_meta": sigmf_meta,
     "s15_synthetic": lambda s, d: captures.synthetic(s, 64, 256, 1e7, noise_db=-400.0).select("seq", F.posexplode("i").alias("n", "i")).select("seq", "n", F.round("i", 6).alias("i")),
@@ -114,6 +115,7 @@ ORACLES = {
     "s08_decode_u8": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('2 * n')} - 128 AS DOUBLE) AS i, CAST({_byte('2 * n + 1')} - 128 AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 4 - 1)) u(n)",
     "s04_decode_ci8": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('2 * n')} - CASE WHEN {_byte('2 * n')} > 127 THEN 256 ELSE 0 END AS DOUBLE) AS i, CAST({_byte('2 * n + 1')} - CASE WHEN {_byte('2 * n + 1')} > 127 THEN 256 ELSE 0 END AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 4 - 1)) u(n)",
     "s03_decode_ci16": f"WITH {_BYTES}, x AS (SELECT id, n, {_byte('4 * n')} + 256 * {_byte('4 * n + 1')} AS i, {_byte('4 * n + 2')} + 256 * {_byte('4 * n + 3')} AS q FROM b, unnest(generate_series(0, length(h) // 8 - 1)) u(n)) SELECT id, CAST(n AS INT) AS n, CAST(i - CASE WHEN i > 32767 THEN 65536 ELSE 0 END AS DOUBLE) AS i, CAST(q - CASE WHEN q > 32767 THEN 65536 ELSE 0 END AS DOUBLE) AS q FROM x",
+    "s10_decode_u16": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('4 * n')} + 256 * {_byte('4 * n + 1')} - 32768 AS DOUBLE) AS i, CAST({_byte('4 * n + 2')} + 256 * {_byte('4 * n + 3')} - 32768 AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 8 - 1)) u(n)",
     "s11_guess_format": "SELECT item_id, CASE WHEN text LIKE 'RIFF%' THEN 'wav' WHEN strlen(text) % 8 = 0 THEN 'cf32' WHEN strlen(text) % 4 = 0 THEN 'ci16' ELSE 'u8' END AS format FROM benchmark",
     "s12_json_meta": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
     "s15_synthetic": "SELECT s AS seq, CAST(n AS INT) AS n, round(" + " + ".join(f"{10 ** (db / 20)!r} * cos(2 * pi() * ({hz}) * (s * 256 + n) / 1e7)" for hz, db in captures.TONES) + ", 6) AS i FROM unnest(generate_series(0, 63)) a(s), unnest(generate_series(0, 255)) b(n)",

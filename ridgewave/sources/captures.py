@@ -11,6 +11,7 @@ import json
 import math
 import wave
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,17 @@ def decoder(name: str) -> Callable[[Decoder], Decoder]:
     return register
 
 
-def _pairs(values: np.ndarray, layout: str = "IQIQ") -> np.ndarray:
-    n = len(values) // 2
-    if layout == "IIQQ":
-        return values[:n] + 1j * values[n : 2 * n]
-    return values[: 2 * n : 2] + 1j * values[1 : 2 * n : 2]
+def _pairs(values: np.ndarray, options: dict) -> np.ndarray:
+    """Complex samples of one channel; channels are interleaved sample by sample (or one after another in each half of IIQQ)."""
+    channels, channel = int(options.get("channels", 1)), int(options.get("channel", 0))
+    if not 0 <= channel < channels:
+        raise ValueError(f"channel {channel} of {channels}")
+    n = len(values) // (2 * channels)
+    if options.get("layout", "IQIQ") == "IIQQ":
+        halves = values[: 2 * n * channels].reshape(2, n, channels)
+        return halves[0, :, channel] + 1j * halves[1, :, channel]
+    pairs = values[: 2 * n * channels].reshape(n, channels, 2)
+    return pairs[:, channel, 0] + 1j * pairs[:, channel, 1]
 
 
 def _whole(data: bytes, kind: str) -> np.ndarray:
@@ -49,27 +56,27 @@ def _order(options: dict) -> str:
 
 @decoder("cf32")
 def _cf32(data: bytes, options: dict) -> np.ndarray:
-    return _pairs(_whole(data, _order(options) + "f4"), options.get("layout", "IQIQ"))
+    return _pairs(_whole(data, _order(options) + "f4"), options)
 
 
 @decoder("cf64")
 def _cf64(data: bytes, options: dict) -> np.ndarray:
-    return _pairs(_whole(data, _order(options) + "f8"), options.get("layout", "IQIQ"))
+    return _pairs(_whole(data, _order(options) + "f8"), options)
 
 
 @decoder("ci16")
 def _ci16(data: bytes, options: dict) -> np.ndarray:
-    return _pairs(_whole(data, _order(options) + "i2"), options.get("layout", "IQIQ")) / float(options.get("scale", 1.0))
+    return _pairs(_whole(data, _order(options) + "i2"), options) / float(options.get("scale", 1.0))
 
 
 @decoder("ci8")
 def _ci8(data: bytes, options: dict) -> np.ndarray:
-    return _pairs(_whole(data, "i1"), options.get("layout", "IQIQ")) / float(options.get("scale", 1.0))
+    return _pairs(_whole(data, "i1"), options) / float(options.get("scale", 1.0))
 
 
 @decoder("u8")
 def _u8(data: bytes, options: dict) -> np.ndarray:
-    return _pairs(_whole(data, "u1") - float(options.get("offset", 128.0)), options.get("layout", "IQIQ")) / float(options.get("scale", 1.0))
+    return _pairs(_whole(data, "u1") - float(options.get("offset", 128.0)), options) / float(options.get("scale", 1.0))
 
 
 @decoder("wav")
@@ -79,7 +86,60 @@ def _wav(data: bytes, options: dict) -> np.ndarray:
             raise ValueError("two channels of 16 bits are wanted")
         if options.get("rate") and int(options["rate"]) != w.getframerate():
             raise ValueError("the header's rate isn't the capture's")
-        return _pairs(_whole(w.readframes(w.getnframes()), "<i2")) / 32768.0
+        return _pairs(_whole(w.readframes(w.getnframes()), "<i2"), {}) / 32768.0
+
+
+@decoder("ci32")
+def _ci32(data: bytes, options: dict) -> np.ndarray:
+    return _pairs(_whole(data, _order(options) + "i4"), options) / float(options.get("scale", 1.0))
+
+
+@decoder("u16")
+def _u16(data: bytes, options: dict) -> np.ndarray:
+    return _pairs(_whole(data, _order(options) + "u2") - float(options.get("offset", 32768.0)), options) / float(options.get("scale", 1.0))
+
+
+#: Declared formats, the decoders that read them, and their options where they differ.
+FORMATS = {
+    "ci8": ("ci8", {}), "ci16": ("ci16", {}), "ci32": ("ci32", {}), "cf32": ("cf32", {}), "cf64": ("cf64", {}), "u8": ("u8", {}), "u16": ("u16", {}), "wav_iq": ("wav", {}),
+    "complex64": ("cf32", {}), "gr_complex64": ("cf32", {}), "hackrf_raw": ("ci8", {"scale": 128.0}), "rtlsdr_u8": ("u8", {"offset": 127.5, "scale": 127.5}),
+}
+
+
+@dataclass(frozen=True)
+class Capture:
+    """How the samples of a capture are encoded."""
+
+    format: str
+    sample_rate_hz: int
+    center_frequency_hz: int | None = None
+    endianness: str = "little"
+    interleaving: str = "IQIQ"
+    scale_factor: float | None = None
+    num_channels: int = 1
+    channel: int = 0
+    iq_offset: float | None = None
+
+    def __post_init__(self):
+        if self.format not in FORMATS:
+            raise ValueError(f"no format {self.format}; there are {', '.join(sorted(FORMATS))}")
+        if self.sample_rate_hz <= 0 or (self.center_frequency_hz is not None and self.center_frequency_hz <= 0) or not 0 <= self.channel < self.num_channels:
+            raise ValueError("sample rate, centre frequency or channel out of range")
+        if self.endianness not in ("little", "big") or self.interleaving not in ("IQIQ", "IIQQ"):
+            raise ValueError("endianness is little or big, interleaving IQIQ or IIQQ")
+
+    @property
+    def decoder(self) -> tuple[str, dict]:
+        """The decoder's name and its options."""
+        name, own = FORMATS[self.format]
+        given = {"scale": self.scale_factor, "offset": self.iq_offset, "rate": self.sample_rate_hz if name == "wav" else None}
+        return name, {**own, "endian": self.endianness, "layout": self.interleaving, "channels": self.num_channels, "channel": self.channel, **{k: v for k, v in given.items() if v is not None}}
+
+    def read(self, spark: SparkSession, path: str, block: int = 65_536) -> DataFrame:
+        """Blocks of the files under ``path``, with rate and centre."""
+        name, options = self.decoder
+        out = decode(spark.read.format("binaryFile").load(path), name, block, **options)
+        return out.withColumns({"sample_rate_hz": F.lit(float(self.sample_rate_hz)), "center_freq_hz": F.lit(None if self.center_frequency_hz is None else float(self.center_frequency_hz)).cast("double")})
 
 
 def guess_format(content: Column, mode: str = "standard") -> Column:

@@ -7,6 +7,7 @@ Each operator is a plain step function (state, row) -> (state, output) and is us
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -124,6 +125,30 @@ def recluster(rows: DataFrame, cluster: Callable[[DataFrame], DataFrame], target
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()
 
 
+def supervised(start: Callable[[], object], most: int = 10, on_error: Callable[[dict], None] | None = None, pause_s: float = 0.1) -> object:
+    """Run a streaming query to its end, and start it again when it fails; its checkpoint makes that safe.
+
+    ``start`` starts the query.  After ``most`` failures in a row, without a finished batch between them, ``on_error`` is told
+    state, message and number, and the last failure is raised.  Returns the query that ended.
+    """
+    failures, seen = 0, None
+    while True:
+        try:
+            query = start()
+            query.awaitTermination()
+            return query
+        except Exception as e:  # noqa: BLE001
+            done = getattr(query, "lastProgress", None) if "query" in locals() else None
+            batch = done["batchId"] if done else None
+            failures = 1 if batch is not None and batch != seen else failures + 1
+            seen = batch if batch is not None else seen
+            if failures >= most:
+                if on_error:
+                    on_error({"state": "error", "message": str(e), "consecutive_errors": failures})
+                raise
+            time.sleep(pause_s)
+
+
 def stream(df: DataFrame, key: str, step: Step, output: str, order: str = "t", timeout_s: int | None = None) -> DataFrame:
     """The step over a stream; rows of a key are taken in the order of ``order`` inside each micro-batch."""
     kind = df.schema[key].dataType.simpleString()

@@ -256,3 +256,49 @@ def test_tracks_query_against_plain_loops(spark):
             alive += fresh
             want |= {(label, t, a[0], round(a[1], 6), a[4]) for a in alive}
     assert {(r["label"], r["t"], r["track_id"], round(r["hz"], 6), r["frames_seen"]) for r in tracks(spark, sf).collect()} == want and want
+
+
+def test_capture_descriptor(spark, tmp_path):
+    x = np.array([[1 + 2j, -3 + 4j], [5 - 6j, 7 + 8j], [0, 1]])  # samples, channels
+    (tmp_path / "c.bin").write_bytes(np.stack([x.real, x.imag], axis=2).astype(">i4").tobytes())
+    for channel in (0, 1):
+        row = captures.Capture("ci32", 1000, 868_000_000, "big", num_channels=2, channel=channel).read(spark, str(tmp_path / "c.bin")).first()
+        assert np.allclose(np.array(row["i"]) + 1j * np.array(row["q"]), x[:, channel]) and row["center_freq_hz"] == 868e6
+    name, options = captures.Capture("rtlsdr_u8", 1000).decoder
+    assert np.allclose(captures.DECODERS[name](bytes([0, 255, 127, 128]), options), [-1 + 1j, (-0.5 + 0.5j) / 127.5])
+    assert all(f in captures.DECODERS for f, _ in captures.FORMATS.values()) and len(captures.FORMATS) == 12
+    for bad in ({"format": "nope"}, {"sample_rate_hz": 0}, {"endianness": "middle"}, {"channel": 1}):
+        with pytest.raises(ValueError):
+            captures.Capture(**({"format": "u8", "sample_rate_hz": 1} | bad))
+
+
+def test_supervised_stream(spark, tmp_path):
+    df = spark.range(30).select("id", (F.col("id") / 10).cast("int").alias("part"))
+    told, calls, live = [], [], _stream(spark, tmp_path, df, "sup").drop("part")
+
+    def start(fails):
+        def batch(rows, number):
+            calls.append(number)
+            if len(calls) <= fails:
+                raise RuntimeError("broken")
+            rows.write.mode("append").parquet(str(tmp_path / f"out{fails}"))
+
+        return lambda: live.writeStream.foreachBatch(batch).option("checkpointLocation", str(tmp_path / f"c_sup{fails}")).trigger(availableNow=True).start()
+
+    state.supervised(start(2), most=5, on_error=told.append, pause_s=0.0)
+    assert spark.read.parquet(str(tmp_path / "out2")).count() == 30 and not told
+    calls.clear()
+    with pytest.raises(Exception, match="broken"):
+        state.supervised(start(99), most=3, on_error=told.append, pause_s=0.0)
+    assert told[0]["consecutive_errors"] == 3 and len(calls) == 3
+
+
+def test_anomaly_detectors(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, v.tolist(), float(v[0])) for k, v in enumerate(rng.normal(size=(80, 4)))] + [(99, [9.0, -9.0, 9.0, -9.0], 50.0)], "id long, x array<double>, v double")
+    for kind, options in (("statistical", {"columns": ["v"]}), ("reconstruction", {"k": 2})):
+        scores = {r["id"]: r["anomaly_score"] for r in learning.anomaly_detector(kind, **options)(df).collect()}
+        assert len(scores) == 81 and all(0 <= s <= 1 for s in scores.values())
+    assert max(learning.anomaly_detector("statistical", columns=["v"])(df).collect(), key=lambda r: r["anomaly_score"])["id"] == 99
+    with pytest.raises(ValueError):
+        learning.anomaly_detector("neural")
