@@ -56,6 +56,33 @@ def test_edges(odd, empty, run):
     assert sorted(map(str, rows)) == sorted(map(str, run(odd).collect()))
 
 
+def test_edge_values(odd):
+    """What the docstrings say of nulls, empty and repeated rows, ties, and columns named like results."""
+    groups = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.groups(odd).collect())
+    assert groups[4, 5, 4, False] == 1 and groups[5, 5, 4, True] == 2 and groups[None, 5, 4, False] == 1  # "one two"
+    assert groups[1, 2, 3, False] == groups[2, 2, 3, True] == groups[None, 2, 3, False] == 1 and groups[3, 3, 1, True] == 1  # null and empty
+    stay = Counter((r["doc_id"], r["text"]) for r in exact_dedup.survivors(odd).collect())
+    assert stay[5, "one two"] == 1 and stay[2, ""] == 1 and sum(stay.values()) == 7 and exact_dedup.survivors(odd).columns == odd.columns
+    near = Counter((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in near_dedup.classes(odd).collect())
+    assert near[1, 1, 4, True] == near[2, 1, 4, False] == near[3, 1, 4, False] == near[None, 1, 4, False] == 1  # no words
+    assert near[4, 4, 4, True] == 1 and near[5, 4, 4, False] == 2 and near[None, 4, 4, False] == 1
+    assert sorted(r["doc_id"] for r in near_dedup.survivors(odd).collect()) == [1, 4, 6, 7, 8, 9] and near_dedup.survivors(odd).columns == odd.columns
+    rules = {r["doc_id"]: r for r in quality_rules.ledger(odd).collect()}
+    assert [rules[k]["n_words"] for k in (1, 2, 3, 4, 6, 7)] == [0, 0, 0, 2, 40_000, 1] and rules[7]["word_chars"] == 50_000 and rules[1]["fail_bits"] & 1
+    tokens = Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.count_tokens(odd, str(public_tokenizers.path("word_bpe_49k.json"))).collect())
+    assert tokens[1, 0, 0] == tokens[2, 0, 0] == tokens[None, 0, 0] == 1 and tokens[3, 4, 0] == 1 and tokens[5, 7, 2] == 2
+    packed = Counter((r["doc_id"], r["doc_tokens"]) for r in packing.pack_documents(odd).collect())
+    assert packed[1, 1] == packed[2, 1] == packed[None, 1] == 1 and packed[5, 3] >= 2
+    found = {r["doc_id"]: r for r in licenses.scan(odd, licenses.known_licenses()).collect()}
+    assert found[9]["license_id"] == "MIT" and found[9]["line_license_ids"] == "MIT" and found[1]["license_id"] is None and found[1]["line_license_ids"] == ""
+    mixed = mixing.mix(odd, total=4000)
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert times[5] % 2 == 0 and times[None] % 2 == 0 and set(times) == {1, 2, 3, 4, 5, 6, 7, 8, 9, None} and abs(sum(times.values()) - 4000) < 400
+    assert mixed.columns == [*(c for c in odd.columns if c not in ("copy", "place")), "copy", "place"]
+    scores = {r["doc_id"]: r["score"] for r in quality_classifier.score(odd, quality_classifier.Network.fresh(np.random.default_rng(1))).collect()}
+    assert scores[1] == scores[2] and 0 < scores[1] < 1
+
+
 def test_licenses(spark):
     mit = licenses.known_licenses()[0][1]
     texts = [mit, "MIT Licence\n\nCopyright (c) 2020 Somebody\n" + mit.upper().replace(",", " ;"), "Some words.\nReleased under the MIT License.", mit + " And more.", None]
