@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import readout as op
+from ..operators.order import numbered
 from ..sources.tables import DETECTIONS_SQL, detections, micros, table
 
 D = f"WITH {DETECTIONS_SQL}"
@@ -137,7 +138,7 @@ def p12_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p09_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = violations(spark, sf_dir).join(F.broadcast(thresholds(spark, sf_dir).select("rule_id", "name", "low_hz")), "rule_id")
+    v = violations(spark, sf_dir).join(thresholds(spark, sf_dir).select("rule_id", "name", "low_hz"), "rule_id")
     mhz = F.format_string("%.2f", F.col("low_hz") / 1e6)
     return op.search(v.withColumn("mhz", mhz), "1", ["name", "mhz"]).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
@@ -166,17 +167,19 @@ def b11_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Violations as quoted CSV lines with fixed decimals."""
-    v = violations(spark, sf_dir).join(F.broadcast(thresholds(spark, sf_dir).select("rule_id", "name", "level_db")), "rule_id")  # one row a rule
+    v = violations(spark, sf_dir).join(thresholds(spark, sf_dir).select("rule_id", "name", "level_db"), "rule_id")
     cells = [F.col("name"), F.format_string("%.2f", "peak_power_db"), F.format_string("%.2f", "level_db"), F.format_string("%.2f", F.col("peak_power_db") - F.col("level_db"))]
     return v.select("detection_id", "rule_id", F.concat_ws(",", *(F.concat(F.lit('"'), c, F.lit('"')) for c in cells)).alias("line"))
 
 
-def cluster_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All clusters as one message, read back."""
+def cluster_messages(spark: SparkSession, sf_dir: str, page: int = 1000) -> DataFrame:
+    """All clusters as messages of at most ``page`` clusters, read back."""
     c = clusters(spark, sf_dir).select("cluster_id", "size", F.round("avg_snr_db", 2).alias("avg_snr_db"))
+    placed = numbered(c.withColumn("key", F.lit(0)), "key", "cluster_id").withColumn("page", F.floor(F.col("place") / page))
     text = F.to_json(F.struct(F.lit("clusters").alias("type"), F.array_sort(F.collect_list(F.struct("cluster_id", "size", "avg_snr_db"))).alias("data")))
     back = F.from_json("m", "type string, data array<struct<cluster_id: bigint, size: bigint, avg_snr_db: double>>")
-    return c.agg(text.alias("m")).select(back.alias("b")).select("b.type", F.posexplode("b.data").alias("place", "d")).select("type", "place", "d.*")
+    read = placed.groupBy("page").agg(text.alias("m")).select("page", F.explode(F.array(back)).alias("b"))
+    return read.select("page", "b.type", F.posexplode("b.data").alias("n", "d")).select("type", (F.col("page") * page + F.col("n")).cast("int").alias("place"), "d.*")
 
 
 def zipped(spark: SparkSession, sf_dir: str) -> DataFrame:
