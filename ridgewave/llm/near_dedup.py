@@ -336,10 +336,11 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         # every node's larger neighbours move to its smallest one
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # apart from the join, which can split a large star
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # every node and its smaller neighbours move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut_lineage(large)
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         links = cut_lineage(small.where("u <> v").distinct())
 
