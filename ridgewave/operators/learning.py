@@ -173,9 +173,40 @@ def eps_links(df: DataFrame, eps: float, pivots: int = 1024, cell: int = BLOCK)
     return both.mapInArrow(close, "a long, b long, distance double")
 
 
+#: Nodes that a task's table of components holds before it starts anew.
+FOREST = 500_000
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """The edges (a, b) that join something new in their task: components stay as they are, and dense graphs become thin."""
+
+    def thin(batches):
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := above.get(x, x)) != x:
+                above[x] = above.get(up, up)
+                x = up
+            return x
+
+        for b in batches:
+            keep = []
+            for k, (u, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                x, y = top(u), top(v)
+                if x != y:
+                    above[max(x, y)] = min(x, y)
+                    keep.append(k)
+            yield b.take(pa.array(keep, pa.int64()))
+            if len(above) > FOREST:
+                above.clear()
+
+    return edges.select("a", "b").mapInArrow(thin, "a long, b long")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node -> smallest node of its component, by label propagation with shortcuts; lineage is cut each round."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    thin = forest(edges)
+    both = cut_lineage(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut_lineage(nodes.select(F.col("id"), F.col("id").alias("root")))
     while True:
         least = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
