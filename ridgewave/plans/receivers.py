@@ -219,7 +219,7 @@ def inverse_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered scalar functions in SQL text over the detections."""
     registered.register(spark)
-    return spark.sql("SELECT detection_id, quantize_db(peak_power_db) AS level, round(dequantize_db(quantize_db(peak_power_db)), 6) AS db, snr_severity(snr_db) AS severity, advertising_mhz(CAST(detection_id % 40 AS INT)) AS mhz, safe_file_name(concat(modulation_type, ' ', detection_id)) AS file FROM {d}", d=detections(spark, sf_dir))
+    return spark.sql("SELECT detection_id, CAST(quantize_db(peak_power_db) AS INT) AS level, round(dequantize_db(quantize_db(peak_power_db)), 6) AS db, snr_severity(snr_db) AS severity, advertising_mhz(CAST(detection_id % 40 AS INT)) AS mhz, safe_file_name(concat(modulation_type, ' ', detection_id)) AS file FROM {d}", d=detections(spark, sf_dir))
 
 
 def sql_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
