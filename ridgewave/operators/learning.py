@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import components, thinned
 from .order import cut_lineage, numbered
 
 #: Rows of a block in distance work.
@@ -173,51 +174,6 @@ def eps_links(df: DataFrame, eps: float, pivots: int = 1024, cell: int = BLOCK)
     return both.mapInArrow(close, "a long, b long, distance double")
 
 
-#: Nodes that a task's table of components holds before it starts anew.
-FOREST = 500_000
-
-
-def forest(edges: DataFrame) -> DataFrame:
-    """The edges (a, b) that join something new in their task: components stay as they are, and dense graphs become thin."""
-
-    def thin(batches):
-        above: dict[int, int] = {}
-
-        def top(x: int) -> int:
-            while (up := above.get(x, x)) != x:
-                above[x] = above.get(up, up)
-                x = up
-            return x
-
-        for b in batches:
-            keep = []
-            for k, (u, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                x, y = top(u), top(v)
-                if x != y:
-                    above[max(x, y)] = min(x, y)
-                    keep.append(k)
-            yield b.take(pa.array(keep, pa.int64()))
-            if len(above) > FOREST:
-                above.clear()
-
-    return edges.select("a", "b").mapInArrow(thin, "a long, b long")
-
-
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node -> smallest node of its component, by label propagation with shortcuts; lineage is cut each round."""
-    thin = forest(edges)
-    both = cut_lineage(thin.union(thin.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select(F.col("id"), F.col("id").alias("root")))
-    while True:
-        least = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
-        moved = labels.join(least, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"), F.col("root").alias("was"))
-        jump = moved.select(F.col("id").alias("root"), F.col("root").alias("further"))
-        new = cut_lineage(moved.join(jump, "root", "left").select("id", F.coalesce("further", "root").alias("root"), "was"))
-        if new.where("root <> was").isEmpty():
-            return new.select("id", "root")
-        labels = new.select("id", "root")
-
-
 def cluster(df: DataFrame, eps: float, min_samples: int = 5, algorithm: str = "components") -> DataFrame:
     """(id, n_neighbours, core, cluster): clusters named by their smallest core id, -1 for noise.
 
@@ -230,13 +186,15 @@ def cluster(df: DataFrame, eps: float, min_samples: int = 5, algorithm: str = "c
     points = cut_lineage(df.select("id").join(degree, "id", "left").select("id", F.coalesce("n", F.lit(1)).alias("n_neighbours")).withColumn("core", F.col("n_neighbours") >= min_samples))
     cores = points.where("core").select("id")
     if algorithm == "components":
-        roots = components(links, df.select("id"))
+        linked = components(thinned(links)).withColumnRenamed("node", "id")
+        roots = points.select("id").join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
         named = roots.join(cores, "id").groupBy("root").agg(F.min("id").alias("cluster"))
         return points.join(roots, "id").join(named, "root", "left").select("id", "n_neighbours", "core", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
     if algorithm != "dbscan":
         raise ValueError("algorithm is components or dbscan")
     inner = both.join(cores.withColumnRenamed("id", "a"), "a").join(cores.withColumnRenamed("id", "b"), "b")
-    roots = components(inner, cores)
+    linked = components(thinned(inner)).withColumnRenamed("node", "id")
+    roots = cut_lineage(cores.join(linked, "id", "left").select("id", F.coalesce("root", "id").alias("root")))
     border = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min_by("root", "b").alias("near"))
     out = points.join(roots, "id", "left").join(border, "id", "left")
     return out.select("id", "n_neighbours", "core", F.coalesce("root", "near", F.lit(-1)).alias("cluster"))

@@ -5,22 +5,52 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder; in local mode one of our own where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's folder in the cluster's shared checkpoint folder; in local mode one of our own where none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
         if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR")))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Stored:
+    """Tables in the shared folder for steps that build on each other.
+
+    A table read back has neither lineage nor the size estimates of the plan that made it, which would grow by a
+    product with each join of an iteration.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self._tables: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self._tables)}"
+        df.write.parquet(path)
+        self._tables.append((self.spark.read.schema(df.schema).parquet(path), path))
+        return self._tables[-1][0]
+
+    def drop(self, df: DataFrame) -> None:
+        """Remove the files of a table that nothing reads any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(next(p for t, p in self._tables if t is df))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
     """``df`` with ``place``, each row's number from 0 among its key's rows in order.
 
