@@ -22,8 +22,8 @@ a block at once from the whole multisets; only links that join something are giv
 groups are one block and settled by it.  In a larger group that is still more than one component by then, the members
 outside its largest component meet all members of the other components, block by block.  No pair of a bucket is left out,
 and no table holds more rows than members, but for the blocks of a large group: a member is sent once for each block that
-it meets.  Components come from alternating star steps on the links.  Every stage is a DataFrame; lineage is cut
-in the shared checkpoint folder.
+it meets.  Components come from random contraction of the links (``operators.graphs``).  Every stage is a DataFrame;
+lineage is cut in the shared checkpoint folder.
 
 Defined cases: null text counts as empty; texts without words are one class; null ids pass through and are never
 the class id unless the class has no other; repeated rows belong to the same class; an empty table gives an empty
@@ -41,6 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import graphs
 from .common import cut_lineage, require, table, text_of
 
 WORDS, SIMILARITY = 5, 0.8
@@ -327,22 +328,8 @@ def compare_across(groups: DataFrame, sizes: DataFrame, known: DataFrame, bags:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node and root (its component's smallest node) for every node of a link (u, v) but the roots, by alternating star steps."""
-    links = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    while True:
-        # done when every node has one smaller neighbour, which has none itself
-        ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below"), F.lit(0).alias("above")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below"), F.lit(1).alias("above")))).alias("e")).select("e.*")
-        if ends.groupBy("x").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 OR below = 1 AND above = 1").isEmpty():
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        # every node's larger neighbours move to its smallest one
-        both = links.union(links.select("v", "u"))
-        least = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))  # apart from the join, which can split a large star
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # every node and its smaller neighbours move to the smallest of them
-        large = cut_lineage(large)
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        links = cut_lineage(small.where("u <> v").distinct())
+    """node and root (its component's smallest node) for every node of a link (u, v) but the roots."""
+    return graphs.components(links.select(F.col("u").alias("a"), F.col("v").alias("b"))).where("node <> root")
 
 
 def pivot_groups(members: DataFrame) -> DataFrame:
