@@ -63,17 +63,27 @@ def ranks_of(spec: dict) -> dict[bytes, int] | None:
     return {bytes(byte[c] for c in t): i for t, i in own.items()}
 
 
+#: Characters of white space in one run that the rank library's pattern takes without fail; it gives up at about a million.
+LONG_SPACE = 100_000
+_LONG_SPACE = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+
 class RankEncoder:
-    """Byte-level BPE by a table of ranks."""
+    """Byte-level BPE by a table of ranks; texts with a very long run of white space go to the file's own library."""
 
-    def __init__(self, spec: dict, ranks: dict[bytes, int]):
+    def __init__(self, path: str, spec: dict, ranks: dict[bytes, int]):
         import tiktoken
 
+        self._path, self._own = path, None
         self._model = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in spec["added_tokens"]})
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian unsigned 32-bit."""
-        return [np.asarray(self._model.encode_to_numpy(t, allowed_special="all"), "<u4").tobytes() for t in texts]
+        return [self._whole(t) if len(t) >= LONG_SPACE and _LONG_SPACE.search(t) else np.asarray(self._model.encode_to_numpy(t, allowed_special="all"), "<u4").tobytes() for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        self._own = self._own or WholeEncoder(self._path)
+        return self._own.ids([text])[0]
 
     def lengths(self, texts: list[str]) -> list[int]:
         return [len(x) // 4 for x in self.ids(texts)]
@@ -183,7 +193,7 @@ def make_encoder(path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if (ranks := ranks_of(spec)) is not None:
-            return RankEncoder(spec, ranks)
+            return RankEncoder(path, spec, ranks)
         if WordEncoder.fits(spec):
             return WordEncoder(path)
     return WholeEncoder(path)
