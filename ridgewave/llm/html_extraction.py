@@ -19,7 +19,8 @@ Every row is extracted in an Arrow function by itself; there is no shuffle.  The
 with its length (one pass of an atomic pattern).  Defined cases: null or empty html gives the empty text;
 null ids and urls pass through; repeated rows give repeated results; an empty table gives an empty result;
 further columns are ignored; the results replace kept columns named text or n_chars; tags that are never closed or
-cut off at the end end where the page ends.
+cut off at the end end where the page ends, but for media, options and other elements that are never text, which without
+an end tag end at the next block; unmatched end tags are skipped.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ import html as entities
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,12 +47,15 @@ _SPACE = re.compile(r"\s+")
 _MARKED = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select option".split())
+RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("html head body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption nav header footer aside form fieldset address details summary center dialog menu search hgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that are never text of a page, and those that hold boilerplate.
-DROPPED = frozenset("head button".split())
+DROPPED = frozenset("head button noscript template svg math iframe object canvas audio video select datalist option".split())
+#: Elements that an inner end tag doesn't reach across, and the names whose end tags do.
+BARRIERS = frozenset("article main table".split())
+ACROSS = frozenset("body html article main div section table".split())
 SKIPPED = frozenset("nav footer aside form fieldset dialog menu search".split())
 MAIN = frozenset("article main".split())
 #: Words in class, id or role that tell boilerplate, words that stand beside them, and words of main elements.
@@ -82,7 +87,7 @@ def _weight(name: str, tokens: list[list[str]], in_main: bool) -> tuple[float, b
 
 
 class _Element:
-    __slots__ = ("name", "above", "path", "dropped", "main", "weight", "mass", "held")
+    __slots__ = ("name", "above", "path", "dropped", "main", "weight", "mass", "held", "node")
 
     def __init__(self, name: str, above: _Element | None, attributes: str = "", paths: dict[tuple[int, str], int] | None = None):
         tokens = _tokens(attributes) if attributes else []
@@ -97,12 +102,98 @@ class _Element:
             step = name + "".join("." + w for w in sorted({w for t in tokens for w in t}))
             self.path = paths.setdefault((self.path, step), len(paths) + 1)
         self.mass, self.held = 0.0, 0
+        self.node = self if above is None or name in BLOCKS else above.node  # the innermost block-level element
+
+
+def _tags(page: str) -> list[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether an end tag, attributes) of each tag; comments and the insides of raw elements have an empty name."""
+    out, at, n = [], 0, len(page)
+    while at < n and (m := _TOKEN.search(page, at)):
+        name, ending, attributes = (m[2] or m[5] or "").lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        at = m.end()
+        if name in RAW:
+            if not ending and not attributes.endswith("/"):
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else n
+            name = ""
+        out.append((m.start(), at, name, ending, attributes))
+    return out
+
+
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in RAW}
+
+
+def _unclosed(tags: list[tuple[int, int, str, bool, str]]) -> set[int]:
+    """Places in ``tags`` of the start tags of dropped elements that no end tag belongs to."""
+    open_: dict[str, list[int]] = {}
+    for k, (_, _, name, ending, _) in enumerate(tags):
+        if name in DROPPED:
+            if not ending:
+                open_.setdefault(name, []).append(k)
+            elif open_.get(name):
+                open_[name].pop()
+    return {k for places in open_.values() for k in places}
+
+
+class _Stack:
+    """Open elements, with the places of each name, so that no lookup walks the stack."""
+
+    def __init__(self, root: _Element):
+        self.items, self.at, self.blocks, self.loose = [root], {}, [], []
+
+    def last(self, names) -> int:
+        """Place of the innermost open element of these names, 0 if there is none."""
+        return max((places[-1] for x in names if (places := self.at.get(x))), default=0)
+
+    def push(self, e: _Element, loose: bool) -> None:
+        k = len(self.items)
+        self.items.append(e)
+        self.at.setdefault(e.name, []).append(k)
+        if e.name in BLOCKS:
+            self.blocks.append(k)
+        if loose:
+            self.loose.append(k)
+
+    def cut(self, k: int) -> None:
+        """Close the element at place ``k`` and all inside it."""
+        while len(self.items) > k:
+            self.at[self.items.pop().name].pop()
+        for places in (self.blocks, self.loose):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag: closes the innermost element of its name, if one is open within reach."""
+        k = self.last((name,))
+        if k and (name in ACROSS or k >= self.last(BARRIERS)):
+            self.cut(k)
+
+    def start(self, name: str) -> None:
+        """What a start tag closes: unclosed media and options and an open paragraph before a block, and siblings of its own kind."""
+        if name in BLOCKS:
+            if self.loose:
+                self.cut(self.loose[0])
+            if self.blocks and self.items[self.blocks[-1]].name == "p":
+                self.cut(self.blocks[-1])
+        if name == "body" and (k := self.last(("head",))):
+            self.cut(k)
+        if name in ("a", "option") and (k := self.last((name,))) > (self.blocks[-1] if self.blocks else 0):
+            self.cut(k)
+        if name in CLOSES:
+            ended, until = CLOSES[name]
+            above = self.last(until)
+            if name == "tr":  # all cells and rows of its table
+                inside = [places[i] for x in ended if (places := self.at.get(x)) and (i := bisect_right(places, above)) < len(places)]
+                if inside:
+                    self.cut(min(inside))
+            elif (k := self.last(ended)) > above:
+                self.cut(k)
 
 
 def blocks(page: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
     """(text, characters of link texts, innermost element) of each block in page order, and all elements, parents first."""
     root = _Element("", None)
-    stack, out, elements = [root], [], [root]
+    stack, out, elements = _Stack(root), [], [root]
     paths: dict[tuple[int, str], int] = {}
     parts: list[str] = []
     linked, owner = 0, root
@@ -118,68 +209,40 @@ def blocks(page: str) -> tuple[list[tuple[str, int, _Element]], list[_Element]]:
 
     def text(piece: str) -> None:
         nonlocal linked, owner
-        if piece:
+        if piece and not stack.items[-1].dropped:
             if not parts:
                 if piece.isspace():
                     return
-                owner = stack[-1]
+                owner = stack.items[-1]
             parts.append(piece)
-            if any(e.name == "a" for e in stack[-3:]):
+            if stack.at.get("a"):
                 linked += len(piece)
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+    tags, at = _tags(page), 0
+    unclosed = _unclosed(tags)
+    for k, (start, end, name, ending, attributes) in enumerate(tags):
+        text(page[at:start])
+        at = end
         if not name:
             continue
-        ending, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if name in RAW:
-            if not ending and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
         if name in VOID:
             if name in ("br", "hr") and parts:
                 parts.append(" ")
             continue
-        if name in BLOCKS:
-            if name in ("td", "th"):
-                if parts:
-                    parts.append(" ")
-            else:
-                close()
+        if name in ("td", "th"):
+            if parts:
+                parts.append(" ")
+        elif name in BLOCKS:
+            close()
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if stack[k].name in ("article", "main", "table") and name not in ("body", "html", "article", "main", "div", "section", "table"):
-                    break
+            stack.end(name)
             continue
-        if name in BLOCKS:
-            for k in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph
-                if stack[k].name == "p":
-                    del stack[k:]
-                    break
-                if stack[k].name in BLOCKS:
-                    break
-        if name in CLOSES:
-            ended, until = CLOSES[name]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name in until:
-                    break
-                if stack[k].name in ended:
-                    del stack[k:]
-                    if name != "tr":
-                        break
-        stack.append(_Element(name, stack[-1], attributes, paths))
-        elements.append(stack[-1])
+        stack.start(name)
+        if name in DROPPED and attributes.endswith("/"):
+            continue
+        elements.append(_Element(name, stack.items[-1], attributes, paths))
+        stack.push(elements[-1], k in unclosed)
+    text(page[at:])
     close()
     return out, elements
 
@@ -219,9 +282,7 @@ def shares(found: list[tuple[str, int, _Element]], elements: list[_Element]) ->
         m = (len(text) - (1 - LINKED) * linked) * e.weight
         e.mass += m
         e.held += 1
-        while e.above and e.name not in BLOCKS:
-            e = e.above
-        kin[id(e.above), e.path] = kin.get((id(e.above), e.path), 0.0) + m
+        kin[id(e.node.above), e.path] = kin.get((id(e.node.above), e.path), 0.0) + m
     for e in reversed(elements):
         if e.above:
             e.above.mass += e.mass
@@ -233,10 +294,7 @@ def shares(found: list[tuple[str, int, _Element]], elements: list[_Element]) ->
         best[id(e)] = max(own, best[id(e.above)]) if e.above else own
     out = []
     for _, _, e in found:
-        node = e
-        while node.above and node.name not in BLOCKS:
-            node = node.above
-        out.append(max(best[id(e)], kin[id(node.above), node.path] / total))
+        out.append(max(best[id(e)], kin[id(e.node.above), e.node.path] / total))
     for k in range(len(out) - 2, -1, -1):
         if found[k][2].name in HEADINGS:
             out[k] = max(out[k], out[k + 1])
@@ -251,7 +309,6 @@ def shares(found: list[tuple[str, int, _Element]], elements: list[_Element]) ->
 def extract_text(page: str, sigma: float = SIGMA, gain: float = GAIN, share: float = SHARE) -> str:
     """The main text of one page."""
     found, elements = blocks(page)
-    found = [b for b in found if not b[2].dropped]
     if not found:
         return ""
     scores = [r * e.weight * (1 + gain * s * s) for r, s, (_, _, e) in zip(ratios(found, sigma), shares(found, elements), found)]

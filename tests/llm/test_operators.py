@@ -8,6 +8,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -136,6 +137,12 @@ def test_tokens_exact(name):
     assert [np.frombuffer(x, np.uint32).tolist() for x in e.ids(texts)] == want
 
 
+@pytest.mark.parametrize("text", [" " * 2_000_000, "a" + " " * 2_000_000 + "b", "\n" * 2_000_000 + " x", "q\t" + "\t" * 2_000_000, "x" + " \n\t\r" * 400_000 + " yes", "x" + " " * 99_998 + "y"])
+def test_tokens_of_long_white_space(text):
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(encoding.make_encoder(path).ids([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts_whole_query(spark):
     t = Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -465,6 +472,34 @@ def test_html_names_have_bounded_weight(spark):
     assert len(html_extraction.extract_text("<div>" * 20_000 + body)) > 100
 
 
+TAIL = "<article><h1>Title of it</h1>" + "".join(f"<p>Some words of paragraph {k}, quite a few; and more of them.</p>" for k in range(6)) + "</article>"
+
+
+@pytest.mark.parametrize("before", [
+    "<datalist id=x><option>A<option>B</datalist>", "<select><option>A<option>B</select>", "<video src=x>", "<audio src=x>", "<object data=x>", "<canvas>", "<svg><path d=''>", "<template><i>x</i></template>",
+    "<video><source src=a></video><video src=b>", "<noscript>Turn it on</noscript>", "<option>A<option>B", "<iframe src=x></iframe>", "<head><meta charset=x><title>T</title>", "</b></i></div></p>",
+])
+def test_html_keeps_text_behind_unclosed_elements(before):
+    want = html_extraction.extract_text(f"<body>{TAIL}</body>")
+    assert want.count("\n") == 6
+    assert html_extraction.extract_text(f"<body>{before}{TAIL}</body>") == want
+
+
+def test_html_links_at_any_depth_and_inline_media():
+    found, _ = html_extraction.blocks("<p><a href=x><b><i><span>deep link</span></i></b></a> plain</p><p>one <svg><text>no</text></svg>two<button>Press</button></p>")
+    assert [(t, n) for t, n, _ in found] == [("deep link plain", 9), ("one two", 0)]
+
+
+@pytest.mark.parametrize("page", [
+    "<span>" * 100_000 + "</b>" * 100_000, "<b><table>" + "<span>" * 100_000 + "</b>" * 100_000, "<span>" * 50_000 + "<p>x</p>" * 50_000, "<span>" * 50_000 + "x</div>" * 50_000,
+    "<ul>" + "<li><b>" * 60_000, "<table>" + "<tr><td><i>" * 50_000, "<a>" * 100_000 + "x", "<video>" * 100_000 + "x<p>y", "<p>x" * 100_000,
+])
+def test_html_time_grows_with_length(page):
+    began = time.process_time()
+    html_extraction.extract_text(page + TAIL)
+    assert time.process_time() - began < 6
+
+
 def chat_model(spark, d=SF):
     return chat_format.fit(chat_format.with_raw(spark.read.parquet(f"{d}/conversations.parquet")))
 
