@@ -1,7 +1,8 @@
 """Captures from files: raw sample formats, WAV, and SigMF recordings; synthetic samples.
 
-Files are listed and read by Spark's own readers, so any store that Spark reaches will do; decoding is an Arrow
-function on the bytes.  One file is one row until it's cut into blocks.
+Files are read by byte ranges (:mod:`.ranges`), so a file may be of any size and is read by many tasks.  In a store that only
+Spark's readers reach, and for decoders registered without a sample size, a file is one row of Spark's binary reader, 2 GB at
+most, until it's cut into blocks; decoding is an Arrow function on the bytes either way.
 """
 
 from __future__ import annotations
@@ -138,7 +139,7 @@ class Capture:
     def read(self, spark: SparkSession, path: str, block: int = 65_536) -> DataFrame:
         """Blocks of the files under ``path``, with rate and centre."""
         name, options = self.decoder
-        out = decode(spark.read.format("binaryFile").load(path), name, block, **options)
+        out = read_raw(spark, path, name, block=block, **options)
         return out.withColumns({"sample_rate_hz": F.lit(float(self.sample_rate_hz)), "center_freq_hz": F.lit(None if self.center_frequency_hz is None else float(self.center_frequency_hz)).cast("double")})
 
 
@@ -188,15 +189,20 @@ def decode(df: DataFrame, format: str | dict[str, tuple[str, dict]], block: int
     return df.select(*keep, content, *([format_col] if format_col else [])).mapInArrow(run, schema)
 
 
-def read_raw(spark: SparkSession, path: str, format: str, **options) -> DataFrame:
-    """Blocks of the files under ``path``."""
-    return decode(spark.read.format("binaryFile").load(path), format, **options)
+def read_raw(spark: SparkSession, path: str, format: str, block: int = 65_536, **options) -> DataFrame:
+    """Blocks (path, seq, sample_start, i, q) of the files under ``path``."""
+    from . import ranges
+
+    if format in ranges.PAIR_BYTES and ranges.readable(path):
+        return ranges.read_files(spark, path, format, block, **options)
+    whole = decode(spark.read.format("binaryFile").load(path), format, block, **options)
+    return whole.select("path", "seq", (F.col("seq") * block).alias("sample_start"), "i", "q")
 
 
 # -- SigMF -----------------------------------------------------------------------------------------
 #: SigMF data types and their decoders.
 SIGMF_TYPES = {"cf32_le": ("cf32", {}), "cf32_be": ("cf32", {"endian": "big"}), "ci16_le": ("ci16", {}), "ci16_be": ("ci16", {"endian": "big"}), "cu8": ("u8", {}), "ci8": ("ci8", {})}
-_META = "`global` struct<`core:datatype`: string, `core:sample_rate`: double, `core:version`: string, `core:description`: string>, captures array<struct<`core:sample_start`: bigint, `core:frequency`: double>>, annotations array<struct<`core:sample_start`: bigint, `core:sample_count`: bigint, `core:freq_lower_edge`: double, `core:freq_upper_edge`: double, `core:label`: string, `core:comment`: string>>"
+_META = "`global` struct<`core:datatype`: string, `core:sample_rate`: double, `core:version`: string, `core:description`: string, `core:offset`: bigint, `core:collection`: string>, captures array<struct<`core:sample_start`: bigint, `core:frequency`: double>>, annotations array<struct<`core:sample_start`: bigint, `core:sample_count`: bigint, `core:freq_lower_edge`: double, `core:freq_upper_edge`: double, `core:label`: string, `core:comment`: string>>"
 
 
 def _stem(column: Column) -> Column:
@@ -204,19 +210,47 @@ def _stem(column: Column) -> Column:
 
 
 def sigmf_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each recording that has both files: name, datatype, rate, centre, size, samples, annotations."""
-    meta = spark.read.schema(_META).option("multiLine", True).json(f"{path}/*.sigmf-meta").select(_stem(F.col("_metadata.file_path")).alias("name"), "*")
-    data = spark.read.format("binaryFile").load(f"{path}/*.sigmf-data").select(_stem(F.col("path")).alias("name"), "path", "length")
+    """One row for each data file that has a meta file: name, path, datatype, rate, centre, size, samples, first_sample, annotations.
+
+    A recording in several segments has a row for each: their name is that of their collection, and ``first_sample`` is a
+    segment's place in the recording.
+    """
+    meta = spark.read.schema(_META).option("multiLine", True).json(f"{path}/*.sigmf-meta").select(_stem(F.col("_metadata.file_path")).alias("stem"), "*")
+    data = spark.read.format("binaryFile").load(f"{path}/*.sigmf-data").select(_stem(F.col("path")).alias("stem"), "path", "length")
     size = F.when(F.col("datatype").startswith("cf32"), 8).when(F.col("datatype").startswith("ci16"), 4).otherwise(2)
-    joined = meta.join(data, "name").select("name", "path", "length", F.col("global")["core:datatype"].alias("datatype"), F.col("global")["core:sample_rate"].alias("sample_rate"), F.element_at("captures", 1)["core:frequency"].alias("center_freq_hz"), "annotations")
-    return joined.withColumn("n_samples", F.floor(F.col("length") / size))
+    own = F.col("global")
+    split = own["core:collection"].isNotNull()
+    joined = meta.join(data, "stem").select(F.coalesce(own["core:collection"], "stem").alias("name"), "path", "length", own["core:datatype"].alias("datatype"), own["core:sample_rate"].alias("sample_rate"), F.element_at("captures", 1)["core:frequency"].alias("center_freq_hz"), F.coalesce(own["core:offset"], F.lit(0)).alias("first_sample"), "annotations", split.alias("__split"))
+    # segments that have been joined to one file count no more
+    whole = meta.where(~split).select(F.col("stem").alias("name"), F.lit(True).alias("__split"))
+    return joined.join(whole, ["name", "__split"], "left_anti").drop("__split").withColumn("n_samples", F.floor(F.col("length") / size))
 
 
 def read_sigmf(spark: SparkSession, path: str, block: int = 65_536) -> DataFrame:
-    """Blocks (name, sample_rate, center_freq_hz, seq, i, q) of all recordings under ``path``."""
-    known = sigmf_catalogue(spark, path)
+    """Blocks (name, sample_rate, center_freq_hz, seq, sample_start, i, q) of all recordings under ``path``.
+
+    ``sample_start`` is a block's place in its recording and seq the block of that place.
+    """
+    from . import ranges
+
+    known, keep = sigmf_catalogue(spark, path), ("name", "sample_rate", "center_freq_hz")
+    if ranges.readable(path):
+        return ranges.read_ranges(known, SIGMF_TYPES, block, keep)
     data = spark.read.format("binaryFile").load(f"{path}/*.sigmf-data").select("path", "content").join(known.drop("length"), "path")
-    return decode(data, SIGMF_TYPES, block, keep=("name", "sample_rate", "center_freq_hz"), format_col="datatype")
+    start = F.col("first_sample") + F.col("seq") * block
+    whole = decode(data, SIGMF_TYPES, block, keep=(*keep, "first_sample"), format_col="datatype")
+    return whole.select(*keep, F.floor(start / block).alias("seq"), start.alias("sample_start"), "i", "q")
+
+
+_NOTE_KEYS = {"sample_start": "core:sample_start", "sample_count": "core:sample_count", "freq_lower_hz": "core:freq_lower_edge", "freq_upper_hz": "core:freq_upper_edge", "label": "core:label", "comment": "core:comment"}
+
+
+def sigmf_meta(rate: float | None, center: float | None, description: str = "", notes=(), **more) -> bytes:
+    """A meta file; ``more`` are further global fields, without their prefix."""
+    marks = [{_NOTE_KEYS[c]: v for c, v in note.items() if v is not None} for note in notes or ()]
+    own = {"datatype": "cf32_le", "sample_rate": rate, "version": "1.0.0", "description": description, **more}
+    meta = {"global": {f"core:{k}": v for k, v in own.items()}, "captures": [{"core:sample_start": 0, "core:frequency": center}], "annotations": marks}
+    return json.dumps(meta, indent=2).encode("utf-8")
 
 
 def write_sigmf(df: DataFrame, path: str, description: str = "", annotations: DataFrame | None = None) -> DataFrame:
@@ -231,8 +265,6 @@ def write_sigmf(df: DataFrame, path: str, description: str = "", annotations: Da
     else:
         notes = annotations.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("sample_start", "sample_count", "freq_lower_hz", "freq_upper_hz", "label", "comment"))).alias("__notes"))
         rows = df.join(notes, "name", "left")
-    keys = {"sample_start": "core:sample_start", "sample_count": "core:sample_count", "freq_lower_hz": "core:freq_lower_edge", "freq_upper_hz": "core:freq_upper_edge", "label": "core:label", "comment": "core:comment"}
-
     def run(batches):
         from pyarrow import fs
 
@@ -244,10 +276,8 @@ def write_sigmf(df: DataFrame, path: str, description: str = "", annotations: Da
                 pairs = np.stack([i.astype("<f4"), q.astype("<f4")], axis=1)
                 with store.open_output_stream(f"{root}/{name}.sigmf-data") as f:
                     f.write(pairs.tobytes())
-                marks = [{keys[c]: v for c, v in note.items() if v is not None} for note in noted or ()]
-                meta = {"global": {"core:datatype": "cf32_le", "core:sample_rate": rate, "core:version": "1.0.0", "core:description": description}, "captures": [{"core:sample_start": 0, "core:frequency": center}], "annotations": marks}
                 with store.open_output_stream(f"{root}/{name}.sigmf-meta") as f:
-                    f.write(json.dumps(meta, indent=2).encode("utf-8"))
+                    f.write(sigmf_meta(rate, center, description, noted))
                 counts.append(len(pairs))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["name", "n_samples"])
 

@@ -1,7 +1,7 @@
 """Recordings as a set of SigMF files: record with a limit, annotate, list, find, delete, export; sources by name.
 
-A recording is a data file and a meta file in one folder.  Files are written by tasks, one recording each, through a file
-system that all of them share; annotations are a table until a recording is written.
+A recording is a data file and a meta file in one folder, or a collection of such segments.  Files are written by tasks through a
+file system that all of them share (:mod:`.sink`); annotations are a table until a recording is written.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ import zipfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .captures import read_raw, read_sigmf, sigmf_catalogue, synthetic, write_sigmf
+from ..operators.order import Stored
+from .captures import read_raw, read_sigmf, sigmf_catalogue, synthetic
+from .ranges import store_of
+from .sink import finished, old_files, write_recordings
 
 ANNOTATIONS = "name string, sample_start long, sample_count long, freq_lower_hz double, freq_upper_hz double, label string, comment string"
 
@@ -27,16 +29,15 @@ def within(blocks: DataFrame, seconds: float, key: str = "name", ts: str = "ts")
     return blocks.join(first, key).where(age < seconds).drop("__first")
 
 
-def record(blocks: DataFrame, path: str, seconds: float | None = None, annotations: DataFrame | None = None, description: str = "") -> DataFrame:
+def record(blocks: DataFrame, path: str, seconds: float | None = None, annotations: DataFrame | None = None, description: str = "", overwrite: bool = False) -> DataFrame:
     """Write blocks (name, seq, sample_rate, center_freq_hz, i, q; ts with a limit) as recordings; name and samples of each.
 
-    A recording is written by one task as one file, as its format wants; its blocks are put in order there.
+    Tasks write ranges of blocks as parts (:mod:`.sink`), so a recording may be larger than any task's memory; then each
+    recording becomes one data file, its annotations in its meta file.
     """
     kept = blocks if seconds is None else within(blocks, seconds)
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "i", "q")))
-    whole = kept.groupBy("name").agg(F.first("sample_rate").alias("sample_rate"), F.first("center_freq_hz").alias("center_freq_hz"), ordered.alias("b"))
-    flat = whole.select("name", "sample_rate", "center_freq_hz", F.flatten("b.i").alias("i"), F.flatten("b.q").alias("q"))
-    return write_sigmf(flat, path, description, annotations)
+    written = write_recordings(kept, path, description, overwrite=overwrite)
+    return Stored(blocks.sparkSession).write(finished(blocks.sparkSession, path, annotations, description, written))
 
 
 def record_stream(blocks: DataFrame, path: str, checkpoint: str, seconds: float):
@@ -60,8 +61,10 @@ def record_stream(blocks: DataFrame, path: str, checkpoint: str, seconds: float)
     return limited.writeStream.partitionBy("name").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path, format="parquet")
 
 
-def annotate(annotations: DataFrame, name: str, sample_start: int, sample_count: int, freq_lower_hz: float, freq_upper_hz: float, label: str, comment: str = "") -> DataFrame:
-    """The table of annotations with one more row."""
+def annotate(annotations: DataFrame, name: str, sample_start: int, sample_count: int, freq_lower_hz: float, freq_upper_hz: float, label: str, comment: str = "", active: frozenset[str] | None = None) -> DataFrame:
+    """The table of annotations with one more row; where ``active`` is given, only for a recording that it names."""
+    if active is not None and name not in active:
+        raise ValueError(f"{name} isn't being recorded")
     row = annotations.sparkSession.createDataFrame([(name, sample_start, sample_count, freq_lower_hz, freq_upper_hz, label, comment)], ANNOTATIONS)
     return annotations.unionByName(row)
 
@@ -76,39 +79,37 @@ def find(spark: SparkSession, path: str, name: str) -> DataFrame:
     return sigmf_catalogue(spark, path).where(F.col("name") == name)
 
 
-def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def delete(path: str, name: str, active: frozenset[str] = frozenset()) -> bool:
     """Remove a recording's files, meta first; False if there are none.  One that is being written is refused."""
     if name in active:
         raise ValueError(f"{name} is being recorded")
-    store, root = _store(path)
-    files = [f"{root}/{name}.sigmf-{kind}" for kind in ("meta", "data")]
-    there = [f for f in files if store.get_file_info(f).type == fs.FileType.File]
+    store, root = store_of(path.rstrip("/"))
+    there = old_files(store, root, name)
     for f in there:
         store.delete_file(f)
     return bool(there)
 
 
 def export_zip(names: DataFrame, path: str, to: str) -> DataFrame:
-    """One archive ``to``/name.zip with both files of each recording named in ``names``, written by tasks; name and bytes.
+    """One archive ``to``/name.zip with all files of each recording named in ``names``, written by tasks; name and bytes.
 
     Files are copied through in pieces, so an archive may be larger than memory.
     """
 
     def run(batches):
-        store, root = _store(path)
-        target, folder = _store(to)
+        store, root = store_of(path.rstrip("/"))
+        target, folder = store_of(to.rstrip("/"))
         for b in batches:
             sizes = []
             for name in b.column(0).to_pylist():
                 with target.open_output_stream(f"{folder}/{name}.zip") as out:
                     counted = _Counted(out)
                     with zipfile.ZipFile(counted, "w", zipfile.ZIP_DEFLATED) as archive:
-                        for kind in ("meta", "data"):
-                            with store.open_input_stream(f"{root}/{name}.sigmf-{kind}") as source, archive.open(f"{name}.sigmf-{kind}", "w", force_zip64=True) as entry:
+                        there = old_files(store, root, name)
+                        if not there:
+                            raise FileNotFoundError(f"no recording {name}")
+                        for file in there:
+                            with store.open_input_stream(file) as source, archive.open(file.rpartition("/")[2], "w", force_zip64=True) as entry:
                                 while piece := source.read(1 << 20):
                                     entry.write(piece)
                 sizes.append(counted.n)
