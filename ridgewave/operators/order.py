@@ -51,17 +51,22 @@ class Stored:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """``df`` with ``place``, each row's number from 0 among its key's rows in order.
+def accumulated(df: DataFrame, key: str, weight: str, *order: str) -> DataFrame:
+    """``df`` with ``place``, the sum of ``weight`` over its key's rows before each row in order.
 
-    Rows are range-partitioned by key and order, so a key of any size is spread; a row's place is its place in its
-    partition plus the rows of its key in the partitions before, a table of one row for each key and partition.
+    Rows are range-partitioned by key and order, so a key of any size is spread; a row's place comes from its partition and
+    the sums of its key in the partitions before, a table of one row for each key and partition.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut_lineage(df.repartitionByRange(n, key, *order).withColumn("__part", F.spark_partition_id()))
-    sizes = dealt.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select(F.col(key).alias("__key"), F.col("__part").alias("__at"), before.alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part", key).orderBy(*order))
-    joined = dealt.withColumn("__row", inside).join(starts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__at")))
-    return joined.withColumn("place", F.col("__before") + F.col("__row") - 1).drop("__part", "__row", "__key", "__at", "__before")
+    sizes = dealt.groupBy(key, "__part").agg(F.sum(weight).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(key).alias("__start_key"), F.col("__part").alias("__at"), before.alias("__before"))
+    inside = F.coalesce(F.sum(weight).over(Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = dealt.withColumn("__inside", inside).join(starts, F.col(key).eqNullSafe(F.col("__start_key")) & (F.col("__part") == F.col("__at")))
+    return joined.withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__start_key", "__at", "__before")
+
+
+def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df`` with ``place``, each row's number from 0 among its key's rows in order."""
+    return accumulated(df.withColumn("__one", F.lit(1).cast("long")), key, "__one", *order).drop("__one")

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import micros
+from .order import accumulated
+from .scan import Cooldown, scan
 
 #: Most rows of a rule table, one a bucket, that are broadcast; larger ones are joined by a shuffle.
 MAX_RULES = 10_000
@@ -104,24 +105,10 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
 def alerts(violations: DataFrame, cooldown_s: float = 5.0, rule: str = "rule_id", ts: str = "ts", tie: str = "detection_id") -> DataFrame:
     """Violations that raise an alert: the first one of a rule, then the first one after each cooldown.
 
-    Whether a row alerts depends on the alert before it, so a rule's rows are sorted and folded in one pass that
-    keeps a single time; memory doesn't grow with the rule.
+    A rule's rows are spread over tasks by time; a range of them is a table of jumps between alerts (:mod:`.scan`).
     """
-    names = violations.columns
-
-    def fold(batches):
-        seen, last = object(), 0.0
-        for b in batches:
-            stay = []
-            for k, (r, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                if r != seen or t - last >= cooldown_s:
-                    seen, last = r, t
-                    stay.append(k)
-            yield b.take(pa.array(stay, pa.int64())).select(names)
-
-    rows = violations.select(F.col(rule).alias("__rule"), (micros(ts) / 1e6).alias("__t"), *names)
-    dealt = rows.repartition("__rule").sortWithinPartitions("__rule", "__t", tie)
-    return dealt.mapInArrow(fold, violations.schema)
+    timed = violations.withColumn("__t", micros(ts) / 1e6)
+    return scan(timed, rule, ("__t", tie), ("__t",), Cooldown(cooldown_s)).drop("__t")
 
 
 # -- classification rules --------------------------------------------------------------------------
@@ -213,16 +200,16 @@ def timing_stats(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def index_percentile(df: DataFrame, value: str, p: int, *keys: str) -> DataFrame:
-    """The value at place int(n * p / 100) of the sorted values, exactly, by counting distinct values.
+    """The value at place int(n * p / 100) of the sorted values, exactly.
 
-    Values are counted per key before any shuffle of rows, and only counts are ordered.
+    Values are counted per key before any shuffle of rows; counts are added up in order over ranges of key and value
+    (:func:`.order.accumulated`), so continuous values of one key are spread as well.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    every = Window.partitionBy(*keys)
-    at = counts.withColumn("__to", F.sum("__n").over(w)).withColumn("__all", F.sum("__n").over(every))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n")).withColumn("__key", F.struct(*keys) if keys else F.lit(0))
+    all_ = counts.groupBy("__key").agg(F.sum("__n").alias("__all"))
+    placed = accumulated(counts, "__key", "__n", value).join(all_.withColumnRenamed("__key", "__own"), F.col("__key").eqNullSafe(F.col("__own")))
     place = F.least(F.floor(F.col("__all") * p / 100), F.col("__all") - 1)
-    return at.where((F.col("__to") > place) & (F.col("__to") - F.col("__n") <= place)).select(*keys, F.col(value).alias(f"p{p}"))
+    return placed.where((F.col("place") <= place) & (F.col("place") + F.col("__n") > place)).select(*keys, F.col(value).alias(f"p{p}"))
 
 
 def benchmark_stats(df: DataFrame, drop_percent: str, *keys: str) -> DataFrame:

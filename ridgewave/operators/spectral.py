@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import map_frames
 from ..functions.windows import window
+from .scan import Average, PeakHold, Persistence, Recurrence, scan
 
 
 @dataclass(frozen=True)
@@ -162,75 +161,38 @@ def channelized(x: np.ndarray, channels: int, taps_each: int = 8) -> np.ndarray:
     return np.fft.fft(out, axis=2).transpose(0, 2, 1)
 
 
-# -- running values over frames in order -----------------------------------------------------------
+# -- recurrences over frames in order --------------------------------------------------------------
 def held_peaks(df: DataFrame, key: str, order: str, column: str, decay: float = 0.0) -> DataFrame:
-    """key, order, bin and value: the larger of each new value and the held one less ``decay`` a frame.
-
-    The held value is the largest of x + decay n so far, less decay n, so it is a window over each bin, and bins
-    of a key are spread over tasks.
-    """
-    bins = df.select(F.col(key), F.col(order), F.posexplode(column).alias("bin", "x"))
-    w = Window.partitionBy(key, "bin").orderBy(order)
-    n = F.row_number().over(w) * decay
-    raised = bins.withColumn("n", n)
-    top = F.max(F.col("x") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return raised.select(key, order, "bin", (top - F.col("n")).alias("value"))
+    """key, order, bin and value: the larger of each new value and the held one less ``decay`` a frame."""
+    held = fold_frames(df, key, order, column, PeakHold(decay))
+    return held.select(key, order, F.posexplode("state").alias("bin", "value"))
 
 
-# -- folds over frames in order --------------------------------------------------------------------
-def fold_frames(df: DataFrame, key: str, order: str, column: str, step: Callable, keep_all: bool = True) -> DataFrame:
-    """A running state over the frames of each key in order: ``state = step(state, frame, n)``, None before the first.
+def fold_frames(df: DataFrame, key: str, order: str, column: str, step: Recurrence, keep_all: bool = True) -> DataFrame:
+    """key, order and state: a running state over the frames of each key in order; each key's last one only without ``keep_all``.
 
-    Frames of a key are sorted and streamed through one task, which holds a single state at a time.
+    Frames of a key are spread over tasks (:func:`.scan.scan`).
     """
-    dealt = df.select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.col(column).alias("__frame")).repartition("__key").sortWithinPartitions("__key", "__order")
-
-    def run(batches):
-        now, state, n = object(), None, 0
-        held = None
-        for b in batches:
-            keys, orders, states = [], [], []
-            for k, o, frame in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if k != now:
-                    if held is not None and not keep_all:
-                        keys.append(held[0]), orders.append(held[1]), states.append(state.tolist())
-                    now, state, n = k, None, 0
-                n += 1
-                state = step(state, np.array(frame.as_py(), float), n)
-                held = (k, o)
-                if keep_all:
-                    keys.append(k), orders.append(o), states.append(state.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(orders, b.schema.field(1).type), pa.array(states, pa.list_(pa.float64()))], names=["__key", "__order", "state"])
-        if held is not None and not keep_all:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], b.schema.field(0).type), pa.array([held[1]], b.schema.field(1).type), pa.array([state.tolist()], pa.list_(pa.float64()))], names=["__key", "__order", "state"])
-
-    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
-    return dealt.mapInArrow(run, f"__key {kinds[key]}, __order {kinds[order]}, state array<double>").select(F.col("__key").alias(key), F.col("__order").alias(order), "state")
-
-
-def ema(alpha: float) -> Callable:
+    rows = df.select(F.col(key).alias("__key"), F.col(order).alias("__order"), F.col(column).cast("array<double>").alias("__frame"))
+    out = scan(rows, "__key", ("__order",), ("__frame",), step, "state array<double>", last_only=not keep_all)
+    return out.select(F.col("__key").alias(key), F.col("__order").alias(order), "state")
+
+
+def ema(alpha: float) -> Recurrence:
     """alpha * new + (1 - alpha) * old, from the first frame on."""
-    return lambda state, x, n: x if state is None else alpha * x + (1 - alpha) * state
+    return Average(alpha)
 
 
-def running_average(most: int) -> Callable:
+def running_average(most: int) -> Recurrence:
     """An average whose weight is 1 / min(n, most)."""
-    return lambda state, x, n: x if state is None else state + (x - state) / min(n, most)
+    return Average(None, most)
 
 
-def peak_hold(decay: float = 0.0) -> Callable:
+def peak_hold(decay: float = 0.0) -> Recurrence:
     """The larger of the new value and the held one less ``decay``."""
-    return lambda state, x, n: x if state is None else np.maximum(state - decay, x)
+    return PeakHold(decay)
 
 
-def persistence(levels: int, low: float, high: float, decay: float = 0.02, gain: float = 0.3) -> Callable:
+def persistence(levels: int, low: float, high: float, decay: float = 0.02, gain: float = 0.3) -> Recurrence:
     """bins x levels: every cell fades by ``decay`` a frame, and the cells of the frame's levels gain."""
-
-    def step(state, x, n):
-        del n
-        grid = np.zeros((len(x), levels)) if state is None else np.maximum(state.reshape(len(x), levels) - decay, 0.0)
-        at = np.clip(((x - low) / (high - low) * levels).astype(int), 0, levels - 1)
-        grid[np.arange(len(x)), at] = np.minimum(grid[np.arange(len(x)), at] + gain, 1.0)
-        return grid.ravel()
-
-    return step
+    return Persistence(levels, low, high, decay, gain)

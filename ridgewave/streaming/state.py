@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.scan import Cooldown, Throttle, scan
+
 Step = Callable[[dict | None, dict], tuple[dict, list[dict]]]
 
 
@@ -57,6 +59,7 @@ def alert_step(cooldown_s: float) -> Step:
             return state, []
         return {"last": row["t"]}, [row]
 
+    step.scan = lambda df, key, order: scan(df, key, (order,), ("t",), Cooldown(cooldown_s))
     return step
 
 
@@ -79,6 +82,7 @@ def throttle_step(on: float = 85.0, off: float = 50.0) -> Step:
         active = row["fill"] > on or (active and row["fill"] >= off)
         return {"active": active}, [{"t": row["t"], "fill": row["fill"], "throttled": active}]
 
+    step.scan = lambda df, key, order: scan(df, key, (order,), ("fill",), Throttle(on, off), "throttled boolean")
     return step
 
 
@@ -176,7 +180,9 @@ def stream(df: DataFrame, key: str, step: Step, output: str, order: str = "t", t
 
 
 def replay(df: DataFrame, key: str, step: Step, output: str, order: str = "t") -> DataFrame:
-    """The step over a table: keys are sorted and streamed, one state in memory at a time."""
+    """The step over a table: where runs of the step compose, a key is spread over tasks; else keys are sorted and streamed, one state in memory at a time."""
+    if hasattr(step, "scan"):
+        return step.scan(df, key, order).select(key, *(c.split()[0] for c in output.split(", ")))
     kind = df.schema[key].dataType.simpleString()
     names = [c.split()[0] for c in output.split(", ")]
 
