@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import map_frames
@@ -42,6 +42,11 @@ class Cfar:
         n = 2 * self.reference
         return n * (self.pfa ** (-1 / n) - 1)
 
+    @staticmethod
+    def alpha_of(reference: Column, pfa: Column) -> Column:
+        """The threshold factor as a column, for settings that come from a table."""
+        return 2 * reference * (F.pow(pfa, -1 / (2 * reference)) - 1)
+
     def noise(self, psd: np.ndarray) -> np.ndarray:
         """Noise estimate of every cell of (frames, bins)."""
         r, g, n = self.reference, self.guard, psd.shape[1]

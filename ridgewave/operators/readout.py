@@ -91,6 +91,12 @@ def bands(spark) -> DataFrame:
     return spark.createDataFrame([(n, list(a), c, lo, hi) for n, a, c, lo, hi in BANDS], "name string, aliases array<string>, category string, f_min_mhz int, f_max_mhz int")
 
 
+def bands_by_name(df: DataFrame, asked: str) -> DataFrame:
+    """``df`` with the band (name, category, f_min_mhz, f_max_mhz) whose name or alias ``asked`` is, in any case; nulls if there is none."""
+    known = bands(df.sparkSession).select(F.explode(F.concat(F.array("name"), "aliases")).alias("__spelling"), "name", "category", "f_min_mhz", "f_max_mhz")
+    return df.join(F.broadcast(known), F.lower(asked) == F.col("__spelling"), "left").drop("__spelling")  # a fixed table
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, bucket: float, max_rules: int = MAX_RULES) -> DataFrame:
     """Rows of both sides where low <= point <= high, an equi-join on buckets of ``bucket`` width.
 

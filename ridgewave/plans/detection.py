@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import map_frames
 from ..operators.cfar import Cfar, detect_bins
 from ..operators.peaks import Peaks, detect, local_peaks
-from ..sources.tables import BINS, BINS_SQL, FRAMES_SQL, RATE, psd_frames
+from ..sources.tables import BINS, BINS_SQL, FRAMES_SQL, RATE, psd_frames, table
 
 R, G, PFA = 8, 2, 1e-2
 STEP = RATE / BINS
@@ -129,8 +129,9 @@ def g16_noise_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w05_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold factors of common settings."""
-    return spark.createDataFrame([(r, p) for r in (8, 16, 32, 64) for p in (1e-2, 1e-4, 1e-6, 1e-7)], "reference int, pfa double").select("reference", "pfa", F.round(2 * F.col("reference") * (F.pow("pfa", -1 / (2 * F.col("reference"))) - 1), 6).alias("alpha"))
+    """The threshold factor of each order line's settings: reference cells from its line number, false alarms from its discount."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (4 * F.col("l_linenumber") + 4).alias("reference"), ((F.col("l_discount") + 0.001) / 10).alias("pfa"))
+    return lines.select("l_orderkey", "l_linenumber", F.round(Cfar.alpha_of(F.col("reference"), F.col("pfa")), 6).alias("alpha"))
 
 
 def w07_frames_share_cfar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +156,7 @@ ORACLES = {
     "flagship_detect": FLAGSHIP_SQL,
     **{name: cfar_sql(c.variant, c.edge, c.domain, c.rank) for name, c in _VARIANTS.items()},
     "w10_cfar_db_wrap": cfar_sql("CA", "wrap", "db"),
-    "w05_cfar_alpha": "SELECT CAST(r AS INT) AS reference, CAST(p AS DOUBLE) AS pfa, round(2 * r * (pow(CAST(p AS DOUBLE), -1.0 / (2 * r)) - 1), 6) AS alpha FROM (VALUES (8), (16), (32), (64)) a(r), (VALUES (1e-2), (1e-4), (1e-6), (1e-7)) b(p)",
+    "w05_cfar_alpha": "SELECT l_orderkey, l_linenumber, round((8 * l_linenumber + 8) * (pow((l_discount + 0.001e0) / 10, -1e0 / (8 * l_linenumber + 8)) - 1), 6) AS alpha FROM lineitem",
     "w07_cfar_batched": f"WITH {REGIONS_SQL}, per AS (SELECT frame_id, count(*) FILTER (hit) AS n FROM levels GROUP BY 1) SELECT label, count(*) AS n_frames, CAST(sum(n) AS BIGINT) AS n_detected, CAST(max(n) AS INT) AS most FROM per JOIN frames USING (frame_id) GROUP BY label",
     "w09_threshold_map": cfar_sql("CA", where="").replace("round(noise, 8) AS noise, round(snr, 6) AS snr", "round(threshold, 8) AS threshold, round(p / (snr + 1e-12), 8) AS reference_map"),
     "w12_local_peaks": f"WITH {REGIONS_SQL}, n AS (SELECT *, lag(db, 1, -1e9) OVER w AS l, lead(db, 1, -1e9) OVER w AS r FROM levels WINDOW w AS (PARTITION BY frame_id ORDER BY bin)) SELECT frame_id, bin FROM n WHERE hit AND snr >= 2 AND db >= l AND db >= r QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY bin) <= 128",

@@ -92,7 +92,7 @@ QUERIES = {
     "s10_decode_u16": raw_decode("u16"),
     "s11_guess_format": lambda s, d: table(s, d, "benchmark").select("item_id", captures.guess_format(F.encode("text", "utf-8")).alias("format")),
     "s12_json_meta": sigmf_meta,
-    "s15_synthetic": lambda s, d: captures.synthetic(s, 64, 256, 1e7, noise_db=-400.0).select("seq", F.posexplode("i").alias("n", "i")).select("seq", "n", F.round("i", 6).alias("i")),
+    "s15_synthetic": lambda s, d: captures.synthetic(s, table(s, d, "supplier").select(F.col("s_suppkey").alias("seq")), 64, 1e7, noise_db=-400.0).select("seq", F.posexplode("i").alias("n", "i")).select("seq", "n", F.round("i", 6).alias("i")),
     "s20_safe_names": lambda s, d: table(s, d, "customer").select("c_custkey", msg.safe_file_name(F.concat("c_name", F.lit(" /"), "c_mktsegment")).alias("name")),
     "t02_throttle": throttled,
     "t04_tracks": tracks,
@@ -118,7 +118,7 @@ ORACLES = {
     "s10_decode_u16": f"WITH {_BYTES} SELECT id, CAST(n AS INT) AS n, CAST({_byte('4 * n')} + 256 * {_byte('4 * n + 1')} - 32768 AS DOUBLE) AS i, CAST({_byte('4 * n + 2')} + 256 * {_byte('4 * n + 3')} - 32768 AS DOUBLE) AS q FROM b, unnest(generate_series(0, length(h) // 8 - 1)) u(n)",
     "s11_guess_format": "SELECT item_id, CASE WHEN text LIKE 'RIFF%' THEN 'wav' WHEN strlen(text) % 8 = 0 THEN 'cf32' WHEN strlen(text) % 4 = 0 THEN 'ci16' ELSE 'u8' END AS format FROM benchmark",
     "s12_json_meta": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
-    "s15_synthetic": "SELECT s AS seq, CAST(n AS INT) AS n, round(" + " + ".join(f"{10 ** (db / 20)!r} * cos(2 * pi() * ({hz}) * (s * 256 + n) / 1e7)" for hz, db in captures.TONES) + ", 6) AS i FROM unnest(generate_series(0, 63)) a(s), unnest(generate_series(0, 255)) b(n)",
+    "s15_synthetic": "SELECT s AS seq, CAST(n AS INT) AS n, round(" + " + ".join(f"{10 ** (db / 20)!r} * cos(2 * pi() * ({hz}) * (s * 64 + n) / 1e7)" for hz, db in captures.TONES) + ", 6) AS i FROM (SELECT s_suppkey AS s FROM supplier), unnest(generate_series(0, 63)) b(n)",
     "s20_safe_names": r"SELECT c_custkey, regexp_replace(c_name || ' /' || c_mktsegment, '[^\p{L}\p{N}._-]', '_', 'g') AS name FROM customer",
     "t02_throttle": """WITH e AS (SELECT *, CASE WHEN value > 85 THEN 1 WHEN value < 50 THEN 0 END AS edge FROM events),
 t AS (SELECT user_id, coalesce(last_value(edge IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS on_ FROM e)

@@ -50,10 +50,14 @@ def p08_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
+_ASKED = ("band2", "pcs", "gsm900", "trx0_400", "nothing", "imte", "rxlpf1200", "GSM850")
+
+
 def p13_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = op.bands(spark)
-    names = F.transform(F.concat(F.array("name"), "aliases"), lambda x: F.lower(x))
-    return b.where((F.col("category") == "cellular") | F.array_contains(names, "trx0_400")).select("name", "category", "f_min_mhz", "f_max_mhz")
+    """The band that each customer asks for by a name or an alias in any case, and whether it's a cellular one; none for other words."""
+    asked = F.array(*map(F.lit, _ASKED))[F.pmod(F.col("c_custkey"), F.lit(len(_ASKED)))]
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, F.upper(asked)).otherwise(asked).alias("asked"))
+    return op.bands_by_name(customers, "asked").select("c_custkey", "asked", "name", (F.col("category") == "cellular").alias("cellular"), "f_min_mhz")
 
 
 def j10_band_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,7 +251,9 @@ ORACLES = {
     "p10_bookmarks": "SELECT p_partkey AS id FROM part WHERE p_retailprice * 1e5 BETWEEN 9.5e7 AND 1.3e8 AND (lower(p_name) LIKE '%brand#1%' OR lower(p_brand) LIKE '%brand#1%' OR lower(p_type) LIKE '%brand#1%')",
     "p11_timeline": "SELECT user_id, arg_min(event_id, struct_pack(t := ts, e := event_id)) AS event_id, epoch_us(min(ts)) AS first_us FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 600 MINUTE GROUP BY user_id",
     "p12_top_modulations": f"{D} SELECT modulation_type, count(*) AS n FROM detections GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
-    "p13_bands": f"WITH {_BANDS_SQL} SELECT name, category, lo AS f_min_mhz, hi AS f_max_mhz FROM bands WHERE category = 'cellular' OR name = 'trx0_400'",
+    "p13_bands": f"""WITH {_BANDS_SQL}, names(spelling, name) AS (VALUES {", ".join(f"('{x}', '{n}')" for n, a, *_ in op.BANDS for x in (n, *a))}),
+c AS (SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN upper(a) ELSE a END AS asked FROM (SELECT *, {list(_ASKED)!r}[c_custkey % {len(_ASKED)} + 1] AS a FROM customer))
+SELECT c_custkey, asked, name, category = 'cellular' AS cellular, lo AS f_min_mhz FROM c LEFT JOIN names ON spelling = lower(asked) LEFT JOIN bands USING (name)""",
     "p14_region_filter": f"{D} SELECT count(*) AS n, round(sum(bandwidth_hz), 3) AS hz FROM detections WHERE bandwidth_hz >= 5e3 AND snr_db >= 3",
     "j02_threshold_violations": f"{_VIOLATIONS_SQL} SELECT rule_id, count(*) AS n, max(peak_power_db) AS top_db FROM violations GROUP BY rule_id",
     "j02_alerts": f"""WITH RECURSIVE {_VIOLATIONS_SQL.removeprefix("WITH ")}, strong AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY ts, detection_id) AS n FROM violations),

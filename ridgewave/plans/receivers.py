@@ -261,7 +261,7 @@ QUERIES = {
     "fn_sql_kernels": sql_kernels,
     "b13_demodulate": demodulate,
     "b17_chirp_frames": chirp_symbols,
-    "b19_protocols": lambda s, d: op.protocols(s),
+    "b19_protocols": lambda s, d: op.described(table(s, d, "benchmark").select("item_id", F.array(*(F.lit(n) for n, _ in op.PROTOCOLS), F.lit("other"))[(F.col("item_id") % 6).cast("int")].alias("protocol")), "protocol"),
     "s17_bursts": bursts,
     "k10_iq_message_float": iq_round_trip(False),
     "k11_iq_message_short": iq_round_trip(True),
@@ -298,7 +298,7 @@ SELECT frame_id, CAST(n - 1 AS INT) AS place, round(x[n], 6) + 0 AS v FROM f, un
     "b13_demodulate": f"""WITH {IQ_SQL}, s AS (SELECT frame_id, n, i, q, CASE WHEN i >= 0 THEN CASE WHEN q >= 0 THEN 0 ELSE 3 END ELSE CASE WHEN q >= 0 THEN 1 ELSE 2 END END AS k, pow(i - sign(i) * sqrt(0.5), 2) + pow(q - sign(q) * sqrt(0.5), 2) AS e FROM iq WHERE n % 4 = 2)
 SELECT frame_id, string_agg(CAST(k AS VARCHAR), '' ORDER BY n) AS symbols, string_agg((k & 1) || '' || (k >> 1), '' ORDER BY n) AS bits, round(100 * sqrt(avg(e)), 5) AS evm_percent, round(10 * log10(1 / (avg(e) + 1e-12)), 5) AS snr_db FROM s GROUP BY 1""",
     "b17_chirp_frames": "SELECT item_id, CAST(item_id % 50 AS INT) AS start, array_to_string(list_transform(generate_series(1, 16), lambda p: CAST('0x' || substr(md5(text), 2 * p - 1, 2) AS INT) & 31), ',') AS symbols FROM benchmark",
-    "b19_protocols": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{t}')" for n, t in op.PROTOCOLS) + ") p(name, description)",
+    "b19_protocols": "SELECT item_id, coalesce(name, 'other') AS protocol, description FROM benchmark LEFT JOIN (VALUES " + ", ".join(f"({k}, '{n}', '{t}')" for k, (n, t) in enumerate(op.PROTOCOLS)) + ") p(k, name, description) ON k = item_id % 6",
     "s17_bursts": f"""WITH e AS (SELECT event_id % 500 AS id, event_id AS n FROM events)
 SELECT id, NULL AS error, id % 2 AS kind, id % 64 & 1 AS overflow, n * 1000 AS t_ns, round(CASE WHEN id % 2 = 0 THEN trunc((n % 200 - 100) / 128e0 * 32768) / 32768 ELSE (n % 200 - 100) / 128e0 END, 9) AS i, round((n % 50) / 64e0, 9) AS q FROM e WHERE id % 10 <> 0
 UNION ALL SELECT DISTINCT id, 'magic 0x56414C00, 0x{msg.BURST_MAGIC:08X} is wanted', NULL, NULL, NULL, NULL, NULL FROM e WHERE id % 10 = 0""",

@@ -139,8 +139,16 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def constellations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(m, k, float(p.real), float(p.imag)) for m in ("BPSK", "QPSK", "8PSK") for k, p in enumerate(demod.constellation(m))]
-    return spark.createDataFrame(rows, "modulation string, k int, re double, im double").select("modulation", "k", F.round("re", 9).alias("re"), F.round("im", 9).alias("im"))
+    """How many of each frame's samples lie nearest to each point of three constellations, and how far off they are."""
+    points = {m: demod.constellation(m) for m in ("BPSK", "QPSK", "8PSK")}
+
+    def nearest(i, q):
+        x = i + 1j * q
+        at = {m: demod.decide(x, p) for m, p in points.items()}
+        return [[{"modulation": m, "k": int(k), "error": float(abs(v - points[m][k]) ** 2)} for m in points for v, k in zip(row, at[m][r])] for r, row in enumerate(x)],
+
+    out = map_frames(iq_frames(spark, sf_dir), nearest, ("i", "q"), "d array<struct<modulation: string, k: int, error: double>>", ("frame_id",))
+    return out.select("frame_id", F.explode("d").alias("d")).groupBy("frame_id", "d.modulation", "d.k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("d.error"), 6).alias("error"))
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +216,9 @@ x AS (SELECT frame_id, s, CAST(b AS INT) AS bin, sum(i * cos(t) + q * sin(t)) AS
 SELECT frame_id, bin, round(avg(re * yre + im * yim), 8) + 0 AS re, round(avg(im * yre - re * yim), 8) + 0 AS im FROM x GROUP BY 1, 2""",
     "m19_classification": f"""{_STANDARD}, t(k, modulation, a, b) AS (VALUES {_rows(forensics.CUMULANTS)}), d AS (SELECT frame_id, modulation, k, sqrt(pow(c40_re - a, 2) + pow(c40_im, 2) + pow(c42_re - b, 2)) AS d FROM c, t)
 SELECT frame_id, modulation, round(least(1, greatest(0.1, 0.6e0 * CASE WHEN d < 1e-3 THEN 1 ELSE 1 / (1 + d) END)), 6) AS confidence FROM d QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY round(d, 12), k) = 1""",
-    "b09_constellations": "SELECT * FROM (SELECT 'BPSK' AS modulation, CAST(k AS INT) AS k, CASE k WHEN 0 THEN 1e0 ELSE -1e0 END AS re, 0e0 AS im FROM unnest([0, 1]) u(k) UNION ALL SELECT 'QPSK', CAST(k AS INT), round(cos(pi() * k / 2 + pi() / 4), 9) + 0, round(sin(pi() * k / 2 + pi() / 4), 9) + 0 FROM unnest(generate_series(0, 3)) u(k) UNION ALL SELECT '8PSK', CAST(k AS INT), round(cos(pi() * k / 4), 9) + 0, round(sin(pi() * k / 4), 9) + 0 FROM unnest(generate_series(0, 7)) u(k))",
+    "b09_constellations": f"""WITH {IQ_SQL}, points AS (SELECT 'BPSK' AS modulation, CAST(k AS INT) AS k, CASE k WHEN 0 THEN 1e0 ELSE -1e0 END AS re, 0e0 AS im FROM unnest([0, 1]) u(k) UNION ALL SELECT 'QPSK', CAST(k AS INT), round(cos(pi() * k / 2 + pi() / 4), 15), round(sin(pi() * k / 2 + pi() / 4), 15) FROM unnest(generate_series(0, 3)) u(k) UNION ALL SELECT '8PSK', CAST(k AS INT), round(cos(pi() * k / 4), 15), round(sin(pi() * k / 4), 15) FROM unnest(generate_series(0, 7)) u(k)),
+d AS (SELECT frame_id, n, modulation, min(struct_pack(e := pow(i - re, 2) + pow(q - im, 2), k := k)) AS m FROM iq, points GROUP BY 1, 2, 3)
+SELECT frame_id, modulation, m.k AS k, count(*) AS n, round(sum(m.e), 6) AS error FROM d GROUP BY 1, 2, 3""",
     "g14_constellation_stats": f"WITH {IQ_SQL}, m AS (SELECT frame_id, avg(i * i + q * q) AS p, avg(i) AS mi, avg(q) AS mq FROM iq GROUP BY 1), s AS (SELECT frame_id, p, avg(pow(i - mi, 2) + pow(q - mq, 2)) AS e FROM iq JOIN m USING (frame_id) GROUP BY 1, 2) SELECT frame_id, round(10 * log10(p + 1e-10), 6) AS power_db, round(100 * sqrt(e / p), 6) AS evm_percent, round(greatest(0, least(60, 10 * log10(p / (e + 1e-10)))), 6) AS snr_db FROM s",
     "g02_cumulants_reference": f"{_REFERENCE} SELECT {_R7} FROM c",
     "g02_cumulants_standard": f"{_STANDARD} SELECT {_R7} FROM c",

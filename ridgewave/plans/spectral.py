@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import map_frames
 from ..functions.windows import CORRECTIONS, COSINES, corrections, window
 from ..operators import spectral as op
-from ..sources.tables import BINS_SQL, FRAMES_SQL, IQ_SQL, iq_frames, psd_frames
+from ..sources.tables import BINS_SQL, FRAMES_SQL, IQ_SQL, iq_frames, psd_frames, table
 
 FS = 32_000.0
 SPEC = op.Welch(FS, 16, 0.5)
@@ -38,8 +38,22 @@ _FLAT_SQL = _dft(16, "1", "[0, 1, 2]", False, repr(1 / 256))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, n, float(v)) for k in (*COSINES, "kaiser") for n, v in enumerate(window(k, 64))]
-    return spark.createDataFrame(rows, "window string, n int, value double").select("window", "n", F.round("value", 9).alias("value"))
+    """The sum of each vector under each window."""
+    kinds = (*COSINES, "kaiser")
+    shapes = np.stack([window(k, 64) for k in kinds])
+    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), "embedding")
+    out = map_frames(f, lambda x: (x @ shapes.T,), ("embedding",), "v array<double>", ("frame_id",))
+    names = F.array(*map(F.lit, kinds))
+    return out.select("frame_id", F.explode(F.arrays_zip(names.alias("window"), F.col("v").alias("value"))).alias("x")).select("frame_id", "x.window", F.round("x.value", 6).alias("value"))
+
+
+def window_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each frame's mean power under each window's corrections: amplitude by coherent gain, noise by ENBW, and the gain in dB."""
+    known = [(k, *map(float, corrections(k))) for k in (*CORRECTIONS, "kaiser")]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("window"), F.lit(g).alias("gain"), F.lit(e).alias("enbw"), F.lit(p).alias("db")) for k, g, _, e, p, _ in known))).alias("c")
+    power = F.aggregate("psd", F.lit(0.0), lambda s, x: s + x) / F.size("psd")
+    f = psd_frames(spark, sf_dir).select("frame_id", power.alias("p"), each)
+    return f.select("frame_id", "c.window", F.round(F.col("p") / F.col("c.gain") ** 2, 9).alias("amplitude"), F.round(F.col("p") / F.col("c.enbw"), 9).alias("noise"), F.round(10 * F.log10(F.col("p") + 1e-12) + F.col("c.db"), 6).alias("db"))
 
 
 def _folded(spark, sf_dir, step, db=False) -> DataFrame:
@@ -151,7 +165,7 @@ FROM h c JOIN size USING (label), unnest(generate_series(-5, 5)) o(dt) JOIN h v
 
 QUERIES = {
     "f01_windows": windows,
-    "f03_window_factors": lambda s, d: s.createDataFrame([(k, *map(float, v)) for k, v in CORRECTIONS.items()] + [("kaiser", *(round(x, 9) for x in corrections("kaiser")))], "window string, coherent_gain double, noise_bandwidth double, enbw double, processing_gain_db double, sidelobe_db double"),
+    "f03_window_factors": window_factors,
     "f06_welch_psd": lambda s, d: _bins(op.welch(iq_frames(s, d), SPEC), "psd", "psd", 12, "frame_id"),
     "f07_spectrum_scale": lambda s, d: _bins(op.welch(iq_frames(s, d), op.Welch(FS, 16, 0.5, window="rectangular", scaling="spectrum", detrend=False)), "psd", "psd", 9, "frame_id"),
     "f08_psd_db": lambda s, d: _bins(op.welch(iq_frames(s, d), SPEC), "psd_db", "db", 5, "frame_id").withColumn("freq_hz", F.round((F.col("bin") - 8) * FS / 16, 3)),
@@ -181,12 +195,12 @@ QUERIES = {
     "m02_spectral_shape": shape,
     "g18_mean_power": lambda s, d: iq_frames(s, d).select("frame_id", F.round(10 * F.log10(_mean(F.zip_with("i", "q", lambda a, b: a * a + b * b)) + 1e-12), 7).alias("power_db")),
 }
-_COS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS window, CAST(n AS INT) AS n, round({' + '.join(f'({(-1) ** j * a!r}) * cos({2 * j} * pi() * n / 63)' for j, a in enumerate(c))}, 9) AS value FROM unnest(generate_series(0, 63)) u(n)" for k, c in COSINES.items())
+_COS_SQL = " UNION ALL ".join(f"SELECT '{k}' AS window, CAST(n AS INT) AS n, round({' + '.join(f'({(-1) ** j * a!r}) * cos({2 * j} * pi() * n / 63)' for j, a in enumerate(c))}, 15) AS value FROM unnest(generate_series(0, 63)) u(n)" for k, c in COSINES.items())
 _BESSEL = "list_sum(list_transform(generate_series(0, 40), lambda k: pow(({x}) / 2, 2 * k) / pow(gamma(k + 1), 2)))"
-_KAISER_SQL = f"SELECT 'kaiser' AS window, CAST(n AS INT) AS n, round({_BESSEL.format(x='6 * sqrt(1 - pow(2 * n / 63e0 - 1, 2))')} / {_BESSEL.format(x='6e0')}, 9) AS value FROM unnest(generate_series(0, 63)) u(n)"
+_KAISER_SQL = f"SELECT 'kaiser' AS window, CAST(n AS INT) AS n, round({_BESSEL.format(x='6 * sqrt(1 - pow(2 * n / 63e0 - 1, 2))')} / {_BESSEL.format(x='6e0')}, 15) AS value FROM unnest(generate_series(0, 63)) u(n)"
 _TAPS = [float(x) for x in op.lowpass_taps(16, 0.8 * FS / 4 / 2, FS)]
 ORACLES = {
-    "f01_windows": f"{_COS_SQL} UNION ALL {_KAISER_SQL}",
+    "f01_windows": f"WITH w AS ({_COS_SQL} UNION ALL {_KAISER_SQL}) SELECT vec_id AS frame_id, w.window, round(sum(CAST(embedding[n + 1] AS DOUBLE) * value), 6) AS value FROM embeddings, w GROUP BY 1, 2",
     "f06_welch_psd": f"{_SQL} SELECT frame_id, bin, round(avg(p), 12) AS psd FROM psd GROUP BY 1, 2",
     "f07_spectrum_scale": f"{_FLAT_SQL} SELECT frame_id, bin, round(avg(p), 9) AS psd FROM psd GROUP BY 1, 2",
     "f08_psd_db": f"{_SQL} SELECT frame_id, bin, round(10 * log10(avg(p) + 1e-12), 5) AS db, CAST(round((bin - 8) * 2e3, 3) AS DOUBLE) AS freq_hz FROM psd GROUP BY 1, 2",
@@ -218,12 +232,12 @@ SELECT frame_id, CAST(c * 8 + t AS INT) AS n, round(sqrt(i * i + q * q), 8) AS l
     "f16_lowpass": f"""WITH {IQ_SQL}, gain AS (SELECT k, CASE WHEN f <= 6000 THEN 1e0 WHEN f < 6600 THEN 0.5 * (1 + cos(pi() * (f - 6000) / 600)) ELSE 0 END AS g FROM (SELECT k, 1e3 * least(k, 32 - k) AS f FROM unnest(generate_series(0, 31)) u(k))),
 h AS (SELECT d, sum(g * cos(2 * pi() * k * d / 32)) / 32 AS h FROM gain, unnest(generate_series(-31, 31)) v(d) GROUP BY d)
 SELECT a.frame_id, a.n, round(sum(b.i * h), 8) + 0 AS i FROM iq a JOIN iq b USING (frame_id) JOIN h ON d = a.n - b.n GROUP BY 1, 2""",
-    "f03_window_factors": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x!r}e0' for x in v)})" for k, v in CORRECTIONS.items()) + f""") c("window", coherent_gain, noise_bandwidth, enbw, processing_gain_db, sidelobe_db) UNION ALL
+    "f03_window_factors": f"WITH {FRAMES_SQL}, f AS (SELECT frame_id, list_avg(psd) AS p FROM frames), c AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {', '.join(f'{x!r}e0' for x in v)})" for k, v in CORRECTIONS.items()) + f""") c("window", coherent_gain, noise_bandwidth, enbw, processing_gain_db, sidelobe_db) UNION ALL
 (WITH w AS (SELECT n, {_BESSEL.format(x='6 * sqrt(greatest(0, 1 - pow(2 * n / 1023e0 - 1, 2)))')} / {_BESSEL.format(x='6e0')} AS w FROM unnest(generate_series(0, 1023)) u(n)),
 s AS (SELECT b, sqrt(pow(sum(w * cos(2 * pi() * n * b / 8192)), 2) + pow(sum(w * sin(2 * pi() * n * b / 8192)), 2)) AS m FROM w, unnest(generate_series(0, 63)) v(b) GROUP BY b),
 r AS (SELECT min(b) AS first FROM (SELECT b, lead(m) OVER (ORDER BY b) > m AS up FROM s) WHERE up)
-SELECT 'kaiser', round(avg(w), 9), round(count(*) * sum(w * w) / pow(sum(w), 2), 9), round(count(*) * sum(w * w) / pow(sum(w), 2), 9), round(-10 * log10(count(*) * sum(w * w) / pow(sum(w), 2)), 9),
-  (SELECT round(20 * log10(max(m) FILTER (b >= first) / max(m) FILTER (b = 0) + 1e-12), 9) FROM s, r) FROM w)""",
+SELECT 'kaiser', avg(w), count(*) * sum(w * w) / pow(sum(w), 2), count(*) * sum(w * w) / pow(sum(w), 2), -10 * log10(count(*) * sum(w * w) / pow(sum(w), 2)),
+  (SELECT round(20 * log10(max(m) FILTER (b >= first) / max(m) FILTER (b = 0) + 1e-12), 9) FROM s, r) FROM w)) SELECT frame_id, c.window, round(p / pow(coherent_gain, 2), 9) AS amplitude, round(p / enbw, 9) AS noise, round(10 * log10(p + 1e-12) + processing_gain_db, 6) AS db FROM f, c""",
     "w28_bin_lookup": f"WITH {FRAMES_SQL} SELECT frame_id, CAST(floor((frame_id * 10.0 + 32000) / 64000 * 64) AS BIGINT) AS bin FROM frames",
     "w08_plane_cfar": _plane_sql(0),
     "w08_plane_cfar_reference": _plane_sql(5),

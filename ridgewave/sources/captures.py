@@ -289,9 +289,10 @@ def write_sigmf(df: DataFrame, path: str, description: str = "", annotations: Da
 TONES = ((0.0, -30.0), (100e3, -40.0), (-250e3, -45.0), (500e3, -50.0), (1e6, -55.0), (-2e6, -60.0))
 
 
-def synthetic(spark: SparkSession, blocks: int, size: int, rate: float, tones=TONES, noise_db: float = -90.0, seed: int = 7, noise: str = "uniform") -> DataFrame:
+def synthetic(spark: SparkSession, blocks: int | DataFrame, size: int, rate: float, tones=TONES, noise_db: float = -90.0, seed: int = 7, noise: str = "uniform") -> DataFrame:
     """Blocks (seq, i, q) of tones and noise from closed forms: a block only depends on its number.
 
+    ``blocks`` is their number, or a table of block numbers ``seq``.
     ``noise`` is "uniform" or "gaussian" (Box-Muller; the level is then the deviation of i and q).
     """
     if noise not in ("uniform", "gaussian"):
@@ -310,4 +311,5 @@ def synthetic(spark: SparkSession, blocks: int, size: int, rate: float, tones=TO
 
         return F.transform(n, sample)
 
-    return spark.range(blocks).select(F.col("id").alias("seq")).select("seq", part(F.cos, 0).alias("i"), part(F.sin, 1).alias("q"))
+    numbers = spark.range(blocks).select(F.col("id").alias("seq")) if isinstance(blocks, int) else blocks
+    return numbers.select("seq", part(F.cos, 0).alias("i"), part(F.sin, 1).alias("q"))
