@@ -20,6 +20,27 @@ from ..operators.scan import Cooldown, Throttle, scan
 Step = Callable[[dict | None, dict], tuple[dict, list[dict]]]
 
 
+def advance(tracks: list[dict], number: int, t: float, places: list[float], max_gap_hz: float, max_age_s: float) -> tuple[list[dict], int, list[dict]]:
+    """Open tracks after a frame at ``t``, the next track's number, and the tracks that are over."""
+    known = [dict(x) for x in tracks if t - x["last"] <= max_age_s]
+    ended = [x for x in tracks if t - x["last"] > max_age_s]
+    at = [x["hz"] for x in known]
+    opened = []
+    for hz in places:
+        gaps = [abs(hz - p) for p in at]
+        k = min(range(len(gaps)), key=gaps.__getitem__, default=None)
+        if k is not None and gaps[k] < max_gap_hz:
+            known[k] |= {"hz": hz, "last": t, "seen": known[k]["seen"] + 1}
+        else:
+            opened.append({"id": number, "hz": hz, "first": t, "last": t, "seen": 1})
+            number += 1
+    return known + opened, number, ended
+
+
+def track_row(x: dict, t: float) -> dict:
+    return {"t": t, "track_id": f"trk-{x['id']:06d}", "hz": x["hz"], "first_seen": x["first"], "last_seen": x["last"], "frames_seen": x["seen"], "duty_cycle": 1.0}
+
+
 def track_step(max_gap_hz: float, max_age_s: float = 1.0) -> Step:
     """Frames of detections to tracks.
 
@@ -30,20 +51,8 @@ def track_step(max_gap_hz: float, max_age_s: float = 1.0) -> Step:
 
     def step(state: dict | None, row: dict) -> tuple[dict, list[dict]]:
         state = state or {"next": 0, "tracks": []}
-        t = row["t"]
-        known = [dict(x) for x in state["tracks"] if t - x["last"] <= max_age_s]
-        places = [x["hz"] for x in known]
-        opened = []
-        for hz in row["hz"]:
-            gaps = [abs(hz - p) for p in places]
-            k = min(range(len(gaps)), key=gaps.__getitem__, default=None)
-            if k is not None and gaps[k] < max_gap_hz:
-                known[k] |= {"hz": hz, "last": t, "seen": known[k]["seen"] + 1}
-            else:
-                opened.append({"id": state["next"], "hz": hz, "first": t, "last": t, "seen": 1})
-                state["next"] += 1
-        state["tracks"] = known + opened
-        return state, [{"t": t, "track_id": f"trk-{x['id']:06d}", "hz": x["hz"], "first_seen": x["first"], "last_seen": x["last"], "frames_seen": x["seen"], "duty_cycle": 1.0} for x in state["tracks"]]
+        tracks, number, _ = advance(state["tracks"], state["next"], row["t"], row["hz"], max_gap_hz, max_age_s)
+        return {"next": number, "tracks": tracks}, [track_row(x, row["t"]) for x in tracks]
 
     return step
 
@@ -114,14 +123,17 @@ def lost_blocks(df: DataFrame, key: str, sequence: str, size: int) -> DataFrame:
 def recluster(rows: DataFrame, cluster: Callable[[DataFrame], DataFrame], target: str, order: str = "ts", last: int = 1000, min_rows: int = 5, checkpoint: str | None = None):
     """A streaming query that clusters the most recent rows after every micro-batch and replaces the table ``target``.
 
-    Each batch is appended to ``target``_rows; once that has ``min_rows`` rows, its ``last`` ones by ``order`` are clustered.
+    The ``last`` rows by ``order`` are all that is kept: a batch makes them from its own rows and the table of the batch before, in
+    one of two tables by turns, so a batch that is run again finds what it found at first, and no row counts twice.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        del number
         spark = batch.sparkSession
-        batch.write.mode("append").saveAsTable(f"{target}_rows")
-        recent = spark.table(f"{target}_rows").orderBy(F.desc(order)).limit(last)
+        mine, before = (f"{target}_rows_{n % 2}" for n in (number, number + 1))
+        if number and spark.catalog.tableExists(before):
+            batch = batch.unionByName(spark.table(before))
+        batch.orderBy(F.desc(order), F.xxhash64(*batch.columns)).limit(last).write.mode("overwrite").saveAsTable(mine)
+        recent = spark.table(mine)
         if recent.count() >= min_rows:
             cluster(recent).write.mode("overwrite").saveAsTable(target)
 
