@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import autoencoder
 from ..operators import learning as op
 from ..operators.cfar import Cfar
 from ..operators.peaks import Peaks, detect
@@ -55,6 +56,38 @@ def reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.reconstruction_anomaly(v, *op.principal(v, 8), center=0.01, slope=500.0).select("id", F.round("anomaly_score", 6).alias("anomaly_score"))
 
 
+def detection_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, x): the twelve features of each detection, scaled."""
+    d = detections(spark, sf_dir).withColumn("symbol_rate", F.col("bandwidth_hz") / 1.35)
+    names = [f"a{k}" for k in range(12)]
+    n = op.normalized(d.select("detection_id", *op.anomaly_features()), names)
+    return n.select(F.col("detection_id").alias("id"), F.array(*names).alias("x"))
+
+
+def autoencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all detections by a network that learnt from them in sixteen steps, each over a quarter of the rows."""
+    rows = detection_vectors(spark, sf_dir)
+    learner, _ = autoencoder.train(rows, autoencoder.Learner.fresh(rate=1e-2), 16, parts=4)
+    return autoencoder.scored(rows, learner, center=1.0, slope=2.0).select("id", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+
+def iq_autoencoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for blocks of samples: i and q of each frame through the innermost eight."""
+    rows = iq_frames(spark, sf_dir).select(F.col("frame_id").alias("id"), F.concat("i", "q").alias("x"))
+    shape = autoencoder.Shape((64, 32, 16, 8))
+    learner, _ = autoencoder.train(rows, autoencoder.Learner.fresh(shape, 1e-2), 12)
+    return autoencoder.scored(rows, learner, center=0.05, slope=20.0).select("id", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+
+def learnt_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions and normal rows of eight batches of detections, learnt from one after the other."""
+    rows = detection_vectors(spark, sf_dir)
+    online = autoencoder.Online(autoencoder.temporary_folder(spark), autoencoder.Learner.fresh(rate=1e-2), interval=100, normal=0.5, center=1.0, slope=2.0)
+    for k in range(8):
+        online.learn(rows.where(F.pmod(F.xxhash64("id"), F.lit(8)) == k), k)
+    return online.versions(spark).select("batch", "version", "rows", "low", F.round("loss", 6).alias("loss"))
+
+
 def duty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of samples with more than half the mean energy, in the row."""
     e = iq_frames(spark, sf_dir).select("frame_id", F.zip_with("i", "q", lambda a, b: a * a + b * b).alias("e"))
@@ -77,6 +110,9 @@ QUERIES = {
     "m13_anomaly_features": lambda s, d: detections(s, d).withColumn("symbol_rate", F.col("bandwidth_hz") / 1.35).select("detection_id", *op.anomaly_features()).select("detection_id", *(F.round(f"a{k}", 9).alias(f"a{k}") for k in range(12))),
     "m16_z_anomaly": anomalies,
     "m15_reconstruction_anomaly": reconstructed,
+    "m15_autoencoder": autoencoded,
+    "m15_iq_autoencoder": iq_autoencoded,
+    "m17_online_learning": learnt_online,
     "m03_duty": duty,
     "m09_tuned_eps": lambda s, d: s.createDataFrame([(float(op.tuned_eps(vectors(s, d))),)], "eps double").select(F.round("eps", 9).alias("eps")),
     "m08_components": lambda s, d: op.cluster(vectors(s, d), EPS, MIN),
