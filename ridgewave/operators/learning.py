@@ -7,12 +7,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cells
+from .cells import BLOCK
 from .graphs import components, thinned
-from .order import cut_lineage, numbered
-
-#: Rows of a block in distance work.
-BLOCK = 512
-
+from .order import Stored, cut_lineage, numbered
 
 # -- features --------------------------------------------------------------------------------------
 def cluster_features(sample_rate: float, center_hz: float, fft_size: int) -> list[Column]:
@@ -75,102 +73,86 @@ def normalized(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # -- distances -------------------------------------------------------------------------------------
-def nearest(queries: DataFrame, points: DataFrame, eps: float, skip_same: bool = False, block: int = BLOCK) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, eps: float, skip_same: bool = False, block: int = BLOCK, pivots: int = 1024, tell: dict | None = None) -> DataFrame:
     """For each query (id, x) the label of the nearest point (id, x, label), -1 beyond ``eps``; ties go to the smaller id.
 
-    Queries and points are dealt into blocks; every block of queries meets every block of points in a task of its
-    own, which gives each query's best point of the block, and the best of these is found by an aggregation that combines
-    before its shuffle.  ``skip_same`` leaves out the point with the query's own id.
+    Points lie in a tree of cells.  A query first meets one block of the leaf around it, which bounds the distance of its nearest point, and
+    then the blocks of the leaves that this bound reaches, so the result is exact; each meeting is a task of its own that gives one point a query,
+    and the best of these is found by an aggregation that combines before its shuffle.  ``skip_same`` leaves out the point with the
+    query's own id.  ``tell`` gets the number of pairs whose distance was computed, and of all pairs.
     """
-
-    def blocks(df: DataFrame, *columns: str) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // block))
-        dealt = df.select(F.pmod(F.xxhash64("id"), F.lit(n)).alias("block"), F.struct("id", F.col("x").cast("array<double>").alias("x"), *columns).alias("row"))
-        return dealt.groupBy("block").agg(F.collect_list("row").alias("rows")), n
-
-    (left, _), (right, n) = blocks(queries), blocks(points, "label")
-    met = left.select(F.col("rows").alias("asked"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(right, "block")
+    spark = points.sparkSession
+    kept = Stored(spark)
+    asked = kept.write(queries.select("id", F.col("x").cast("array<double>").alias("x")))
+    tree = cells.build(points.select("id", F.col("x").cast("array<double>").alias("x"), "label"), kept, pivots, block)
+    if tree is None:
+        return spark.createDataFrame([], "id long, nearest_id long, label int, distance double")
+    residents = kept.write(cells.blocks_of(tree, "id", "x", "label"))
 
     def found(batches):
         for b in batches:
-            for asked, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for asking_, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows.sort(key=lambda r: r["id"])
-                q, m = np.array([r["x"] for r in asked]), np.array([r["x"] for r in rows])
-                ids, asking = np.array([r["id"] for r in rows]), np.array([r["id"] for r in asked])
-                d = np.sqrt(np.maximum((q**2).sum(axis=1)[:, None] + (m**2).sum(axis=1) - 2 * q @ m.T, 0))
+                ids, asking = np.array([r["id"] for r in rows]), np.array([r["id"] for r in asking_])
+                d = cells.distances(np.array([r["x"] for r in asking_]), np.array([r["x"] for r in rows]))
                 if skip_same:
                     d[asking[:, None] == ids] = np.inf
                 best = d.round(9).argmin(axis=1)
-                keep = np.flatnonzero(np.isfinite(d[np.arange(len(q)), best]))
+                keep = np.flatnonzero(np.isfinite(d[np.arange(len(d)), best]))
                 at = best[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(asking[keep]), pa.array(ids[at]), pa.array([rows[k]["label"] for k in at], pa.int32()), pa.array(d[keep, at])], names=["id", "nearest_id", "label", "distance"])
-
-    each = met.select("asked", "rows").mapInArrow(found, "id long, nearest_id long, label int, distance double")
-    first = F.min_by(F.struct("nearest_id", "label", "distance"), F.struct(F.round("distance", 9), F.col("nearest_id"))).alias("r")
-    return each.groupBy("id").agg(first).select("id", "r.nearest_id", F.when(F.col("r.distance") <= eps, F.col("r.label")).otherwise(-1).alias("label"), "r.distance")
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1) - 2 * a @ b.T, 0))
-
-
-def eps_links(df: DataFrame, eps: float, pivots: int = 1024, cell: int = BLOCK) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(asking[keep], pa.int64()), pa.array(ids[at], pa.int64()), pa.array([rows[k]["label"] for k in at], pa.int32()), pa.array(d[keep, at])], names=["id", "nearest_id", "label", "distance"])
+
+    def meet(visitors: DataFrame) -> DataFrame:
+        met = visitors.join(residents, ["cell", "block"])
+        if tell is not None:
+            tell["pairs"] = tell.get("pairs", 0) + (met.agg(F.sum(F.size("visitors").cast("long") * F.size("residents"))).first()[0] or 0)
+        return met.select("visitors", "residents").mapInArrow(found, "id long, nearest_id long, label int, distance double")
+
+    # one block of the leaf around each query
+    blocks = tree.small(tree.leaves.select(F.col("home").alias("cell"), "blocks"))
+    home = kept.write(tree.reached(asked.withColumn("reach", F.lit(0.0)), nearest=True).join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    parts = max(1, -(-asked.count() // cells.BLOCK))
+    first = home.groupBy("cell", "block", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "x")).alias("visitors"))
+    probed = kept.write(meet(first))
+    # all that its distance reaches
+    bound = probed.groupBy("id").agg(F.min("distance").alias("reach"))
+    front = asked.join(bound, "id", "left").withColumn("reach", F.coalesce("reach", F.lit(float("inf"))))
+    coming = kept.write(tree.reached(front).select("cell", "id", "x"))
+    rest = meet(cells.visitors_of(tree, coming, kept, "id", "x"))
+    if tell is not None:
+        tell["all"] = asked.count() * (tree.leaves.agg(F.sum("n")).first()[0] or 0)
+    best = F.min_by(F.struct("nearest_id", "label", "distance"), F.struct(F.round("distance", 9), F.col("nearest_id"))).alias("r")
+    return rest.groupBy("id").agg(best).select("id", "r.nearest_id", F.when(F.col("r.distance") <= eps, F.col("r.label")).otherwise(-1).alias("label"), "r.distance")
+
+
+def eps_links(df: DataFrame, eps: float, pivots: int = 1024, cell: int = BLOCK, tell: dict | None = None) -> DataFrame:
     """Pairs (a, b, distance) with a < b of rows (id, x) at most ``eps`` apart.
 
-    Up to ``pivots`` rows, those of the smallest digests, are pivots, one for about ``cell`` rows; a row's home is the
-    cell of its nearest pivot.  By the triangle inequality a row can only be linked with rows of cells whose radius plus
-    eps reaches it, so it visits these and no others.  Visitors and residents of a cell meet in blocks of a bounded size,
-    each in a task of its own, and a pair is given once, by the visitor whose (home, id) is the smaller.  The work follows
-    the number of rows that are close; where eps is as wide as the data, so is the result.
+    Rows lie in a tree of cells whose leaves stay small as the table grows.  A row visits the leaves that ``eps`` reaches and no others.  Visitors
+    and residents meet in blocks of a bounded size, each in a task of its own, and a pair is given once, by the visitor whose (home, id) is
+    the smaller.  The work follows the number of rows that are close; where eps is as wide as the data, so is the result.  ``tell``
+    gets the number of pairs whose distance was computed, of all pairs, and of rows of the largest leaf.
     """
-    spark = df.sparkSession
-    rows = df.select("id", F.col("x").cast("array<double>").alias("x"))
-    count = rows.count()
-    if not count:
-        return spark.createDataFrame([], "a long, b long, distance double")
-    wanted = max(1, min(pivots, count // cell))
-    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(wanted).select("x").collect()  # at most ``pivots`` rows
-    points = spark.sparkContext.broadcast(np.array([r["x"] for r in chosen]))
-
-    def home(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                d = _distances(np.array(part.column(1).to_pylist()), points.value)
-                k = d.argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(k, pa.int32()), pa.array(d[np.arange(len(d)), k])], names=["id", "x", "home", "gap"])
-
-    placed = cut_lineage(rows.mapInArrow(home, "id long, x array<double>, home int, gap double"))
-    sizes = {r["home"]: r for r in placed.groupBy("home").agg(F.max("gap").alias("radius"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).collect()}  # one row a pivot
-    reach = np.array([sizes[k]["radius"] + eps + 1e-9 if k in sizes else -1.0 for k in range(wanted)])
-
-    def visits(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                near = _distances(np.array(part.column(1).to_pylist()), points.value) <= reach
-                near &= np.arange(wanted)[None, :] >= np.array(part.column(2))[:, None]
-                r, c = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(r)) for k in range(3)] + [pa.array(c, pa.int32())], names=["id", "x", "home", "cell"])
-
-    per = F.create_map(*(F.lit(v) for k, r in sizes.items() for v in (int(k), int(r["blocks"]))))
-    here = placed.select(F.col("home").alias("cell"), F.pmod(F.xxhash64("id"), per[F.col("home")]).alias("block"), "id", "x")
-    residents = here.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "x")).alias("residents"))
-    coming = placed.select("id", "x", "home").mapInArrow(visits, "id long, x array<double>, home int, cell int")
-    counts = coming.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    dealt = coming.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # one row a pivot
-    met = dealt.select("id", "x", "home", "cell", "part", F.explode(F.sequence(F.lit(0).cast("long"), per[F.col("cell")].cast("long") - 1)).alias("block"))
-    visitors = met.groupBy("cell", "block", "part").agg(F.collect_list(F.struct("id", "x", "home")).alias("visitors"))
+    kept = Stored(df.sparkSession)
+    tree = cells.build(df.select("id", F.col("x").cast("array<double>").alias("x")), kept, pivots, cell)
+    if tree is None:
+        return df.sparkSession.createDataFrame([], "a long, b long, distance double")
+    residents = cells.blocks_of(tree, "id", "x")
+    coming = kept.write(tree.reached(tree.placed.select("id", "x", "home").withColumn("reach", F.lit(float(eps)))).where("cell >= home").select("cell", "id", "x", "home"))
+    visitors = cells.visitors_of(tree, coming, kept, "id", "x", "home")
 
     def close(batches):
         for b in batches:
             for cell_, coming_, there in zip(*(b.column(k).to_pylist() for k in range(3))):
                 ia, ib, h = np.array([x["id"] for x in coming_]), np.array([x["id"] for x in there]), np.array([x["home"] for x in coming_])
-                d = _distances(np.array([x["x"] for x in coming_]), np.array([x["x"] for x in there]))
+                d = cells.distances(np.array([x["x"] for x in coming_]), np.array([x["x"] for x in there]))
                 r, c = np.nonzero((d <= eps) & ((h[:, None] < cell_) | (ia[:, None] < ib)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[r], ib[c])), pa.array(np.maximum(ia[r], ib[c])), pa.array(d[r, c])], names=["a", "b", "distance"])
 
     both = visitors.join(residents, ["cell", "block"]).select("cell", "visitors", "residents")
+    if tell is not None:
+        sizes = tree.leaves.agg(F.sum("n").alias("n"), F.max("n").alias("largest")).first()
+        tell |= {"pairs": both.agg(F.sum(F.size("visitors").cast("long") * F.size("residents"))).first()[0] or 0, "all": sizes["n"] * (sizes["n"] - 1) // 2, "largest": sizes["largest"]}
     return both.mapInArrow(close, "a long, b long, distance double")
 
 
