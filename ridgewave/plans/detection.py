@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import map_frames
+from ..operators import settings
 from ..operators.cfar import Cfar, detect_bins
 from ..operators.peaks import Peaks, detect, local_peaks
 from ..sources.tables import BINS, BINS_SQL, FRAMES_SQL, RATE, psd_frames, table
@@ -89,6 +90,20 @@ SELECT frame_id, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY start_bi
 FROM good JOIN wide USING (frame_id, start_bin)"""
 
 
+#: Settings that change twice: a larger SNR from frame 100 on, fewer false alarms from frame 300 on.
+BASE = {"cfar": {"reference": str(R), "guard": str(G), "pfa": "1e-2"}, "peaks": {"sample_rate": str(RATE), "merge_hz": str(STEP), "min_snr_db": "3.0"}}
+CHANGES = [(100, "peaks", {"min_snr_db": "6.0"}), (300, "cfar", {"pfa": "1e-3"})]
+
+
+def reconfigured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of frames, one a second, each under the settings of its own time."""
+    changes = spark.createDataFrame(CHANGES, "at long, section string, settings map<string,string>").select(F.timestamp_seconds("at").alias("valid_from"), "section", "settings")
+    versions = settings.Versions.read(changes, BASE)
+    frames = psd_frames(spark, sf_dir).withColumn("version", versions.number_of(F.col("frame_id") * 1_000_000))
+    out = versions.staged(frames, ("cfar", "peaks"), lambda part, cfar, peaks: detect(part, cfar, peaks, keep=("frame_id", "version")))
+    return out.select("frame_id", "version", "start_bin", "end_bin", "peak_bin", F.round("snr_db", 6).alias("snr_db"))
+
+
 def _spans(spark: SparkSession, sf_dir: str, gap: int | None) -> DataFrame:
     from ..operators.peaks import merge, regions
 
@@ -141,6 +156,7 @@ def w07_frames_share_cfar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "t12_reconfigured": reconfigured,
     "flagship_detect": flagship_detect,
     **{name: (lambda s, d, c=c: long_bins(s, d, c)) for name, c in _VARIANTS.items()},
     "w10_cfar_db_wrap": lambda s, d: long_bins(s, d, Cfar(R, G, PFA, edge="wrap", domain="db"), in_db=True),
@@ -153,6 +169,10 @@ QUERIES = {
     "g16_noise_floor": g16_noise_floor,
 }
 ORACLES = {
+    "t12_reconfigured": " UNION ALL ".join(
+        f"SELECT frame_id, CAST({k} AS INT) AS version, start_bin, end_bin, peak_bin, snr_db FROM ({FLAGSHIP_SQL.replace(repr(ALPHA), repr(Cfar(R, G, pfa).alpha)).replace('peak - floor_db >= 3)', f'peak - floor_db >= {snr})')}) WHERE frame_id >= {a} AND frame_id < {b}"
+        for k, (a, b, pfa, snr) in enumerate(((0, 100, 1e-2, 3), (100, 300, 1e-2, 6), (300, 1 << 60, 1e-3, 6)))
+    ),
     "flagship_detect": FLAGSHIP_SQL,
     **{name: cfar_sql(c.variant, c.edge, c.domain, c.rank) for name, c in _VARIANTS.items()},
     "w10_cfar_db_wrap": cfar_sql("CA", "wrap", "db"),
