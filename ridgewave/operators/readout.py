@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import micros
 from .order import accumulated
-from .scan import Cooldown, scan
+from .scan import Cooldown, Meter, Spells, scan
 
 #: Most rows of a rule table, one a bucket, that are broadcast; larger ones are joined by a shuffle.
 MAX_RULES = 10_000
@@ -227,30 +227,32 @@ def benchmark_stats(df: DataFrame, drop_percent: str, *keys: str) -> DataFrame:
 
 
 def throttled(df: DataFrame, key: str, fill: str, *order: str, on: float = 85.0, off: float = 50.0) -> DataFrame:
-    """``df`` with ``throttled`` (0 or 1): on above ``on``, off below ``off``, else as before; and ``start`` and ``stop`` of spells."""
-    w = Window.partitionBy(key).orderBy(*order)
-    edge = F.when(F.col(fill) > on, 1).when(F.col(fill) < off, 0)
-    state = df.withColumn("throttled", F.coalesce(F.last(edge, ignorenulls=True).over(w), F.lit(0)))
-    before = F.coalesce(F.lag("throttled").over(w), F.lit(0))
-    return state.withColumns({"start": F.when((F.col("throttled") == 1) & (before == 0), 1).otherwise(0), "stop": F.when((F.col("throttled") == 0) & (before == 1), 1).otherwise(0)})
+    """``df`` with ``throttled`` (0 or 1): on above ``on``, off below ``off``, else as before; ``start`` and ``stop`` of spells, and the ``spell``'s number."""
+    out = scan(df, key, order, (fill,), Spells(on, off), "__s struct<throttled: int, start: int, stop: int, spell: int>")
+    return out.select(*df.columns, "__s.*")
 
 
 def throttle_summary(df: DataFrame, key: str, fill: str, seconds: str, *order: str, on: float = 85.0, off: float = 50.0) -> DataFrame:
-    """Activations, mean spell in ms (a start to the next stop), largest fill, and ms from its last occurrence to the first fill below ``off`` after it."""
-    spells = throttled(df, key, fill, *order, on=on, off=off)
-    w = Window.partitionBy(key).orderBy(*order)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    stop = F.first(F.when(F.col("stop") == 1, F.col(seconds)), ignorenulls=True).over(after)
-    low = F.first(F.when(F.col(fill) < off, F.col(seconds)), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = spells.withColumns({"spell": F.when(F.col("start") == 1, stop - F.col(seconds)), "recovery": low - F.col(seconds)})
-    last_peak = F.max_by("recovery", F.struct(F.col(fill), *order))
-    return rows.groupBy(key).agg(F.sum("start").alias("activations"), F.coalesce(F.avg("spell"), F.lit(0.0)).alias("mean_spell_s"), F.max(fill).alias("max_fill"), F.coalesce(last_peak, F.lit(0.0)).alias("recovery_s"))
+    """Activations, mean spell (a start to the next stop), largest fill, and the time from its last occurrence to the first fill below ``off`` after it."""
+    rows = throttled(df, key, fill, *order, on=on, off=off)
+    border = lambda c: F.min(F.when(F.col(c) == 1, F.col(seconds)))
+    each = rows.where("start = 1 OR stop = 1").groupBy(key, "spell").agg((border("stop") - border("start")).alias("length"))
+    spells = each.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("activations"), F.avg("length").alias("mean_spell_s"))
+    place = F.struct(*order)
+    peaks = df.groupBy(F.col(key).alias("__key")).agg(F.max(fill).alias("max_fill"), F.max_by(F.struct(place.alias("place"), F.col(seconds).alias("t")), F.struct(F.col(fill), *order)).alias("peak"))
+    after = df.where(F.col(fill) < off).join(peaks.select("__key", "peak"), F.col(key).eqNullSafe(F.col("__key")) & (place >= F.col("peak.place")))
+    low = after.groupBy("__key").agg(F.min_by(F.col(seconds), place).alias("low"))
+    same = lambda a, b: F.col(f"{a}.__key").eqNullSafe(F.col(f"{b}.__key"))
+    joined = peaks.alias("p").join(spells.alias("s"), same("p", "s"), "left").join(low.alias("l"), same("p", "l"), "left")
+    recovery = F.coalesce(F.col("low") - F.col("peak.t"), F.lit(0.0))
+    return joined.select(F.col("p.__key").alias(key), F.coalesce("activations", F.lit(0)).alias("activations"), F.coalesce("mean_spell_s", F.lit(0.0)).alias("mean_spell_s"), "max_fill", recovery.alias("recovery_s"))
 
 
 def meter(df: DataFrame, value: str, key: str, *order: str, last: int = 100) -> DataFrame:
     """Running extremes and the mean of the last values of each key."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({"running_min": F.min(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "running_max": F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), "recent_mean": F.avg(value).over(w.rowsBetween(1 - last, 0))})
+    kind = df.schema[value].dataType.simpleString()
+    out = scan(df, key, order, (value,), Meter(last), f"__m struct<running_min: {kind}, running_max: {kind}, recent_mean: double>")
+    return out.select(*df.columns, "__m.*")
 
 
 def health(overflow_rate: Column, drop_percent: Column, fill_percent: Column, temperature: Column) -> Column:

@@ -9,6 +9,7 @@ row a range; following them in order gives the state that each range starts with
 
 from __future__ import annotations
 
+import math
 import pickle
 from bisect import bisect_left
 from collections import deque
@@ -158,6 +159,53 @@ class Throttle(Recurrence):
         return bool(state) if run[0] is None else run[0]
 
 
+class Spells(Throttle):
+    """The same with the borders of spells and their numbers; a run tells where it leads and how many spells start in it, from off and from on."""
+
+    def step(self, state, row, n):
+        on, number = state or (False, 0)
+        now, _ = super().step(on, row, n)
+        start, stop = now and not on, on and not now
+        number += start
+        return (now, number), {"throttled": int(now), "start": int(start), "stop": int(stop), "spell": number}
+
+    def extend(self, run, row, n):
+        return tuple(self.step(s, row, n)[0] for s in run or ((False, 0), (True, 0)))
+
+    def after(self, state, run):
+        on, number = state or (False, 0)
+        led, more = run[on]
+        return led, number + more
+
+
+class Meter(Recurrence):
+    """Numbers: extremes so far and the mean of the last ``last`` rows; nulls count as rows and no more."""
+
+    def __init__(self, last: int = 100):
+        self.last = last
+
+    def step(self, state, row, n):
+        low, high, recent = state or (None, None, ())
+        x = row[0]
+        if x is not None:
+            low, high = (x, x) if low is None else (min(low, x), max(high, x))
+        recent = (*recent, x)[-self.last :]
+        known = [v for v in recent if v is not None]
+        return (low, high, recent), {"running_min": low, "running_max": high, "recent_mean": math.fsum(known) / len(known) if known else None}
+
+    def extend(self, run, row, n):
+        return self.step(run, row, n)[0]
+
+    def after(self, state, run):
+        if state is None or run is None:
+            return run or state
+        lows, highs = ([s[k] for s in (state, run) if s[k] is not None] for k in (0, 1))
+        return min(lows, default=None), max(highs, default=None), (*state[2], *run[2])[-self.last :]
+
+    def bytes(self, row):
+        return 32 * self.last
+
+
 class Jumps:
     """Where a cooldown's chain that starts at each of a run's first rows ends."""
 

@@ -153,13 +153,10 @@ def p10_bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g19_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Throttle spells of each user by hysteresis over the fill series: on above 85, off below 50."""
+    """Rows under throttling, activations and the largest fill of each user."""
     e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("value").alias("fill"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    edge = F.when(F.col("fill") > 85, 1).when(F.col("fill") < 50, 0)
-    on = e.withColumn("throttled", F.coalesce(F.last(edge, ignorenulls=True).over(w), F.lit(0)))
-    starts = on.withColumn("start", F.when((F.col("throttled") == 1) & (F.coalesce(F.lag("throttled").over(w), F.lit(0)) == 0), 1).otherwise(0))
-    return starts.groupBy("user_id").agg(F.sum("throttled").alias("n_throttled"), F.sum("start").alias("activations"), F.round(F.max("fill"), 6).alias("max_fill"))
+    on = op.throttled(e, "user_id", "fill", "ts", "event_id")
+    return on.groupBy("user_id").agg(F.sum("throttled").alias("n_throttled"), F.sum("start").alias("activations"), F.round(F.max("fill"), 6).alias("max_fill"))
 
 
 def b11_modulo(spark: SparkSession, sf_dir: str) -> DataFrame:

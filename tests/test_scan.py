@@ -90,6 +90,41 @@ def test_throttle_and_nulls(spark):
     assert {(r["k"], r["o"]): r["on"] for r in out} == plain(rows, scan.Throttle())
 
 
+@pytest.mark.parametrize("keys", [1, 30])
+def test_spells_and_meters(spark, keys):
+    draw = random.Random(6)
+    rows = [(draw.randrange(keys) or None, o, draw.choice((None, 10.0, 49.0, 60.0, 86.0, 99.0))) for o in range(500)]
+    df = spark.createDataFrame(rows, "k int, o long, fill double")
+    for rec, out in ((scan.Spells(), readout.throttled(df, "k", "fill", "o")), (scan.Meter(7), readout.meter(df, "fill", "k", "o", last=7))):
+        want = plain(rows, rec)
+        got = {(r["k"], r["o"]): r for r in out.collect()}
+        assert set(got) == set(want)
+        for at, value in want.items():
+            assert all(got[at][name] == v or abs(got[at][name] - v) < 1e-12 for name, v in value.items())
+
+
+def test_throttle_summary(spark):
+    """Against loops over each key's rows, a key without spells and one that never recovers among them."""
+    draw = random.Random(7)
+    rows = [(k, float(o), draw.choice((10.0, 49.0, 60.0, 86.0, 99.0)) if k < 4 else 60.0 + k) for k in range(5) for o in range(80)] + [(5, 0.0, 90.0), (5, 1.0, 70.0)]
+    got = {r["k"]: r for r in readout.throttle_summary(spark.createDataFrame(rows, "k int, t double, fill double"), "k", "fill", "t", "t").collect()}
+    for key in range(6):
+        own = [(t, f) for k, t, f in rows if k == key]
+        on, began, lengths, n = False, None, [], 0
+        for t, f in own:
+            now = f > 85 or (on and f >= 50)
+            if now and not on:
+                began, n = t, n + 1
+            if on and not now:
+                lengths.append(t - began)
+            on = now
+        peak = max(own, key=lambda x: (x[1], x[0]))
+        low = next((t for t, f in own if t >= peak[0] and f < 50), None)
+        r = got[key]
+        assert (r["activations"], r["max_fill"], r["recovery_s"]) == (n, peak[1], low - peak[0] if low is not None else 0.0)
+        assert abs(r["mean_spell_s"] - (sum(lengths) / len(lengths) if lengths else 0.0)) < 1e-9
+
+
 def test_empty_and_single(spark):
     none = spark.createDataFrame([], "k int, o long, x array<double>")
     assert scan.scan(none, "k", ("o",), ("x",), scan.Average(0.5), "v array<double>").columns == ["k", "o", "x", "v"]
