@@ -67,6 +67,21 @@ def accumulated(df: DataFrame, key: str, weight: str, *order: str) -> DataFrame:
     return joined.withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__inside", "__start_key", "__at", "__before")
 
 
+#: Starts (a row for each key and range) that are broadcast at most.
+FEW = 100_000
+
+
 def numbered(df: DataFrame, key: str, *order: str) -> DataFrame:
-    """``df`` with ``place``, each row's number from 0 among its key's rows in order."""
-    return accumulated(df.withColumn("__one", F.lit(1).cast("long")), key, "__one", *order).drop("__one")
+    """``df`` with ``place``, each row's number from 0 among its key's rows in order.
+
+    Rows are dealt and sorted once, by ranges of key and order; a row's place is its place in its range, less the first one of
+    its key there, plus the key's rows in the ranges before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order).withColumn("__id", F.monotonically_increasing_id()).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy(key, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(F.col(key).alias("__start_key"), F.col("__part").alias("__at"), (before - F.col("__first")).alias("__shift"))
+    few = starts.limit(FEW + 1).count() <= FEW
+    on = F.col(key).eqNullSafe(F.col("__start_key")) & (F.col("__part") == F.col("__at"))
+    return dealt.join(F.broadcast(starts) if few else starts, on).withColumn("place", F.col("__id") + F.col("__shift")).drop("__id", "__part", "__start_key", "__at", "__shift")

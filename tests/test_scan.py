@@ -141,6 +141,16 @@ def test_a_hot_key_is_spread(spark):
     assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_places(spark, monkeypatch, few):
+    monkeypatch.setattr(order, "FEW", few)
+    draw = random.Random(8)
+    rows = [(draw.choice((1, 1, 1, 2, 3, None)), draw.randrange(40), i) for i in range(600)]
+    got = {r["i"]: r["place"] for r in order.numbered(spark.createDataFrame(rows, "k int, v int, i int").repartition(7), "k", "v", "i").collect()}
+    for key in (1, 2, 3, None):
+        assert [got[i] for _, i in sorted((v, i) for k, v, i in rows if k == key)] == list(range(sum(k == key for k, *_ in rows)))
+
+
 def test_accumulated_and_percentiles(spark):
     draw = random.Random(4)
     rows = [(draw.choice((1, 1, 1, 2, None)), draw.uniform(0, 9) if k % 3 else float(draw.randrange(5)), draw.randrange(1, 4)) for k in range(700)]
