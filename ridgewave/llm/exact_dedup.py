@@ -38,6 +38,10 @@ def _best_first(keep: str):
     return F.col("__rw_id").desc_nulls_last() if keep == "largest" else F.col("__rw_id").asc_nulls_last()
 
 
+#: Ids that are held as Python numbers at most, and rows of a batch that is given out.
+HELD = 10_000
+
+
 def _named(df: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
     text = text_of(text_col)
     return df.select(text.alias("__rw_text"), F.col(id_col).alias("__rw_id"), F.substring(text, 1, LEADING).alias("__rw_lead"), F.sha2(text.cast("binary"), 256).alias("__rw_sha"), *more)
@@ -50,24 +54,37 @@ def _partitions(df: DataFrame) -> int:
 def _closed_runs(batches):
     """Over a partition sorted by (text, best id first): each row with its run's best id, size and digest.
 
-    ``edge`` marks the rows of the partition's first and last run, ``head`` the row that opens a run.
-    The pass keeps the ids of one run and one text at a time.
+    ``edge`` marks the rows of the partition's first and last run, ``head`` the row that opens a run.  The pass keeps one
+    text at a time, and of its run the ids: plain numbers in Arrow arrays once they are more than HELD, given out in pieces.
     """
     part = TaskContext.get().partitionId()
-    names = ["__rw_id", "__rw_best", "__rw_n", "text_sha256", "__rw_edge", "__rw_head"]
-    run, last, digest, held, kind = -1, None, None, [], None
-    done: list[list] = [[] for _ in names]
-
-    def close(edge: bool) -> None:
-        n = len(held)
-        for col, values in zip(done, (held, held[:1] * n, [n] * n, [digest] * n, [edge or run == 0] * n, [True] + [False] * (n - 1))):
+    names = ["__rw_id", "__rw_best", "__rw_n", "text_sha256", "__rw_edge", "__rw_head", "__rw_part"]
+    run, last, digest, kind = -1, None, None, None
+    held: list = []
+    pieces: list[pa.Array] = []
+    done: list[list] = [[] for _ in names[:-1]]
+
+    def rows(ids: pa.Array, best: pa.Array, n: pa.Array, sha: pa.Array, edge: pa.Array, head: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, best, n, sha, edge, head, pa.array([part] * len(ids), pa.int32())], names=names)
+
+    def close(edge: bool):
+        """What the run gives at once if it is long; a short one waits in ``done``."""
+        n, edge = sum(map(len, pieces)) + len(held), edge or run == 0
+        best = pieces[0][0].as_py() if pieces else held[0]
+        for k, ids in enumerate(pieces):
+            m = len(ids)
+            yield rows(ids, pa.array([best] * m, kind), pa.array([n] * m, pa.int64()), pa.array([digest] * m, pa.string()), pa.array([edge] * m), pa.array([k == 0, *[False] * (m - 1)]))
+        m = len(held)
+        for col, values in zip(done, (held, [best] * m, [n] * m, [digest] * m, [edge] * m, [not pieces, *[False] * (m - 1)][:m])):
             col.extend(values)
+        held.clear()
+        pieces.clear()
 
-    def flush():
-        got = [pa.array(c, t) for c, t in zip(done, (kind, kind, pa.int64(), pa.string(), pa.bool_(), pa.bool_()))]
+    def flush() -> pa.RecordBatch:
+        got = rows(*(pa.array(c, t) for c, t in zip(done, (kind, kind, pa.int64(), pa.string(), pa.bool_(), pa.bool_()))))
         for c in done:
             c.clear()
-        return pa.RecordBatch.from_arrays([*got, pa.array([part] * len(got[0]), pa.int32())], names=[*names, "__rw_part"])
+        return got
 
     for b in batches:
         kind = b.schema.field(1).type
@@ -76,14 +93,17 @@ def _closed_runs(batches):
         for k, i in enumerate(ids):
             t = texts[k].as_py()
             if t != last:
-                if held:
-                    close(False)
-                run, last, digest, held = run + 1, t, b.column(3)[k].as_py(), []
+                if held or pieces:
+                    yield from close(False)
+                run, last, digest = run + 1, t, b.column(3)[k].as_py()
             held.append(i)
-        if len(done[0]) >= 10_000:
+            if len(held) >= HELD:
+                pieces.append(pa.array(held, kind))
+                held.clear()
+        if len(done[0]) >= HELD:
             yield flush()
-    if held:
-        close(True)
+    if held or pieces:
+        yield from close(True)
     if done[0]:
         yield flush()
 

@@ -137,6 +137,33 @@ def test_tokens_exact(name):
     assert [np.frombuffer(x, np.uint32).tolist() for x in e.ids(texts)] == want
 
 
+def test_exact_memory_of_a_hot_run(monkeypatch):
+    """Many equal texts in one partition: the pass holds their ids as plain numbers and little else."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(exact_dedup, "TaskContext", type("Context", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)})())}))
+    n, size = 300_000, 10_000
+
+    def batches():
+        yield pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([n + 1]), pa.array(["a"]), pa.array(["x"])], names=["t", "i", "l", "s"])
+        for at in range(n, 0, -size):
+            yield pa.RecordBatch.from_arrays([pa.array(["same"] * size), pa.array(range(at, at - size, -1), pa.int64()), pa.array(["same"] * size), pa.array(["y"] * size)], names=["t", "i", "l", "s"])
+        yield pa.RecordBatch.from_arrays([pa.array(["z"]), pa.array([0]), pa.array(["z"]), pa.array(["z"])], names=["t", "i", "l", "s"])
+
+    tracemalloc.start()
+    seen, heads, sizes = 0, 0, set()
+    for b in exact_dedup._closed_runs(batches()):
+        seen += b.num_rows
+        heads += sum(b.column("__rw_head").to_pylist())
+        sizes |= set(zip(b.column("__rw_best").to_pylist(), b.column("__rw_n").to_pylist(), b.column("__rw_edge").to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (seen, heads, sizes) == (n + 2, 3, {(n + 1, 1, True), (n, n, False), (0, 1, True)})
+    assert peak < 12 << 20
+
+
 @pytest.mark.parametrize("text", [" " * 2_000_000, "a" + " " * 2_000_000 + "b", "\n" * 2_000_000 + " x", "q\t" + "\t" * 2_000_000, "x" + " \n\t\r" * 400_000 + " yes", "x" + " " * 99_998 + "y"])
 def test_tokens_of_long_white_space(text):
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -519,6 +546,22 @@ def test_chat_recovers_hidden_roles(spark):
     assert marked < 0.77 * total and right > 0.97 * total
 
 
+def test_chat_roles_of_conversations_that_were_not_counted(spark):
+    """The model is counted on half of the conversations, by a digest of their ids, and recovers the other half."""
+    messages = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    raw = chat_format.with_raw(messages)
+    other = F.pmod(F.xxhash64("conv_id"), F.lit(2)) == 0
+    model = chat_format.fit(raw.where(~other))
+    found, want = defaultdict(list), defaultdict(list)
+    for r in sorted(chat_format.parse(raw.where(other), model).collect(), key=lambda r: (r["conv_id"], r["line"])):
+        found[r["conv_id"]].append((r["role"], r["text"]))
+    for r in sorted(messages.where(other).collect(), key=lambda r: (r["conv_id"], r["turn"])):
+        want[r["conv_id"]].append((r["role"], r["text"].strip()))
+    right = sum(x == y for c in want for x, y in zip(want[c], found[c]) if len(want[c]) == len(found[c]))
+    total = sum(map(len, want.values()))
+    assert total > 100 and right > 0.96 * total
+
+
 def test_chat_transcript():
     rng = np.random.default_rng(2)
     k = len(chat_format.ROLES)
