@@ -95,6 +95,30 @@ def test_licenses(spark):
         licenses.scan(df.select("doc_id"), [])
 
 
+WHOLE = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not WHOLE.is_dir(), reason="no licence texts on this machine")
+@pytest.mark.parametrize("bound", [20_000, 0])  # looked up in place, and joined by a shuffle
+def test_whole_license_texts(spark, bound):
+    """A table of whole texts that a user gives finds them rewrapped, in capitals, spelt and marked otherwise, and below a copyright line; a changed text is none."""
+    names = ["Apache-2.0", "GPL-2", "GPL-3", "LGPL-2.1", "LGPL-3", "MPL-2.0", "CC0-1.0"]
+    texts = {n: (WHOLE / n).read_text() for n in names if (WHOLE / n).is_file()}
+    table = spark.createDataFrame(list(texts.items()), "license_id string, text string")
+    rows = []
+    for n, t in texts.items():
+        paragraphs = [" ".join(x.split()) for x in re.split(r"\n\s*\n", t)]
+        changed = [t, t.upper(), t.replace("license", "licence").replace(", ", " ; "), "Copyright (C) 2031 Some Body <a@b>\n\n" + t, "\r\n\r\n".join(x.replace("\n", "\r\n") for x in re.split(r"\n\s*\n", t))]
+        # rewrapping may join a copyright line to its neighbours, so such paragraphs stay as they are
+        lines = [x if "copyright" in x.lower() or "(c)" in x.lower() else re.sub(r"(.{1,50})(?:\s|$)", r"\1\n", x) for x in paragraphs]
+        parts = re.split(r"\n\s*\n", t)
+        changed.append("\n\n".join(old if "copyright" in old.lower() or "(c)" in old.lower() else new for old, new in zip(parts, lines)))
+        rows += [(n, k, c) for k, c in enumerate(changed)] + [(None, 0, t.replace(" not ", " ", 1)), (None, 1, t[: len(t) // 2])]
+    df = spark.createDataFrame([(i, n, k, t) for i, (n, k, t) in enumerate(rows)], "doc_id long, want string, kind int, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(df, table, max_broadcast=bound).collect()}
+    assert len(texts) >= 5 and [(n, k, got[i]) for i, (n, k, _) in enumerate(rows) if got[i] != n] == []
+
+
 def test_licenses_beyond_the_broadcast_bound(spark):
     """20,050 digests joined by a shuffle give what looking up in place gives."""
     known = licenses.known_licenses() + [(f"L{k}", f"licence text number {k}") for k in range(20_050 - len(licenses.known_licenses()))]
