@@ -28,6 +28,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Remove what this session has written to the shared folder, checkpoints and tables; no DataFrame made so far may be used after it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(path, True)
+    store.mkdirs(path)
+
+
 class Stored:
     """Tables in the shared folder for steps that build on each other.
 

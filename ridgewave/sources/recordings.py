@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import Stored
 from .captures import read_raw, read_sigmf, sigmf_catalogue, synthetic
+from .ranges import register as register_iq
 from .ranges import store_of
 from .sink import finished, old_files, write_recordings
 
@@ -152,6 +153,16 @@ source("raw")(lambda spark, path, format, **options: read_raw(spark, path, forma
 source("synthetic")(lambda spark, **options: synthetic(spark, **options))
 
 
+@source("growing")
+def _growing(spark: SparkSession, path: str, format: str, **options) -> DataFrame:
+    """A stream of the samples of files that are still written."""
+    register_iq(spark)
+    reader = spark.readStream.format("iq").option("format", format)
+    for name, value in options.items():
+        reader = reader.option(name, value)
+    return reader.load(path)
+
+
 @source("live")
 def _live(spark: SparkSession, path: str, **options) -> DataFrame:
     from ..streaming.state import iq_stream
@@ -160,7 +171,7 @@ def _live(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def open_source(spark: SparkSession, name: str, **options) -> DataFrame:
-    """Blocks of a registered source; devices can't be opened from a cluster, their blocks land in files and are read as "live"."""
+    """Blocks of a registered source; devices can't be opened from a cluster, their blocks land in files and are read as "live" (Parquet) or "growing" (raw samples)."""
     if name not in SOURCES:
         raise ValueError(f"no source {name}; there are {', '.join(sorted(SOURCES))}")
     return SOURCES[name](spark, **options)

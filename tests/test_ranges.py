@@ -252,3 +252,22 @@ def test_segments_are_found_exported_and_deleted(spark, tmp_path):
     assert recordings.delete(str(tmp_path / "rec"), "a") and visible(tmp_path / "rec") == [] and not recordings.delete(str(tmp_path / "rec"), "a")
     with pytest.raises(ValueError):
         recordings.annotate(spark.createDataFrame([], recordings.ANNOTATIONS), "a", 0, 1, 0.0, 1.0, "x", active=frozenset({"b"}))
+
+
+def test_growing_source_and_clearing(spark, tmp_path):
+    from ridgewave.operators.order import Stored, clear_shared, cut_lineage, shared_folder
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_bytes(np.arange(40, dtype="<i2").tobytes())
+    stream = recordings.open_source(spark, "growing", path=str(tmp_path / "in"), format="ci16", block=5)
+    stream.writeStream.format("memory").queryName("grown").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [r["i"] for r in sorted(spark.table("grown").collect(), key=lambda r: r["seq"])] == [[float(k) for k in range(a, a + 10, 2)] for a in (0, 10, 20, 30)]
+    kept = Stored(spark)
+    rows = kept.write(spark.range(5))
+    assert rows.count() == 5 and cut_lineage(spark.range(3)).count() == 3
+    kept.drop(rows)
+    clear_shared(spark)
+    from pathlib import Path
+
+    assert list(Path(shared_folder(spark).removeprefix("file:")).iterdir()) == []
+    assert Stored(spark).write(spark.range(4)).count() == 4 and cut_lineage(spark.range(6)).count() == 6
