@@ -4,11 +4,12 @@ A text is the multiset of its five-word windows (words are runs without ASCII wh
 to four words is one window).  Two texts are linked when the weighted Jaccard similarity of their multisets,
 sum of minima over sum of maxima, is 0.8 or more; classes are the connected components of links.
 
-*Signatures.*  Weights are counts, discretised at the whole numbers.  Each window owns Poisson processes over
-dyadic ranges of weight, [0,1), [1,2), [2,4), ...; a process yields points in the order of time, each with a
-signature slot and a weight level, from counters and a hash of the window alone, and a text accepts the points
-below its own weight.  A slot keeps its earliest point.  A process is followed only while it can still lower
-some slot, so long texts cost little more than one point a window.  Slots of two texts agree with a probability
+*Signatures.*  Weights are counts, discretised at the whole numbers.  Each window owns a hierarchy of Poisson processes:
+one over each of the ranges of weight [0,1), [1,2), [2,4), ..., and a range of several weights is split at its first point into
+processes over its halves, down to single weights.  Points come in the order of time, each with a signature slot and a weight
+level, from counters and a hash of the window alone, and a text accepts the points below its own weight and drops halves that lie
+above it.  A slot keeps its earliest point.  A process is followed only while it can still lower some slot, so long texts cost
+little more than one point a window.  Slots of two texts agree with a probability
 equal to their weighted Jaccard similarity.
 
 *Candidates.*  48 bands of 8 slots: a pair at 0.8 shares none with a probability of 0.00015.  Texts that are
@@ -118,26 +119,33 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
     if not doc:
         return best
     doc, seed, start, width, weight = map(np.concatenate, (doc, seed, start, width, weight))
-    time = np.zeros(len(doc))
-    flat = best.ravel()
-    step, many = 0, 1
+    time, step = np.zeros(len(doc)), np.zeros(len(doc), np.uint64)
+    flat, many = best.ravel(), 1
     while len(doc):
-        # the next `many` points of each process still followed
-        bits = mix(seed[:, None] + np.arange(step + 1, step + many + 1, dtype=np.uint64)[None, :] * _P)
+        # the next points of each process still followed: one of a range that can be split, `many` of a single weight
+        bits = mix(seed[:, None] + (step[:, None] + np.arange(1, many + 1, dtype=np.uint64)) * _P)
         gaps = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (width * slots)[:, None]
         at = time[:, None] + np.cumsum(gaps, axis=1)
         more = mix(bits ^ _C3)
         slot = ((more >> np.uint64(32)) * np.uint64(slots) >> np.uint64(32)).astype(np.int64)
         level = start[:, None] + (more & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32 * width[:, None]
+        wide = width > 1
         limit = best.max(axis=1)
         ok = (at < limit[doc][:, None]) & (level < weight[:, None])
+        ok[wide, 1:] = False
         np.minimum.at(flat, (doc[:, None] * slots + slot)[ok], at[ok])
-        time = at[:, -1]
+        time = np.where(wide, at[:, 0], at[:, -1])
+        step += np.uint64(many)
         follow = time < best.max(axis=1)[doc]
-        step += many
-        if step > 1:
-            many = min(64, 2 * many)
-        doc, seed, start, width, weight, time = (x[follow] for x in (doc, seed, start, width, weight, time))
+        one, two = follow & ~wide, follow & wide
+        kept = [x[one] for x in (doc, seed, start, width, weight, time, step)]
+        half = width[two] / 2
+        halves = [(doc[two], mix(seed[two] ^ salt), start[two] + far * half, half, weight[two], time[two], np.zeros(len(half), np.uint64)) for far, salt in ((0, _C1), (1, _C2))]
+        doc, seed, start, width, weight, time, step = (np.concatenate(x) for x in zip(kept, *halves))
+        if two.any():
+            inside = start < weight
+            doc, seed, start, width, weight, time, step = (x[inside] for x in (doc, seed, start, width, weight, time, step))
+        many = min(64, 2 * many)
     return best
 
 

@@ -366,6 +366,18 @@ def test_signatures_are_unbiased():
     assert abs((best[0] == best[1]).mean() - near_dedup.similarity(a, b)) < 0.025
 
 
+def test_signatures_of_large_counts():
+    """Ranges of several weights are split: unbiased for any counts, and the same alone as among others."""
+    rng = np.random.default_rng(1)
+    h = np.sort(rng.integers(1, 2**62, 120).astype(np.uint64))
+    bags = [(h[:90], rng.integers(1, 80, 90)), (h[20:], rng.integers(1, 200, 100)), (h, np.full(120, 37)), (h, np.full(120, 64)), (h[:1], np.array([1000]))]
+    best = near_dedup.signatures(bags, 8192)
+    for i in range(len(bags)):
+        assert (near_dedup.signatures([bags[i]], 8192)[0] == best[i]).all()
+        for j in range(i):
+            assert abs((best[i] == best[j]).mean() - near_dedup.similarity(bags[i], bags[j])) < 0.025
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "u long, v long")
     got = {r["node"]: r["root"] for r in near_dedup.components(links).collect()}
