@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,33 @@ class Forest:
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([self.top(x) for x in nodes], pa.int64())], names=["a", "b"])
 
 
+class Labels:
+    """Components of places 0, 1, ... whose edges come as arrays; most of many edges lie in one component already and cost no loop."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def grow(self, n: int) -> None:
+        self.root = np.concatenate([self.root, np.arange(len(self.root), n)])
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        a, b = self.root[i], self.root[j]
+        new = a != b
+        if new.any():
+            found = Forest()
+            for x, y in np.unique(np.stack([a[new], b[new]], axis=1), axis=0).tolist():
+                found.add(x, y)
+            to = np.arange(len(self.root))
+            below = list(found.above)
+            to[below] = [found.top(x) for x in below]
+            self.root = to[self.root]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places that aren't the first of their component, and the first ones."""
+        at = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return at, self.root[at]
+
+
 def thinned(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with the same components: each task gives a star for each component of what it has read."""
 
