@@ -21,8 +21,8 @@ from .order import Stored
 BLOCK, FAN, LEVELS = 512, 64, 5
 #: A cell is split beyond so many times its wanted size, as cells around random rows differ.
 SLACK = 4
-#: Leaves whose sizes are broadcast.
-FEW = 4096
+#: Leaves whose sizes are broadcast, and tasks that the rows of a cell are dealt to when it is split.
+FEW, SHARES = 4096, 8
 _STEP = 4096
 
 
@@ -34,11 +34,36 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def _slices(batch: pa.RecordBatch):
+def slices(batch: pa.RecordBatch):
     for at in range(0, batch.num_rows, BLOCK):
         yield batch.slice(at, BLOCK)
 
 
+def held_runs(batches):
+    """(held, coming) for each run of rows with ``side`` 1 in batches sorted by home and side; ``held`` are the rows of side 0 before it, if any are of its home."""
+    held, last = [], None
+    for b in batches:
+        home, side = b.column("home").to_numpy(), b.column("side").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(home) != 0) | (np.diff(side) != 0)) + 1).tolist(), b.num_rows]
+        for at, to in zip(cuts, cuts[1:]):
+            if to == at:
+                continue
+            if last is None or last[0] != home[at] or (side[at] == 0 and last[1] == 1):
+                held = []
+            if side[at] == 0:
+                held.append(b.slice(at, to - at))
+            else:
+                yield held, b.slice(at, to - at)
+            last = home[at], side[at]
+
+
+def _beside(rows: DataFrame, given: DataFrame) -> DataFrame:
+    """``rows`` (home, id and others) below the row of ``given`` (home and another) of their home, in shares; so no row carries what all of its cell share."""
+    held = given.withColumns({"share": F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))), "side": F.lit(0)})
+    coming = rows.withColumns({"share": F.pmod(F.xxhash64("id"), F.lit(SHARES)).cast("int"), "side": F.lit(1)})
+    return held.unionByName(coming, allowMissingColumns=True).repartition("home", "share").sortWithinPartitions("home", "share", "side")
+
+
 @dataclass
 class Tree:
     """``placed``: rows with ``home`` and ``gap``, the distance to its pivot; ``leaves``: home, n, blocks, radius; ``levels``: tables of cells below the first."""
@@ -55,38 +80,34 @@ class Tree:
         """Marks a table of one row a leaf for broadcast if there are few."""
         return F.broadcast(df) if self.n_leaves <= FEW else df
 
-    def reached(self, points: DataFrame, nearest: bool = False) -> DataFrame:
-        """``points`` (x, reach and others) once for each leaf within ``reach`` of x, in column ``cell``; or only the one that is nearest level by level."""
+    def around(self, points: DataFrame, kept: Stored) -> DataFrame:
+        """``points`` (id, x and others) with ``cell``, the leaf that is nearest level by level."""
         names = points.columns
-        at_x, at_reach = names.index("x"), names.index("reach")
+        at_x = names.index("x")
         pivots, radius, split = points.sparkSession.sparkContext.broadcast(self.pivots), self.radius, self.split
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields), "cell long, inner boolean"])
 
         def first(batches):
             for b in batches:
-                for part in _slices(b):
-                    d = distances(matrix(part.column(at_x)), pivots.value)
-                    if nearest:
-                        r, c = np.arange(len(d)), np.where(radius >= 0, d, np.inf).argmin(axis=1)
-                    else:
-                        r, c = np.nonzero((d <= radius + np.array(part.column(at_reach))[:, None] + 1e-9) & (radius >= 0))
-                    yield pa.RecordBatch.from_arrays([*part.take(pa.array(r)).columns, pa.array(c.astype(np.int64)), pa.array([int(k) in split for k in c], pa.bool_())], names=[*names, "cell", "inner"])
+                for part in slices(b):
+                    c = np.where(radius >= 0, distances(matrix(part.column(at_x)), pivots.value), np.inf).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.astype(np.int64)), pa.array([int(k) in split for k in c], pa.bool_())], names=[*names, "cell", "inner"])
 
         def further(batches):
-            for b in batches:
-                for k in range(b.num_rows):
-                    kids = b.column("kids")[k].as_py()
-                    d = distances(matrix(b.column(at_x).slice(k, 1)), np.array([x["pivot"] for x in kids]))[0]
-                    gaps = np.array([x["radius"] for x in kids])
-                    chosen = [int(d.argmin())] if nearest else np.flatnonzero(d <= gaps + b.column(at_reach)[k].as_py() + 1e-9).tolist()
-                    rows = b.select(names).take(pa.array([k] * len(chosen), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([kids[c]["node"] for c in chosen], pa.int64()), pa.array([kids[c]["inner"] for c in chosen], pa.bool_())], names=[*names, "cell", "inner"])
-
-        front = points.mapInArrow(first, schema)
+            last = None
+            for held, coming in held_runs(batches):
+                if held is not last:
+                    last, kids = held, held[0].column("kids")[0].as_py()
+                    at, node, inner = np.array([k["pivot"] for k in kids]), np.array([k["node"] for k in kids]), np.array([k["inner"] for k in kids])
+                for part in slices(coming):
+                    c = distances(matrix(part.column("x")), at).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(node[c]), pa.array(inner[c])], names=[*names, "cell", "inner"])
+
+        front = kept.write(points.mapInArrow(first, schema))
         out = front.where("NOT inner").drop("inner")
         for level in self.levels:
-            kids = level.groupBy(F.col("parent").alias("cell")).agg(F.collect_list(F.struct("node", "pivot", "radius", "inner")).alias("kids"))
-            front = front.where("inner").join(kids, "cell").select(*names, "kids").mapInArrow(further, schema)
+            kids = level.groupBy(F.col("parent").alias("home")).agg(F.collect_list(F.struct("node", "pivot", "inner")).alias("kids"))
+            front = kept.write(_beside(front.where("inner").select(*names, F.col("cell").alias("home")), kids).mapInArrow(further, schema))
             out = out.union(front.where("NOT inner").drop("inner"))
         return out
 
@@ -104,7 +125,7 @@ def build(rows: DataFrame, kept: Stored, pivots: int = 1024, cell: int = BLOCK,
 
     def first(batches):
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b):
                 d = distances(matrix(part.column(at_x)), sent.value)
                 k = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(k.astype(np.int64)), pa.array(d[np.arange(len(d)), k])], names=[*names, "home", "gap"])
@@ -120,12 +141,15 @@ def build(rows: DataFrame, kept: Stored, pivots: int = 1024, cell: int = BLOCK,
         return Tree(placed, kept.write(leaves), chosen, radius, split, [], len(sizes))
 
     def deeper(batches):
-        for b in batches:
-            for k in range(b.num_rows):
-                d = distances(matrix(b.column(at_x).slice(k, 1)), np.array(b.column("pivots")[k].as_py()))[0]
-                j = int(d.argmin())
-                home = (b.column("home")[k].as_py() + 1) * _STEP + j
-                yield pa.RecordBatch.from_arrays([*b.select(names).slice(k, 1).columns, pa.array([home]), pa.array([float(d[j])])], names=[*names, "home", "gap"])
+        last = None
+        for held, coming in held_runs(batches):
+            if held is not last:
+                last, at = held, np.array(held[0].column("pivots")[0].as_py(), float)
+            for part in slices(coming):
+                d = distances(matrix(part.column("x")), at)
+                j = d.argmin(axis=1)
+                home = (part.column("home").to_numpy() + 1) * _STEP + j
+                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(home), pa.array(d[np.arange(len(d)), j])], names=[*names, "home", "gap"])
 
     inner = F.col("home").isin(list(split))
     done, open_, levels = [placed.where(~inner)], placed.where(inner), []
@@ -134,7 +158,7 @@ def build(rows: DataFrame, kept: Stored, pivots: int = 1024, cell: int = BLOCK,
         near = open_.withColumn("k", F.row_number().over(Window.partitionBy("home").orderBy(F.xxhash64("id"), "id"))).where(F.col("k") <= FAN).groupBy("home").agg(F.array_distinct(F.collect_list("x")).alias("near"))
         far = open_.groupBy("home").agg(F.max_by("x", F.struct("gap", "id")).alias("far"))
         centres = kept.write(near.join(far, "home").select("home", F.array_distinct(F.concat("near", F.array("far"))).alias("pivots")))
-        moved = kept.write(open_.select(*names, "home").join(centres, "home").select(*names, "home", "pivots").mapInArrow(deeper, schema))
+        moved = kept.write(_beside(open_.select(*names, "home"), centres).mapInArrow(deeper, schema))
         found = moved.groupBy(F.col("home").alias("node")).agg(*facts)
         above = F.floor(F.col("node") / _STEP) - 1
         grown = (F.col("n") > SLACK * cell) & (F.col("radius") > 0) if depth < LEVELS - 1 else F.lit(False)
@@ -151,17 +175,3 @@ def build(rows: DataFrame, kept: Stored, pivots: int = 1024, cell: int = BLOCK,
     whole = kept.write(whole)
     leaves = kept.write(whole.groupBy("home").agg(*facts).select(leaf.alias("l")).select("l.*"))
     return Tree(whole, leaves, chosen, radius, split, levels, leaves.count())
-
-
-def blocks_of(tree: Tree, *columns: str) -> DataFrame:
-    """(cell, block, residents): the rows of each leaf in blocks, as structs of ``columns``."""
-    rows = tree.placed.join(tree.small(tree.leaves.select("home", "blocks")), "home")
-    return rows.select(F.col("home").alias("cell"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.struct(*columns).alias("row")).groupBy("cell", "block").agg(F.collect_list("row").alias("residents"))
-
-
-def visitors_of(tree: Tree, coming: DataFrame, kept: Stored, *columns: str) -> DataFrame:
-    """(cell, block, visitors): ``coming`` (cell, id and others) in parts of a bounded size, each once for each block of its cell."""
-    counts = kept.write(coming.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).join(tree.small(tree.leaves.select(F.col("home").alias("cell"), "blocks")), "cell"))
-    dealt = coming.join(tree.small(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    met = dealt.select("cell", "part", F.struct(*columns).alias("row"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    return met.groupBy("cell", "block", "part").agg(F.collect_list("row").alias("visitors"))
