@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Slope of leaky units below 0, the allowance of normalisation, and Adam's decays.
 LEAK, EPS, DECAY = 0.2, 1e-5, (0.9, 0.999)
+#: Rows that go through the network at once, few enough for a core's cache.
+SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,7 @@ class Shape:
         """Whether layer ``k`` is normalised and bent: all but the innermost and the last."""
         return k not in (len(self.inner) - 2, len(self.widths) - 2)
 
+    @cache
     def slices(self) -> list[dict[str, tuple[slice, tuple[int, ...]]]]:
         """Where each layer's weights, offsets, and norms lie in the flat vector."""
         out, at = [], 0
@@ -65,17 +69,20 @@ def _layers(shape: Shape, flat: np.ndarray) -> list[dict[str, np.ndarray]]:
     return [{name: flat[at].reshape(s) for name, (at, s) in own.items()} for own in shape.slices()]
 
 
-def rebuilt(shape: Shape, flat: np.ndarray, x: np.ndarray, trace: list | None = None) -> np.ndarray:
-    """The network's output for rows ``x``; ``trace`` gets what :func:`gradient` needs of each layer."""
+def _rebuilt(shape: Shape, flat: np.ndarray, x: np.ndarray, trace: list | None = None) -> np.ndarray:
+    """The network's output for columns ``x``, one for each row of a table, as sums over a layer then run along memory; ``trace`` gets what :func:`gradient` needs of each layer."""
     for layer in _layers(shape, flat):
-        given, z = x, x @ layer["w"] + layer["b"]
+        given, z = x, layer["w"].T @ x
+        z += layer["b"][:, None]
         unit = spread = None
         if "gain" in layer:
-            mean = z.mean(axis=1, keepdims=True)
-            spread = np.sqrt(((z - mean) ** 2).mean(axis=1, keepdims=True) + EPS)
-            unit = (z - mean) / spread
-            z = unit * layer["gain"] + layer["shift"]
-            x = np.where(z > 0, z, LEAK * z)
+            z -= z.mean(axis=0)
+            spread = np.sqrt(np.einsum("ij,ij->j", z, z) / len(z) + EPS)
+            z /= spread
+            unit = z
+            z = unit * layer["gain"][:, None]
+            z += layer["shift"][:, None]
+            x = np.maximum(z, LEAK * z)
         else:
             x = z
         if trace is not None:
@@ -83,25 +90,39 @@ def rebuilt(shape: Shape, flat: np.ndarray, x: np.ndarray, trace: list | None =
     return x
 
 
+def rebuilt(shape: Shape, flat: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The network's output for rows ``x``."""
+    return _rebuilt(shape, flat, np.ascontiguousarray(x.T)).T
+
+
 def errors(shape: Shape, flat: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Mean squared error of each row."""
-    return ((rebuilt(shape, flat, x) - x) ** 2).mean(axis=1)
+    out = np.empty(len(x))
+    for at in range(0, len(x), SLICE):
+        columns = np.ascontiguousarray(x[at : at + SLICE].T)
+        off = _rebuilt(shape, flat, columns) - columns
+        out[at : at + SLICE] = np.einsum("ij,ij->j", off, off) / len(off)
+    return out
 
 
 def gradient(shape: Shape, flat: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
     """Gradient of the sum of the rows' errors, and that sum."""
     trace: list = []
-    off = rebuilt(shape, flat, x, trace) - x
-    out, back = np.zeros_like(flat), 2 * off / x.shape[1]
+    x = np.ascontiguousarray(x.T)
+    off = _rebuilt(shape, flat, x, trace) - x
+    out, back = np.zeros_like(flat), 2 * off / len(x)
     for own, layer, (given, unit, spread, z) in zip(shape.slices()[::-1], _layers(shape, flat)[::-1], trace[::-1]):
         if "gain" in layer:
-            back = back * np.where(z > 0, 1.0, LEAK)
-            out[own["gain"][0]], out[own["shift"][0]] = (back * unit).sum(axis=0), back.sum(axis=0)
-            back = back * layer["gain"]
-            back = (back - back.mean(axis=1, keepdims=True) - unit * (back * unit).mean(axis=1, keepdims=True)) / spread
-        out[own["w"][0]], out[own["b"][0]] = (given.T @ back).ravel(), back.sum(axis=0)
-        back = back @ layer["w"].T
-    return out, float((off**2).mean(axis=1).sum())
+            back *= np.where(z > 0, 1.0, LEAK)
+            out[own["gain"][0]], out[own["shift"][0]] = np.einsum("ij,ij->i", back, unit), back.sum(axis=1)
+            back *= layer["gain"][:, None]
+            along = np.einsum("ij,ij->j", back, unit) / len(back)
+            back -= back.mean(axis=0)
+            back -= unit * along
+            back /= spread
+        out[own["w"][0]], out[own["b"][0]] = (given @ back.T).ravel(), back.sum(axis=1)
+        back = layer["w"] @ back
+    return out, float(np.einsum("ij,ij->", off, off) / len(x))
 
 
 @dataclass(frozen=True)
@@ -129,12 +150,15 @@ class Learner:
         return replace(self, version=n, flat=self.flat - self.rate * step, first=first, second=second)
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
-
-
-def _usable(df: DataFrame, width: int, x: str) -> DataFrame:
-    return df.where((F.size(x) == width) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v)))
+def _rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the vectors that are there, ``width`` long, and without a null or NaN."""
+    lengths = np.diff(column.offsets.to_numpy())
+    fit = np.flatnonzero((lengths == width) & column.is_valid().to_numpy(zero_copy_only=False))
+    if len(fit) < len(column):
+        column = column.take(pa.array(fit))
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(fit), width)
+    bad = np.isnan(x).any(axis=1)
+    return (fit[~bad], x[~bad]) if bad.any() else (fit, x)
 
 
 def scored(df: DataFrame, learner: Learner, x: str = "x", center: float = 0.1, slope: float = 10.0) -> DataFrame:
@@ -148,9 +172,9 @@ def scored(df: DataFrame, learner: Learner, x: str = "x", center: float = 0.1, s
     def run(batches):
         for b in batches:
             score = np.full(b.num_rows, np.nan)
-            rows = [k for k, v in enumerate(b.column(at)) if v.is_valid and len(v) == width and not v.values.null_count]
-            if rows:
-                mse = errors(shape, flat, _rows(b.column(at).take(pa.array(rows))).astype(float))
+            rows, given = _rows(b.column(at), width)
+            if len(rows):
+                mse = errors(shape, flat, given)
                 score[rows] = 1 / (1 + np.exp(-np.clip(slope * (mse - center), -60, 60)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, mask=np.isnan(score))], names=[*names, "anomaly_score"])
 
@@ -166,8 +190,9 @@ def mean_gradient(df: DataFrame, learner: Learner, x: str = "x") -> tuple[np.nda
     def sums(batches):
         total = None
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                v = _rows(b.column(0)[at : at + 4096]).astype(float)
+            given = _rows(b.column(0), shape.inner[0])[1]
+            for at in range(0, len(given), SLICE):
+                v = given[at : at + SLICE]
                 g, loss = gradient(shape, flat, v)
                 part = np.concatenate([[float(len(v)), loss], g])
                 total = part if total is None else total + part
@@ -175,7 +200,7 @@ def mean_gradient(df: DataFrame, learner: Learner, x: str = "x") -> tuple[np.nda
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], names=["k", "v"])
 
     out = np.zeros(shape.size + 2)
-    for r in _usable(df, shape.inner[0], x).select(x).mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+    for r in df.select(x).mapInArrow(sums, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
         out[r["k"]] = r["v"]
     n = int(out[0])
     return (out[2:] / n, float(out[1]) / n, n) if n else (out[2:], 0.0, 0)
