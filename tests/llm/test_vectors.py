@@ -202,6 +202,77 @@ def test_blocks_stay_bounded_for_copies(spark):
     assert sum(sizes) == 2000 and max(sizes) < 110
 
 
+def to_driver(spark, job) -> float:
+    """Megabytes that the tasks of one stage send to the driver at most while ``job`` runs, results and what is to be broadcast."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        them = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), None)
+        return {(x.stageId(), x.attemptId()): x.resultSize() for x in map(them.apply, range(them.size()))}
+
+    before = stages()
+    job()
+    return max(n for k, n in stages().items() if k not in before) / 1e6
+
+
+def test_anchors_times_blocks_never_reach_the_driver(spark):
+    """200 anchors meet 250 blocks each: 50,000 visits, which the planner takes for a table as small as the anchors."""
+    rows = rows_of(6, 2000, 32, labels=3)
+    df = spark.createDataFrame(rows, VECTORS)
+    out = []
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 100_000)  # more than the anchors and less than the blocks
+    try:
+        mb = to_driver(spark, lambda: out.append(hard_negatives.mine(df, F.col("vec_id") % 10 == 0, block=8, cells=1, leaf=8).select(*NAMES).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert mb < 2
+    assert sorted(map(tuple, out[0])) == plain_negatives(rows, 10)
+
+
+def test_the_sample_is_bounded_over_all_partitions(spark):
+    df = spark.range(0, 60_000, 1, 12).select("id", F.array(*(F.rand(k) for k in range(8))).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
+    from ridgewave.llm.vectors import integer_vectors
+
+    ints, _ = integer_vectors(df, "id", "embedding", "label")
+    mb = to_driver(spark, lambda: hard_negatives.Index(ints, Stored(spark)))
+    assert mb < 1.5
+
+
+def test_groups_and_chunks_of_any_size(spark, monkeypatch):
+    """Many meetings with several chunks of anchors and few blocks give the same rows."""
+    for name, n in (("GROUPS", 3), ("GROUP", 2), ("HELD", 7), ("PART", 5)):
+        monkeypatch.setattr(hard_negatives, name, n)
+    rows = rows_of(12, 300, 16, copies=60, labels=3)
+    got = hard_negatives.mine(spark.createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0, block=40, cells=8, leaf=8).select(*NAMES).collect()
+    assert len(got) > 50 and sorted(map(tuple, got)) == plain_negatives(rows, 20)
+
+
+@pytest.mark.parametrize("ranked", [1 << 18, 3])
+def test_sweeps_equal_full_searches(monkeypatch, ranked):
+    monkeypatch.setattr(hard_negatives, "RANKED", ranked)
+    rng = np.random.default_rng(8)
+    centres = rng.integers(-60, 60, (40, 16))
+    v = (centres[rng.integers(40, size=4000)] + rng.integers(-3, 4, (4000, 16))).astype(float)
+    v[50:90] = v[0]  # ties
+    most = float((v**2).sum(axis=1).max())
+    tree = hard_negatives.build(v, np.sqrt(most - (v**2).sum(axis=1)), 50)
+    tree.nodes[:, 0] = np.argsort(tree.order)[tree.nodes[:, 0].astype(int)]  # as rows are in the tree's order
+    anchors, ids = np.arange(0, 4000, 100), np.arange(len(v))
+    scores = np.rint(v @ v[anchors].T).astype(int).T
+    own = scores[np.arange(len(anchors)), anchors]
+    low, high = np.stack([0.7 * own, -1 * own, own + 1], axis=1).astype(np.int64), np.stack([0.9 * own, own, own], axis=1).astype(np.int64)
+    best = hard_negatives.Best(low.copy(), high, 5)
+    read = hard_negatives.sweep(v[anchors], np.arange(len(anchors)), best, most, v[tree.order], lambda a, j: tree.order[j] != anchors[a], ids[tree.order], tree)
+    for a in range(len(anchors)):
+        for w in range(3):
+            want = sorted((-int(s), int(i)) for s, i in zip(scores[a], ids) if low[a, w] <= s <= high[a, w] and i != anchors[a])[:5]
+            assert [(-int(s), int(i)) for s, i in zip(best.score[a, w], best.id[a, w]) if s > hard_negatives.NONE] == want
+    one = hard_negatives.Best(low[:1, :1].copy(), high[:1, :1], 5)  # a narrow window of one anchor
+    few = hard_negatives.sweep(v[anchors[:1]], np.zeros(1, int), one, most, v[tree.order], lambda a, j: tree.order[j] != anchors[0], ids[tree.order], tree)
+    assert few < len(tree.starts) - 1 and read <= len(tree.starts) - 1
+
+
 # -- languages -------------------------------------------------------------------------------------
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, lang_pred int, score string, held_out string"
 
