@@ -395,14 +395,14 @@ class Index:
             for own, ids, labels, v, tree in meeting.blocks(batches):
                 if best is None:  # all anchors are there
                     held = meeting.held
-                    anchor, mine_, q = np.array([x["anchor"] for x in held]), np.array([x["label"] for x in held]), np.stack([_ints(x["v"]) for x in held])
+                    anchor, own_labels, q = np.array([x["anchor"] for x in held]), np.array([x["label"] for x in held]), np.stack([_ints(x["v"]) for x in held])
                     place, low, high = (np.full((len(held), max(len(x["windows"]) for x in held)), n) for n in (-1, 2**62, -(2**62)))
                     for a, x in enumerate(held):
                         for n, w in enumerate(x["windows"]):
                             place[a, n], low[a, n], high[a, n] = w["place"], w["floor"], w["high"]
                     best = Best(low, high, k)
                 places = np.array(own)
-                sweep(q[places], places, best, most, v, lambda a, j: ((labels[j] == mine_[a]) == same) & (ids[j] != anchor[a]), ids, tree)  # noqa: B023
+                sweep(q[places], places, best, most, v, lambda a, j: ((labels[j] == own_labels[a]) == same) & (ids[j] != anchor[a]), ids, tree)  # noqa: B023
             if best is not None:
                 a, n, at = np.nonzero(best.score > NONE)
                 cols = (anchor[a], place[a, n].astype(np.int32), best.id[a, n, at], best.score[a, n, at])
